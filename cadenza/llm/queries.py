@@ -5,20 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadenza.llm import near_dup
+from cadenza.llm import decontam, html, lm, mixing, near_dup, quality, secrets, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("row.*", "copy", F.round("rate", 6).alias("rate"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(_table(spark, sf_dir, "pages"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    q.__name__: q
+    for q in (
+        op1_quality_rules, op2_source_mixing, op3_html_extraction, op4_url_filters, op5_lm_scoring, op6_secret_scans, op7_token_counts,
+        op8_minhash_near_dedup, op9_benchmark_decontamination, op10_warc_conversion,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the queries that it can express on whole tables.
+ORACLE_SQL: dict[str, str] = {"op2_source_mixing": mixing.SQL}
