@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import components
@@ -207,13 +207,14 @@ def _memberships(heads: DataFrame) -> DataFrame:
     return rarest.join(hubs, "value").select(F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "node", "n").distinct()
 
 
+def _node(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
+
+
 def links(documents: DataFrame, id_col: str, text_col: str, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(signatures, links): per row node, doc_id, n, class; and (a, b) links that join all that hang together."""
     folder = shared_folder(documents.sparkSession)
-    texts = documents.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text_col), 2)).alias("node"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
+    texts = documents.select(_node(F.col(id_col), F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signatures = keep(texts.mapInArrow(_signatures, _SIGNATURE), folder)
     heads = signatures.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("node", "n", "sketch")).alias("x")).select("x.*")
     members = keep(_memberships(heads), folder)
@@ -260,6 +261,16 @@ def links(documents: DataFrame, id_col: str, text_col: str, percent: int = 75) -
     return signatures, keep(found.unionByName(more), folder)
 
 
+def _placed(documents: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(node, n, of) per row: of is the least node reachable."""
+    signatures, found = links(documents, id_col, text_col, percent)
+    rows = signatures.select("node", "n", "h1", "h2")
+    heads = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("node").alias("head"))
+    comp = components(found).select(F.col("node").alias("head"), "component")
+    out = rows.join(heads.join(comp, "head", "left"), ["h1", "h2"], "left")
+    return out.select("node", "n", F.when(F.col("n") == 0, F.col("node")).otherwise(F.coalesce("component", "head", "node")).alias("of"))
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least id reachable), kept.
 
@@ -271,16 +282,22 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     among its like, component_id is null and kept is true. Other columns are ignored, and
     an empty table gives no rows.
     """
-    signatures, found = links(documents, id_col, text_col, percent)
-    rows = signatures.select("node", "n", "h1", "h2")
-    heads = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("node").alias("head"))
-    comp = components(found).select(F.col("node").alias("head"), "component")
-    out = rows.join(heads.join(comp, "head", "left"), ["h1", "h2"], "left")
-    of = F.when(F.col("n") == 0, F.col("node")).otherwise(F.coalesce("component", "head", "node"))
-    real = lambda c: F.when(c < NO_ID, c)
-    return out.select(
-        real(F.col("node")).alias("doc_id"),
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return _placed(documents, id_col, text_col, percent).select(
+        real("node").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        real(of).alias("component_id"),
-        F.coalesce(real(F.col("node")) == real(of), of >= NO_ID, F.lit(False)).alias("kept"),
+        real("of").alias("component_id"),
+        F.coalesce(real("node") == real("of"), F.col("of") >= NO_ID, F.lit(False)).alias("kept"),
     )
+
+
+def distinct_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """One row, with all its columns, of each group of near-duplicates: that of the least id.
+
+    Of rows that share an id, or have none and the same text, one stays.
+    """
+    kept = _placed(documents, id_col, text_col, percent).where("of = node").select("node").distinct()
+    rows = documents.select(F.struct("*").alias("row"), _node(F.col(id_col), F.col(text_col)).alias("node"))
+    # the join has brought a node's rows together
+    order = Window.partitionBy("node").orderBy(F.xxhash64(F.col(f"row.{text_col}")))
+    return rows.join(kept, "node").withColumn("i", F.row_number().over(order)).where("i = 1").select("row.*")
