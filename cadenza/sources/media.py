@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 
+import numpy as np
+import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,14 +118,9 @@ def records(lines: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(path, document) of YAML documents, one a file, as structs of a schema; fields that are missing are null."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def as_json(text: pd.Series) -> pd.Series:
-        import json
-
-        import yaml
-
         return text.map(lambda t: json.dumps(yaml.safe_load(t) or {}, default=str))
 
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), as_json("value").alias("json"))
@@ -130,12 +129,9 @@ def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def pcm_samples(files: DataFrame, rate_share: float = 32768.0) -> DataFrame:
     """(series, idx, v) of little-endian 16-bit samples in (path, content), a row for each sample."""
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def decode(content: pd.Series) -> pd.Series:
-        import numpy as np
-
         return content.map(lambda b: np.frombuffer(b[: len(b) // 2 * 2], "<i2").astype("float32") / rate_share)
 
     return files.select(F.col("path").alias("series"), F.posexplode(decode("content")).alias("idx", "v"))
