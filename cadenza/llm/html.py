@@ -168,6 +168,8 @@ def extract(html: str | None) -> str:
     page = _Page()
     try:
         page.feed(html or "")
+        if page.rawdata.startswith(("<!", "<?")):  # a comment or declaration without end hides what follows
+            page.rawdata = ""
         page.close()
     except AssertionError:  # html.parser gives up on some malformed declarations; what came before counts
         pass
