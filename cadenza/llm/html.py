@@ -37,6 +37,8 @@ BAD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promoted|promotion|related|reply|replies|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+# Names that only say what a wrapper has beside the article.
+HAS = re.compile(r"(?:has|with|no)[_-]\w+", re.IGNORECASE)
 MAIN = frozenset(("article", "main"))
 #: How far up points go; the n-th element above the paragraph's parent gets a 1 / (n + 1) part.
 REACH = 5
@@ -49,7 +51,7 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.drop, self.name = ["#"], [0], [False], [""]
+        self.tag, self.parent, self.drop = ["#"], [0], [False]
         self.stack = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
@@ -103,9 +105,9 @@ class _Page(HTMLParser):
         if not drop and tag == "header":
             drop = not any(self.tag[n] in MAIN for n in self.stack)
         if not drop and attrs and tag not in ("html", "body"):
-            words = f"{named.get('class') or ''} {named.get('id') or ''}"
+            words = HAS.sub("", f"{named.get('class') or ''} {named.get('id') or ''}")
             drop = (
-                (tag not in MAIN and words != " " and BAD.search(words) is not None) or (named.get("role") or "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
+                (tag not in MAIN and BAD.search(words) is not None) or (named.get("role") or "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
                 or "display:none" in (named.get("style") or "").replace(" ", "").lower()
             )
         if drop and not self.drop[up]:

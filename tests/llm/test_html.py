@@ -21,6 +21,10 @@ def test_sections_and_siblings():
     assert html.extract(PAGE % body) == "One, part, of it, and more of it.\n\nAnother, part, of it, and more of it."
 
 
+def test_names_of_wrappers():
+    assert html.extract('<div class="layout has-sidebar"><p>Kept, all, of it.</p><div class="sidebar"><p>Gone, all, of it.</p></div></div>') == "Kept, all, of it."
+
+
 def test_odd_input():
     assert [html.extract(x) for x in (None, "", "  ", "<p></p>", "<script>x</script>", "<!--", "<![if")] == [""] * 7
     assert html.extract("just text") == "just text"
