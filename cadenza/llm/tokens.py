@@ -29,6 +29,7 @@ from cadenza.llm.store import keep, shared_folder
 WIDTH, DTYPE, END = 2, np.dtype("<u2"), 50256
 RANKS = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 4 << 20
+BLOCKS_PER_TASK = 8
 FILE_BYTES = 128 << 20
 
 
@@ -125,7 +126,10 @@ def separator_scan(files: DataFrame, end: int = END, dtype: np.dtype = DTYPE, bl
                 [pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.list_(pa.int64()))], names=["file", "block", "seps", "tail", "lengths"]
             )
 
-    found = keep(_blocks(files, block_bytes).repartition("file", "block").mapInArrow(run, "file string, block long, seps long, tail long, lengths array<long>"))
+    blocks = keep(_blocks(files, block_bytes))
+    # rows of a few bytes stand for blocks: Spark can't tell the work by their size
+    tasks = max(1, -(-blocks.count() // BLOCKS_PER_TASK))
+    found = keep(blocks.repartition(tasks).mapInArrow(run, "file string, block long, seps long, tail long, lengths array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # the scan carries one small row for each block; lengths are joined after it
     sums = found.select("file", "block", "seps", "tail").withColumn("first", F.coalesce(F.sum("seps").over(before), F.lit(0))).withColumn("ahead", F.coalesce(F.sum("tail").over(before), F.lit(0)))
