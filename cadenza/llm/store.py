@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of this machine, by application, for sessions on one machine that name none.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir.
 
-    Only where the cluster names none, as in tests on one machine, a folder of this
-    machine takes its place.
+    Only where a session runs on one machine and names none, as in tests, a temporary
+    folder of this machine takes its place.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not conf.get("spark.master", "").startswith("local["):
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        root = _own[app]
     return f"{root.rstrip('/')}/cadenza-{uuid.uuid4().hex}"
 
 
