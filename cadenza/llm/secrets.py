@@ -86,65 +86,79 @@ def encoding(run: Column) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _upper(z: Column) -> Column:
     """P(normal > z), by the series 26.2.17 of Abramowitz and Stegun."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    # The series' coefficients.
-    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) / 2.5066282746310002 * series
-    return F.when(z >= 0, tail).otherwise(1 - tail)
-
-
-def battery(run: Column) -> Column:
-    """Fisher's joint p-value of a run under its encoding, or null: small where it is not random."""
-    kind = encoding(run)
-    symbols = F.element_at(F.array(*(F.lit(s) for _, _, s in ENCODINGS)), kind + 1)
-    n, k = F.char_length(run).cast("double"), F.char_length(symbols).cast("double")
-    squares = F.aggregate(
-        F.split(symbols, ""), F.lit(0.0), lambda s, c: s + F.when(c == "", 0.0).otherwise(F.pow(n - F.char_length(F.replace(run, c, F.lit(""))), 2.0))
-    )
-    df = k - 1
-    # chi-squared to normal by cube roots (Wilson and Hilferty)
-    chi = k / n * squares - n
-    p_chi = _upper((F.cbrt(F.greatest(chi, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-    middle = (k - 1) / 2
-    start = F.struct(*(F.lit(0.0).alias(c) for c in ("last", "i", "high", "runs", "s", "ss", "lag")))
-
-    def step(a: Column, c: Column) -> Column:
-        x = (F.instr(symbols, c) - 1 - middle).cast("double")
-        turn = F.when((a["i"] == 0) | ((x > 0) != (a["last"] > 0)), 1.0).otherwise(0.0)
-        return F.when(c == "", a).otherwise(
-            F.struct(
-                x.alias("last"), (a["i"] + 1).alias("i"), (a["high"] + F.when(x > 0, 1.0).otherwise(0.0)).alias("high"), (a["runs"] + turn).alias("runs"),
-                (a["s"] + x).alias("s"), (a["ss"] + x * x).alias("ss"), (a["lag"] + F.when(a["i"] > 0, x * a["last"]).otherwise(0.0)).alias("lag"),
+
+    def of(v: Column) -> Column:
+        z, t = v["z"], v["t"]
+        # The series' coefficients.
+        series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return _let(F.exp(-z * z / 2) / 2.5066282746310002 * series, lambda tail: F.when(z >= 0, tail).otherwise(1 - tail))
+
+    return _let(z, lambda z: _let(F.struct(z.alias("z"), (1 / (1 + 0.2316419 * F.abs(z))).alias("t")), of))
+
+
+def symbols_of(kind: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(s) for _, _, s in ENCODINGS)), kind + 1)
+
+
+def battery(run: Column, symbols: Column) -> Column:
+    """Fisher's joint p-value of a run under the symbols of its encoding: small where it is not random."""
+
+    def of(v: Column) -> Column:
+        run, symbols, n, k = v["run"], v["symbols"], v["n"], v["k"]
+        squares = F.aggregate(F.split(symbols, ""), F.lit(0.0), lambda s, c: s + F.when(c == "", 0.0).otherwise(F.pow(n - F.char_length(F.replace(run, c, F.lit(""))), 2.0)))
+        df = k - 1
+        # chi-squared to normal by cube roots (Wilson and Hilferty)
+        p_chi = _upper((F.cbrt(F.greatest(k / n * squares - n, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+        start = F.struct(*(F.lit(0.0).alias(c) for c in ("last", "i", "high", "runs", "s", "ss", "lag")))
+
+        def step(a: Column, c: Column) -> Column:
+            def moved(x: Column) -> Column:
+                turn = F.when((a["i"] == 0) | ((x > 0) != (a["last"] > 0)), 1.0).otherwise(0.0)
+                return F.struct(
+                    x.alias("last"), (a["i"] + 1).alias("i"), (a["high"] + F.when(x > 0, 1.0).otherwise(0.0)).alias("high"), (a["runs"] + turn).alias("runs"),
+                    (a["s"] + x).alias("s"), (a["ss"] + x * x).alias("ss"), (a["lag"] + F.when(a["i"] > 0, x * a["last"]).otherwise(0.0)).alias("lag"),
+                )
+
+            return F.when(c == "", a).otherwise(_let((F.instr(symbols, c) - 1 - (k - 1) / 2).cast("double"), moved))
+
+        def tests(a: Column) -> Column:
+            mean = 2 * a["high"] * (n - a["high"]) / n + 1
+            p_runs = _let(
+                F.struct(mean.alias("mean"), F.sqrt((mean - 1) * (mean - 2) / (n - 1)).alias("spread")),
+                lambda m: F.when(m["spread"] > 0, 2 * _upper(F.abs(a["runs"] - m["mean"]) / m["spread"])).otherwise(0.0),
             )
-        )
+            square = a["s"] * a["s"] / n
+            serial = F.when(a["ss"] - square > 0, (a["lag"] - square) / (a["ss"] - square)).otherwise(1.0)
+            p_serial = 2 * _upper(F.abs(serial * F.sqrt(n)))
+            logs = (F.log(F.greatest(p, F.lit(1e-300))) for p in (p_chi, p_runs, p_serial))
+            return _let(-sum(logs, F.lit(0.0)), lambda half: F.exp(-half) * (1 + half + half * half / 2))
 
-    def joined(a: Column) -> Column:
-        low = n - a["high"]
-        mean = 2 * a["high"] * low / n + 1
-        spread = F.sqrt((mean - 1) * (mean - 2) / (n - 1))
-        p_runs = F.when(spread > 0, 2 * _upper(F.abs(a["runs"] - mean) / spread)).otherwise(0.0)
-        around = a["ss"] - a["s"] * a["s"] / n
-        serial = F.when(around > 0, (a["lag"] - a["s"] * a["s"] / n) / around).otherwise(1.0)
-        p_serial = 2 * _upper(F.abs(serial * F.sqrt(n)))
-        half = -(F.log(F.greatest(p_chi, F.lit(1e-300))) + F.log(F.greatest(p_runs, F.lit(1e-300))) + F.log(F.greatest(p_serial, F.lit(1e-300))))
-        return F.exp(-half) * (1 + half + half * half / 2)
+        return F.aggregate(F.split(run, ""), start, step, tests)
 
-    return F.aggregate(F.split(run, ""), start, step, joined)
+    sizes = (F.char_length(c).cast("double") for c in (run, symbols))
+    return _let(F.struct(run.alias("run"), symbols.alias("symbols"), *(c.alias(n) for c, n in zip(sizes, "nk", strict=True))), of)
 
 
 def _scored(text: Column) -> Column:
     """Structs (start, size, stratum, bin) of the runs that hold a letter and a digit."""
-    runs = F.filter(_matches(text, RUN), lambda x: x["body"].rlike("[0-9]") & x["body"].rlike("[A-Za-z]") & encoding(x["body"]).isNotNull())
+    kinds = F.transform(_matches(text, RUN), lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["body"].alias("body"), encoding(x["body"]).alias("kind")))
+    mixed = F.filter(kinds, lambda x: x["kind"].isNotNull() & x["body"].rlike("[0-9]") & x["body"].rlike("[A-Za-z]"))
+    # fields, so that nothing is looked up again for each character
+    runs = F.transform(mixed, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["body"].alias("body"), x["kind"].alias("kind"), symbols_of(x["kind"]).alias("symbols")))
     length = lambda x: F.least(F.floor(F.log2(x["size"] / F.lit(float(RUN_LENGTH))) * 2), F.lit(15))
     return F.transform(
         runs,
         lambda x: F.struct(
-            x["start"].alias("start"), x["size"].alias("size"), (encoding(x["body"]) * 16 + length(x)).cast("int").alias("stratum"),
+            x["start"].alias("start"), x["size"].alias("size"), (x["kind"] * 16 + length(x)).cast("int").alias("stratum"),
             # bins of equal steps of the logarithm; bin b holds p-values up to 10**(-b / 10)
-            F.least(F.floor(-10 * F.log10(F.greatest(battery(x["body"]), F.lit(1e-300)))), F.lit(BINS - 1)).cast("int").alias("bin"),
+            F.least(F.floor(-10 * F.log10(F.greatest(battery(x["body"], x["symbols"]), F.lit(1e-300)))), F.lit(BINS - 1)).cast("int").alias("bin"),
         ),
     )
 

@@ -46,7 +46,7 @@ def test_battery_tells_keys_from_words(spark):
     rng = random.Random(8)
     keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice([32, 40, 64]))) for _ in range(120)]
     words = [f"{'-'.join(rng.choice(['the', 'then', 'other', 'this', 'that', 'thing', 'nothing']) for _ in range(9))}-{i % 10}" for i in range(120)]
-    rows = spark.createDataFrame([(k, k) for k in keys] + [(w, w) for w in words], "kind string, run string").select("kind", secrets.battery(secrets.F.col("run")).alias("p")).collect()
+    rows = spark.createDataFrame([(k, k) for k in keys] + [(w, w) for w in words], "kind string, run string").select("kind", secrets.battery(secrets.F.col("run"), secrets.symbols_of(secrets.encoding(secrets.F.col("run")))).alias("p")).collect()
     by = {r.kind: r.p for r in rows}
     assert sum(by[k] > 0.01 for k in keys) > 110 and sum(by[w] < 0.001 for w in words) > 115
     docs = fx.documents(spark, [f"see {x} there" for x in keys + words])
