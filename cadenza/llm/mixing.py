@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 TERM = 16.0
 #: Quantiles of one term: P(count >= 96 | mean 16) is below 2**-53.
 STEPS = 96
+#: Sources up to this number are broadcast: some MB.
+BROADCAST_SOURCES = 100_000
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -48,9 +50,11 @@ def repetition_rates(documents: DataFrame, weights: dict[str | None, float] | No
     else:
         named = documents.sparkSession.createDataFrame(list(weights.items()), "name string, w double")
         weighed = counts.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    all_n, all_w = weighed.agg(F.sum("n").cast("double"), F.sum("w")).first()
+    all_n, all_w, sources = weighed.agg(F.sum("n").cast("double"), F.sum("w"), F.count(F.lit(1))).first()
     rate = F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n") if all_w else F.lit(0.0)
-    return weighed.select("source", "n", rate.alias("rate"))
+    rates = weighed.select("source", "n", rate.alias("rate"))
+    # so few rows spare the documents a shuffle; more meet them in a join, which may split large sources
+    return F.broadcast(rates) if sources <= BROADCAST_SOURCES else rates
 
 
 def mix(documents: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -63,16 +67,12 @@ def mix(documents: DataFrame, weights: dict[str | None, float] | None = None, al
     """
     rates = repetition_rates(documents, weights, alpha, source_col)
     rows = documents.select(F.struct("*").alias("row"))
-    drawn = rows.join(rates.select("source", "rate"), F.col(f"row.{source_col}").eqNullSafe(F.col("source")))
+    drawn = rows.join(rates, F.col(f"row.{source_col}").eqNullSafe(F.col("source")))
     key = F.col(f"row.{id_col}")
     terms = F.greatest(F.lit(1), F.ceil(F.col("rate") / TERM).cast("int"))
-    drawn = drawn.withColumn(
-        "copies",
-        F.aggregate(
-            F.sequence(F.lit(1), terms), F.lit(0), lambda n, i: n + poisson(F.col("rate") / terms, uniform(seed, key, i))
-        ),
-    ).where("copies > 0")
-    copies = drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "rate")
+    count = F.aggregate(F.sequence(F.lit(1), terms), F.lit(0), lambda n, i: n + poisson(F.col("rate") / terms, uniform(seed, key, i)))
+    # no copies, no rows; the count is worked out once
+    copies = drawn.select("row", "rate", F.posexplode(F.array_repeat(F.lit(1), count)).alias("before", "one")).select("row", "rate", (F.col("before") + 1).alias("copy"))
     placed = copies.withColumn("place", uniform(f"{seed}/place", key, F.col("copy")))
     return placed.repartition(F.floor(F.col("place") * (1 << 20))).sortWithinPartitions("place")
 
