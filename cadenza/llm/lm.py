@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +76,26 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "token long, cls int, n long").groupBy("token", "cls").agg(F.sum("n").alias("n"))
 
 
-def _coder(counts: DataFrame) -> Coder:
-    hot = counts.where("cls >= 0").orderBy(F.desc("n"), "token").limit(HOT).toPandas()  # bounded by HOT
+def _hot(counts: DataFrame) -> pd.DataFrame:
+    """The tokens of so many and more uses that they are HOT at most; a histogram of uses finds how many.
+
+    The histogram has a bin for each count up to 1,024 and 64 for each doubling after
+    that, so its rows and the tokens are all that reaches the driver.
+    """
+    n = F.col("n")
+    level = F.when(n <= 1024, n).otherwise(1024 + F.floor(64 * F.log2(n / F.lit(1024.0)))).cast("int")
+    words = counts.where("cls >= 0").withColumn("level", level)
+    least, so_far = None, 0
+    for row in sorted(words.groupBy("level").agg(F.count(F.lit(1)).alias("tokens")).collect(), reverse=True):
+        so_far += row["tokens"]
+        if so_far > HOT:
+            break
+        least = row["level"]
+    hot = words.where(F.lit(False) if least is None else F.col("level") >= least).select("token", "cls", "n").toPandas()
+    return hot.sort_values(["n", "token"], ascending=[False, True])
+
+
+def _coder(counts: DataFrame, hot: pd.DataFrame) -> Coder:
     words = hot["token"].to_numpy()[:VOCABULARY].astype(np.int64)
     order = np.argsort(words)
     end = counts.where("cls = -1").first()
@@ -244,14 +263,15 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = keep(count_tokens(train), folder)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = int(total[0]), int(total[1])
-    coder = spark.sparkContext.broadcast(_coder(counts))
+    hot = _hot(counts)
+    coder = spark.sparkContext.broadcast(_coder(counts, hot))
     # tokens and distinct tokens of each class, less those with vectors of their own: CLASSES rows
     of_class = np.zeros((2, CLASSES))
     for r in counts.where("cls >= 0").groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         of_class[:, r["cls"]] = r["n"], r["v"]
-    own = counts.where(F.col("token").isin([int(x) for x in coder.value.words])).collect() if len(coder.value.words) else []
-    for r in own:
-        of_class[:, r["cls"]] -= r["n"], 1
+    own = hot.head(VOCABULARY)
+    np.subtract.at(of_class[0], own["cls"].to_numpy(int), own["n"].to_numpy(float))
+    np.subtract.at(of_class[1], own["cls"].to_numpy(int), 1.0)
     room = of_class.sum(axis=0) + 1
     shared = spark.sparkContext.broadcast((train_model(train, coder, of_class[0]), room))
     base = float(np.log10(n + v + 1))
