@@ -209,6 +209,11 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
     return pages.select(id_col, url_col, html_col).mapInArrow(run, "file string")
 
 
+def _apart(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """rows, each file's together, in as many tasks as there are files: names are too small for Spark to tell the work by."""
+    return (files if rows is None else rows).repartition(max(1, files.count()), "file")
+
+
 def scan_arc(files: DataFrame) -> DataFrame:
     """(file, offset, page_id, bytes, digest) of the records of ARC files."""
     schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("bytes", pa.int64()), ("digest", pa.string())])
@@ -224,7 +229,7 @@ def scan_arc(files: DataFrame) -> DataFrame:
                         rows.append((file, r.offset, None if page_id is None else int(page_id), len(payload), _digest(payload)))
                 yield _rows(rows, schema)
 
-    return files.repartition("file").mapInArrow(run, "file string, offset long, page_id long, bytes long, digest string")
+    return _apart(files).mapInArrow(run, "file string, offset long, page_id long, bytes long, digest string")
 
 
 def convert(files: DataFrame, folder: str) -> DataFrame:
@@ -273,7 +278,7 @@ def convert(files: DataFrame, folder: str) -> DataFrame:
             names += one(now, revisits)
         yield _rows([(n,) for n in names], pa.schema([("file", pa.string())]))
 
-    return keep(todo.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, "file string"), folder)
+    return keep(_apart(files, todo).sortWithinPartitions("file", "offset").mapInArrow(run, "file string"), folder)
 
 
 def scan_warc(files: DataFrame) -> DataFrame:
@@ -298,7 +303,7 @@ def scan_warc(files: DataFrame) -> DataFrame:
                         rows.append((None if page_id is None else int(page_id), size, digest, kind, warc["warc-record-id"], warc.get("warc-refers-to")))
                 yield _rows(rows, schema)
 
-    return files.repartition("file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers string")
+    return _apart(files).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers string")
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
