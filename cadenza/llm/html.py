@@ -136,7 +136,11 @@ class _Page(HTMLParser):
 
 
 def _best(page: _Page) -> tuple[int, list[float], list[int], list[int]]:
-    """The best element, and the scores, text and linked text of all."""
+    """The best element, and the scores, text and linked text of all.
+
+    Where the best lies in an article or main, that one is best instead; then an element
+    scores as much as the best one in it, as points may not reach up to the article.
+    """
     n = len(page.tag)
     points, length, linked = [0.0] * n, [0] * n, [0] * n
     for node, text, links in page.blocks:
@@ -160,6 +164,8 @@ def _best(page: _Page) -> tuple[int, list[float], list[int], list[int]]:
     while at:
         if page.tag[at] in MAIN:
             best = at
+            for node in range(n - 1, 0, -1):
+                score[page.parent[node]] = max(score[page.parent[node]], score[node])
             break
         at = page.parent[at]
     return best, score, length, linked
@@ -180,7 +186,7 @@ def extract(html: str | None) -> str:
         return ""
     best, score, length, linked = _best(page)
     chosen = {best}
-    if best and page.tag[best] not in MAIN and page.tag[best] not in ("body", "html"):
+    if best and page.tag[best] not in ("main", "body", "html"):
         for node in range(1, len(page.tag)):
             if page.parent[node] == page.parent[best] and length[node] and not page.drop[node]:
                 links = linked[node] / length[node]

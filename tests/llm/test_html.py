@@ -21,6 +21,17 @@ def test_sections_and_siblings():
     assert html.extract(PAGE % body) == "One, part, of it, and more of it.\n\nAnother, part, of it, and more of it."
 
 
+def test_siblings_of_an_article():
+    a = "First, of, them, all, and, more, of, it, said."
+    b = "Second, of, them, all, and more."
+    links = "<div>" + "".join(f"<p><a href=/{i}>link {i}, and more</a></p>" for i in range(9)) + "</div>"
+    assert html.extract(PAGE % f"<main><article><p>{a}</p></article><article><p>{b}</p></article>{links}<p>Few words.</p></main>") == f"{a}\n\n{b}\n\nFew words."
+    assert html.extract(PAGE % f"<article><p>{b}</p></article><section><p>{a}</p></section>") == f"{b}\n\n{a}"
+    deep = "<div>" * 8 + "<p>%s</p>" + "</div>" * 8
+    assert html.extract(PAGE % f"<main><article>{deep % a}</article><article>{deep % b}</article>{links}</main>") == f"{a}\n\n{b}"
+    assert html.extract(PAGE % f"<article><p>{a}</p></article><div><p>Short.</p></div>") == a
+
+
 def test_names_of_wrappers():
     assert html.extract('<div class="layout has-sidebar"><p>Kept, all, of it.</p><div class="sidebar"><p>Gone, all, of it.</p></div></div>') == "Kept, all, of it."
 
