@@ -1,7 +1,8 @@
 """Secret scans with SQL functions only: fixed patterns and a battery of randomness tests.
 
 Patterns give the base spans. The battery looks at the longer runs of key characters that
-hold a letter and a digit. It infers a run's encoding from its characters, then tests
+hold a letter and a digit, outside the base spans; of runs with separators also at the
+parts that fit one encoding, so that a key is found behind a path. It infers a run's encoding from its characters, then tests
 them against uniform random symbols of that encoding: chi-squared for the use of the
 alphabet, runs above and below its middle, serial correlation of neighbours. Fisher's
 method joins the three p-values. Runs that are not random are found out under
@@ -36,6 +37,9 @@ ENCODINGS = (
 #: Runs shorter than this have too little power against words.
 RUN_LENGTH = 20
 RUN = rf"[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}"
+# What stands between the parts of a run, the parts by alphabet, and a part that is a word.
+SEPARATOR, WORD = "[+/_-]", "^[A-Za-z]?[a-z]{2,}$"
+PARTS = tuple(rf"[A-Za-z0-9{marks}]{{{RUN_LENGTH},}}" for marks in ("+/", "_-", ""))
 #: Share of random runs that the battery may take for words.
 FALSE_DISCOVERIES = 0.01
 BINS = 200
@@ -146,26 +150,74 @@ def battery(run: Column, symbols: Column) -> Column:
     return _let(F.struct(run.alias("run"), symbols.alias("symbols"), *(c.alias(n) for c, n in zip(sizes, "nk", strict=True))), of)
 
 
-def _scored(text: Column) -> Column:
-    """Structs (start, size, stratum, bin) of the runs that hold a letter and a digit."""
-    kinds = F.transform(_matches(text, RUN), lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["body"].alias("body"), encoding(x["body"]).alias("kind")))
-    mixed = F.filter(kinds, lambda x: x["kind"].isNotNull() & x["body"].rlike("[0-9]") & x["body"].rlike("[A-Za-z]"))
-    # fields, so that nothing is looked up again for each character
-    runs = F.transform(mixed, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["body"].alias("body"), x["kind"].alias("kind"), symbols_of(x["kind"]).alias("symbols")))
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with blanks for its base spans, at the same places."""
+
+    def step(a: Column, x: Column) -> Column:
+        from_ = F.greatest(x["start"], a["at"])
+        more = F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, from_ - a["at"]), F.repeat(F.lit(" "), x["end"] - from_)).alias("out"))
+        return F.when(x["end"] <= a["at"], a).otherwise(more)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    out = F.aggregate(F.array_sort(base), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    return F.when(F.size(base) > 0, out).otherwise(text)
+
+
+def _trimmed(run: Column) -> Column:
+    """The run without the words that stand before its first and after its last other part."""
+
+    def step(a: Column, c: Column) -> Column:
+        size, word = F.char_length(c), c.rlike(WORD)
+        other = (size > 0) & ~word
+        return F.struct(
+            (a["at"] + size + 1).alias("at"),
+            F.when((a["start"] < 0) & other, F.when(a["word"], a["at"]).otherwise(F.lit(0))).otherwise(a["start"]).alias("start"),
+            F.when(other, a["at"] + size).otherwise(a["end"]).alias("end"),
+            # whether a word has come since the start or the last other part
+            F.when(other, F.lit(False)).otherwise(a["word"] | word).alias("word"),
+        )
+
+    def cut(a: Column) -> Column:
+        size = F.when(a["start"] < 0, F.lit(0)).otherwise(F.when(a["word"], a["end"]).otherwise(a["at"] - 1) - a["start"])
+        return F.struct((run["start"] + a["start"]).alias("start"), size.alias("size"), F.substring(run["body"], a["start"] + 1, size).alias("body"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("start"), F.lit(0).alias("end"), F.lit(False).alias("word"))
+    return F.when(run["body"].rlike(SEPARATOR), F.aggregate(F.split(run["body"], SEPARATOR, -1), start, step, cut)).otherwise(run)
+
+
+def _parts(run: Column) -> Column:
+    """Structs (start, size, body): the run, or its parts of each alphabet."""
+    moved = lambda y: F.struct((run["start"] + y["start"]).alias("start"), y["size"].alias("size"), y["body"].alias("body"))
+    parts = F.concat(*(F.transform(_matches(run["body"], p), moved) for p in PARTS))
+    trimmed = F.filter(F.transform(parts, _trimmed), lambda x: x["size"] >= RUN_LENGTH)
+    return F.when(run["body"].rlike(SEPARATOR), F.array_distinct(trimmed)).otherwise(F.array(run))
+
+
+def _scored(text: Column, base: Column) -> Column:
+    """For each run outside base spans, structs (start, size, stratum, bin) of its parts that hold a letter and a digit."""
+    mixed = lambda x: x["body"].rlike("[0-9]") & x["body"].rlike("[A-Za-z]")
     length = lambda x: F.least(F.floor(F.log2(x["size"] / F.lit(float(RUN_LENGTH))) * 2), F.lit(15))
-    return F.transform(
-        runs,
-        lambda x: F.struct(
-            x["start"].alias("start"), x["size"].alias("size"), (x["kind"] * 16 + length(x)).cast("int").alias("stratum"),
-            # bins of equal steps of the logarithm; bin b holds p-values up to 10**(-b / 10)
-            F.least(F.floor(-10 * F.log10(F.greatest(battery(x["body"], x["symbols"]), F.lit(1e-300)))), F.lit(BINS - 1)).cast("int").alias("bin"),
-        ),
-    )
+
+    def scored(run: Column) -> Column:
+        kinds = F.transform(F.filter(_parts(run), mixed), lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["body"].alias("body"), encoding(x["body"]).alias("kind")))
+        # fields, so that nothing is looked up again for each character
+        runs = F.transform(kinds, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["body"].alias("body"), x["kind"].alias("kind"), symbols_of(x["kind"]).alias("symbols")))
+        return F.transform(
+            runs,
+            lambda x: F.struct(
+                x["start"].alias("start"), x["size"].alias("size"), (x["kind"] * 16 + length(x)).cast("int").alias("stratum"),
+                # bins of equal steps of the logarithm; bin b holds p-values up to 10**(-b / 10)
+                F.least(F.floor(-10 * F.log10(F.greatest(battery(x["body"], x["symbols"]), F.lit(1e-300)))), F.lit(BINS - 1)).cast("int").alias("bin"),
+            ),
+        )
+
+    return _let(_blanked(text, base), lambda rest: F.transform(F.filter(_matches(rest, RUN), mixed), scored))
 
 
 def thresholds(documents: DataFrame, text_col: str = "text") -> dict[int, int]:
     """Stratum to the least bin that is found out as not random; at most 16 strata for each encoding."""
-    bins = documents.select(F.explode(_scored(F.col(text_col))).alias("x")).groupBy("x.stratum", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+    scored = _let(F.concat(*base_spans(F.col(text_col))), lambda base: F.flatten(_scored(F.col(text_col), base)))
+    bins = documents.select(F.explode(scored).alias("x")).groupBy("x.stratum", "x.bin").agg(F.count(F.lit(1)).alias("n"))
     out: dict[int, int] = {}
     by: dict[int, dict[int, int]] = {}
     for stratum, b, n in bins.collect():  # bounded: strata times BINS
@@ -180,16 +232,19 @@ def thresholds(documents: DataFrame, text_col: str = "text") -> dict[int, int]:
 
 
 def spans(text: Column, limits: dict[int, int]) -> Column:
-    """All spans (start, kind, end) by start and kind; random runs inside base spans are left to those."""
-    base = F.concat(*base_spans(text))
+    """All spans (start, kind, end) by start and kind; random spans stand outside base spans."""
     limit = F.create_map(*(F.lit(x) for kv in (limits or {-1: 0}).items() for x in kv))
     # at a stratum without limit nothing was found out; alone in it, a run needs a p-value of FALSE_DISCOVERIES
-    random = F.filter(_scored(text), lambda x: x["bin"] < F.coalesce(F.try_element_at(limit, x["stratum"]), F.lit(BINS)))
-    added = F.filter(
-        F.transform(random, lambda x: _span(x["start"], x["size"], 3)),
-        lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])),
-    )
-    return F.array_sort(F.concat(base, added))
+    random = lambda x: x["bin"] < F.coalesce(F.try_element_at(limit, x["stratum"]), F.lit(BINS))
+
+    def widest(found: Column) -> Column:
+        holds = lambda y, x: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+        return F.filter(found, lambda x: ~F.exists(found, lambda y: holds(y, x)))
+
+    def added(parts: Column) -> Column:
+        return _let(F.transform(F.filter(parts, random), lambda x: _span(x["start"], x["size"], 3)), widest)
+
+    return _let(F.concat(*base_spans(text)), lambda base: F.array_sort(F.concat(base, F.flatten(F.transform(_scored(text, base), added)))))
 
 
 def _named(found: Column) -> Column:
