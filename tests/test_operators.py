@@ -334,3 +334,15 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.table("first_evidence").count() == 3
     assert {(r.kind, r.n) for r in stream.windowed_counts(rows, "ts", "kind").collect()} == {("x", 2), ("y", 1)}
+
+
+def test_session_settings(spark):
+    from cadenza.operators import rules
+
+    kind = "take_id string, frame_rate double, width int, height int, input_color_space string, timeline_color_space string, output_color_space string"
+    takes = spark.createDataFrame([("a", 29.97, 1920, 1080, "x", "y", "z"), ("b", 25.0, 1920, 1080, None, "y", "z")], kind)
+    want = spark.createDataFrame([("s", 29.97, 1920, 1080, "x", "y", "z")], kind)
+    found = lambda rates: sorted(tuple(r) for r in rules.session_settings(takes, want, spark.createDataFrame([(r,) for r in rates], "frame_rate double")).select(F.coalesce("take_id", F.lit("-")), "code", "severity", "subject").collect())
+    own = [("b", "take_timeline_setting_mismatch", "fail", "frame_rate"), ("b", "take_timeline_setting_mismatch", "fail", "input_color_space")]
+    assert found([29.97, 29.9701, 0.0]) == own
+    assert found([29.97, 25.0]) == [("-", "mixed_session_frame_rates", "fail", "session"), *own]
