@@ -3,9 +3,11 @@ import random
 import numpy as np
 from cadenza.llm import near_dup
 from cadenza.llm.components import components as connected
+from cadenza.llm.store import keep
 from cadenza.llm.words import Words, chunks, shingles
 
 import pyarrow as pa
+import pytest
 
 from . import fixtures as fx
 
@@ -19,7 +21,8 @@ def test_equals_all_pairs(spark):
 
 
 def test_dense_family_around_the_threshold(spark, monkeypatch):
-    """Copies of one text, most pairs close to the threshold: hubs alone would lose links; small blocks are many."""
+    """Copies of one text, most pairs close to the threshold: hubs alone would lose links; small parts and blocks are many."""
+    monkeypatch.setattr(near_dup, "PART", 16)
     monkeypatch.setattr(near_dup, "BLOCK", 16)
     rng = random.Random(3)
     base = fx.prose(rng, 150).split(" ")
@@ -40,6 +43,59 @@ def test_shared_passage_alone_links_nothing(spark):
     assert all(r.kept for r in near_dup.near_duplicates(fx.documents(spark, texts)).collect())
 
 
+@pytest.mark.parametrize("share", [60, 110])
+def test_a_passage_of_many_costs_no_pairs(spark, monkeypatch, share):
+    """What many share without linking makes no more rows of work than there are documents, at every size."""
+    rng = random.Random(5)
+    passage = fx.prose(rng, share)
+    made = []
+
+    def counted(df, folder=None):
+        made.append(out := keep(df, folder))
+        return out
+
+    monkeypatch.setattr(near_dup, "keep", counted)
+    for n in (100, 400):
+        made.clear()
+        texts = [f"{fx.prose(rng, 40)} {passage}" for _ in range(n)]
+        assert all(r.kept for r in near_dup.near_duplicates(fx.documents(spark, texts)).collect())
+        assert max(df.count() for df in made if "part" in df.columns or "tokens" in df.columns) <= 2.5 * n
+
+
+def test_ids_of_any_type(spark):
+    rng = random.Random(8)
+    a, b = fx.prose(rng, 60), fx.prose(rng, 60)
+    for ids in ([5 * 10**18, 5 * 10**18 + 1, 2**62, -3], ["x", "abc", "9", ""]):
+        docs = fx.documents(spark, [a, a + " tail", b, ""], list(range(4)))
+        named = spark.createDataFrame(list(enumerate(ids)), ["doc_id", "own"]).join(docs, "doc_id")
+        rows = {r.doc_id: r for r in near_dup.near_duplicates(named, id_col="own").collect()}
+        first = min(ids[:2])
+        assert {i: rows[i].component_id for i in ids} == {ids[0]: first, ids[1]: first, ids[2]: ids[2], ids[3]: ids[3]}
+        assert {i for i in ids if rows[i].kept} == {first, ids[2], ids[3]}
+    narrow = docs.withColumn("doc_id", docs.doc_id.cast("int"))
+    assert {r.component_id for r in near_dup.near_duplicates(narrow).collect()} == {0, 2, 3}
+
+
+def test_rows_of_one_id_are_placed_by_their_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (fx.prose(rng, 60) for _ in range(3))
+    docs = fx.documents(spark, [a, b, a, c, c], [1, 2, 2, 2, 2])
+    got = sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (2, 2), (2, 2)]
+    kept = near_dup.distinct_documents(docs)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (2, b), (2, c)])
+
+
+def test_union_sketch_lets_links_pass():
+    rng = np.random.default_rng(2)
+    for n in (20, 60, 70, 400, 3000):
+        base = np.sort(rng.choice(2**62, n, replace=False))
+        other = np.sort(np.concatenate((base[: n * 9 // 10], rng.choice(2**62, n - n * 9 // 10, replace=False))))
+        far = np.sort(np.concatenate((base[: n // 4], rng.choice(2**62, n - n // 4, replace=False))))
+        assert near_dup._similar(base, other, 75) == (100 * (n * 9 // 10) >= 75 * (2 * n - n * 9 // 10))
+        assert near_dup._promising(base[: near_dup.K], other[: near_dup.K], 75) and not near_dup._promising(base[: near_dup.K], far[: near_dup.K], 75)
+
+
 def test_null_ids_repeats_and_empty_table(spark):
     rng = random.Random(6)
     a, b = fx.prose(rng, 60), fx.prose(rng, 60)
