@@ -40,7 +40,7 @@ SHARE = 0.46
 #: Sets up to this size are whole in the sketches of all that they can link with.
 WHOLE = 48
 #: Members of a hub that one task compares with it at a time, and bounds of a block: its members, its shingles (one larger set is a block of its own).
-PART, BLOCK, BLOCK_SHINGLES = 256, 512, 1 << 17
+PART, BLOCK, BLOCK_SHINGLES = 256, 256, 1 << 17
 #: Places in which the rows of one large group meet what is known of the group.
 SALTS = 32
 #: Bits for each needed text, and most bits, of the filter that keeps other texts out of a join.
@@ -306,7 +306,7 @@ def _prefixes(sets: DataFrame, percent: int, folder: str) -> DataFrame:
     use = F.greatest(F.lit(0), F.size("all") - F.ceil(percent * F.col("n") / 100) + 1).cast("int")
     first = ranked.select("node", "comp", "n", F.size("all").alias("m"), F.posexplode(F.slice("all", F.lit(1), use)).alias("j", "x"))
     room = F.floor((F.col("m") - F.col("j")) * (100 + percent) / percent) - F.col("n")
-    lists = first.select(F.col("x.token").alias("token"), "node", "comp", "n", room.alias("room")).where(100 * F.col("room") >= percent * F.col("n"))
+    lists = keep(first.select(F.col("x.token").alias("token"), "node", "comp", "n", room.alias("room")).where(100 * F.col("room") >= percent * F.col("n")), folder)
     for _ in range(2):  # the least set may go itself
         lists = keep(_with_room(lists), folder)
     return keep(_spread(lists, _open(lists, "token"), "token"), folder)

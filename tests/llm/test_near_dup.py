@@ -89,11 +89,11 @@ def test_rows_of_one_id_are_placed_by_their_texts(spark):
 def test_union_sketch_lets_links_pass():
     rng = np.random.default_rng(2)
     for n in (20, 60, 70, 400, 3000):
-        base = np.sort(rng.choice(2**62, n, replace=False))
-        other = np.sort(np.concatenate((base[: n * 9 // 10], rng.choice(2**62, n - n * 9 // 10, replace=False))))
-        far = np.sort(np.concatenate((base[: n // 4], rng.choice(2**62, n - n // 4, replace=False))))
-        assert near_dup._similar(base, other, 75) == (100 * (n * 9 // 10) >= 75 * (2 * n - n * 9 // 10))
-        assert near_dup._promising(base[: near_dup.K], other[: near_dup.K], 75) and not near_dup._promising(base[: near_dup.K], far[: near_dup.K], 75)
+        base = rng.choice(2**62, n, replace=False)
+        changed = lambda kept: np.sort(np.concatenate((base[:kept], rng.choice(2**62, n - kept, replace=False))))
+        whole, close, far = np.sort(base), changed(n * 9 // 10), changed(n // 4)
+        assert near_dup._similar(whole, close, 75) and not near_dup._similar(whole, far, 75)
+        assert near_dup._promising(whole[: near_dup.K], close[: near_dup.K], 75) and not near_dup._promising(whole[: near_dup.K], far[: near_dup.K], 75)
 
 
 def test_null_ids_repeats_and_empty_table(spark):
