@@ -4,8 +4,11 @@ A page is read once into a tree of elements and the text blocks in them. Every b
 running text passes points, for itself, its commas and its length, to the elements above
 it, fewer the higher they stand; an element's sum is discounted by the share of its text
 that stands in links. The best element is kept, with those of its siblings that score
-well or look like its paragraphs and headings. Menus, forms, adverts and the like never
-take part. Pages don't need each other, so Spark only maps over them.
+well or look like its paragraphs and headings. Elements and roles that are no text of an
+article, such as nav, form or footer, never take part. Names in class and id decide
+nothing by themselves: an element whose name says that it holds something else passes
+fewer points on, and is cut out of the best element unless it is where the text stands.
+Pages don't need each other, so Spark only maps over them.
 """
 
 from __future__ import annotations
@@ -32,13 +35,26 @@ BREAKS = frozenset("br wbr img hr".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-# Words in class and id that mark what is not the article.
-BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promoted|promotion|related|reply|replies|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Words in class and id that say what an element holds: readers' comments,
+# what is hardly ever an article, and what may be a column or box with the article in it.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead menu modal nav navbar navigation newsletter pagination popup promo promoted promotion sharing signup social sponsor sponsored subscribe".split()
 )
+WEAK = frozenset("aside banner notice notices recommended related share sidebar widget widgets".split())
+# Words that say nothing beside those: where a thing stands, and that it is a thing.
+NEUTRAL = frozenset(
+    "area article articles author bar block body bottom box btn button buttons card container content count depth entry even first footer form global group head header heading icon icons inline inner item items js last layout left link links list main module meta news odd outer page panel parent pane post posts primary right row secondary section site slot static sticky story text thread title top unit user view widget wrap wrapper".split()
+)
+# Words that say that an element holds the article, whatever stands in it besides.
+CONTENT = frozenset("article article-body article-content body-content content entry entry-content main main-content page-content post post-body post-content story story-body".split())
 # Names that only say what a wrapper has beside the article.
-HAS = re.compile(r"(?:has|with|no)[_-]\w+", re.IGNORECASE)
+HAS = re.compile(r"(?:has|with|no|without)[_-]\w+", re.IGNORECASE)
+#: Share of points that an element so named passes on, and share of the page's or the best element's text from which on it stays.
+POINTS = {"comments": 0.02, "strong": 0.02, "weak": 0.2}
+STAYS = {"comments": 1.01, "strong": 0.8, "weak": 0.5}
+#: Lists and boxes of so many links, and of little else, are menus wherever they stand.
+MENU_LINKS, MENU_SHARE = 3, 0.9
 MAIN = frozenset(("article", "main"))
 #: How far up points go; the n-th element above the paragraph's parent gets a 1 / (n + 1) part.
 REACH = 5
@@ -46,12 +62,36 @@ SIBLING_SHARE = 0.2
 MAX_LINKS = 0.5
 
 
+def named(attrs: dict[str, str | None]) -> str | None:
+    """What the words in class and id say that an element holds, if it is not the article.
+
+    A compound counts where all its words are of these kinds or neutral: ``comment-list``
+    and ``sidebar-right`` do, ``share-price`` and ``related-work`` don't.
+    """
+    found, names = None, HAS.sub(" ", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").split()
+    if any(name.lower() in CONTENT for name in names):
+        return None
+    for name in names:
+        words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)}
+        if not words or not words <= COMMENTS | STRONG | WEAK | NEUTRAL:
+            continue
+        if words & COMMENTS:
+            return "comments"
+        if words & STRONG - {"footer"} or words == {"footer"} or words & {"footer"} and words <= STRONG | NEUTRAL:
+            found = "strong"
+        elif words & WEAK and found is None:
+            found = "weak"
+    return found
+
+
 class _Page(HTMLParser):
     """Elements as lists by number, children after parents; blocks as (element, text, in links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.drop = ["#"], [0], [False]
+        self.kind: list[str | None] = [None]
+        self.anchors: list[int] = [0]
         self.stack = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
@@ -100,21 +140,20 @@ class _Page(HTMLParser):
         if tag in VOID:
             return
         up = self.stack[-1]
-        named = dict(attrs)
+        own, kind = dict(attrs), None
         drop = self.drop[up] or tag in DROPPED
         if not drop and tag == "header":
             drop = not any(self.tag[n] in MAIN for n in self.stack)
         if not drop and attrs and tag not in ("html", "body"):
-            words = HAS.sub("", f"{named.get('class') or ''} {named.get('id') or ''}")
-            drop = (
-                (tag not in MAIN and BAD.search(words) is not None) or (named.get("role") or "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
-                or "display:none" in (named.get("style") or "").replace(" ", "").lower()
-            )
+            kind = named(own)
+            drop = (own.get("role") or "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "").lower()
         if drop and not self.drop[up]:
             self.flush()
         self.tag.append(tag)
         self.parent.append(up)
         self.drop.append(drop)
+        self.kind.append(kind)
+        self.anchors.append(int(tag == "a" and not drop))
         self.stack.append(len(self.tag) - 1)
         self._links += tag == "a"
 
@@ -135,40 +174,81 @@ class _Page(HTMLParser):
                 self._linked += len(data.strip())
 
 
-def _best(page: _Page) -> tuple[int, list[float], list[int], list[int]]:
-    """The best element, and the scores, text and linked text of all.
+def _weights(page: _Page) -> list[float]:
+    """The share of its points that an element passes on, by its name and those of all above it."""
+    out = [1.0]
+    for node in range(1, len(page.tag)):
+        out.append(min(out[page.parent[node]], POINTS.get(page.kind[node], 1.0)))
+    return out
+
+
+def _upwards(page: _Page, values: list[int]) -> list[int]:
+    """Each element's sum with those of all in it."""
+    out = list(values)
+    for node in range(len(out) - 1, 0, -1):  # children stand after their parents
+        out[page.parent[node]] += out[node]
+    return out
 
-    Where the best lies in an article or main, that one is best instead; then an element
-    scores as much as the best one in it, as points may not reach up to the article.
+
+def _best(page: _Page, length: list[int], linked: list[int]) -> tuple[int, list[float]]:
+    """The best element, and the scores of all.
+
+    Where the best lies in an article or main that is not named for something else, that
+    one is best instead; then an element scores as much as the best one in it, as points
+    may not reach up to the article.
     """
     n = len(page.tag)
-    points, length, linked = [0.0] * n, [0] * n, [0] * n
+    points, weight = [0.0] * n, _weights(page)
     for node, text, links in page.blocks:
-        length[node] += len(text)
-        linked[node] += links
         if page.tag[node] in HEADINGS:
             continue
-        own = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)) * (1 - links / len(text))
+        own = weight[node] * (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)) * (1 - links / len(text))
         at = page.parent[node] if page.tag[node] in PARAGRAPHS else node
         for level in range(REACH):
             points[at] += own / (level + 1)
             if at == 0:
                 break
             at = page.parent[at]
-    for node in range(n - 1, 0, -1):  # children stand after their parents
-        length[page.parent[node]] += length[node]
-        linked[page.parent[node]] += linked[node]
     score = [p * (1 - linked[i] / length[i]) if length[i] else 0.0 for i, p in enumerate(points)]
     best = max(range(n), key=lambda i: (score[i], -i))
     at = best
     while at:
-        if page.tag[at] in MAIN:
+        if page.tag[at] in MAIN and weight[at] == 1.0:
             best = at
             for node in range(n - 1, 0, -1):
                 score[page.parent[node]] = max(score[page.parent[node]], score[node])
             break
         at = page.parent[at]
-    return best, score, length, linked
+    return best, score
+
+
+def _menu(page: _Page, node: int, length: list[int], linked: list[int], anchors: list[int]) -> bool:
+    return page.tag[node] not in PARAGRAPHS and anchors[node] >= MENU_LINKS and linked[node] >= MENU_SHARE * length[node] > 0
+
+
+def _inside(page: _Page, best: int, score: list[float], length: list[int], linked: list[int]) -> list[bool]:
+    """Which elements are part of the main text."""
+    n, anchors = len(page.tag), _upwards(page, page.anchors)
+    chosen, above = {best}, set()
+    at = best
+    while at:
+        above.add(at)
+        at = page.parent[at]
+    if best and page.tag[best] not in ("main", "body", "html"):
+        for node in range(1, n):
+            if page.parent[node] == page.parent[best] and length[node] and not page.drop[node]:
+                links = linked[node] / length[node]
+                if score[node] >= SIBLING_SHARE * score[best] or (page.tag[node] in PARAGRAPHS | HEADINGS and links < MAX_LINKS):
+                    chosen.add(node)
+    whole = sum(length[node] for node in chosen)
+    inside = [False] * n
+    inside[0] = 0 in chosen
+    for node in range(1, n):
+        inside[node] = node in chosen or inside[page.parent[node]]
+        if inside[node] and node not in above:
+            kind = page.kind[node]
+            inside[node] = not (kind and length[node] <= STAYS[kind] * whole or _menu(page, node, length, linked, anchors))
+    return inside
 
 
 def extract(html: str | None) -> str:
@@ -184,26 +264,23 @@ def extract(html: str | None) -> str:
     page.flush()
     if not page.blocks:
         return ""
-    best, score, length, linked = _best(page)
-    chosen = {best}
-    if best and page.tag[best] not in ("main", "body", "html"):
-        for node in range(1, len(page.tag)):
-            if page.parent[node] == page.parent[best] and length[node] and not page.drop[node]:
-                links = linked[node] / length[node]
-                if score[node] >= SIBLING_SHARE * score[best] or (page.tag[node] in PARAGRAPHS | HEADINGS and links < MAX_LINKS):
-                    chosen.add(node)
-    inside = [False] * len(page.tag)
-    inside[0] = 0 in chosen
-    for node in range(1, len(page.tag)):
-        inside[node] = node in chosen or inside[page.parent[node]]
+    own, links = [0] * len(page.tag), [0] * len(page.tag)
+    for node, text, linked in page.blocks:
+        own[node] += len(text)
+        links[node] += linked
+    length, linked = _upwards(page, own), _upwards(page, links)
+    best, score = _best(page, length, linked)
+    inside = _inside(page, best, score, length, linked)
     return "\n\n".join(text for node, text, _ in page.blocks if inside[node])
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars.
 
-    A null or empty page has an empty text. Repeated rows are read each by itself; an
-    empty table gives no rows; other columns are ignored.
+    A null or empty page has an empty text. Of elements that score alike the first is
+    best. Repeated rows are read each by itself. Pages of any length are read whole, one
+    at a time, so a page's tree must fit a task. An empty table gives no rows; other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

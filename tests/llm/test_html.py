@@ -1,3 +1,5 @@
+import random
+
 from cadenza.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1><nav><ul><li><a href=/>Home</a></li></ul></nav></header>
@@ -32,6 +34,56 @@ def test_siblings_of_an_article():
     assert html.extract(PAGE % f"<article><p>{a}</p></article><div><p>Short.</p></div>") == a
 
 
+TEXT = "Article, of some length, with commas, and enough words in it to count as running text."
+
+
+def test_names_lower_points_and_delete_no_text():
+    body = "".join(f"<p>{TEXT} {i}</p>" for i in range(4))
+    want = "\n\n".join(f"{TEXT} {i}" for i in range(4))
+    for attrs in ('class="content sidebar-right"', 'class="sidebar-right"', 'id="related"', 'class="widget"', 'class="modal"', 'class="comment"'):
+        assert html.extract(PAGE % f"<div {attrs}>{body}</div>") == want, attrs
+    for attrs in ('id="share-price-analysis"', 'class="related-work"', 'class="social-history"', 'id="Menu_of_the_day"'):
+        assert html.extract(PAGE % f"<article><p>{TEXT}</p><section {attrs}><h2>More</h2><p>{TEXT}</p></section></article>") == f"{TEXT}\n\nMore\n\n{TEXT}", attrs
+    for attrs in ('class="share-buttons"', 'id="related-posts"', 'class="sidebar"', 'class="adSlot"', 'class="site-notice top"', 'class="cookie-banner"'):
+        assert html.extract(PAGE % f"<article>{body}<div {attrs}><p>{TEXT}</p></div></article>") == want, attrs
+
+
+def test_readers_comments_go():
+    body = "".join(f"<p>{TEXT} {i}</p>" for i in range(2))
+    want = f"{TEXT} 0\n\n{TEXT} 1"
+    said = "".join(f'<article class="comment-body"><p>{TEXT} reader {i}</p></article>' for i in range(12))
+    assert html.extract(PAGE % f"<article>{body}</article>{said}") == want
+    assert html.extract(PAGE % f"<main>{body}{said}</main>") == want
+    assert html.extract(PAGE % f'<div>{body}<ol class="commentlist">{"".join(f"<li><p>{TEXT}</p></li>" for _ in range(9))}</ol></div>') == want
+
+
+def test_generated_pages_equal_their_articles():
+    """Pages put together from an article and other parts, in many layouts: the article comes back, and no more."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() + ("," if rng.random() < 0.12 else "") for _ in range(n)).rstrip(",") + "."
+    for _ in range(200):
+        blocks, inner = [], ""
+        for _ in range(rng.randrange(3, 9)):
+            text, tag = sentence(rng.randrange(25, 80)), rng.choice(["p", "p", "p", "p", "h2", "blockquote", "ul"])
+            if tag == "ul":
+                items = [sentence(6) for _ in range(3)]
+                blocks += items
+                inner += f"<ul>{''.join(f'<li>{x}' for x in items)}</ul>"
+            else:
+                text = text if tag != "h2" else sentence(4)
+                blocks.append(text)
+                inner += f"<{tag}>{text}</{tag}>"
+        wrap = rng.choice(["<article>%s</article>", "<main>%s</main>", "<div class='content'>%s</div>", "<div>%s</div>", "<div id=story><div class='post-content sidebar-left'>%s</div></div>", "<section>%s</section>"])
+        noise = rng.choice(["<div class='sidebar'>%s</div>", "<aside>%s</aside>", "<div class='related-posts'>%s</div>", "<div id=comments>%s</div>", "<form>%s</form>", "<div class='cookie-notice'>%s</div>", "<section class='comment-list'>%s</section>", "<div role=banner>%s</div>"])
+        menu = f"<ul class=x>{''.join(f'<li><a href=/{i}>{word()} {word()}</a></li>' for i in range(8))}</ul>"
+        more = noise % f"<p>{sentence(30)}</p><p>{sentence(12)}</p>"
+        own = wrap % (inner + (more if rng.random() < 0.3 else ""))
+        around = [own, more, f"<nav>{menu}</nav>", f"<div>{menu}</div>", f"<footer><p>{sentence(9)}</p></footer>"]
+        order = [around[i] for i in rng.choice([(2, 0, 1, 4), (3, 0, 1, 4), (2, 1, 0, 4), (3, 1, 0, 4), (2, 0, 4)])]
+        assert html.extract(f"<html><body><div class=page>{''.join(order)}</div></body></html>") == "\n\n".join(blocks), order
+
+
 def test_names_of_wrappers():
     assert html.extract('<div class="layout has-sidebar"><p>Kept, all, of it.</p><div class="sidebar"><p>Gone, all, of it.</p></div></div>') == "Kept, all, of it."
 
