@@ -3,11 +3,16 @@
 The model predicts a token from the two before it: each context word's vector is scaled
 by the weights of its position, the sum is multiplied with every output vector, and a bias
 is added. Its vocabulary are the most frequent tokens; all other words fall in classes by
-their ending, inside which they share out the class by their counts. Vectors are learned
-in numpy by noise-contrastive estimation: tasks start from the same vectors, each learns
-from all texts of its partition, and the results are averaged with their token counts as
-weights, first after a short warm-up. As the context has two positions, products of two
-vocabulary-sized matrices give all scores and all normalisers at once.
+their ending, inside which they share out the class by their counts. As the context has
+two positions, products of two vocabulary-sized matrices give all scores and all
+normalisers at once.
+
+Vectors are learned in numpy by noise-contrastive estimation. Texts are dealt to lessons
+of about LESSON tokens by a hash of id and text, and lessons to rounds; in a round each
+lesson starts from the same vectors and learns from all its texts in the order of their
+hashes, and the results are averaged with their token counts as weights. So every token
+is learned from once, and the vectors depend on the rows alone, not on how many tasks
+there are or where the rows lie.
 
 Unigram counts cover all training texts. The most frequent HOT tokens are broadcast, at
 16 bytes each; counts of the others meet the documents that hold them in a join.
@@ -35,8 +40,12 @@ END = 0
 #: Bound of the broadcast counts.
 HOT = 200_000
 FOLDS, HELD_OUT = 7, 2
-#: Learning: tokens of a step, noise tokens that a step shares, rate and its least share, tokens of a task's warm-up.
-STEP, NOISE, RATE, LEAST, WARM_UP = 4096, 128, 0.1, 0.1, 400_000
+#: Learning: tokens of a step, noise tokens that a step shares, rate and its least share, tokens after which it is halved.
+STEP, NOISE, RATE, LEAST, HALF = 4096, 128, 0.1, 0.1, 2_000_000
+#: Expected tokens of a lesson, and rounds. Texts of one hash may make a lesson larger; from MOST tokens on it goes on as another.
+LESSON, MOST, ROUNDS = 1_000_000, 8_000_000, 6
+#: Tasks that learn in a round, if there are as many lessons.
+TASKS = 20_000
 _END_HASH = 0x1E3D
 
 
@@ -77,22 +86,25 @@ def count_tokens(train: DataFrame) -> DataFrame:
 
 
 def _hot(counts: DataFrame) -> pd.DataFrame:
-    """The tokens of so many and more uses that they are HOT at most; a histogram of uses finds how many.
+    """The HOT most used tokens; of tokens used alike those of the least hashes.
 
-    The histogram has a bin for each count up to 1,024 and 64 for each doubling after
-    that, so its rows and the tokens are all that reaches the driver.
+    A histogram of uses, with a bin for each count up to 1,024 and 64 for each doubling
+    after that, finds the bin at which HOT is reached; of that bin come the tokens below
+    a hash that lets as many pass as there is room for, give or take its deviation. So a
+    bounded number of rows reaches the driver, however many tokens tie.
     """
     n = F.col("n")
     level = F.when(n <= 1024, n).otherwise(1024 + F.floor(64 * F.log2(n / F.lit(1024.0)))).cast("int")
     words = counts.where("cls >= 0").withColumn("level", level)
-    least, so_far = None, 0
+    so_far, wanted = 0, F.lit(True)
     for row in sorted(words.groupBy("level").agg(F.count(F.lit(1)).alias("tokens")).collect(), reverse=True):
-        so_far += row["tokens"]
-        if so_far > HOT:
+        if so_far + row["tokens"] > HOT:
+            below = int((HOT - so_far) / row["tokens"] * 2**63)
+            wanted = (F.col("level") > row["level"]) | ((F.col("level") == row["level"]) & (F.col("token") < below))
             break
-        least = row["level"]
-    hot = words.where(F.lit(False) if least is None else F.col("level") >= least).select("token", "cls", "n").toPandas()
-    return hot.sort_values(["n", "token"], ascending=[False, True])
+        so_far += row["tokens"]
+    hot = words.where(wanted).select("token", "cls", "n").toPandas()
+    return hot.sort_values(["n", "token"], ascending=[False, True]).head(HOT)
 
 
 def _coder(counts: DataFrame, hot: pd.DataFrame) -> Coder:
@@ -116,24 +128,19 @@ def _model_ids(coder: Coder, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return _lookup(coder.words, coder.ids, h.view(np.int64), np.where(cls < 0, END, 1 + VOCABULARY + cls))
 
 
-def _contexts(ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids one and two tokens back; before a text stand end tokens."""
-    one, two = np.roll(ids, 1), np.roll(ids, 2)
-    heads = offs[:-1]
-    one[heads] = END
-    two[heads] = END
-    second = heads + 1
-    two[second[second < offs[1:]]] = END
-    return one, two
+def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one and two tokens back in texts that end with END each; before a text stand end tokens."""
+    one = np.concatenate(([END], ids[:-1]))
+    two = np.concatenate(([END], one[:-1]))
+    return one, np.where(one == END, END, two)
 
 
 class Model:
-    """Context vectors R, output vectors Q, biases b and position weights C."""
+    """Context vectors R, output vectors Q, biases b and position weights C, and the sums of squared gradients of their rows."""
 
-    def __init__(self, R: np.ndarray, Q: np.ndarray, b: np.ndarray, C: np.ndarray):
+    def __init__(self, R: np.ndarray, Q: np.ndarray, b: np.ndarray, C: np.ndarray, sums: dict[str, np.ndarray] | None = None):
         self.R, self.Q, self.b, self.C = R, Q, b, C
-        # squared gradients so far, of each row
-        self.sums = {k: np.full(len(x), 1e-8, np.float32) for k, x in (("R", R), ("Q", Q), ("b", b), ("C", C))}
+        self.sums = sums or {k: np.full(len(x), 1e-8, np.float32) for k, x in (("R", R), ("Q", Q), ("b", b), ("C", C))}
 
     @classmethod
     def start(cls, noise: np.ndarray) -> Model:
@@ -142,14 +149,18 @@ class Model:
         return cls(small(V, SIZE), small(V, SIZE), np.log(noise).astype(np.float32), np.ones((2, SIZE), np.float32))
 
     def flat(self) -> np.ndarray:
-        """(V + 2, 2 * SIZE + 1): a row for each token, then the position weights."""
-        rows = np.concatenate((self.R, self.Q, self.b[:, None]), axis=1)
-        return np.concatenate((rows, np.pad(self.C, ((0, 0), (0, SIZE + 1)))))
+        """(V + 2, 2 * SIZE + 4): a row for each token, then the position weights."""
+        rows = np.concatenate((self.R, self.Q, self.b[:, None], *(self.sums[k][:, None] for k in ("R", "Q", "b"))), axis=1)
+        last = np.zeros((2, rows.shape[1]), np.float32)
+        last[:, :SIZE], last[:, -1] = self.C, self.sums["C"]
+        return np.concatenate((rows, last))
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Model:
         flat = flat.astype(np.float32)
-        return cls(flat[:V, :SIZE].copy(), flat[:V, SIZE : 2 * SIZE].copy(), flat[:V, -1].copy(), flat[V:, :SIZE].copy())
+        at = 2 * SIZE
+        sums = {k: flat[:V, at + 1 + i].copy() for i, k in enumerate(("R", "Q", "b"))} | {"C": flat[V:, -1].copy()}
+        return cls(flat[:V, :SIZE].copy(), flat[:V, SIZE:at].copy(), flat[:V, at].copy(), flat[V:, :SIZE].copy(), sums)
 
     def learn(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray, drawn: np.ndarray, rate: float) -> None:
         """A step of noise-contrastive estimation with shared noise tokens; log(k * chance of noise) is taken off each score."""
@@ -191,34 +202,65 @@ class Model:
         return A[one, target] + B[two, target] + self.b[target] - Z[one, two]
 
 
-def _average(train: DataFrame, coder, noise: np.ndarray, start: np.ndarray, warm_up: bool) -> np.ndarray:
-    """Vectors after all tasks have learned from start, weighted by tokens."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(start)
+def lessons(train: DataFrame, coder, n: int) -> DataFrame:
+    """(lesson, part, round, ids): the model ids of all texts, two bytes each, dealt to lessons by a hash of id and text; n tokens in all."""
+    count = max(1, -(-n // LESSON))
+    rounds = min(ROUNDS, count)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, offs, h, cls in _texts(batch.column(1)):
+                ids = _model_ids(coder.value, h, cls).astype("<u2")
+                own = [ids[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], names=["place", "ids"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, held, size = None, 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([part], pa.int64()), pa.array([now % rounds], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["lesson", "part", "round", "ids"])
+
+        for batch in batches:
+            for lesson, ids in zip(batch.column("lesson").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if lesson != now or size >= 2 * MOST:
+                    if held:
+                        yield out()
+                    part = part + 1 if lesson == now else 0
+                    now, held, size = lesson, [], 0
+                held.append(ids)
+                size += len(ids)
+        if held:
+            yield out()
+
+    placed = train.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("place"), "text").mapInArrow(encode, "place long, ids binary")
+    dealt = placed.withColumn("lesson", F.pmod(F.col("place"), F.lit(count))).repartition("lesson").sortWithinPartitions("lesson", "place", "ids")
+    return keep(dealt.select("lesson", "ids").mapInArrow(joined, "lesson long, part long, round long, ids binary"))
+
+
+def _round(rows: DataFrame, noise: np.ndarray, start: np.ndarray, seen: int) -> np.ndarray:
+    """Vectors after each of the lessons has learned from start, averaged by their tokens; seen tokens came before."""
+    shared = rows.sparkSession.sparkContext.broadcast(start)
+    p32 = noise.astype(np.float32)
+    cum = np.cumsum(noise)
+
+    def learned(ids: np.ndarray) -> np.ndarray:
+        model, rng = Model.of(shared.value), np.random.Generator(np.random.PCG64(11))
+        one, two = _contexts(ids)
+        for at in range(0, len(ids), STEP):
+            s = slice(at, at + STEP)
+            drawn = np.minimum(np.searchsorted(cum, rng.random(NOISE)), V - 1)
+            model.learn(one[s], two[s], ids[s], p32, drawn, RATE * max(LEAST, 1 / (1 + (seen + at) / HALF)))
+        return model.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rng, seen = Model.of(shared.value), np.random.Generator(np.random.PCG64(11)), 0
-        p = noise / noise.sum()
-        p32 = p.astype(np.float32)
-        cum = np.cumsum(p)
+        total, n = 0.0, 0
         for batch in batches:
-            for _, _, offs, h, cls in _texts(batch.column(0)):
-                ids = _model_ids(coder.value, h, cls)
-                one, two = _contexts(ids, offs)
-                for at in range(0, len(ids), STEP):
-                    s = slice(at, at + STEP)
-                    drawn = np.minimum(np.searchsorted(cum, rng.random(NOISE)), V - 1)
-                    rate = RATE if warm_up else RATE * max(LEAST, 1 / (1 + seen / 2e6))
-                    model.learn(one[s], two[s], ids[s], p32, drawn, rate)
-                    seen += len(ids[s])
-                if warm_up and seen >= WARM_UP:
-                    break
-            if warm_up and seen >= WARM_UP:
-                break
-        if seen:
-            flat = model.flat().astype(np.float64) * seen
-            values = np.concatenate((flat, np.full((len(flat), 1), float(seen))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(list(values), pa.list_(pa.float64()))], names=["row", "x"])
+            for blob in batch.column(0):
+                ids = np.frombuffer(blob.as_buffer(), "<u2").astype(np.int64)
+                total, n = total + learned(ids).astype(np.float64) * len(ids), n + len(ids)
+        if n:
+            values = np.concatenate((total, np.full((len(total), 1), float(n))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(list(values), pa.list_(pa.float64()))], names=["row", "x"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -227,16 +269,18 @@ def _average(train: DataFrame, coder, noise: np.ndarray, start: np.ndarray, warm
                 sums[row] = sums.get(row, 0) + np.array(x)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["row", "x"])
 
-    # a task holds sums for the V + 2 rows at most, however many tasks have learned
-    learned = train.select("text").mapInArrow(run, "row long, x array<double>").repartition("row").mapInArrow(add, "row long, x array<double>").collect()
-    if not learned:
+    # a task holds one model and the sums of another, and adds V + 2 rows at most, however many lessons there are
+    dealt = rows.select("ids").repartition(min(TASKS, max(1, rows.count())))
+    out = dealt.mapInArrow(run, "row long, x array<double>").repartition("row").mapInArrow(add, "row long, x array<double>").collect()
+    if not out:
         return start
-    out = np.array([r["x"] for r in sorted(learned, key=lambda r: r["row"])])
-    return out[:, :-1] / out[:, -1:]
+    # sums of doubles in any order differ in their last bits, which single precision does not keep
+    total = np.array([r["x"] for r in sorted(out, key=lambda r: r["row"])])
+    return (total[:, :-1] / total[:, -1:]).astype(np.float32)
 
 
-def train_model(train: DataFrame, coder, class_tokens: np.ndarray) -> np.ndarray:
-    """Flat vectors learned from (text) rows."""
+def train_model(train: DataFrame, coder, class_tokens: np.ndarray, n: int) -> np.ndarray:
+    """Flat vectors learned from (doc_id, text) rows of n tokens."""
     noise = np.ones(V)
     at = np.searchsorted(coder.value.hot, coder.value.words)
     noise[coder.value.ids] += coder.value.counts[at]
@@ -244,8 +288,10 @@ def train_model(train: DataFrame, coder, class_tokens: np.ndarray) -> np.ndarray
     noise[1 + VOCABULARY :] += class_tokens
     noise /= noise.sum()
     flat = Model.start(noise).flat()
-    for warm_up in (True, False):
-        flat = _average(train, coder, noise, flat, warm_up)
+    if n:
+        dealt = lessons(train, coder, n)
+        for k in range(min(ROUNDS, -(-n // LESSON))):
+            flat = _round(dealt.where(F.col("round") == k), noise, flat, k * LESSON)
     return flat
 
 
@@ -253,8 +299,10 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text is one end token. Repeated rows count, and are scored, each by
-    itself. Without any training row the counts are 0 and the model stays as it started.
-    An empty table gives no rows; other columns are ignored.
+    itself. Texts of any length are counted, learned from and scored whole. Without any
+    training row the counts are 0 and the model stays as it started. The same rows get the
+    same scores, however they are partitioned. An empty table gives no rows; other columns
+    are ignored.
     """
     spark = documents.sparkSession
     folder = shared_folder(spark)
@@ -273,7 +321,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     np.subtract.at(of_class[0], own["cls"].to_numpy(int), own["n"].to_numpy(float))
     np.subtract.at(of_class[1], own["cls"].to_numpy(int), 1.0)
     room = of_class.sum(axis=0) + 1
-    shared = spark.sparkContext.broadcast((train_model(train, coder, of_class[0]), room))
+    shared = spark.sparkContext.broadcast((train_model(train, coder, of_class[0], n), room))
     base = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +332,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for a, b, offs, h, cls in _texts(batch.column(3)):
                 ids = _model_ids(coder.value, h, cls)
-                one, two = _contexts(ids, offs)
+                one, two = _contexts(ids)
                 c = _lookup(coder.value.hot, coder.value.counts, h.view(np.int64), -1)
                 hot, other = c >= 0, ids > VOCABULARY
                 log_c = np.log10(np.maximum(c, 0) + 1.0)

@@ -53,11 +53,54 @@ def test_probabilities_sum_to_one():
 def test_contexts_stop_at_texts():
     (_, _, offs, h, cls), = lm._texts(pa.array(["a b c", None, "d"]))
     ids = np.array([1, 2, 3, 0, 0, 4, 0])
-    one, two = lm._contexts(ids, offs)
+    one, two = lm._contexts(ids)
     assert offs.tolist() == [0, 4, 5, 7] and (cls < 0).tolist() == [False, False, False, True, True, False, True]
     assert one.tolist() == [0, 1, 2, 3, 0, 0, 4] and two.tolist() == [0, 0, 1, 2, 0, 0, 0]
 
 
+def test_scores_equal_the_learned_tables_however_rows_lie(spark, monkeypatch):
+    """Each token's chance by plain loops over the vectors; the same for other partitions, with several lessons and rounds."""
+    monkeypatch.setattr(lm, "LESSON", 8_000)
+    texts = [None, "", "UNSEEN word", *sentences(300, 3)]
+    docs = fx.documents(spark, texts)
+    learned, train = [], lm.train_model
+
+    def caught(*args):
+        learned.append((train(*args), args[1].value, args[2]))
+        return learned[-1][0]
+
+    monkeypatch.setattr(lm, "train_model", caught)
+    first = {r.doc_id: r.score for r in lm.lm_scores(docs).collect()}
+    again = {r.doc_id: r.score for r in lm.lm_scores(docs.coalesce(1)).collect()}
+    assert all(math.isclose(first[i], again[i], rel_tol=1e-4) for i in first)
+    flat, coder, class_tokens = learned[0]
+    model, held = lm.Model.of(flat), lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count = Counter(x for i, t in enumerate(texts) if not held(i) for x in fx.words(t))
+    code = lambda w: (lambda t: (int(t[3][0]), int(t[4][0])))(next(lm._texts(pa.array([w]))))
+    codes = {w: code(w) for t in texts for w in fx.words(t)}
+    own = dict(zip(coder.words.tolist(), coder.ids.tolist()))
+    distinct = Counter(codes[w][1] for w in count if codes[w][0] not in own)
+    for i in (0, 2, 5, 77, 200):
+        ids = [own.get(codes[w][0], 1 + lm.VOCABULARY + codes[w][1]) for w in fx.words(texts[i])] + [lm.END]
+        want, one, two = 0.0, lm.END, lm.END
+        for k, x in enumerate(ids):
+            score = (model.R[one] * model.C[0] + model.R[two] * model.C[1]).astype(float) @ model.Q.T.astype(float) + model.b
+            want += (score[x] - np.log(np.exp(score).sum())) / math.log(10)
+            if x > lm.VOCABULARY:
+                c = x - 1 - lm.VOCABULARY
+                want += math.log10((count[fx.words(texts[i])[k]] + 1) / (class_tokens[c] + distinct[c] + 1))
+            one, two = x, one
+        assert math.isclose(first[i], want, rel_tol=1e-4), i
+
+
+def test_frequent_tokens_are_bounded_and_never_none(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT", 100)
+    counts = spark.createDataFrame([(int(x), 1, 5) for x in np.random.default_rng(1).integers(0, 2**62, 600) * 2], "token long, cls int, n long")
+    assert 70 <= len(lm._hot(counts)) <= 100
+    more = counts.unionByName(spark.createDataFrame([(3, 1, 9), (5, 2, 5000)], "token long, cls int, n long"))
+    assert lm._hot(more)["n"].tolist()[:2] == [5000, 9] and lm._hot(counts.limit(100)).shape[0] == 100 and lm._hot(counts.limit(0)).empty
+
+
 def test_empty_and_all_held_out(spark):
     docs = fx.documents(spark, ["a b"], [next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)])
     (row,) = lm.lm_scores(docs).collect()
