@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 from cadenza.llm import urls
 
@@ -46,6 +48,55 @@ def test_model_tells_held_out_urls_apart(spark):
     assert sum(out[800 + i].verdict == v for i, (_, v) in enumerate(fresh)) >= 0.9 * len(fresh)
 
 
+def chances(labelled):
+    """Witten and Bell's chances of a character after a context, by plain recursion."""
+    seen = {}
+    for url in labelled:
+        codes = [0] * urls.ORDER + [urls.OWN.find(c) + 1 for c in url.lower()]
+        for i in range(urls.ORDER, len(codes)):
+            for o in range(urls.ORDER + 1):
+                own = seen.setdefault(tuple(codes[i - o : i]), {})
+                own[codes[i]] = own.get(codes[i], 0) + 1
+
+    def chance(context, x):
+        shorter = chance(context[1:], x) if context else 1 / urls.SYMBOLS
+        own = seen.get(context)
+        return (own.get(x, 0) + len(own) * shorter) / (sum(own.values()) + len(own)) if own else shorter
+
+    return chance
+
+
+def ratio(good, bad, url):
+    codes = [0] * urls.ORDER + [urls.OWN.find(c) + 1 for c in url.lower()]
+    terms = [math.log(good(tuple(codes[i - urls.ORDER : i]), codes[i]) / bad(tuple(codes[i - urls.ORDER : i]), codes[i])) for i in range(urls.ORDER, len(codes))]
+    return sum(terms) / len(terms)
+
+
+def test_scores_and_threshold_equal_brute_force(spark):
+    rng = random.Random(3)
+    label = lambda u: brute(u)[3]
+    rows = [f"http://{rng.choice(['garden', 'library', 'x7'])}.example.com/en/{rng.choice(['7', '9'])}{rng.randrange(100)}" for _ in range(80)] + [f"https://a{i}.net/de/{i}Z" for i in range(30)]
+    rows += [f"http://Q{i}.fr/_{'xyz' * i}\u00e9" for i in range(8)] + ["http://garden.example.org/fr/71"] * 2
+    out = urls.url_filter(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
+    models = {v: tuple(chances([u for u in rows if label(u) == x and (v == urls.FOLDS or zlib.crc32(u.encode()) % urls.FOLDS != v)]) for x in ("allow", "block")) for v in range(urls.FOLDS + 1)}
+    marks = [(ratio(*models[zlib.crc32(u.encode()) % urls.FOLDS], u), label(u)) for u in sorted(set(rows)) if label(u)]
+    errors = lambda t: sum(s < t for s, x in marks if x == "allow") / sum(x == "allow" for _, x in marks) + sum(s >= t for s, x in marks if x == "block") / sum(x == "block" for _, x in marks)
+    least = min(errors(t) for t in [s for s, _ in marks] + [9e9])
+    cuts = [s for s in sorted({s for s, _ in marks}) if errors(s) <= least + 1e-9]
+    for r in out:
+        if label(rows[r.page_id]) is None:
+            want = ratio(*models[urls.FOLDS], rows[r.page_id])
+            assert math.isclose(r.score, want, rel_tol=1e-9, abs_tol=1e-12)
+            if want > max(cuts) or want < min(cuts) - 0.1:
+                assert r.verdict == ("allow" if want > max(cuts) else "block")
+
+
+def test_labels_of_one_class_decide_nothing_else(spark):
+    rows = [f"http://a.com/en/{i}" for i in range(20)] + ["http://a.com/fr/1", "http://b.fr/"]
+    out = urls.url_filter(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
+    assert {r.verdict for r in out if r.page_id >= 20} == {"allow"} and {r.verdict for r in out if r.page_id < 20} == {"block"}
+
+
 def test_without_labels_all_are_allowed(spark):
     rows = urls.url_filter(spark.createDataFrame([(1, "http://x.fr/a"), (2, None)], "page_id long, url string")).collect()
     assert {r.verdict for r in rows} == {"allow"}
