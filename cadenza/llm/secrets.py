@@ -1,14 +1,20 @@
 """Secret scans with SQL functions only: fixed patterns and a battery of randomness tests.
 
-Patterns give the base spans. The battery looks at the longer runs of key characters that
-hold a letter and a digit, outside the base spans; of runs with separators also at the
-parts that fit one encoding, so that a key is found behind a path. It infers a run's encoding from its characters, then tests
-them against uniform random symbols of that encoding: chi-squared for the use of the
-alphabet, runs above and below its middle, serial correlation of neighbours. Fisher's
-method joins the three p-values. Runs that are not random are found out under
-Benjamini-Hochberg control of the false discovery rate, by encoding and length, over all
-documents; what stands as random is reported as a secret of kind ``random``. Histograms
-of p-values, not the values, meet: at most BINS rows for each encoding and length class.
+Patterns give the base spans. The battery looks at the longer runs of key characters
+outside the base spans and outside UUIDs, which name things and open none; of runs with
+separators also at the parts that fit one encoding, so that a key is found behind a path,
+and of signed web tokens at the signature, for which the whole token stands. It infers a
+run's encoding from its characters, then tests it against uniform random symbols of that
+encoding: chi-squared for the use of the alphabet, runs above and below its middle,
+serial correlation of neighbours. Fisher's method joins the three p-values.
+
+Which p-value makes a secret is a question of false discovery: words written together
+also pass, the more often the shorter they are. NATURAL says how often, by length and
+kind of encoding. In each stratum of encoding and length the counts over all documents
+give the number of natural runs in it, and the least p-value is taken at which so many
+would make up no more than FALSE_SECRETS of what is reported as of kind ``random``. Only
+counts by level meet, so a bounded number of rows reaches the driver; each text is
+matched once, and its spans are kept for the second step.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.store import keep
+
 # The base patterns, in the order in which kinds are listed, and least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -34,15 +42,38 @@ ENCODINGS = (
     ("base64", "^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
-#: Runs shorter than this have too little power against words.
-RUN_LENGTH = 20
-RUN = rf"[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}"
+#: Encodings whose symbols also part words.
+MARKED = ("base64", "base64url")
+# Least lengths of the length classes.
+LENGTHS = (16, 20, 24, 28, 34, 40, 52, 64)
+RUN_LENGTH = LENGTHS[0]
+UUID = r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b"
+# Header and payload of a signed web token; it and the key characters of a run.
+SIGNED = r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\."
+RUN = rf"(?:{SIGNED})?[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}"
 # What stands between the parts of a run, the parts by alphabet, and a part that is a word.
 SEPARATOR, WORD = "[+/_-]", "^[A-Za-z]?[a-z]{2,}$"
 PARTS = tuple(rf"[A-Za-z0-9{marks}]{{{RUN_LENGTH},}}" for marks in ("+/", "_-", ""))
-#: Share of random runs that the battery may take for words.
-FALSE_DISCOVERIES = 0.01
-BINS = 200
+#: Joint p-values by level: a run of level i has one above LEVELS[i] and none before.
+LEVELS = (0.5, 0.2, 0.1, 0.03, 0.01, 0.001)
+# The share of natural runs with a p-value above each level, for each length
+# class; measured on words of English prose and of invented languages, written together in
+# lower, upper and camel case, with and without numbers (plain) and with separators
+# (marked), the largest share of these kinds.
+NATURAL = {
+    "plain": (
+        (0.273, 0.531, 0.658, 0.792, 0.867, 0.954), (0.152, 0.386, 0.528, 0.694, 0.81, 0.916), (0.092, 0.267, 0.399, 0.57, 0.684, 0.856), (0.043, 0.163, 0.269, 0.454, 0.59, 0.8),
+        (0.014, 0.084, 0.151, 0.297, 0.432, 0.683), (0.007, 0.031, 0.071, 0.165, 0.263, 0.513), (0.001, 0.005, 0.013, 0.033, 0.075, 0.219), (0.001, 0.001, 0.002, 0.01, 0.018, 0.073),
+    ),
+    "marked": (
+        (0.024, 0.124, 0.201, 0.363, 0.502, 0.716), (0.003, 0.019, 0.059, 0.144, 0.247, 0.465), (0.001, 0.005, 0.013, 0.041, 0.085, 0.23), (0.001, 0.001, 0.001, 0.009, 0.02, 0.079),
+        (0.001, 0.001, 0.001, 0.001, 0.002, 0.009), *((0.001,) * 6,) * 3,
+    ),
+}
+#: Largest expected share of natural runs in what is reported; level from which shares of random and natural runs are told.
+FALSE_SECRETS, TELLING = 0.1, 2
+#: Prefix sums and cuts go by blocks of so many matches and code points.
+MATCHES, POINTS = 256, 4096
 MASK = "[SECRET]"
 
 
@@ -50,23 +81,56 @@ def _span(start: Column, length: Column, order: int) -> Column:
     return F.struct(start.cast("int").alias("start"), F.lit(order).alias("kind"), (start + length).cast("int").alias("end"))
 
 
+def _before(values: Column, join, zero: int = 0) -> Column:
+    """For each of an array of numbers those before it, joined; by blocks, so that no long array is copied for each."""
+
+    def scan(part: Column, value) -> Column:
+        state = F.struct(F.lit(zero).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(part, state, lambda s, x: F.struct(join(s["at"], value(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        heads = scan(blocks, lambda x: x["at"])["out"]
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), heads.alias("head")), lambda x: F.transform(x["block"]["out"], lambda y: join(x["head"], y))))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(MATCHES))
+    return _let(F.transform(starts, lambda i: scan(F.slice(values, i, F.lit(MATCHES)), lambda x: x)), joined)
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of a text that comes in blocks of POINTS."""
+    low = F.floor(start / POINTS).cast("int")
+    count = F.floor((end - 1) / POINTS).cast("int") - low + 1
+    own = F.array_join(F.slice(blocks, low + 1, F.greatest(count, F.lit(0))), "")
+    return F.when(end > start, F.substring(own, start - low * POINTS + 1, end - start)).otherwise("")
+
+
+def _replaced(text: Column, found: Column, put) -> Column:
+    """The text with put(start, end, goes on) for each of its spans, sorted by start; of one that meets the one before only the rest, which goes on."""
+
+    def pieces(v: Column) -> Column:
+        blocks, ends = v["blocks"], F.transform(found, lambda x: x["end"])
+
+        def piece(x: Column) -> Column:
+            at, start, end = x["at"], x["x"]["start"], x["x"]["end"]
+            fresh = F.concat(_cut(blocks, at, start), put(start, end, False))
+            return F.when(end <= at, "").when(start < at, put(at, end, True)).otherwise(fresh)
+
+        all_ = F.transform(F.arrays_zip(found.alias("x"), _before(ends, F.greatest).alias("at")), piece)
+        return F.concat(F.array_join(all_, ""), _cut(blocks, F.array_max(ends), F.char_length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{POINTS}}}"), F.lit(0))
+    return F.when(F.size(found) > 0, _let(F.struct(blocks.alias("blocks")), pieces)).otherwise(text)
+
+
 def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
     """Structs (start, size, body) of a pattern's matches; start in code points, body the match or a group of it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     body = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     sizes = F.transform(found, F.char_length)
-    # ends of all gaps and matches so far
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-    starts = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), sizes.alias("size")),
-        state,
-        lambda s, x: F.struct(
-            (s["at"] + F.coalesce(x["gap"], F.lit(0)) + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.when(x["size"].isNull(), s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"] + x["gap"]))).alias("starts"),
-        ),
-        lambda s: s["starts"],
-    )
+    totals = F.transform(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0)))
+    ends = F.arrays_zip(gaps.alias("gap"), _before(totals, lambda a, b: a + b).alias("before"))
+    starts = F.slice(F.transform(ends, lambda x: x["before"] + x["gap"]), 1, F.size(sizes))
     zipped = F.arrays_zip(starts.alias("start"), sizes.alias("size"), body.alias("body"))
     empty = F.filter(F.arrays_zip(F.array(F.lit(0)).alias("start"), F.array(F.lit(0)).alias("size"), F.array(F.lit("")).alias("body")), lambda x: F.lit(False))
     return F.when(F.regexp_like(text, F.lit(pattern)), zipped).otherwise(empty)
@@ -150,17 +214,9 @@ def battery(run: Column, symbols: Column) -> Column:
     return _let(F.struct(run.alias("run"), symbols.alias("symbols"), *(c.alias(n) for c, n in zip(sizes, "nk", strict=True))), of)
 
 
-def _blanked(text: Column, base: Column) -> Column:
-    """The text with blanks for its base spans, at the same places."""
-
-    def step(a: Column, x: Column) -> Column:
-        from_ = F.greatest(x["start"], a["at"])
-        more = F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, from_ - a["at"]), F.repeat(F.lit(" "), x["end"] - from_)).alias("out"))
-        return F.when(x["end"] <= a["at"], a).otherwise(more)
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    out = F.aggregate(F.array_sort(base), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    return F.when(F.size(base) > 0, out).otherwise(text)
+def _blanked(text: Column, found: Column) -> Column:
+    """The text with blanks for its spans, at the same places."""
+    return _replaced(text, found, lambda start, end, _: F.repeat(F.lit(" "), end - start))
 
 
 def _trimmed(run: Column) -> Column:
@@ -186,56 +242,65 @@ def _trimmed(run: Column) -> Column:
 
 
 def _parts(run: Column) -> Column:
-    """Structs (start, size, body): the run, or its parts of each alphabet."""
+    """Structs (start, size, body): the run, or its parts of each alphabet; a signed token as a whole, with its signature as body."""
     moved = lambda y: F.struct((run["start"] + y["start"]).alias("start"), y["size"].alias("size"), y["body"].alias("body"))
     parts = F.concat(*(F.transform(_matches(run["body"], p), moved) for p in PARTS))
     trimmed = F.filter(F.transform(parts, _trimmed), lambda x: x["size"] >= RUN_LENGTH)
-    return F.when(run["body"].rlike(SEPARATOR), F.array_distinct(trimmed)).otherwise(F.array(run))
-
-
-def _scored(text: Column, base: Column) -> Column:
-    """For each run outside base spans, structs (start, size, stratum, bin) of its parts that hold a letter and a digit."""
-    mixed = lambda x: x["body"].rlike("[0-9]") & x["body"].rlike("[A-Za-z]")
-    length = lambda x: F.least(F.floor(F.log2(x["size"] / F.lit(float(RUN_LENGTH))) * 2), F.lit(15))
-
-    def scored(run: Column) -> Column:
-        kinds = F.transform(F.filter(_parts(run), mixed), lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["body"].alias("body"), encoding(x["body"]).alias("kind")))
-        # fields, so that nothing is looked up again for each character
-        runs = F.transform(kinds, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["body"].alias("body"), x["kind"].alias("kind"), symbols_of(x["kind"]).alias("symbols")))
-        return F.transform(
-            runs,
-            lambda x: F.struct(
-                x["start"].alias("start"), x["size"].alias("size"), (x["kind"] * 16 + length(x)).cast("int").alias("stratum"),
-                # bins of equal steps of the logarithm; bin b holds p-values up to 10**(-b / 10)
-                F.least(F.floor(-10 * F.log10(F.greatest(battery(x["body"], x["symbols"]), F.lit(1e-300)))), F.lit(BINS - 1)).cast("int").alias("bin"),
-            ),
-        )
-
-    return _let(_blanked(text, base), lambda rest: F.transform(F.filter(_matches(rest, RUN), mixed), scored))
+    signed = F.array(F.struct(run["start"].alias("start"), run["size"].alias("size"), F.substring_index(run["body"], ".", -1).alias("body")))
+    return F.when(run["body"].contains("."), signed).when(run["body"].rlike(SEPARATOR), F.array_distinct(trimmed)).otherwise(F.array(run))
+
+
+def marked(rows: DataFrame, text: Column, *columns: Column) -> DataFrame:
+    """columns, with base (the base spans) and runs (for each run outside base spans and UUIDs, structs (start, size, stratum, level) of its parts that fit an encoding), written once."""
+    classes = lambda n: sum(((n >= low).cast("int") for low in LENGTHS[1:]), F.lit(0))
+    level = lambda p: sum(((p <= x).cast("int") for x in LEVELS), F.lit(0))
+    each = lambda body: F.transform("runs", lambda run: F.transform(run, body))
+    field = lambda x, *more: F.struct(x["start"].alias("start"), x["size"].alias("size"), *more)
+
+    # one step a column: what is used in several places is worked out once
+    found = rows.select(*columns, F.coalesce(text, F.lit("")).alias("rest"))
+    found = found.withColumn("base", F.concat(*base_spans(F.col("rest"))))
+    found = found.withColumn("rest", _blanked(F.col("rest"), F.array_sort("base")))
+    found = found.withColumn("uuids", F.transform(_matches(F.col("rest"), UUID), lambda x: _span(x["start"], x["size"], 3)))
+    found = found.withColumn("rest", _blanked(F.col("rest"), F.col("uuids")))
+    found = found.withColumn("runs", _matches(F.col("rest"), RUN)).drop("rest", "uuids")
+    found = found.withColumn("runs", F.transform("runs", _parts))
+    found = found.withColumn("runs", each(lambda x: field(x, x["body"].alias("body"), encoding(x["body"]).alias("kind"))))
+    # fields, so that nothing is looked up again for each character
+    found = found.withColumn("runs", F.transform("runs", lambda run: F.filter(run, lambda x: x["kind"].isNotNull())))
+    found = found.withColumn("runs", each(lambda x: field(x, x["body"].alias("body"), x["kind"].alias("kind"), symbols_of(x["kind"]).alias("symbols"))))
+    found = found.withColumn("runs", each(lambda x: field(x, (x["kind"] * len(LENGTHS) + classes(F.char_length(x["body"]))).alias("stratum"), battery(x["body"], x["symbols"]).alias("p"))))
+    return keep(found.withColumn("runs", each(lambda x: field(x, x["stratum"].alias("stratum"), level(x["p"]).alias("level")))))
+
+
+def accepted(counts: dict[int, int], length: int, kind: str) -> int:
+    """The last level of a stratum that is reported, or -1, from its runs by level.
+
+    A run is natural or random: random ones have p-values spread evenly, natural ones are
+    at a level as NATURAL says. That gives the natural ones among all, and one is added,
+    so that a lone run needs a p-value that natural runs hardly have.
+    """
+    tails, n = NATURAL[kind][length], sum(counts.values())
+    above = [sum(m for i, m in counts.items() if i <= level) for level in range(len(LEVELS))]
+    random = (above[TELLING] - n * tails[TELLING]) / (1 - LEVELS[TELLING] - tails[TELLING])
+    natural = n - min(max(random, 0), n) + 1
+    return max((i for i in range(len(LEVELS)) if above[i] and natural * tails[i] <= FALSE_SECRETS * above[i]), default=-1)
 
 
-def thresholds(documents: DataFrame, text_col: str = "text") -> dict[int, int]:
-    """Stratum to the least bin that is found out as not random; at most 16 strata for each encoding."""
-    scored = _let(F.concat(*base_spans(F.col(text_col))), lambda base: F.flatten(_scored(F.col(text_col), base)))
-    bins = documents.select(F.explode(scored).alias("x")).groupBy("x.stratum", "x.bin").agg(F.count(F.lit(1)).alias("n"))
-    out: dict[int, int] = {}
+def thresholds(found: DataFrame) -> dict[int, int]:
+    """Stratum to its last reported level; one for each encoding and length class, and as many counts of levels, reach the driver."""
     by: dict[int, dict[int, int]] = {}
-    for stratum, b, n in bins.collect():  # bounded: strata times BINS
-        by.setdefault(stratum, {})[b] = n
-    for stratum, counts in by.items():
-        total, so_far = sum(counts.values()), 0
-        for b in sorted(counts, reverse=True):
-            so_far += counts[b]
-            if 10 ** (-b / 10) <= FALSE_DISCOVERIES * so_far / total:
-                out[stratum] = b
-    return out
+    rows = found.select(F.explode(F.flatten("runs")).alias("x")).groupBy("x.stratum", "x.level").agg(F.count(F.lit(1)).alias("n"))
+    for stratum, level, n in rows.collect():
+        by.setdefault(stratum, {})[level] = n
+    kind = lambda s: "marked" if ENCODINGS[s // len(LENGTHS)][0] in MARKED else "plain"
+    return {s: accepted(counts, s % len(LENGTHS), kind(s)) for s, counts in by.items()}
 
 
-def spans(text: Column, limits: dict[int, int]) -> Column:
+def spans(base: Column, runs: Column, limits: dict[int, int]) -> Column:
     """All spans (start, kind, end) by start and kind; random spans stand outside base spans."""
-    limit = F.create_map(*(F.lit(x) for kv in (limits or {-1: 0}).items() for x in kv))
-    # at a stratum without limit nothing was found out; alone in it, a run needs a p-value of FALSE_DISCOVERIES
-    random = lambda x: x["bin"] < F.coalesce(F.try_element_at(limit, x["stratum"]), F.lit(BINS))
+    limit = F.create_map(*(F.lit(x) for kv in (limits or {-1: -1}).items() for x in kv))
+    random = lambda x: x["level"] <= F.coalesce(F.try_element_at(limit, x["stratum"]), F.lit(-1))
 
     def widest(found: Column) -> Column:
         holds = lambda y, x: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
@@ -244,7 +309,7 @@ def spans(text: Column, limits: dict[int, int]) -> Column:
     def added(parts: Column) -> Column:
         return _let(F.transform(F.filter(parts, random), lambda x: _span(x["start"], x["size"], 3)), widest)
 
-    return _let(F.concat(*base_spans(text)), lambda base: F.array_sort(F.concat(base, F.flatten(F.transform(_scored(text, base), added)))))
+    return F.array_sort(F.concat(base, F.flatten(F.transform(runs, added))))
 
 
 def _named(found: Column) -> Column:
@@ -255,12 +320,14 @@ def _named(found: Column) -> Column:
 def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans (joined kind:start:end).
 
-    Starts and ends are code points of the whole text. A null or empty text has no spans,
-    and the digest is that of the empty string. Repeated rows are scanned each by itself;
-    an empty table gives no rows; other columns are ignored.
+    Starts and ends are code points of the whole text, however long; what is done for a
+    match does not grow with the matches before it. A null or empty text has no spans,
+    and the digest is that of the empty string. Spans of one start come in the order of
+    kinds. Repeated rows are scanned, and counted for the thresholds, each by itself; an
+    empty table gives no rows; other columns are ignored.
     """
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.select("doc_id", spans(F.col("text"), thresholds(rows)).alias("all"))
+    found = marked(documents, F.col(text_col), F.col(id_col).alias("doc_id"))
+    found = found.select("doc_id", spans(F.col("base"), F.col("runs"), thresholds(found)).alias("all"))
     count = lambda k: F.size(F.filter("all", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
@@ -269,25 +336,19 @@ def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def masked(text: Column, found: Column, mask: str = MASK) -> Column:
-    """The text with its spans, merged where they meet, replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        found,
-        start,
-        lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
-            F.struct(
-                x["end"].alias("at"),
-                F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).alias("out"),
-            )
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))),
-    )
+    """The text with its spans, merged where they overlap, replaced."""
+    return _replaced(text, found, lambda start, end, goes_on: F.lit("" if goes_on else mask))
 
 
 def without_secrets(documents: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The rows with their secrets masked, and length_col, if there is one, made anew where the text changed."""
-    found = spans(F.coalesce(F.col(text_col), F.lit("")), thresholds(documents.select(text_col), text_col))
-    marked = documents.select(F.struct("*").alias("row"), found.alias("found"))
+    """All rows with their secrets masked, and length_col, if there is one, made anew where the text changed.
+
+    Null and empty texts, and all other columns, stay as they are, whatever their names.
+    Repeated rows stay, masked alike; an empty table gives no rows. Texts of any length
+    are masked whole.
+    """
+    found = marked(documents, F.col(text_col), F.struct("*").alias("row"))
+    found = found.select("row", spans(F.col("base"), F.col("runs"), thresholds(found)).alias("found"))
     text = F.col(f"row.{text_col}")
     clean = F.when(F.size("found") > 0, masked(text, F.col("found"))).otherwise(text)
     out = []
@@ -298,4 +359,4 @@ def without_secrets(documents: DataFrame, text_col: str = "text", length_col: st
         elif field.name == length_col:
             c = F.when(F.size("found") > 0, F.char_length(clean).cast(field.dataType)).otherwise(c)
         out.append(c.alias(field.name))
-    return marked.select(*out)
+    return found.select(*out)

@@ -95,3 +95,65 @@ def test_keys_behind_paths_and_base_spans(spark):
             assert all(found[i].startswith("access:2:22") for i in own)
     assert sum(cases[i][1][:16] not in clean[i] and cases[i][1][17:] not in clean[i] for i in range(len(paths) * len(keys), len(cases))) >= 37
     assert sum("random" in found[i] for i in range(len(cases), len(cases) + len(plain))) <= 3
+
+
+def natural(rng, n):
+    """Slugs, paths, names in camel case and with numbers, and UUIDs."""
+    words = "the value of each option given when this table was last read from its source and written to another folder by a single worker thread in order return default number string object method called before after error message index".split()
+    word, number = lambda: rng.choice(words), lambda: str(rng.choice([rng.randrange(10), rng.randrange(1990, 2030)]))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    kinds = (
+        lambda: "-".join(word() for _ in range(rng.randrange(4, 9))) + "-" + number(),
+        lambda: "/" + "/".join(word() for _ in range(rng.randrange(4, 8))) + "/" + number(),
+        lambda: "".join(word().capitalize() for _ in range(rng.randrange(4, 8))) + number(),
+        lambda: "_".join(word() for _ in range(rng.randrange(4, 8))),
+        lambda: f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}",
+    )
+    return [kinds[i % len(kinds)]() for i in range(n)]
+
+
+def test_precision_and_recall_on_planted_keys(spark):
+    """Random keys outside assignments among as many and among four times as many natural runs."""
+    rng = random.Random(13)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(alphabet + ("+/" if i % 2 else "")) for _ in range(rng.choice([16, 20, 24, 32, 40, 64]))) for i in range(240)]
+    for share in (1, 4):
+        names = natural(rng, share * len(keys))
+        docs = fx.documents(spark, [f"{fx.prose(rng, 8)} see {x} for more {fx.prose(rng, 5)}" for x in keys + names])
+        found = {r.doc_id: r.spans for r in secrets.secret_scan(docs).collect()}
+        hit = {i for i in found if "random" in found[i]}
+        true = sum(i < len(keys) for i in hit)
+        long = [i for i, k in enumerate(keys) if len(k) >= 32]
+        assert true >= 0.85 * len(hit), share
+        assert sum(i in hit for i in long) >= (0.9, 0.8)[share > 1] * len(long) and true >= (0.6, 0.5)[share > 1] * len(keys), (share, true, len(hit))
+        assert not [i for i in hit if i >= len(keys) and (i - len(keys)) % 5 == 4], "UUIDs"
+
+
+def test_a_lone_key_and_lone_names(spark):
+    rng = random.Random(14)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    for kind, tails in secrets.NATURAL.items():
+        for length, shares in enumerate(tails):
+            last = max(secrets.accepted({level: 1}, length, kind) for level in range(len(secrets.LEVELS)))
+            assert last < 0 or shares[last] <= secrets.FALSE_SECRETS
+    docs = fx.documents(spark, [f"see {key(64)} there", "see TheOtherThingThatWasWritten2024AndReadAgain there"])
+    found = {r.doc_id: r.spans for r in secrets.secret_scan(docs).collect()}
+    assert found == {0: "random:4:68", 1: ""}
+
+
+def test_signed_tokens_stand_as_a_whole(spark):
+    rng = random.Random(15)
+    b64 = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(n))
+    tokens = [f"eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.{b64(43)}" for _ in range(20)]
+    found = {r.doc_id: r.spans for r in secrets.secret_scan(fx.documents(spark, [f"é {t} é" for t in tokens])).collect()}
+    assert sum(found[i] == f"random:2:{2 + len(t)}" for i, t in enumerate(tokens)) >= 19
+
+
+def test_many_matches_in_one_text(spark):
+    """Prefix sums and cuts across many blocks."""
+    text = "".join(f"é token=abcdefgh{i} ü " for i in range(3000)) + "x" * 9000
+    docs = fx.documents(spark, [text])
+    (row,) = secrets.secret_scan(docs).collect()
+    assert row.spans == named(brute(text)) and row.n_assign == 3000
+    (out,) = secrets.without_secrets(docs).collect()
+    assert out.text == f"é {secrets.MASK} ü " * 3000 + "x" * 9000
