@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cadenza.llm.words import U64, Words, chunks, mix, roll
 
@@ -161,13 +162,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """(doc_id, item_id, first_word, n_words, bits, similarity): for each document row and item found in it the most similar window, the first of equals.
 
     Null, empty and shorter texts than five words have no shingle, in documents and in
-    items, and match nothing. A document shorter than an item is one window. Repeated
-    rows match each by itself. Other columns are ignored; empty tables give no rows.
+    items, and match nothing. A document shorter than an item is one window; of a longer
+    one, however long, all windows count. Repeated rows match each by itself; ids may be
+    null and of any type. Other columns are ignored; empty tables give no rows.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {texts.schema[0].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, first_word long, n_words long, bits int, similarity double"
-    item_type = pa.int64() if "int" in benchmark.schema[item_col].dataType.simpleString() else None
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = spark.createDataFrame([], schema)
     for items in _slices(benchmark, item_col, item_text_col, percent):
         shared = spark.sparkContext.broadcast(items)
@@ -191,7 +193,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows, with all their columns, in which no item is found."""
+    """The rows, with all their columns, in which no item is found.
+
+    Null, empty and very short texts stay, repeated rows go or stay alike, and of texts of
+    any length all windows count. Without benchmark items all rows stay; an empty table
+    gives no rows.
+    """
     at = documents.columns.index(text_col)
     for items in _slices(benchmark, item_col, item_text_col, percent):
         shared = documents.sparkSession.sparkContext.broadcast(items)

@@ -123,8 +123,10 @@ def _measured(text: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]]
 def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, the counts, base_failed and kept.
 
-    A null or empty text has no words and fails for being short. Repeated rows are judged
-    each by itself; an empty table gives no rows; other columns are ignored.
+    A null or empty text has no words and fails for being short; a text of any length is
+    measured whole, and must fit a task some 50 times. A share that equals its limit
+    passes. Repeated rows are judged each by itself; an empty table gives no rows; other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +144,11 @@ def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def kept_documents(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that quality_rules keeps."""
+    """The rows, with all their columns, that quality_rules keeps.
+
+    Null, empty and short texts go, repeated rows go or stay alike, long texts are
+    measured whole; an empty table gives no rows.
+    """
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

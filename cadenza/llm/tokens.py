@@ -29,7 +29,8 @@ from cadenza.llm.store import keep, shared_folder
 WIDTH, DTYPE, END = 2, np.dtype("<u2"), 50256
 RANKS = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 4 << 20
-BLOCKS_PER_TASK = 8
+#: Blocks of a task, and most tasks; beyond them tasks get more blocks.
+BLOCKS_PER_TASK, TASKS = 8, 20_000
 FILE_BYTES = 128 << 20
 
 
@@ -128,7 +129,7 @@ def separator_scan(files: DataFrame, end: int = END, dtype: np.dtype = DTYPE, bl
 
     blocks = keep(_blocks(files, block_bytes))
     # rows of a few bytes stand for blocks: Spark can't tell the work by their size
-    tasks = max(1, -(-blocks.count() // BLOCKS_PER_TASK))
+    tasks = min(TASKS, max(1, -(-blocks.count() // BLOCKS_PER_TASK)))
     found = keep(blocks.repartition(tasks).mapInArrow(run, "file string, block long, seps long, tail long, lengths array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # the scan carries one small row for each block; lengths are joined after it
@@ -149,7 +150,8 @@ def separator_scan(files: DataFrame, end: int = END, dtype: np.dtype = DTYPE, bl
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, by a scan of the flat files that the texts were written to.
 
-    A null or empty text counts 0. Repeated rows and ids are counted each by itself; an
+    A null or empty text counts 0, and of texts of any length all tokens are counted; one
+    text's tokens must fit a task. Repeated rows and ids are counted each by itself; an
     empty table makes no files and gives no rows; other columns are ignored.
     """
     folder = shared_folder(documents.sparkSession)

@@ -1,8 +1,10 @@
 """Legacy ARC archives to WARC, and both formats' writers and readers.
 
 ARC files of version 1 or 2 hold records of one header line, whose fields depend on the
-version, and as many bytes as its last field declares. The converter reads them, tells
-equal payloads apart from new ones over all files, and writes WARC files in which each
+version, and as many bytes as its last field declares; that length alone says where the
+next record begins, whether the file is plain, one gzip member or one for each record.
+The converter reads them, tells equal payloads apart from new ones over all files, and
+writes WARC files in which each
 record has an identifier, an ISO timestamp, a type and digests. Files are bounded in
 size and named anew by every attempt; the tables of file names that are kept hold those
 of successful tasks only, so lost executors and repeated tasks do no harm. Files are
@@ -37,6 +39,8 @@ FILE_BYTES = 32 << 20
 #: Equal payloads shorter than this are each kept whole.
 REVISIT_BYTES = 1000
 LEVEL = 1
+#: Tasks that files are dealt to at most.
+TASKS = 20_000
 ARCHIVE_DATE = "20240101000000"
 
 
@@ -61,18 +65,60 @@ def _member(data: bytes) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def _members(stream: IO[bytes]) -> Iterator[bytes]:
-    """The gzip members of a file, one record each."""
-    unpack, parts, data = zlib.decompressobj(31), [], stream.read(1 << 20)
-    while data:
-        parts.append(unpack.decompress(data))
-        data = unpack.unused_data
-        if unpack.eof:
-            yield b"".join(parts)
-            unpack, parts = zlib.decompressobj(31), []
-        data = data or stream.read(1 << 20)
-    if any(parts):
-        raise ValueError("the archive ends inside a record")
+class _Bytes:
+    """The bytes of a file, plain or unzipped over all its gzip members, read line by line or by length."""
+
+    def __init__(self, stream: IO[bytes]):
+        self.stream, self.held, self.at = stream, b"", 0
+        self.raw = stream.read(1 << 20)
+        self.unpack = zlib.decompressobj(31) if self.raw[:2] == b"\x1f\x8b" else None
+        self.fresh = True  # at the start of a member
+
+    def _more(self) -> bytes:
+        """The next bytes; none at the end."""
+        while True:
+            raw, self.raw = self.raw or self.stream.read(1 << 20), b""
+            if self.unpack is None or not raw:
+                if not raw and self.unpack is not None and not self.fresh:
+                    raise ValueError("the archive ends inside a gzip member")
+                return raw
+            if self.fresh and not raw.strip(b"\0"):  # padding after the last member
+                continue
+            data = self.unpack.decompress(raw)
+            self.fresh = self.unpack.eof
+            if self.unpack.eof:
+                self.raw, self.unpack = self.unpack.unused_data, zlib.decompressobj(31)
+            if data:
+                return data
+
+    def read(self, size: int) -> bytes:
+        """Exactly size bytes."""
+        parts, have = [self.held[self.at : self.at + size]], min(size, len(self.held) - self.at)
+        self.at += have
+        while have < size:
+            self.held, self.at = self._more(), 0
+            if not self.held:
+                raise ValueError(f"the record declares {size} bytes and has {have}")
+            parts.append(self.held[: size - have])
+            self.at = len(parts[-1])
+            have += self.at
+        return b"".join(parts)
+
+    def line(self) -> bytes | None:
+        """Up to and without the next newline; None at the end. Bytes without one are an error."""
+        parts = []
+        while True:
+            end = self.held.find(b"\n", self.at)
+            if end >= 0:
+                parts.append(self.held[self.at : end])
+                self.at = end + 1
+                return b"".join(parts)
+            parts.append(self.held[self.at :])
+            self.held, self.at = self._more(), 0
+            if not self.held:
+                if any(parts):
+                    raise ValueError("bytes are left over after the last record")
+                return None
 
 
 class _Files:
@@ -121,25 +167,34 @@ def http_message(page_id: int | None, payload: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
 
 
+def _header(line: str, version: int) -> tuple[str, str, str, int]:
+    """(url, date, type, length) of a header line; URLs and types may hold spaces, the fields beside them don't."""
+    after = len(ARC_FIELDS[version]) - 5
+    found = re.fullmatch(r"(.*) (\S+) (\d{8,14}) (.*?)" + r" (\S+)" * after + r" (\d+)", line)
+    if found is None:
+        raise ValueError(f"no header line of version {version}: {line[:200]}")
+    return found[1], found[3], found[4], int(found[found.re.groups])
+
+
 def read_arc(stream: IO[bytes]) -> Iterator[Record]:
-    """Records after the file's own, which says the version; header fields by that version."""
-    fields: tuple[str, ...] = ()
-    for offset, member in enumerate(_members(stream)):
-        line, _, rest = member.partition(b"\n")
-        values = line.decode().split(" ")
-        size = int(values[-1])
-        if len(rest) < size:
-            raise ValueError(f"the record declares {size} bytes and has {len(rest)}")
-        block = rest[:size]
-        if not offset:
-            version = int(block.split(b" ", 1)[0])
-            fields = ARC_FIELDS[version]
-            if not values[0].startswith("filedesc://"):
+    """Records after the file's own, which says the version; header fields by that version, blocks by the declared lengths."""
+    data, version = _Bytes(stream), 0
+    number = 0
+    while (line := data.line()) is not None:
+        text = line.decode("utf-8", "surrogateescape").rstrip("\r")
+        if not text:  # between records
+            continue
+        if not version:
+            if not text.startswith("filedesc://"):
                 raise ValueError("no ARC file")
+            block = data.read(int(text.rpartition(" ")[2]))
+            version = int(block.split(b" ", 1)[0])
+            if version not in ARC_FIELDS:
+                raise ValueError(f"no version {version} of ARC")
             continue
-        # a content type may hold spaces; the fields before and after it don't
-        after = len(fields) - 4
-        yield Record(offset, values[0], values[2], " ".join(values[3 : len(values) - after]), block)
+        url, date, kind, size = _header(text, version)
+        number += 1
+        yield Record(number, url, date, kind, data.read(size))
 
 
 def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -169,7 +224,7 @@ def record_id(file: str, offset: int) -> str:
 
 def warc_record(kind: str, headers: dict[str, str | None], block: bytes) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers.items() if v is not None), f"WARC-Block-Digest: {_digest(block)}", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def warc_head(name: str) -> bytes:
@@ -179,14 +234,18 @@ def warc_head(name: str) -> bytes:
 
 
 def read_warc(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record; header names lower-cased."""
-    for member in _members(stream):
-        head, _, rest = member.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+    """(headers, block) of each record; header names lower-cased, blocks by the declared lengths."""
+    data = _Bytes(stream)
+    while (line := data.line()) is not None:
+        if not line.strip():  # between records
+            continue
+        if not line.startswith(b"WARC/"):
             raise ValueError("no WARC record")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        yield headers, rest[: int(headers["content-length"])]
+        headers = {}
+        while line := (data.line() or b"").rstrip(b"\r"):
+            k, _, v = line.decode("utf-8", "surrogateescape").partition(":")
+            headers[k.lower()] = v.strip()
+        yield headers, data.read(int(headers["content-length"]))
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -210,8 +269,8 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
 
 
 def _apart(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """rows, each file's together, in as many tasks as there are files: names are too small for Spark to tell the work by."""
-    return (files if rows is None else rows).repartition(max(1, files.count()), "file")
+    """rows, each file's together, in a task for each file up to TASKS: names are too small for Spark to tell the work by, and ranges deal them evenly."""
+    return (files if rows is None else rows).repartitionByRange(max(1, min(files.count(), TASKS)), "file")
 
 
 def scan_arc(files: DataFrame) -> DataFrame:
@@ -253,7 +312,7 @@ def convert(files: DataFrame, folder: str) -> DataFrame:
                 http = r.block.startswith(b"HTTP/")
                 _, head, payload = split_http(r.block) if http else ({}, b"", r.block)
                 headers = {
-                    "WARC-Record-ID": record_id(file, r.offset), "WARC-Date": iso_date(r.date), "WARC-Target-URI": None if r.url == "-" else r.url,
+                    "WARC-Record-ID": record_id(file, r.offset), "WARC-Date": iso_date(r.date), "WARC-Target-URI": None if r.url == "-" else _field(r.url),
                     "Content-Type": "application/http; msgtype=response" if http else r.kind, "WARC-Payload-Digest": _digest(payload),
                 }
                 if r.offset in revisits:
@@ -312,7 +371,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     The pages go to ARC files, those through the converter, and the WARC files are read.
     A null html is an empty payload; a null url leaves its record without target, a null
     page id without number, below all others. Rows that repeat a page are records each.
-    Other columns are ignored; an empty table makes no files and gives no rows.
+    Pages of any length are written and read whole, one record at a time. Other columns
+    are ignored; an empty table makes no files and gives no rows.
     """
     folder = shared_folder(pages.sparkSession)
     arcs = keep(write_arc(pages, f"{folder}/arc", id_col, url_col, html_col), folder)

@@ -65,3 +65,13 @@ def test_empty_tables(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
     assert decontam.clean_documents(docs, bench.limit(0)).count() == len(texts)
+
+
+def test_ids_of_any_type(spark):
+    texts, items = case()
+    want = brute(list(enumerate(texts)), items)
+    for kind in ("int", "string"):
+        bench = spark.createDataFrame(items, "item_id long, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text")
+        out = decontam.contaminated(fx.documents(spark, texts).selectExpr("cast(doc_id as int) as doc_id", "text"), bench)
+        assert out.schema["item_id"].dataType == bench.schema["item_id"].dataType and out.schema["doc_id"].dataType.simpleString() == "int"
+        assert {(r.doc_id, int(float(r.item_id))) for r in out.collect()} == want

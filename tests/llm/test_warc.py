@@ -46,6 +46,40 @@ def test_arc_versions(version):
         list(warc.read_arc(io.BytesIO(data[:-100])))
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_files_of_any_compression(version):
+    """Plain, one gzip member, one for each record, and members that end anywhere: lengths say where records begin."""
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\nbody\n\nhttp://x/9 0.0.0.0 20240102030405 text/html 5\n", b"", b"\n\n", b"x" * 2_500_000]
+    middle = "a/b c" if version == 1 else "a/b c 200 sum - 0 f"
+    records = [f"http://x/{i} y?q=1.2.3.4 20240101000000 z 1.2.3.4 20240102030405 {middle} {len(b)}\n".encode() + b + b"\n" for i, b in enumerate(blocks)]
+    head = warc.arc_head("f", version)
+    plain = head + b"".join(records)
+    forms = [plain, warc._member(plain), b"".join(map(warc._member, [head, *records])), b"".join(warc._member(plain[i : i + 777_777]) for i in range(0, len(plain), 777_777)), warc._member(plain) + b"\0" * 512]
+    for data in forms:
+        got = list(warc.read_arc(io.BytesIO(data)))
+        assert [(r.url, r.date, r.kind, r.block) for r in got] == [(f"http://x/{i} y?q=1.2.3.4 20240101000000 z", "20240102030405", "a/b c", b) for i, b in enumerate(blocks)]
+    for data in (plain + b"left over", plain[:-100], warc._member(plain)[:-9], plain + b"http://x 1.2.3.4 x text/html 3\nabc\n", b"WARC/1.1\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.read_arc(io.BytesIO(data)))
+    assert list(warc.read_arc(io.BytesIO(b""))) == []
+
+
+def test_foreign_archives_are_converted(spark, tmp_path):
+    """Plain and one-member files: types, digests, targets and what revisits refer to."""
+    same = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n" + b"p" * 1500
+    for name, pack in (("a.arc", lambda x: x), ("b.arc.gz", warc._member)):
+        data = warc.arc_head(name, 1) + warc.arc_record("http://x/1", same % (1 if name[0] == "a" else 2), 1) + warc.arc_record("dns:x", b"20240101 1.2.3.4", 1, kind="text/dns")
+        (tmp_path / name).write_bytes(pack(data))
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in ("a.arc", "b.arc.gz")], "file string")
+    out = warc.convert(files, f"file://{tmp_path}/out").collect()
+    got = []
+    for (file,) in out:
+        with warc._open(file) as stream:
+            got += [(h["warc-type"], h.get("warc-target-uri"), len(b)) for h, b in warc.read_warc(stream) if h["warc-type"] != "warcinfo"]
+    head = len(same % 1) - 1500
+    assert sorted(got) == [("resource", "dns:x", 16)] * 2 + [("response", "http://x/1", head + 1500), ("revisit", "http://x/1", head)]
+
+
 def test_warc_records_round_trip():
     block = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
     data = warc._member(warc.warc_head("f")) + warc._member(warc.warc_record("response", {"WARC-Record-ID": "<urn:uuid:1>", "WARC-Target-URI": None}, block))
