@@ -39,6 +39,8 @@ FILE_BYTES = 32 << 20
 #: Equal payloads shorter than this are each kept whole.
 REVISIT_BYTES = 1000
 LEVEL = 1
+#: Bytes read at a time: what follows a gzip member in them is copied.
+READ = 1 << 16
 #: Tasks that files are dealt to at most.
 TASKS = 20_000
 ARCHIVE_DATE = "20240101000000"
@@ -70,14 +72,14 @@ class _Bytes:
 
     def __init__(self, stream: IO[bytes]):
         self.stream, self.held, self.at = stream, b"", 0
-        self.raw = stream.read(1 << 20)
+        self.raw = stream.read(READ)
         self.unpack = zlib.decompressobj(31) if self.raw[:2] == b"\x1f\x8b" else None
         self.fresh = True  # at the start of a member
 
     def _more(self) -> bytes:
         """The next bytes; none at the end."""
         while True:
-            raw, self.raw = self.raw or self.stream.read(1 << 20), b""
+            raw, self.raw = self.raw or self.stream.read(READ), b""
             if self.unpack is None or not raw:
                 if not raw and self.unpack is not None and not self.fresh:
                     raise ValueError("the archive ends inside a gzip member")
