@@ -52,3 +52,13 @@ def take_order(evidence: DataFrame, takes: DataFrame, within: tuple[str, ...] =
     return rows.withColumn("by_audio", by_audio).select(
         *within, F.row_number().over(order).alias("position"), "take_id", order_confidence(F.col("evidence_groups")).alias("confidence"), "evidence_groups", "average_rank"
     )
+
+
+def order_issues(ranks: DataFrame, takes: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """(*within, code, severity, subject): setups that order takes differently, and takes (*within, take_id) that no evidence (evidence_ranks' rows) orders."""
+    keys = list(within)
+    named = lambda rows, code, subject: rows.select(*keys, F.lit(code).alias("code"), F.lit("warn").alias("severity"), subject.alias("subject"))
+    setups = ambiguous_setups(ranks, within).where("ambiguous")
+    bare = takes.select(*keys, "take_id").distinct().join(ranks.select(*keys, "take_id"), [*keys, "take_id"], "left_anti")
+    bare = bare.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("take_id")), ", ").alias("takes"))
+    return named(setups, "take_order_cross_setup_ambiguous", F.lit("order")).unionByName(named(bare, "take_order_evidence_missing", F.col("takes")))

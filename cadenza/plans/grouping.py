@@ -105,18 +105,59 @@ def plan(audios: DataFrame, videos: DataFrame, pairs: DataFrame, max_lanes: int
     labels = order.withColumn("label", S.group_label(F.row_number().over(Window.partitionBy("session").orderBy("first")) - 1)).select("session", "lane", "label")
     takes = kept.join(numbered, ["session", "audio"]).join(labels, ["session", "lane"]).select("session", "take_id", "audio", "video", "label", F.round("pair_score", 4).alias("pair_score"), F.round("confidence", 4).alias("confidence"))
     buckets = found.buckets.join(chosen, key).drop("lane_count")
-    low = numbered.where(F.col("confidence") < S.LOW_CONFIDENCE).select("session", F.lit("take_confidence_low").alias("code"), F.lit("warn").alias("severity"), F.col("take_id").alias("subject"))
-    open_media = buckets.where("bucket = 'unresolved'").select("session", F.lit("unresolved_media_present").alias("code"), F.lit("warn").alias("severity"), F.lit("plan").alias("subject")).distinct()
-    left_out = buckets.where("bucket = 'excluded'").select("session", F.lit("excluded_media_detected").alias("code"), F.lit("info").alias("severity"), F.lit("plan").alias("subject")).distinct()
-    none = audios.select("session").distinct().join(numbered, "session", "left_anti").select("session", F.lit("grouping_failed").alias("code"), F.lit("fail").alias("severity"), F.lit("plan").alias("subject"))
-    return takes, buckets, reduce(DataFrame.unionByName, (low, open_media, left_out, none))
+    return takes, buckets, plan_issues(audios, videos, takes, buckets)
 
 
-def preflight(planned: DataFrame, current: DataFrame, targets: DataFrame, found: DataFrame) -> DataFrame:
-    """(check, subject) of what keeps a plan from being applied: planned and current (source), targets (target, exists), issues of the plan."""
+def planned_sources(takes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(session, source): all media of a plan's takes, and what it excludes or leaves unresolved."""
+    own = takes.select("session", F.explode(F.array("audio", "video")).alias("source")).distinct()
+    return own.unionByName(buckets.where(F.col("bucket").isin("excluded", "unresolved")).select("session", "source"))
+
+
+def plan_issues(audios: DataFrame, videos: DataFrame, takes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(session, code, severity, subject) of a plan's assets, takes and buckets.
+
+    A session with media of one kind only has no other issue. Media that a take uses count
+    neither as excluded nor as unresolved.
+    """
+    named = lambda rows, code, severity, subject: rows.select("session", F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.alias("subject"))
+    a, v = audios.select("session").distinct(), videos.select("session").distinct()
+    whole = a.join(v, "session", "left_semi")
+    per = takes.groupBy("session", "take_id").agg(F.count(F.lit(1)).alias("videos"), F.max("confidence").alias("confidence"))
+    used = takes.select("session", F.explode(F.array("audio", "video")).alias("source")).distinct()
+    rest = buckets.join(used, ["session", "source"], "left_anti").join(whole, "session", "left_semi")
+    parts = (
+        named(v.join(a, "session", "left_anti"), "incoming_audio_missing", "fail", F.lit("plan")), named(a.join(v, "session", "left_anti"), "incoming_video_missing", "fail", F.lit("plan")),
+        named(whole.join(takes.select("session"), "session", "left_anti"), "grouping_failed", "fail", F.lit("plan")),
+        named(rest.where("bucket = 'unresolved'").select("session").distinct(), "unresolved_media_present", "warn", F.lit("plan")),
+        named(rest.where("bucket = 'excluded'"), "excluded_media_detected", "info", F.col("source")),
+        named(per.where(~F.col("videos").between(S.MIN_TAKE_VIDEOS, S.MAX_TAKE_VIDEOS)), "take_size_invalid", "warn", F.col("take_id")),
+        named(per.where(F.col("confidence") < S.MIN_TAKE_SCORE), "take_confidence_low", "warn", F.col("take_id")),
+    )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def plan_targets(takes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(session, take_id, source, target): where a plan's files go; excluded ones have no take."""
+    own = F.struct(F.col("audio").alias("source"), F.concat(F.lit("audio"), S.path_suffix(F.col("audio"))).alias("name"))
+    video = F.struct(F.col("video").alias("source"), F.concat("label", S.path_suffix(F.col("video"))).alias("name"))
+    rows = takes.select("session", "take_id", F.explode(F.array(own, video)).alias("x")).select("session", "take_id", "x.*").distinct()
+    into = rows.select("session", "take_id", "source", F.concat_ws("/", F.lit("takes"), "take_id", "name").alias("target"))
+    out = buckets.where("bucket = 'excluded'").select("session", F.lit(None).cast("string").alias("take_id"), "source", F.concat(F.lit("excluded/"), S.path_name(F.col("source"))).alias("target"))
+    return into.unionByName(out)
+
+
+def preflight(planned: DataFrame, current: DataFrame, targets: DataFrame, found: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(check, subject) of what keeps a plan from being applied: planned and current (source), targets (target, exists, and take_id), issues of the plan, roots (planned, given)."""
     drift = coverage.drift(planned, current, "source").select(F.concat(F.lit("source_"), "side").alias("check"), F.col("source").alias("subject"))
     twice = coverage.duplicates(planned, "source").select(F.lit("source_twice").alias("check"), F.col("source").alias("subject"))
     same = coverage.duplicates(targets, "target").select(F.lit("target_twice").alias("check"), F.col("target").alias("subject"))
     there = targets.where("exists").select(F.lit("target_exists").alias("check"), F.col("target").alias("subject"))
     bad = found.where("severity <> 'info'").select(F.lit("plan_not_passed").alias("check"), F.col("code").alias("subject"))
-    return reduce(DataFrame.unionByName, (drift, twice, same, there, bad))
+    parts = [drift, twice, same, there, bad]
+    if "take_id" in targets.columns:
+        blank = targets.where(F.coalesce("target", F.lit("")) == "").select(F.lit("target_missing").alias("check"), F.coalesce("take_id", F.lit("")).alias("subject"))
+        parts.append(blank)
+    if roots is not None:
+        parts.append(roots.where(~F.col("planned").eqNullSafe(F.col("given"))).select(F.lit("other_root").alias("check"), F.col("given").alias("subject")))
+    return reduce(DataFrame.unionByName, parts)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from cadenza import inspection_queries  # noqa: F401  adds its queries
 from cadenza.queries import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
