@@ -166,4 +166,4 @@ def take_name(position: Column) -> Column:
 
 
 def low_confidence_note(confidence: Column) -> Column:
-    return F.when(confidence < LOW_CONFIDENCE, "low-confidence take; check by eye")
+    return F.when(confidence < LOW_CONFIDENCE, "take confidence is low for a production take")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from cadenza.functions.scalars import MIN_LANE_SCORE, NULL_SCORE
@@ -46,20 +49,25 @@ def best_columns(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def _columns(grid: np.ndarray) -> np.ndarray:
+    """The column of each row, or one past the grid's for none."""
+    n = len(grid)
+    column = grid.argmax(axis=1)
+    if len(set(column.tolist())) < n or grid[np.arange(n), column].min() < NULL_SCORE:
+        free = np.full((n, n), 2.0)
+        np.fill_diagonal(free, 1 - NULL_SCORE)
+        column = best_columns(np.concatenate((1 - grid, free), axis=1))
+    return column
+
+
 def assign_lane(video: np.ndarray, audio: np.ndarray, score: np.ndarray) -> list[tuple]:
     """(video, audio or None, pair_score, assigned) of each video of one lane's pairs; ties go by video and audio."""
     videos, i = np.unique(video, return_inverse=True)
     audios, j = np.unique(audio, return_inverse=True)
     grid = np.zeros((len(videos), len(audios)))
     np.maximum.at(grid, (i, j), score)
-    n = len(videos)
-    column = grid.argmax(axis=1)
-    if len(set(column)) < n or grid[np.arange(n), column].min() < NULL_SCORE:
-        free = np.full((n, n), 2.0)
-        np.fill_diagonal(free, 1 - NULL_SCORE)
-        column = best_columns(np.concatenate((1 - grid, free), axis=1))
     out = []
-    for k, c in enumerate(column):
+    for k, c in enumerate(_columns(grid)):
         real = c < len(audios)
         value = float(grid[k, c] if real else grid[k].max())
         good = bool(real and value >= MIN_LANE_SCORE)
@@ -67,22 +75,62 @@ def assign_lane(video: np.ndarray, audio: np.ndarray, score: np.ndarray) -> list
     return out
 
 
+def _ranks(names: pa.Array) -> np.ndarray:
+    """The place of each name among the distinct ones in order."""
+    coded = names.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()]
+
+
+def _solved(rows: pa.Table, heads: np.ndarray, keys: list[str]) -> pa.RecordBatch:
+    """ASSIGNMENT rows of whole lanes that begin at heads."""
+    rows = rows.combine_chunks()
+    video, audio = (_ranks(rows.column(c).combine_chunks()) for c in ("video", "audio"))
+    score = rows.column("pair_score").to_numpy()
+    at, with_, value, good = [], [], [], []
+    for a, b in zip(heads, [*heads[1:], len(score)], strict=True):
+        for v, x, s, g in assign_lane(video[a:b], audio[a:b], score[a:b]):
+            own = a + int(np.argmax(video[a:b] == v))
+            at.append(own)
+            with_.append(a + int(np.argmax(audio[a:b] == x)) if g else None)
+            value.append(s)
+            good.append(g)
+    lanes = rows.take(pa.array(at, pa.int64()))
+    audios = rows.column("audio").combine_chunks().take(pa.array(with_, pa.int64()))
+    columns = [*(lanes.column(c).combine_chunks() for c in (*keys, "video")), audios, pa.array(value, pa.float64()), pa.array(good, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, names=[*keys, "video", "audio", "pair_score", "assigned"])
+
+
 def assign(pairs: DataFrame, *within: str) -> DataFrame:
     """ASSIGNMENT rows, with ``within`` before them, from pairs (*within, lane, video, audio, pair_score).
 
-    The lanes of one session, some dozens of clips, are solved in one task, sessions side
-    by side; without ``within`` each lane is a group.
+    A lane of some dozens of clips is solved in memory, lanes side by side; names stay in
+    Arrow, the solver sees numbers.
     """
+    keys = [*within, "lane"]
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in (*within, "lane", "video", "audio")}
     head = "".join(f"`{c}` {kinds[c]}, " for c in within)
     schema = head + ASSIGNMENT.replace("lane int", f"lane {kinds['lane']}").replace("video string", f"video {kinds['video']}").replace("audio string", f"audio {kinds['audio']}")
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("lane", kind="stable")
-        lane, video, audio, score = (df[c].to_numpy() for c in ("lane", "video", "audio", "pair_score"))
-        cuts = np.flatnonzero(lane[1:] != lane[:-1]) + 1
-        own = tuple(df[c].iloc[0] for c in within)
-        rows = [(*own, lane[a], *x) for a, b in zip([0, *cuts], [*cuts, len(lane)], strict=True) for x in assign_lane(video[a:b], audio[a:b], score[a:b])]
-        return pd.DataFrame(rows, columns=[*within, "lane", "video", "audio", "pair_score", "assigned"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not len(rows):
+                continue
+            turn = np.zeros(len(rows), bool)
+            turn[0] = True
+            for c in keys:
+                code = rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                turn[1:] |= code[1:] != code[:-1]
+            heads = np.flatnonzero(turn)
+            held = rows.slice(heads[-1])  # it may go on
+            if len(heads) > 1:
+                yield _solved(rows.slice(0, heads[-1]), heads[:-1], keys)
+        if held is not None:
+            yield _solved(held, np.zeros(1, np.int64), keys)
 
-    return pairs.select(*within, "lane", "video", "audio", "pair_score").groupBy(*(within or ("lane",))).applyInPandas(run, schema)
+    sorted_ = pairs.select(*keys, "video", "audio", "pair_score").repartition(*keys).sortWithinPartitions(*keys, "video")
+    return sorted_.mapInArrow(run, schema)

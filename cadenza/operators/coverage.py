@@ -18,9 +18,7 @@ def missing_cells(cells: DataFrame, row: str, col: str) -> DataFrame:
     cols = have.select(col).distinct()
     n = cols.count()
     partial = have.groupBy(row).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < n).select(row)
-    every = cols.agg(F.collect_set(col).alias("all")).first()["all"] or []  # the columns of a sheet: angles, priorities
-    grid = partial.withColumn(col, F.explode(F.array(*(F.lit(c) for c in every)))) if every else have.limit(0)
-    return grid.join(have, [row, col], "left_anti")
+    return partial.crossJoin(cols).join(have, [row, col], "left_anti")  # as many rows as the grid lacks, and those that partial rows have
 
 
 def common_columns(cells: DataFrame, row: str, col: str) -> DataFrame:
@@ -84,10 +82,19 @@ def replace_records(current: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return rest.unionByName(new)
 
 
-def stale_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """``target``: name-stale for the first row of a name, then name-stale-2, and so on."""
+def stale_names(rows: DataFrame, name: str, order: str, used: DataFrame | None = None) -> DataFrame:
+    """``target``: name-stale for the first row of a name, then name-stale-2, and so on, without names in use (target)."""
     i = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return rows.withColumn("target", F.concat(F.col(name), F.lit("-stale"), F.when(i > 1, F.concat(F.lit("-"), i)).otherwise("")))
+    target = lambda k: F.concat(F.col(name), F.lit("-stale"), F.when(k > 1, F.concat(F.lit("-"), k)).otherwise(""))
+    if used is None:
+        return rows.withColumn("target", target(i))
+    base = used.select("target", F.regexp_extract("target", r"^(.*)-stale(?:-[0-9]+)?$", 1).alias(name)).distinct()
+    taken = base.groupBy(name).agg(F.count(F.lit(1)).alias("_taken"))
+    need = rows.groupBy(name).agg(F.count(F.lit(1)).alias("_rows")).join(taken, name, "left")
+    # as many candidates as there are rows and names in use
+    free = need.select(name, F.explode(F.sequence(F.lit(1), (F.col("_rows") + F.coalesce("_taken", F.lit(0))).cast("int"))).alias("_k")).withColumn("target", target(F.col("_k")))
+    free = free.join(used.select("target").distinct(), "target", "left_anti").withColumn("_i", F.row_number().over(Window.partitionBy(name).orderBy("_k"))).select(name, "_i", "target")
+    return rows.withColumn("_i", i).join(free, [name, "_i"]).drop("_i")
 
 
 def first_seen(rows: DataFrame, value: str, position: str) -> DataFrame:
@@ -96,11 +103,17 @@ def first_seen(rows: DataFrame, value: str, position: str) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, root: int | str, key: str = "id", parent: str = "parent") -> DataFrame:
-    """(key, depth) of a tree's nodes below root, level by level, until a level is empty."""
-    level = nodes.where(F.col(parent) == root).select(key, F.lit(1).alias("depth"))
-    levels = []
+    """(key, depth) of a tree's nodes below root, level by level, until a level is empty.
+
+    A node that has been met does not count again, so a cycle ends where it closes; the
+    root itself is none of its descendants.
+    """
+    edges = nodes.where(~F.col(key).eqNullSafe(F.lit(root)))
+    level = edges.where(F.col(parent) == root).select(key, F.lit(1).alias("depth")).distinct()
+    met = level.limit(0)
     while not level.isEmpty():
-        levels.append(level)
+        met = met.unionByName(level)
         up = level.select(F.col(key).alias("_up"), F.col("depth").alias("_d"))
-        level = nodes.join(up, F.col(parent) == F.col("_up")).select(key, (F.col("_d") + 1).alias("depth"))
-    return reduce(DataFrame.unionByName, levels) if levels else level
+        below = edges.join(up, F.col(parent) == F.col("_up")).select(key, (F.col("_d") + 1).alias("depth")).distinct()
+        level = below.join(met.select(key), key, "left_anti").select(key, "depth")
+    return met

@@ -48,16 +48,19 @@ def track_names(counts: DataFrame, n: str = "tracks") -> DataFrame:
     return counts.select(*[c for c in counts.columns if c != n], F.explode(tracks).alias("t")).select(*[c for c in counts.columns if c != n], "t.*")
 
 
-def verify(expected: DataFrame, observed: DataFrame, by_start: bool = False) -> DataFrame:
-    """(track, take_id, code): what differs between expected (track, take_id, name, start) and observed (track, name, start).
+def verify(expected: DataFrame, observed: DataFrame, by_start: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, track, take_id, difference): what differs between expected (track, take_id, name, start) and observed (track, name, start).
 
-    Items are matched by their place on the track, so one that is missing shifts all that
-    follow; ``by_start`` matches them by their start instead. An unknown start counts as -1.
+    ``difference`` is missing, name or start. Items are matched by their place on the track,
+    so one that is missing shifts all that follow; ``by_start`` matches them by their start
+    instead. An unknown start counts as -1. ``within`` names the sessions' columns.
     """
+    keys = [*within, "track"]
+    same = [F.col(f"e.{c}") == F.col(f"o.{c}") for c in keys]
     if by_start:
-        joined = expected.alias("e").join(observed.alias("o"), (F.col("e.track") == F.col("o.track")) & (F.col("e.start") == F.col("o.start")), "left")
+        joined = expected.alias("e").join(observed.alias("o"), [*same, F.col("e.start") == F.col("o.start")], "left")
     else:
-        place = lambda df: df.withColumn("start", F.coalesce("start", F.lit(-1))).withColumn("i", F.row_number().over(Window.partitionBy("track").orderBy("start", "name")))
-        joined = place(expected).alias("e").join(place(observed).alias("o"), (F.col("e.track") == F.col("o.track")) & (F.col("e.i") == F.col("o.i")), "left")
-    code = F.when(F.col("o.track").isNull(), "color_prep_angle_item_missing").when(F.col("e.name") != F.col("o.name"), "color_prep_angle_item_mismatch").when(F.col("e.start") != F.col("o.start"), "color_prep_start_mismatch")
-    return joined.select(F.col("e.track").alias("track"), F.col("e.take_id").alias("take_id"), code.alias("code")).where("code is not null")
+        place = lambda df: df.withColumn("start", F.coalesce("start", F.lit(-1))).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("start", "name")))
+        joined = place(expected).alias("e").join(place(observed).alias("o"), [*same, F.col("e.i") == F.col("o.i")], "left")
+    difference = F.when(F.col("o.track").isNull(), "missing").when(F.col("e.name") != F.col("o.name"), "name").when(F.col("e.start") != F.col("o.start"), "start")
+    return joined.select(*(F.col(f"e.{c}").alias(c) for c in keys), F.col("e.take_id").alias("take_id"), difference.alias("difference")).where("difference is not null")

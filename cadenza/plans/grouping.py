@@ -91,7 +91,7 @@ def choose(measures: DataFrame) -> DataFrame:
 def plan(audios: DataFrame, videos: DataFrame, pairs: DataFrame, max_lanes: int = MAX_LANES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(takes, buckets, issues) of every session.
 
-    takes (session, take_id, audio, video, label, pair_score, confidence); buckets with
+    takes (session, take_id, audio, video, label, pair_score, confidence, note); buckets with
     session; issues (session, code, severity, subject).
     """
     found = candidates(audios, videos, pairs, max_lanes)
@@ -103,7 +103,7 @@ def plan(audios: DataFrame, videos: DataFrame, pairs: DataFrame, max_lanes: int
     numbered = per.withColumn("take_id", S.take_name(F.row_number().over(Window.partitionBy("session").orderBy("audio"))))
     order = clusters.lane_order(found.lanes.join(chosen, key), "lane", "video", "session")
     labels = order.withColumn("label", S.group_label(F.row_number().over(Window.partitionBy("session").orderBy("first")) - 1)).select("session", "lane", "label")
-    takes = kept.join(numbered, ["session", "audio"]).join(labels, ["session", "lane"]).select("session", "take_id", "audio", "video", "label", F.round("pair_score", 4).alias("pair_score"), F.round("confidence", 4).alias("confidence"))
+    takes = kept.join(numbered, ["session", "audio"]).join(labels, ["session", "lane"]).select("session", "take_id", "audio", "video", "label", F.round("pair_score", 4).alias("pair_score"), F.round("confidence", 4).alias("confidence"), S.low_confidence_note(F.col("confidence")).alias("note"))
     buckets = found.buckets.join(chosen, key).drop("lane_count")
     return takes, buckets, plan_issues(audios, videos, takes, buckets)
 

@@ -162,8 +162,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY start, name) AS i
 
 
 @query(f"""WITH {_TRACK_SQL} SELECT * FROM (SELECT e.track, e.take_id,
-CASE WHEN o.track IS NULL THEN 'color_prep_angle_item_missing' WHEN e.name <> o.name THEN 'color_prep_angle_item_mismatch' WHEN e.start <> o.start THEN 'color_prep_start_mismatch' END AS code
-FROM e LEFT JOIN o USING (track, i)) WHERE code IS NOT NULL""")
+CASE WHEN o.track IS NULL THEN 'missing' WHEN e.name <> o.name THEN 'name' WHEN e.start <> o.start THEN 'start' END AS difference
+FROM e LEFT JOIN o USING (track, i)) WHERE difference IS NOT NULL""")
 def layout_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.verify(*_track_items(spark, sf_dir))
 
@@ -217,12 +217,12 @@ def pending_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.withColumn("action", F.lit("import")).unionByName(old.withColumn("action", F.lit("skipped")))
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-16'), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-16')
+@query("""WITH r AS (SELECT DISTINCT user_id, event_type, ts::DATE::VARCHAR AS day, ts < ts::DATE + INTERVAL 12 HOUR AS early FROM events), a AS (SELECT user_id, event_type, day FROM r WHERE early), b AS (SELECT user_id, event_type, day FROM r WHERE NOT early)
 SELECT *, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def bin_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
-    half = F.lit("2024-01-16").cast("timestamp_ntz")
-    return coverage.drift(rows.where(F.col("ts") < half), rows.where(F.col("ts") >= half), "user_id", "event_type")
+    """Users' events of a day's first half that its second half lacks, and the other way round."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").cast("string").alias("day"), (F.hour("ts") < 12).alias("early"))
+    return coverage.drift(rows.where("early"), rows.where("not early"), "user_id", "event_type", "day")
 
 
 @query("""SELECT o_orderkey AS key, o_orderstatus AS expected, l.status AS observed FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linestatus) AS status FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey
@@ -515,6 +515,17 @@ def sync_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("day", "series", "other", "lag", r6("sync_confidence").alias("sync_confidence"), r6("offset_seconds").alias("offset_seconds"))
 
 
+@query(f"""WITH {_DAILY_SQL},
+g AS (SELECT day, series, h - 4 AS h, n FROM f WHERE h BETWEEN 4 AND 15), gn AS (SELECT day, series, sqrt(sum(n * n)) AS norm FROM g GROUP BY ALL),
+slid AS (SELECT a.day, a.series, b.series AS other, s.s, sum(a.n * b.n) AS c, sqrt(sum(a.n * a.n)) AS norm FROM f a CROSS JOIN unnest(range(0, 13)) AS s(s) JOIN g b ON a.day = b.day AND a.h = b.h + s.s AND a.series < b.series GROUP BY ALL),
+best AS (SELECT slid.*, CASE WHEN slid.norm * gn.norm > 0 THEN c / (slid.norm * gn.norm) ELSE 0 END AS score FROM slid JOIN gn ON gn.day = slid.day AND gn.series = slid.other)
+SELECT day::VARCHAR AS day, series, other, round(max(score), 6) AS waveform_score FROM best GROUP BY ALL""")
+def ncc_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve hours of one series along the day of another."""
+    pairs = _day_pairs(spark, sf_dir).withColumn("v", F.slice("v", 5, 12))
+    return signal.pair_similarity(pairs, "values", "v").select("day", "series", "other", r6("waveform_score").alias("waveform_score"))
+
+
 @query(f"""WITH {_DAILY_SQL}, c AS (SELECT a.day, a.series, b.series AS other, sum(a.n * b.n) AS c FROM f a JOIN f b ON a.day = b.day AND a.h = b.h AND a.series < b.series GROUP BY ALL)
 SELECT c.day::VARCHAR AS day, c.series, c.other, round(least(1.0, c / (x.norm * y.norm)), 6) AS waveform_score, 0.0::DOUBLE AS estimated_offset_seconds
 FROM c JOIN norms x ON x.day = c.day AND x.series = c.series JOIN norms y ON y.day = c.day AND y.series = c.other""")
@@ -714,9 +725,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_nationkey", F.substring_index("value", ":", 1).alias("name")).join(parsed, "name").select("n_nationkey", "name", "path", "kind")
 
 
-@query("""SELECT o_custkey AS take_id, 'o' || o_orderkey || '.wav' AS master_audio FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice)::BIGINT DESC, 'o' || o_orderkey || '.wav') = 1""")
+@query("""WITH f AS (SELECT o_custkey AS take_id, CASE WHEN o_orderkey % 23 = 0 THEN 'Audio.WAV' ELSE 'o' || o_orderkey || '.wav' END AS name, floor(o_totalprice)::BIGINT AS n FROM orders)
+SELECT take_id, name AS master_audio FROM f QUALIFY row_number() OVER (PARTITION BY take_id ORDER BY CASE WHEN name = 'Audio.WAV' THEN 0 ELSE 1 END, n DESC, name) = 1""")
 def masters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("take_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".wav")).alias("name"), F.lit(".wav").alias("suffix"), F.floor("o_totalprice").alias("length"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("take_id"), F.when(F.col("o_orderkey") % 23 == 0, "Audio.WAV").otherwise(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".wav"))).alias("name"), F.lit(".wav").alias("suffix"), F.floor("o_totalprice").alias("length"))
     return media.masters(files)
 
 

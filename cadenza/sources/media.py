@@ -127,11 +127,35 @@ def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("path", F.from_json("json", schema).alias("document"))
 
 
+def pcm_frames(content: bytes) -> bytes:
+    """The 16-bit samples in a RIFF file's data chunk, or all bytes of one without a header; other formats, and nothing at all, are errors."""
+    if not content:
+        raise ValueError("no samples")
+    if content[:4] == b"FORM":
+        raise ValueError("AIFF needs a decoder")
+    if content[:4] != b"RIFF":
+        return content
+    if content[8:12] != b"WAVE":
+        raise ValueError("no WAVE file")
+    at, fmt = 12, None
+    while at + 8 <= len(content):
+        name, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
+        body = content[at + 8 : at + 8 + size]
+        if name == b"fmt ":
+            fmt = (int.from_bytes(body[:2], "little"), int.from_bytes(body[2:4], "little"), int.from_bytes(body[14:16], "little"))
+        if name == b"data":
+            if fmt is None or fmt[0] not in (1, 0xFFFE) or fmt[1:] != (1, 16):
+                raise ValueError(f"not mono 16-bit PCM: {fmt}")
+            return body
+        at += 8 + size + size % 2
+    raise ValueError("no data chunk")
+
+
 def pcm_samples(files: DataFrame, rate_share: float = 32768.0) -> DataFrame:
-    """(series, idx, v) of little-endian 16-bit samples in (path, content), a row for each sample."""
+    """(series, idx, v) of mono little-endian 16-bit samples in (path, content), raw or in WAVE files, a row for each sample."""
 
     @F.pandas_udf("array<float>")
     def decode(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: np.frombuffer(b[: len(b) // 2 * 2], "<i2").astype("float32") / rate_share)
+        return content.map(lambda b: np.frombuffer((x := pcm_frames(b))[: len(x) // 2 * 2], "<i2").astype("float32") / rate_share)
 
     return files.select(F.col("path").alias("series"), F.posexplode(decode("content")).alias("idx", "v"))

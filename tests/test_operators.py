@@ -115,7 +115,7 @@ def test_layout_check_by_place_and_by_start(spark):
     want = spark.createDataFrame([("1", "t1", "a", 0), ("1", "t2", "b", 10), ("1", "t3", "c", 20)], "track string, take_id string, name string, start long")
     have = want.where("take_id <> 't2'").drop("take_id")
     assert layout.verify(want, want.drop("take_id")).count() == 0
-    assert {(r.take_id, r.code[-8:]) for r in layout.verify(want, have).collect()} == {("t2", "mismatch"), ("t3", "_missing")}
+    assert {(r.take_id, r.difference) for r in layout.verify(want, have).collect()} == {("t2", "name"), ("t3", "missing")}
     assert [r.take_id for r in layout.verify(want, have, by_start=True).collect()] == ["t2"]
 
 
@@ -239,7 +239,10 @@ def test_plan(spark):
     )
     assert {(r.take_id, r.video, r.label, r.confidence) for r in takes.collect()} == {("take-01", "1-a", "angle-a", 0.9), ("take-01", "1-b", "angle-b", 0.9), ("take-02", "2-a", "angle-a", 0.7), ("take-02", "2-b", "angle-b", 0.7)}
     assert [(r.source, r.bucket) for r in buckets.collect()] == [("odd", "excluded")]
-    assert {r.code for r in found.collect()} == {"take_confidence_low", "excluded_media_detected"}
+    # a take below the note's limit is still well above that of the issue
+    assert [(r.code, r.severity, r.subject) for r in found.collect()] == [("excluded_media_detected", "info", "odd")]
+    assert {(r.take_id, r.note) for r in takes.collect()} == {("take-01", None), ("take-02", "take confidence is low for a production take")}
+    found = found.withColumn("severity", F.lit("warn")).withColumn("code", F.lit("take_confidence_low"))
     kind = "source string"
     checks = grouping.preflight(spark.createDataFrame([("a",), ("a",), ("b",)], kind), spark.createDataFrame([("a",), ("c",)], kind), spark.createDataFrame([("t", True), ("t", False)], "target string, exists boolean"), found)
     assert {(r.check, r.subject) for r in checks.collect()} == {("source_missing", "b"), ("source_extra", "c"), ("source_twice", "a"), ("target_twice", "t"), ("target_exists", "t"), ("plan_not_passed", "take_confidence_low")}
