@@ -105,6 +105,8 @@ def plan(audios: DataFrame, videos: DataFrame, pairs: DataFrame, max_lanes: int
     labels = order.withColumn("label", S.group_label(F.row_number().over(Window.partitionBy("session").orderBy("first")) - 1)).select("session", "lane", "label")
     takes = kept.join(numbered, ["session", "audio"]).join(labels, ["session", "lane"]).select("session", "take_id", "audio", "video", "label", F.round("pair_score", 4).alias("pair_score"), F.round("confidence", 4).alias("confidence"), S.low_confidence_note(F.col("confidence")).alias("note"))
     buckets = found.buckets.join(chosen, key).drop("lane_count")
+    # issues read both several times
+    takes, buckets = takes.persist(), buckets.persist()
     return takes, buckets, plan_issues(audios, videos, takes, buckets)
 
 
