@@ -1,18 +1,20 @@
 """Language-model scores: unigram counts and a log-bilinear neural model.
 
 The model predicts a token from the two before it: each context word's vector is scaled
-by the weights of its position, the sum is multiplied with every output vector, and a bias
-is added. Its vocabulary are the most frequent tokens; all other words fall in classes by
-their ending, inside which they share out the class by their counts. As the context has
-two positions, products of two vocabulary-sized matrices give all scores and all
-normalisers at once.
-
-Vectors are learned in numpy by noise-contrastive estimation. Texts are dealt to lessons
-of about LESSON tokens by a hash of id and text, and lessons to rounds; in a round each
-lesson starts from the same vectors and learns from all its texts in the order of their
-hashes, and the results are averaged with their token counts as weights. So every token
-is learned from once, and the vectors depend on the rows alone, not on how many tasks
-there are or where the rows lie.
+by the weights of its position, and the sum is multiplied with output vectors, to which
+biases are added. Every word used at least USES times has vectors of its own, so the
+vocabulary grows with the corpus, up to the HOT words that a broadcast holds. Outputs have
+two steps, so that normalisation stays bounded: over the most frequent words, groups of
+the further ones and classes of all other words; then over the words of the group, which
+stand side by side in the order of their counts. Words without vectors fall in classes by
+their ending, inside which they share out the class by their counts.
+
+Vectors are learned in numpy by noise-contrastive estimation, with noise for each step.
+Texts are dealt to lessons of about LESSON tokens by a hash of id and text, and lessons to
+rounds; in a round each lesson starts from the same vectors and learns from all its texts
+in the order of their hashes, and the changes are averaged with their token counts as
+weights. So every token is learned from once, and the vectors depend on the rows alone,
+not on how many tasks there are or where the rows lie.
 
 Unigram counts cover all training texts. The most frequent HOT tokens are broadcast, at
 16 bytes each; counts of the others meet the documents that hold them in a join.
@@ -32,12 +34,12 @@ from pyspark.sql import functions as F
 from cadenza.llm.store import keep, shared_folder
 from cadenza.llm.words import U64, Words, chunks
 
-#: Words with vectors of their own; classes of other words; vector size.
+#: Words of the first step; classes of words without vectors; vector size.
 VOCABULARY, CLASSES, SIZE = 960, 63, 16
-#: The end token stands before all words, the classes after them.
-V = 1 + VOCABULARY + CLASSES
+#: Uses from which a word has vectors; words of a group.
+USES, GROUP = 8, 512
 END = 0
-#: Bound of the broadcast counts.
+#: Bound of the broadcast counts, and of the words with vectors.
 HOT = 200_000
 FOLDS, HELD_OUT = 7, 2
 #: Learning: tokens of a step, noise tokens that a step shares, rate and its least share, tokens after which it is halved.
@@ -46,12 +48,40 @@ STEP, NOISE, RATE, LEAST, HALF = 4096, 128, 0.1, 0.1, 2_000_000
 LESSON, MOST, ROUNDS = 1_000_000, 8_000_000, 6
 #: Tasks that learn in a round, if there are as many lessons.
 TASKS = 20_000
+#: Rows of the model that travel together; contexts normalised at a time.
+BLOCK, SLICE = 1024, 4096
 _END_HASH = 0x1E3D
 
 
+class Shape(NamedTuple):
+    """Rows of the model: end, words of the first step, classes, groups; from ``first`` on the words of the groups."""
+
+    vocabulary: int
+    grouped: int
+    group: int
+
+    @property
+    def groups_at(self) -> int:
+        return 1 + self.vocabulary + CLASSES
+
+    @property
+    def first(self) -> int:
+        return self.groups_at - (-self.grouped // self.group)
+
+    @property
+    def rows(self) -> int:
+        return self.first + self.grouped
+
+    def upper(self, ids: np.ndarray) -> np.ndarray:
+        """The outcome of the first step for each id."""
+        return np.where(ids < self.first, ids, self.groups_at + (ids - self.first) // self.group)
+
+
 class Coder(NamedTuple):
     """Token hashes to model ids and counts."""
 
+    shape: Shape
+
     words: np.ndarray  # sorted hashes of the vocabulary
     ids: np.ndarray
     hot: np.ndarray  # sorted hashes
@@ -108,13 +138,16 @@ def _hot(counts: DataFrame) -> pd.DataFrame:
 
 
 def _coder(counts: DataFrame, hot: pd.DataFrame) -> Coder:
-    words = hot["token"].to_numpy()[:VOCABULARY].astype(np.int64)
+    most, grouped = min(VOCABULARY, len(hot)), int((hot["n"].to_numpy()[VOCABULARY:] >= USES).sum())
+    shape = Shape(VOCABULARY, grouped, GROUP)
+    words = hot["token"].to_numpy()[: most + grouped].astype(np.int64)
+    ids = np.concatenate((np.arange(1, most + 1), shape.first + np.arange(grouped)))
     order = np.argsort(words)
     end = counts.where("cls = -1").first()
     tokens = np.append(hot["token"].to_numpy().astype(np.int64), _END_HASH)
     n = np.append(hot["n"].to_numpy().astype(np.int64), end["n"] if end else 0)
     by = np.argsort(tokens)
-    return Coder(words[order], (order + 1).astype(np.int64), tokens[by], n[by])
+    return Coder(shape, words[order], ids[order].astype(np.int64), tokens[by], n[by])
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray, missing: np.ndarray | int) -> np.ndarray:
@@ -125,7 +158,7 @@ def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray, missing: np.nda
 
 
 def _model_ids(coder: Coder, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return _lookup(coder.words, coder.ids, h.view(np.int64), np.where(cls < 0, END, 1 + VOCABULARY + cls))
+    return _lookup(coder.words, coder.ids, h.view(np.int64), np.where(cls < 0, END, 1 + coder.shape.vocabulary + cls))
 
 
 def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,10 +179,10 @@ class Model:
     def start(cls, noise: np.ndarray) -> Model:
         rng = np.random.Generator(np.random.PCG64(7))
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        return cls(small(V, SIZE), small(V, SIZE), np.log(noise).astype(np.float32), np.ones((2, SIZE), np.float32))
+        return cls(small(len(noise), SIZE), small(len(noise), SIZE), np.log(noise).astype(np.float32), np.ones((2, SIZE), np.float32))
 
     def flat(self) -> np.ndarray:
-        """(V + 2, 2 * SIZE + 4): a row for each token, then the position weights."""
+        """(rows + 2, 2 * SIZE + 4): a row for each token, then the position weights."""
         rows = np.concatenate((self.R, self.Q, self.b[:, None], *(self.sums[k][:, None] for k in ("R", "Q", "b"))), axis=1)
         last = np.zeros((2, rows.shape[1]), np.float32)
         last[:, :SIZE], last[:, -1] = self.C, self.sums["C"]
@@ -158,26 +191,31 @@ class Model:
     @classmethod
     def of(cls, flat: np.ndarray) -> Model:
         flat = flat.astype(np.float32)
-        at = 2 * SIZE
-        sums = {k: flat[:V, at + 1 + i].copy() for i, k in enumerate(("R", "Q", "b"))} | {"C": flat[V:, -1].copy()}
-        return cls(flat[:V, :SIZE].copy(), flat[:V, SIZE:at].copy(), flat[:V, at].copy(), flat[V:, :SIZE].copy(), sums)
+        at, v = 2 * SIZE, len(flat) - 2
+        sums = {k: flat[:v, at + 1 + i].copy() for i, k in enumerate(("R", "Q", "b"))} | {"C": flat[v:, -1].copy()}
+        return cls(flat[:v, :SIZE].copy(), flat[:v, SIZE:at].copy(), flat[:v, at].copy(), flat[v:, :SIZE].copy(), sums)
 
-    def learn(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray, drawn: np.ndarray, rate: float) -> None:
-        """A step of noise-contrastive estimation with shared noise tokens; log(k * chance of noise) is taken off each score."""
-        m, k = len(target), len(drawn)
+    def learn(self, one: np.ndarray, two: np.ndarray, steps: list[tuple], noise: np.ndarray, rate: float) -> None:
+        """Noise-contrastive estimation of (places, targets, shared noise tokens) steps; log(k * chance of noise) is taken off each score."""
         x1, x2 = self.R[one], self.R[two]
         hat = x1 * self.C[0] + x2 * self.C[1]
-        shift = np.log(k * noise)
-        q = self.Q[target]
-        good = np.einsum("ij,ij->i", hat, q) + self.b[target] - shift[target]
-        bad = hat @ self.Q[drawn].T + self.b[drawn] - shift[drawn]
-        g = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - P(data)
-        e = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))  # -P(data) of noise
-        d_hat = g[:, None] * q + e @ self.Q[drawn]
-        at = np.concatenate((target, drawn))
-        self._add("b", at, np.concatenate((g, e.sum(axis=0)))[:, None], rate)
-        self._add("Q", at, np.concatenate((g[:, None] * hat, e.T @ hat)), rate)
-        self._add("C", np.repeat([0, 1], m), np.concatenate((d_hat * x1, d_hat * x2)), rate)
+        d_hat = np.zeros_like(hat)
+        at, d_b, d_q = [], [], []
+        for places, target, drawn in steps:
+            h, k = hat[places], len(drawn)
+            q, other = self.Q[target], self.Q[drawn]
+            good = np.einsum("ij,ij->i", h, q) + self.b[target] - np.log(k * noise[target])
+            bad = h @ other.T + self.b[drawn] - np.log(k * noise[drawn])
+            g = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - P(data)
+            e = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))  # -P(data) of noise
+            d_hat[places] += g[:, None] * q + e @ other
+            at += [target, drawn]
+            d_b += [g, e.sum(axis=0)]
+            d_q += [g[:, None] * h, e.T @ h]
+        at = np.concatenate(at)
+        self._add("b", at, np.concatenate(d_b)[:, None], rate)
+        self._add("Q", at, np.concatenate(d_q), rate)
+        self._add("C", np.repeat([0, 1], len(one)), np.concatenate((d_hat * x1, d_hat * x2)), rate)
         self._add("R", np.concatenate((one, two)), np.concatenate((d_hat * self.C[0], d_hat * self.C[1])), rate)
 
     def _add(self, name: str, at: np.ndarray, g: np.ndarray, rate: float) -> None:
@@ -190,27 +228,42 @@ class Model:
         to = getattr(self, name)
         to[row] += (rate * g / np.sqrt(self.sums[name][row])[:, None]).reshape(len(row), *to.shape[1:])
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(A, B, log Z): the score of w after one, two is A[one, w] + B[two, w] + b[w], and Z[one, two] sums its exponentials."""
-        A = (self.R * self.C[0]) @ self.Q.T
-        B = (self.R * self.C[1]) @ self.Q.T
-        a, b = A.max(axis=1, keepdims=True), (B + self.b).max(axis=1, keepdims=True)
-        return A, B, np.log(np.exp(A - a).astype(np.float64) @ np.exp(B + self.b - b).astype(np.float64).T) + a + b.T
-
-    def log_probabilities(self, tables: tuple[np.ndarray, ...], one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-        A, B, Z = tables
-        return A[one, target] + B[two, target] + self.b[target] - Z[one, two]
+    def _normaliser(self, hat: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The logarithm of the summed exponentials of the scores of rows a to b, for each context."""
+        out = np.empty(len(hat))
+        for at in range(0, len(hat), SLICE):
+            scores = hat[at : at + SLICE] @ self.Q[a:b].T
+            scores += self.b[a:b]
+            top = scores.max(axis=1, keepdims=True)
+            scores -= top
+            out[at : at + SLICE] = np.log(np.exp(scores, out=scores).sum(axis=1)) + top[:, 0]
+        return out
+
+    def log_probabilities(self, shape: Shape, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Logarithms of the chance of the first step's outcome and, for words of groups, of the word in its group."""
+        contexts, place = np.unique(one * shape.rows + two, return_inverse=True)
+        context = self.R[contexts // shape.rows] * self.C[0] + self.R[contexts % shape.rows] * self.C[1]
+        hat, upper = context[place], shape.upper(target)
+        score = lambda h, t: np.einsum("ij,ij->i", h, self.Q[t]) + self.b[t]
+        out = score(hat, upper) - self._normaliser(context, 0, shape.first)[place]
+        inner = np.flatnonzero(target >= shape.first)
+        inner = inner[np.argsort(target[inner], kind="stable")]
+        group = upper[inner] - shape.groups_at
+        for part in np.split(inner, np.flatnonzero(np.diff(group)) + 1) if len(inner) else ():
+            a = shape.first + int(upper[part[0]] - shape.groups_at) * shape.group
+            out[part] += score(hat[part], target[part]) - self._normaliser(hat[part], a, min(a + shape.group, shape.rows))
+        return out
 
 
 def lessons(train: DataFrame, coder, n: int) -> DataFrame:
-    """(lesson, part, round, ids): the model ids of all texts, two bytes each, dealt to lessons by a hash of id and text; n tokens in all."""
+    """(lesson, part, round, ids): the model ids of all texts, four bytes each, dealt to lessons by a hash of id and text; n tokens in all."""
     count = max(1, -(-n // LESSON))
     rounds = min(ROUNDS, count)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, offs, h, cls in _texts(batch.column(1)):
-                ids = _model_ids(coder.value, h, cls).astype("<u2")
+                ids = _model_ids(coder.value, h, cls).astype("<u4")
                 own = [ids[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], names=["place", "ids"])
 
@@ -222,7 +275,7 @@ def lessons(train: DataFrame, coder, n: int) -> DataFrame:
 
         for batch in batches:
             for lesson, ids in zip(batch.column("lesson").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if lesson != now or size >= 2 * MOST:
+                if lesson != now or size >= 4 * MOST:
                     if held:
                         yield out()
                     part = part + 1 if lesson == now else 0
@@ -237,61 +290,77 @@ def lessons(train: DataFrame, coder, n: int) -> DataFrame:
     return keep(dealt.select("lesson", "ids").mapInArrow(joined, "lesson long, part long, round long, ids binary"))
 
 
-def _round(rows: DataFrame, noise: np.ndarray, start: np.ndarray, seen: int) -> np.ndarray:
+def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray, seen: int) -> np.ndarray:
     """Vectors after each of the lessons has learned from start, averaged by their tokens; seen tokens came before."""
-    shared = rows.sparkSession.sparkContext.broadcast(start)
-    p32 = noise.astype(np.float32)
-    cum = np.cumsum(noise)
+    shared = rows.sparkSession.sparkContext.broadcast((start, noise.astype(np.float32)))
+    upper, inner = np.cumsum(noise[: shape.first]), np.cumsum(noise[shape.first :])
+    draws = rows.sparkSession.sparkContext.broadcast((upper / upper[-1], inner))
+    width = start.shape[1]
 
     def learned(ids: np.ndarray) -> np.ndarray:
-        model, rng = Model.of(shared.value), np.random.Generator(np.random.PCG64(11))
+        start, noise = shared.value
+        upper, inner = draws.value
+        model, rng = Model.of(start), np.random.Generator(np.random.PCG64(11))
         one, two = _contexts(ids)
         for at in range(0, len(ids), STEP):
             s = slice(at, at + STEP)
-            drawn = np.minimum(np.searchsorted(cum, rng.random(NOISE)), V - 1)
-            model.learn(one[s], two[s], ids[s], p32, drawn, RATE * max(LEAST, 1 / (1 + (seen + at) / HALF)))
+            drawn = np.minimum(np.searchsorted(upper, rng.random(NOISE)), shape.first - 1)
+            steps = [(slice(None), shape.upper(ids[s]), drawn)]
+            if len(grouped := np.flatnonzero(ids[s] >= shape.first)):
+                drawn = np.minimum(np.searchsorted(inner, rng.random(NOISE) * inner[-1]), shape.grouped - 1)
+                steps.append((grouped, ids[s][grouped], shape.first + drawn))
+            model.learn(one[s], two[s], steps, noise, RATE * max(LEAST, 1 / (1 + (seen + at) / HALF)))
         return model.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = 0.0, 0
+        moved = None
         for batch in batches:
             for blob in batch.column(0):
-                ids = np.frombuffer(blob.as_buffer(), "<u2").astype(np.int64)
-                total, n = total + learned(ids).astype(np.float64) * len(ids), n + len(ids)
-        if n:
-            values = np.concatenate((total, np.full((len(total), 1), float(n))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(list(values), pa.list_(pa.float64()))], names=["row", "x"])
+                ids = np.frombuffer(blob.as_buffer(), "<u4").astype(np.int64)
+                own = (learned(ids).astype(np.float64) - shared.value[0]) * len(ids)
+                moved = own if moved is None else moved + own
+        if moved is not None:
+            at = np.flatnonzero(moved.any(axis=1)).astype("<i8")
+            cuts = np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1) if len(at) else []
+            columns = [pa.array([int(c[0]) // BLOCK for c in cuts], pa.int64()), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array([moved[c].tobytes() for c in cuts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "at", "x"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for row, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[row] = sums.get(row, 0) + np.array(x)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["row", "x"])
-
-    # a task holds one model and the sums of another, and adds V + 2 rows at most, however many lessons there are
-    dealt = rows.select("ids").repartition(min(TASKS, max(1, rows.count())))
-    out = dealt.mapInArrow(run, "row long, x array<double>").repartition("row").mapInArrow(add, "row long, x array<double>").collect()
-    if not out:
+            for block, at, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = sums.setdefault(block, np.zeros((BLOCK, width)))
+                own[np.frombuffer(at, "<i8") % BLOCK] += np.frombuffer(x).reshape(-1, width)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "x"])
+
+    # a task holds one model and the changes of another; what is added up is one model, however many lessons there are
+    count, size = rows.agg(F.count(F.lit(1)), F.sum(F.length("ids"))).first()
+    if not size:
         return start
+    dealt = rows.select("ids").repartition(min(TASKS, count))
+    out = dealt.mapInArrow(run, "block long, at binary, x binary").repartition("block").mapInArrow(add, "block long, x binary").collect()
     # sums of doubles in any order differ in their last bits, which single precision does not keep
-    total = np.array([r["x"] for r in sorted(out, key=lambda r: r["row"])])
-    return (total[:, :-1] / total[:, -1:]).astype(np.float32)
+    total = np.zeros((-(-len(start) // BLOCK) * BLOCK, width))
+    for r in out:
+        total[r["block"] * BLOCK :][:BLOCK] = np.frombuffer(r["x"]).reshape(BLOCK, width)
+    return (start + total[: len(start)] / (size // 4)).astype(np.float32)
 
 
 def train_model(train: DataFrame, coder, class_tokens: np.ndarray, n: int) -> np.ndarray:
     """Flat vectors learned from (doc_id, text) rows of n tokens."""
-    noise = np.ones(V)
-    at = np.searchsorted(coder.value.hot, coder.value.words)
-    noise[coder.value.ids] += coder.value.counts[at]
-    noise[END] += coder.value.counts[np.searchsorted(coder.value.hot, _END_HASH)]
-    noise[1 + VOCABULARY :] += class_tokens
-    noise /= noise.sum()
+    shape = coder.value.shape
+    uses = np.ones(shape.rows)
+    uses[coder.value.ids] += coder.value.counts[np.searchsorted(coder.value.hot, coder.value.words)]
+    uses[END] += coder.value.counts[np.searchsorted(coder.value.hot, _END_HASH)]
+    uses[1 + shape.vocabulary : shape.groups_at] += class_tokens
+    grouped = np.arange(shape.first, shape.rows)
+    np.add.at(uses, shape.upper(grouped), uses[grouped])
+    noise = np.concatenate((uses[: shape.first] / uses[: shape.first].sum(), uses[grouped] / max(1.0, uses[grouped].sum())))
     flat = Model.start(noise).flat()
     if n:
         dealt = lessons(train, coder, n)
         for k in range(min(ROUNDS, -(-n // LESSON))):
-            flat = _round(dealt.where(F.col("round") == k), noise, flat, k * LESSON)
+            flat = _round(dealt.where(F.col("round") == k), shape, noise, flat, k * LESSON)
     return flat
 
 
@@ -317,7 +386,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_class = np.zeros((2, CLASSES))
     for r in counts.where("cls >= 0").groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         of_class[:, r["cls"]] = r["n"], r["v"]
-    own = hot.head(VOCABULARY)
+    own = hot.head(len(coder.value.words))
     np.subtract.at(of_class[0], own["cls"].to_numpy(int), own["n"].to_numpy(float))
     np.subtract.at(of_class[1], own["cls"].to_numpy(int), 1.0)
     room = of_class.sum(axis=0) + 1
@@ -327,16 +396,15 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, room = shared.value
         model = Model.of(flat)
-        tables = model.tables()
-        log_room = np.log10(room)
+        log_room, shape = np.log10(room), coder.value.shape
         for batch in batches:
             for a, b, offs, h, cls in _texts(batch.column(3)):
                 ids = _model_ids(coder.value, h, cls)
                 one, two = _contexts(ids)
                 c = _lookup(coder.value.hot, coder.value.counts, h.view(np.int64), -1)
-                hot, other = c >= 0, ids > VOCABULARY
+                hot, other = c >= 0, (ids > shape.vocabulary) & (ids < shape.groups_at)
                 log_c = np.log10(np.maximum(c, 0) + 1.0)
-                lm = model.log_probabilities(tables, one, two, ids) / np.log(10)
+                lm = model.log_probabilities(shape, one, two, ids) / np.log(10)
                 lm += np.where(other, log_c - log_room[np.maximum(cls, 0)], 0)
                 sums = lambda x: (s := np.concatenate(([0], np.cumsum(x))))[offs[1:]] - s[offs[:-1]]
                 owner = np.repeat(np.arange(b - a), np.diff(offs))

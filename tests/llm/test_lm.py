@@ -40,16 +40,27 @@ def test_base_score_equals_brute_force_and_model_is_better(spark, monkeypatch):
 
 
 def test_probabilities_sum_to_one():
+    """Over all that the first step has but groups, and all words of groups, the last of which is not full."""
     rng = np.random.default_rng(0)
-    model = lm.Model(*(rng.normal(0, 1, s).astype(np.float32) for s in ((lm.V, lm.SIZE), (lm.V, lm.SIZE), lm.V, (2, lm.SIZE))))
-    tables = model.tables()
-    for one, two in ((0, 0), (5, 900), (1000, 1)):
-        p = np.exp(model.log_probabilities(tables, np.full(lm.V, one), np.full(lm.V, two), np.arange(lm.V)))
+    shape = lm.Shape(40, 300, 64)
+    assert (shape.groups_at, shape.first, shape.rows) == (104, 109, 409)
+    model = lm.Model(*(rng.normal(0, 1, s).astype(np.float32) for s in ((shape.rows, lm.SIZE), (shape.rows, lm.SIZE), shape.rows, (2, lm.SIZE))))
+    every = np.concatenate((np.arange(shape.groups_at), np.arange(shape.first, shape.rows)))
+    for one, two in ((0, 0), (5, 400), (103, 1)):
+        p = np.exp(model.log_probabilities(shape, np.full(len(every), one), np.full(len(every), two), every))
         assert abs(p.sum() - 1) < 1e-4
     again = lm.Model.of(model.flat())
     assert all(np.array_equal(a, b) for a, b in ((again.R, model.R), (again.Q, model.Q), (again.b, model.b), (again.C, model.C)))
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    def shape(n):
+        counts = spark.createDataFrame([(i * 7 + 1, i % lm.CLASSES, max(1, 20000 // (i + 1))) for i in range(n)] + [(lm._END_HASH, -1, 5)], "token long, cls int, n long")
+        return lm._coder(counts, lm._hot(counts)).shape
+
+    assert [shape(n).grouped for n in (500, 2000, 4000)] == [0, 2000 - lm.VOCABULARY, 2500 - lm.VOCABULARY]
+
+
 def test_contexts_stop_at_texts():
     (_, _, offs, h, cls), = lm._texts(pa.array(["a b c", None, "d"]))
     ids = np.array([1, 2, 3, 0, 0, 4, 0])
@@ -61,6 +72,8 @@ def test_contexts_stop_at_texts():
 def test_scores_equal_the_learned_tables_however_rows_lie(spark, monkeypatch):
     """Each token's chance by plain loops over the vectors; the same for other partitions, with several lessons and rounds."""
     monkeypatch.setattr(lm, "LESSON", 8_000)
+    monkeypatch.setattr(lm, "VOCABULARY", 30)
+    monkeypatch.setattr(lm, "GROUP", 8)
     texts = [None, "", "UNSEEN word", *sentences(300, 3)]
     docs = fx.documents(spark, texts)
     learned, train = [], lm.train_model
@@ -80,17 +93,24 @@ def test_scores_equal_the_learned_tables_however_rows_lie(spark, monkeypatch):
     codes = {w: code(w) for t in texts for w in fx.words(t)}
     own = dict(zip(coder.words.tolist(), coder.ids.tolist()))
     distinct = Counter(codes[w][1] for w in count if codes[w][0] not in own)
+    shape = coder.shape
+    assert shape.grouped > 20 and distinct
+    chance = lambda hat, x, rows: (s := hat @ model.Q.T.astype(float) + model.b)[x] - np.log(np.exp(s[rows]).sum())
     for i in (0, 2, 5, 77, 200):
-        ids = [own.get(codes[w][0], 1 + lm.VOCABULARY + codes[w][1]) for w in fx.words(texts[i])] + [lm.END]
+        ids = [own.get(codes[w][0], 1 + shape.vocabulary + codes[w][1]) for w in fx.words(texts[i])] + [lm.END]
         want, one, two = 0.0, lm.END, lm.END
         for k, x in enumerate(ids):
-            score = (model.R[one] * model.C[0] + model.R[two] * model.C[1]).astype(float) @ model.Q.T.astype(float) + model.b
-            want += (score[x] - np.log(np.exp(score).sum())) / math.log(10)
-            if x > lm.VOCABULARY:
-                c = x - 1 - lm.VOCABULARY
-                want += math.log10((count[fx.words(texts[i])[k]] + 1) / (class_tokens[c] + distinct[c] + 1))
-            one, two = x, one
-        assert math.isclose(first[i], want, rel_tol=1e-4), i
+            hat = (model.R[one] * model.C[0] + model.R[two] * model.C[1]).astype(float)
+            if x >= shape.first:
+                g = (x - shape.first) // 8
+                want += chance(hat, shape.groups_at + g, range(shape.first)) + chance(hat, x, [y for y in range(shape.first, shape.rows) if (y - shape.first) // 8 == g])
+            else:
+                want += chance(hat, x, range(shape.first))
+            if shape.vocabulary < x < shape.groups_at:
+                c = x - 1 - shape.vocabulary
+                want += math.log((count[fx.words(texts[i])[k]] + 1) / (class_tokens[c] + distinct[c] + 1))
+            one, two = x, lm.END if x == lm.END else one
+        assert math.isclose(first[i], want / math.log(10), rel_tol=1e-4), i
 
 
 def test_frequent_tokens_are_bounded_and_never_none(spark, monkeypatch):
