@@ -37,7 +37,7 @@ from cadenza.llm.words import U64, Words, chunks
 #: Words of the first step; classes of words without vectors; vector size.
 VOCABULARY, CLASSES, SIZE = 960, 63, 16
 #: Uses from which a word has vectors; words of a group.
-USES, GROUP = 8, 512
+USES, GROUP = 32, 512
 END = 0
 #: Bound of the broadcast counts, and of the words with vectors.
 HOT = 200_000
@@ -45,7 +45,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Learning: tokens of a step, noise tokens that a step shares, rate and its least share, tokens after which it is halved.
 STEP, NOISE, RATE, LEAST, HALF = 4096, 128, 0.1, 0.1, 2_000_000
 #: Expected tokens of a lesson, and rounds. Texts of one hash may make a lesson larger; from MOST tokens on it goes on as another.
-LESSON, MOST, ROUNDS = 1_000_000, 8_000_000, 6
+LESSON, MOST, ROUNDS = 4_000_000, 8_000_000, 3
 #: Tasks that learn in a round, if there are as many lessons.
 TASKS = 20_000
 #: Rows of the model that travel together; contexts normalised at a time.
@@ -292,6 +292,9 @@ def lessons(train: DataFrame, coder, n: int) -> DataFrame:
 
 def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray, seen: int) -> np.ndarray:
     """Vectors after each of the lessons has learned from start, averaged by their tokens; seen tokens came before."""
+    count, size = rows.agg(F.count(F.lit(1)), F.sum(F.length("ids") / F.lit(4))).first()
+    if not size:
+        return start
     shared = rows.sparkSession.sparkContext.broadcast((start, noise.astype(np.float32)))
     upper, inner = np.cumsum(noise[: shape.first]), np.cumsum(noise[shape.first :])
     draws = rows.sparkSession.sparkContext.broadcast((upper / upper[-1], inner))
@@ -322,7 +325,7 @@ def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray,
         if moved is not None:
             at = np.flatnonzero(moved.any(axis=1)).astype("<i8")
             cuts = np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1) if len(at) else []
-            columns = [pa.array([int(c[0]) // BLOCK for c in cuts], pa.int64()), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array([moved[c].tobytes() for c in cuts], pa.binary())]
+            columns = [pa.array([int(c[0]) // BLOCK for c in cuts], pa.int64()), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array([(moved[c] / size).astype("<f4").tobytes() for c in cuts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "at", "x"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,20 +333,18 @@ def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray,
         for batch in batches:
             for block, at, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = sums.setdefault(block, np.zeros((BLOCK, width)))
-                own[np.frombuffer(at, "<i8") % BLOCK] += np.frombuffer(x).reshape(-1, width)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "x"])
+                own[np.frombuffer(at, "<i8") % BLOCK] += np.frombuffer(x, "<f4").reshape(-1, width)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype("<f4").tobytes() for x in sums.values()], pa.binary())], names=["block", "x"])
 
     # a task holds one model and the changes of another; what is added up is one model, however many lessons there are
-    count, size = rows.agg(F.count(F.lit(1)), F.sum(F.length("ids"))).first()
-    if not size:
-        return start
     dealt = rows.select("ids").repartition(min(TASKS, count))
     out = dealt.mapInArrow(run, "block long, at binary, x binary").repartition("block").mapInArrow(add, "block long, x binary").collect()
-    # sums of doubles in any order differ in their last bits, which single precision does not keep
-    total = np.zeros((-(-len(start) // BLOCK) * BLOCK, width))
+    shared.destroy()
+    draws.destroy()
+    total = np.zeros((-(-len(start) // BLOCK) * BLOCK, width), np.float32)
     for r in out:
-        total[r["block"] * BLOCK :][:BLOCK] = np.frombuffer(r["x"]).reshape(BLOCK, width)
-    return (start + total[: len(start)] / (size // 4)).astype(np.float32)
+        total[r["block"] * BLOCK :][:BLOCK] = np.frombuffer(r["x"], "<f4").reshape(BLOCK, width)
+    return start + total[: len(start)]
 
 
 def train_model(train: DataFrame, coder, class_tokens: np.ndarray, n: int) -> np.ndarray:

@@ -55,10 +55,10 @@ def test_probabilities_sum_to_one():
 
 def test_vocabulary_grows_with_the_corpus(spark):
     def shape(n):
-        counts = spark.createDataFrame([(i * 7 + 1, i % lm.CLASSES, max(1, 20000 // (i + 1))) for i in range(n)] + [(lm._END_HASH, -1, 5)], "token long, cls int, n long")
+        counts = spark.createDataFrame([(i * 7 + 1, i % lm.CLASSES, max(1, 80000 // (i + 1))) for i in range(n)] + [(lm._END_HASH, -1, 5)], "token long, cls int, n long")
         return lm._coder(counts, lm._hot(counts)).shape
 
-    assert [shape(n).grouped for n in (500, 2000, 4000)] == [0, 2000 - lm.VOCABULARY, 2500 - lm.VOCABULARY]
+    assert [shape(n).grouped for n in (500, 2000, 4000)] == [0, 2000 - lm.VOCABULARY, 80000 // lm.USES - lm.VOCABULARY]
 
 
 def test_contexts_stop_at_texts():
@@ -74,6 +74,7 @@ def test_scores_equal_the_learned_tables_however_rows_lie(spark, monkeypatch):
     monkeypatch.setattr(lm, "LESSON", 8_000)
     monkeypatch.setattr(lm, "VOCABULARY", 30)
     monkeypatch.setattr(lm, "GROUP", 8)
+    monkeypatch.setattr(lm, "USES", 8)
     texts = [None, "", "UNSEEN word", *sentences(300, 3)]
     docs = fx.documents(spark, texts)
     learned, train = [], lm.train_model
