@@ -35,9 +35,9 @@ from cadenza.llm.store import keep, shared_folder
 from cadenza.llm.words import U64, Words, chunks
 
 #: Words of the first step; classes of words without vectors; vector size.
-VOCABULARY, CLASSES, SIZE = 960, 63, 16
+VOCABULARY, CLASSES, SIZE = 128, 63, 16
 #: Uses from which a word has vectors; words of a group.
-USES, GROUP = 32, 512
+USES, GROUP = 32, 256
 END = 0
 #: Bound of the broadcast counts, and of the words with vectors.
 HOT = 200_000
@@ -45,11 +45,11 @@ FOLDS, HELD_OUT = 7, 2
 #: Learning: tokens of a step, noise tokens that a step shares, rate and its least share, tokens after which it is halved.
 STEP, NOISE, RATE, LEAST, HALF = 4096, 128, 0.1, 0.1, 2_000_000
 #: Expected tokens of a lesson, and rounds. Texts of one hash may make a lesson larger; from MOST tokens on it goes on as another.
-LESSON, MOST, ROUNDS = 4_000_000, 8_000_000, 3
+LESSON, MOST, ROUNDS = 2_000_000, 4_000_000, 3
 #: Tasks that learn in a round, if there are as many lessons.
 TASKS = 20_000
-#: Rows of the model that travel together; contexts normalised at a time.
-BLOCK, SLICE = 1024, 4096
+#: Rows of the model that travel together; tokens scored at a time, and those of them whose scores fit a cache.
+BLOCK, SLICE, CACHED = 1024, 1 << 16, 128
 _END_HASH = 0x1E3D
 
 
@@ -228,30 +228,49 @@ class Model:
         to = getattr(self, name)
         to[row] += (rate * g / np.sqrt(self.sums[name][row])[:, None]).reshape(len(row), *to.shape[1:])
 
-    def _normaliser(self, hat: np.ndarray, a: int, b: int) -> np.ndarray:
+    def _first_normaliser(self, shape: Shape, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The logarithm of the summed exponentials of all outcomes of the first step.
+
+        The score of an outcome is a part by each context token, so its exponential is a
+        product: exponentials are taken for the distinct tokens, and products summed.
+        """
+        q, parts = self.Q[: shape.first].T, []
+        for k, (token, bias) in enumerate(((one, 0), (two, self.b[: shape.first]))):
+            distinct, place = np.unique(token, return_inverse=True)
+            x = (self.R[distinct] * self.C[k]) @ q
+            x += bias
+            top = x.max(axis=1, keepdims=True)
+            x -= top
+            parts.append((np.exp(x, out=x), top[:, 0], place))
+        (x, x_top, i), (y, y_top, j) = parts
+        total = np.concatenate([np.einsum("ij,ij->i", x[i[at : at + CACHED]], y[j[at : at + CACHED]]) for at in range(0, len(i), CACHED)])
+        return np.log(total) + x_top[i] + y_top[j]
+
+    def _group_normaliser(self, hat: np.ndarray, a: int, b: int) -> np.ndarray:
         """The logarithm of the summed exponentials of the scores of rows a to b, for each context."""
-        out = np.empty(len(hat))
-        for at in range(0, len(hat), SLICE):
-            scores = hat[at : at + SLICE] @ self.Q[a:b].T
+        out, q = np.empty(len(hat)), self.Q[a:b].T
+        for at in range(0, len(hat), CACHED):
+            scores = hat[at : at + CACHED] @ q
             scores += self.b[a:b]
             top = scores.max(axis=1, keepdims=True)
             scores -= top
-            out[at : at + SLICE] = np.log(np.exp(scores, out=scores).sum(axis=1)) + top[:, 0]
+            out[at : at + CACHED] = np.log(np.exp(scores, out=scores).sum(axis=1)) + top[:, 0]
         return out
 
     def log_probabilities(self, shape: Shape, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Logarithms of the chance of the first step's outcome and, for words of groups, of the word in its group."""
-        contexts, place = np.unique(one * shape.rows + two, return_inverse=True)
-        context = self.R[contexts // shape.rows] * self.C[0] + self.R[contexts % shape.rows] * self.C[1]
-        hat, upper = context[place], shape.upper(target)
+        if len(target) > SLICE:
+            cuts = range(0, len(target), SLICE)
+            return np.concatenate([self.log_probabilities(shape, *(x[at : at + SLICE] for x in (one, two, target))) for at in cuts])
+        hat, upper = self.R[one] * self.C[0] + self.R[two] * self.C[1], shape.upper(target)
         score = lambda h, t: np.einsum("ij,ij->i", h, self.Q[t]) + self.b[t]
-        out = score(hat, upper) - self._normaliser(context, 0, shape.first)[place]
+        out = score(hat, upper) - self._first_normaliser(shape, one, two)
         inner = np.flatnonzero(target >= shape.first)
         inner = inner[np.argsort(target[inner], kind="stable")]
         group = upper[inner] - shape.groups_at
         for part in np.split(inner, np.flatnonzero(np.diff(group)) + 1) if len(inner) else ():
             a = shape.first + int(upper[part[0]] - shape.groups_at) * shape.group
-            out[part] += score(hat[part], target[part]) - self._normaliser(hat[part], a, min(a + shape.group, shape.rows))
+            out[part] += score(hat[part], target[part]) - self._group_normaliser(hat[part], a, min(a + shape.group, shape.rows))
         return out
 
 
@@ -304,24 +323,29 @@ def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray,
         start, noise = shared.value
         upper, inner = draws.value
         model, rng = Model.of(start), np.random.Generator(np.random.PCG64(11))
-        one, two = _contexts(ids)
         for at in range(0, len(ids), STEP):
-            s = slice(at, at + STEP)
+            back = min(at, 2)
+            own = ids[at - back : at + STEP].astype(np.int64)
+            one, two, target = (x[back:] for x in (*_contexts(own), own))
             drawn = np.minimum(np.searchsorted(upper, rng.random(NOISE)), shape.first - 1)
-            steps = [(slice(None), shape.upper(ids[s]), drawn)]
-            if len(grouped := np.flatnonzero(ids[s] >= shape.first)):
+            steps = [(slice(None), shape.upper(target), drawn)]
+            if len(grouped := np.flatnonzero(target >= shape.first)):
                 drawn = np.minimum(np.searchsorted(inner, rng.random(NOISE) * inner[-1]), shape.grouped - 1)
-                steps.append((grouped, ids[s][grouped], shape.first + drawn))
-            model.learn(one[s], two[s], steps, noise, RATE * max(LEAST, 1 / (1 + (seen + at) / HALF)))
+                steps.append((grouped, target[grouped], shape.first + drawn))
+            model.learn(one, two, steps, noise, RATE * max(LEAST, 1 / (1 + (seen + at) / HALF)))
         return model.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved = None
         for batch in batches:
             for blob in batch.column(0):
-                ids = np.frombuffer(blob.as_buffer(), "<u4").astype(np.int64)
-                own = (learned(ids).astype(np.float64) - shared.value[0]) * len(ids)
-                moved = own if moved is None else moved + own
+                ids = np.frombuffer(blob.as_buffer(), "<u4")
+                own = learned(ids) - shared.value[0].astype(np.float64)
+                own *= len(ids)
+                if moved is None:
+                    moved = own
+                else:
+                    moved += own
         if moved is not None:
             at = np.flatnonzero(moved.any(axis=1)).astype("<i8")
             cuts = np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1) if len(at) else []
