@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import MIN_LANE_SCORE, NULL_SCORE
+from cadenza.operators.graph import components
 from cadenza.schemas import ASSIGNMENT
 
 
@@ -60,28 +62,53 @@ def _columns(grid: np.ndarray) -> np.ndarray:
     return column
 
 
+def _parts(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least of n nodes that each hangs together with by edges (left, right)."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, left, low[right])
+        np.minimum.at(low, right, low[left])
+        low = low[low]
+        if np.array_equal(low, before):
+            return low
+
+
 def assign_lane(video: np.ndarray, audio: np.ndarray, score: np.ndarray) -> list[tuple]:
-    """(video, audio or None, pair_score, assigned) of each video of one lane's pairs; ties go by video and audio."""
+    """(video, audio or None, pair_score, assigned, cost) of each video of one lane's pairs; ties go by video and audio.
+
+    A pair below the null choice is never taken, so videos and audios fall into parts that
+    only pairs at least as good join, and each part is solved by itself. A negative audio
+    stands for no pair, with the best score that a video's other pairs have.
+    """
     videos, i = np.unique(video, return_inverse=True)
     audios, j = np.unique(audio, return_inverse=True)
-    grid = np.zeros((len(videos), len(audios)))
-    np.maximum.at(grid, (i, j), score)
-    out = []
-    for k, c in enumerate(_columns(grid)):
-        real = c < len(audios)
-        value = float(grid[k, c] if real else grid[k].max())
-        good = bool(real and value >= MIN_LANE_SCORE)
-        out.append((videos[k], audios[c] if good else None, value, good))
-    return out
+    best = np.zeros(len(videos))
+    np.maximum.at(best, i, score)
+    taken, value = np.full(len(videos), -1), best.copy()
+    strong = np.flatnonzero((score >= NULL_SCORE) & (audio >= 0))
+    part = _parts(len(videos) + len(audios), i[strong], j[strong] + len(videos))[i[strong]]
+    order = strong[np.argsort(part, kind="stable")]
+    for own in np.split(order, np.flatnonzero(np.diff(np.sort(part))) + 1) if len(order) else ():
+        rows, r = np.unique(i[own], return_inverse=True)
+        cols, c = np.unique(j[own], return_inverse=True)
+        grid = np.zeros((len(rows), len(cols)))
+        np.maximum.at(grid, (r, c), score[own])
+        column = _columns(grid)
+        real = np.flatnonzero(column < len(cols))
+        taken[rows[real]], value[rows[real]] = cols[column[real]], grid[real, column[real]]
+    good = (taken >= 0) & (value >= MIN_LANE_SCORE)
+    cost = 1 - np.where(taken >= 0, value, NULL_SCORE)
+    return [(videos[k], audios[taken[k]] if good[k] else None, float(value[k]), bool(good[k]), float(cost[k])) for k in range(len(videos))]
 
 
 def _ranks(names: pa.Array) -> np.ndarray:
     """The place of each name among the distinct ones in order."""
-    coded = names.dictionary_encode()
+    coded = names.dictionary_encode()  # null has no code
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return rank[coded.indices.to_numpy()]
+    return np.append(rank, -1)[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
 
 
 def _solved(rows: pa.Table, heads: np.ndarray, keys: list[str]) -> pa.RecordBatch:
@@ -89,30 +116,47 @@ def _solved(rows: pa.Table, heads: np.ndarray, keys: list[str]) -> pa.RecordBatc
     rows = rows.combine_chunks()
     video, audio = (_ranks(rows.column(c).combine_chunks()) for c in ("video", "audio"))
     score = rows.column("pair_score").to_numpy()
-    at, with_, value, good = [], [], [], []
+    at, with_, value, good, cost = [], [], [], [], []
     for a, b in zip(heads, [*heads[1:], len(score)], strict=True):
-        for v, x, s, g in assign_lane(video[a:b], audio[a:b], score[a:b]):
+        for v, x, s, g, c in assign_lane(video[a:b], audio[a:b], score[a:b]):
             own = a + int(np.argmax(video[a:b] == v))
             at.append(own)
             with_.append(a + int(np.argmax(audio[a:b] == x)) if g else None)
             value.append(s)
             good.append(g)
+            cost.append(c)
     lanes = rows.take(pa.array(at, pa.int64()))
     audios = rows.column("audio").combine_chunks().take(pa.array(with_, pa.int64()))
-    columns = [*(lanes.column(c).combine_chunks() for c in (*keys, "video")), audios, pa.array(value, pa.float64()), pa.array(good, pa.bool_())]
-    return pa.RecordBatch.from_arrays(columns, names=[*keys, "video", "audio", "pair_score", "assigned"])
+    columns = [*(lanes.column(c).combine_chunks() for c in (*keys, "video")), audios, pa.array(value, pa.float64()), pa.array(good, pa.bool_()), pa.array(cost, pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, names=[*keys, "video", "audio", "pair_score", "assigned", "cost"])
 
 
-def assign(pairs: DataFrame, *within: str) -> DataFrame:
-    """ASSIGNMENT rows, with ``within`` before them, from pairs (*within, lane, video, audio, pair_score).
+def _split(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs with part: what hangs together by pairs that beat the null choice; other rows have their video's, or one of their own."""
+    node = lambda c: F.struct(*keys, F.lit(c).alias("side"), F.col(c).cast("string").alias("name"))
+    strong = pairs.where((F.col("pair_score") >= NULL_SCORE) & F.col("audio").isNotNull())
+    found = components(strong.select(node("video").alias("a"), node("audio").alias("b")))
+    rows = pairs.withColumn("node", node("video")).join(found, "node", "left")
+    return rows.withColumn("part", F.xxhash64(F.coalesce("component", "node"))).drop("node", "component")
 
-    A lane of some dozens of clips is solved in memory, lanes side by side; names stay in
-    Arrow, the solver sees numbers.
+
+def assign(pairs: DataFrame, *within: str, large: bool = False, costs: bool = False) -> DataFrame:
+    """ASSIGNMENT rows, with ``within`` before them, from pairs (*within, lane, video, audio, pair_score); with costs also what each choice costs.
+
+    A row without an audio keeps a video that no pair is given of, with the best score of
+    those left out. Lanes are solved in memory, side by side, part by part of what pairs
+    above the null choice join; names stay in Arrow, the solver sees numbers. With large,
+    lanes are split into those parts over Spark tables first, so that a task holds the
+    pairs of a part and not of a lane.
     """
     keys = [*within, "lane"]
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in (*within, "lane", "video", "audio")}
     head = "".join(f"`{c}` {kinds[c]}, " for c in within)
     schema = head + ASSIGNMENT.replace("lane int", f"lane {kinds['lane']}").replace("video string", f"video {kinds['video']}").replace("audio string", f"audio {kinds['audio']}")
+    schema += ", cost double"
+    rows = pairs.select(*keys, "video", "audio", "pair_score")
+    groups = [*keys, "part"] if large else keys
+    rows = _split(rows, keys) if large else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -122,7 +166,7 @@ def assign(pairs: DataFrame, *within: str) -> DataFrame:
                 continue
             turn = np.zeros(len(rows), bool)
             turn[0] = True
-            for c in keys:
+            for c in groups:
                 code = rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 turn[1:] |= code[1:] != code[:-1]
             heads = np.flatnonzero(turn)
@@ -132,5 +176,10 @@ def assign(pairs: DataFrame, *within: str) -> DataFrame:
         if held is not None:
             yield _solved(held, np.zeros(1, np.int64), keys)
 
-    sorted_ = pairs.select(*keys, "video", "audio", "pair_score").repartition(*keys).sortWithinPartitions(*keys, "video")
-    return sorted_.mapInArrow(run, schema)
+    return rows.repartition(*groups).sortWithinPartitions(*groups, "video").mapInArrow(run, schema).drop(*(() if costs else ("cost",)))
+
+
+def lane_costs(pairs: DataFrame, *within: str) -> DataFrame:
+    """(*within, lane, videos, cost): what the assignment of each lane costs in all, 1 - NULL_SCORE for a video left to the null choice."""
+    rows = assign(pairs, *within, costs=True)
+    return rows.groupBy(*within, "lane").agg(F.count(F.lit(1)).alias("videos"), F.sum("cost").alias("cost"))

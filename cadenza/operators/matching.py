@@ -15,6 +15,34 @@ def duration_pairs(audio: DataFrame, video: DataFrame, lane: str = "lane") -> Da
     return audio.join(video, lane).select(lane, "audio", "video", score.alias("duration_score"), gap.alias("gap"))
 
 
+def near_pairs(audio: DataFrame, video: DataFrame, *lane: str) -> DataFrame:
+    """The pairs of duration_pairs whose lengths differ by MAX_GAP_SECONDS at most, by a join of buckets that long.
+
+    Any other pair has a duration score of 0, so a pair score below the null choice: it is
+    never assigned. An audio meets its own bucket and both neighbours; unlike lengths never
+    meet, however many clips a lane has.
+    """
+    lane = lane or ("lane",)
+    bucket = lambda c: F.floor(F.col(c) / S.MAX_GAP_SECONDS)
+    around = audio.withColumn("_bucket", F.explode(F.array(*(bucket("audio_s") + k for k in (-1, 0, 1)))))
+    met = around.join(video.withColumn("_bucket", bucket("video_s")), [*lane, "_bucket"])
+    score, gap = S.duration_score(F.col("audio_s"), F.col("video_s"))
+    return met.withColumn("duration_score", score).withColumn("gap", gap).where(F.col("gap") <= S.MAX_GAP_SECONDS).drop("_bucket")
+
+
+def far_scores(audio: DataFrame, video: DataFrame, waveform: float, *session: str) -> DataFrame:
+    """video's rows with a null audio and pair_score: the best of their pairs that near_pairs leaves out, 0 without such.
+
+    Their duration score is 0, so it is the same for all of one waveform score, and whether
+    there is one the shortest and longest audio of a session say.
+    """
+    ends = audio.groupBy(*session).agg(F.min("audio_s").alias("_least"), F.max("audio_s").alias("_most"))
+    far = (F.col("video_s") - F.col("_least") > S.MAX_GAP_SECONDS) | (F.col("_most") - F.col("video_s") > S.MAX_GAP_SECONDS)
+    score = F.when(far, S.pair_score(F.lit(0.0), F.lit(waveform))).otherwise(0.0)
+    rows = video.join(ends, list(session))
+    return rows.select(*video.columns, F.lit(None).cast(audio.schema["audio"].dataType).alias("audio"), score.alias("pair_score"))
+
+
 def take_confidence(assignments: DataFrame) -> DataFrame:
     """(audio, videos, confidence): count and mean pair score of what is assigned."""
     return assignments.where("assigned").groupBy("audio").agg(F.count(F.lit(1)).alias("videos"), F.avg("pair_score").alias("confidence"))

@@ -53,17 +53,47 @@ def signature(samples: DataFrame, window: int = WINDOW, trim: bool = True, trim_
     return zscore(envelope, "v")
 
 
+#: Products of lengths above which a sliding product goes by FFT, and the least block of it.
+DIRECT, BLOCK = 1 << 20, 1 << 14
+
+
+def sliding_products(long: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """The product of short with each stretch of long that is as long, in order.
+
+    Small ones are summed directly; others by overlap-save: blocks of long, each with as
+    much of the next one as short is long, are transformed once, multiplied, and give the
+    products that lie whole in the block. Memory is that of a block and the result.
+    """
+    n, m = len(long), len(short)
+    if n * m <= DIRECT or m < 64:
+        return np.correlate(long, short, "valid")
+    size = max(BLOCK, 1 << (4 * m - 1).bit_length())
+    size = min(size, 1 << (n - 1).bit_length())
+    spectrum = np.conj(np.fft.rfft(short, size))
+    step = size - m + 1
+    out = np.empty(n - m + 1)
+    for at in range(0, n - m + 1, step):
+        block = np.fft.irfft(np.fft.rfft(long[at : at + size], size) * spectrum, size)
+        take = min(step, n - m + 1 - at)
+        out[at : at + take] = block[:take]
+    return out
+
+
 def sliding_similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """(score, seconds): the best normalised product of the shorter series with a stretch of the longer; the seconds have no sign."""
+    """(score, seconds): the best normalised product of the shorter series with a stretch of the longer; the seconds have no sign.
+
+    Energies of stretches are differences of one prefix sum. Scores that rounding alone
+    tells apart count as equal, and the first of them stands.
+    """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     norm = float(np.sqrt(np.dot(short, short))) if len(short) else 0.0
     if norm < 1e-6:
         return 0.0, 0.0
-    products = np.correlate(long, short, "valid")
+    products = sliding_products(long, short)
     squares = np.concatenate(([0.0], np.cumsum(long * long)))
     norms = np.sqrt(np.maximum(squares[len(short) :] - squares[: -len(short)], 1e-12))
     scores = np.where(norms > 1e-6, products / (norm * norms), 0.0)
-    at = int(np.argmax(scores))
+    at = int(np.argmax(scores >= scores.max() - 1e-12))
     return float(np.clip(scores[at], 0, 1)), at / SIGNATURE_HZ
 
 

@@ -491,6 +491,12 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.groupBy("day", "series").agg(F.sort_array(F.collect_list(F.struct("win", F.coalesce("n", F.lit(0.0)).alias("n")))).alias("x")).select("day", "series", F.transform("x", lambda r: r["n"]).alias("values"))
 
 
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, win, v): the days of _daily one after the other."""
+    rows = _daily(spark, sf_dir).select("series", F.col("day").alias("d"), F.posexplode("values").alias("h", "v"))
+    return rows.select("series", (F.row_number().over(Window.partitionBy("series").orderBy("d", "h")) - 1).alias("win"), "v")
+
+
 def _day_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _daily(spark, sf_dir)
     other = rows.select("day", F.col("series").alias("other"), F.col("values").alias("v"))
@@ -526,11 +532,22 @@ def ncc_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.pair_similarity(pairs, "values", "v").select("day", "series", "other", r6("waveform_score").alias("waveform_score"))
 
 
-@query(f"""WITH {_DAILY_SQL}, c AS (SELECT a.day, a.series, b.series AS other, sum(a.n * b.n) AS c FROM f a JOIN f b ON a.day = b.day AND a.h = b.h AND a.series < b.series GROUP BY ALL)
-SELECT c.day::VARCHAR AS day, c.series, c.other, round(least(1.0, c / (x.norm * y.norm)), 6) AS waveform_score, 0.0::DOUBLE AS estimated_offset_seconds
-FROM c JOIN norms x ON x.day = c.day AND x.series = c.series JOIN norms y ON y.day = c.day AND y.series = c.other""")
+@query(f"""WITH RECURSIVE {_DAILY_SQL},
+t AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY day, h) - 1 AS i, n FROM f),
+cut AS (SELECT series, 100 AS i0, 150 AS m FROM (SELECT DISTINCT series FROM t)),
+w AS (SELECT t.series, t.i - c.i0 AS i, t.n FROM t JOIN cut c ON c.series = t.series AND t.i >= c.i0 AND t.i < c.i0 + c.m),
+wn AS (SELECT series, sqrt(sum(n * n)) AS norm, max(i) + 1 AS m FROM w GROUP BY 1),
+size AS (SELECT series, max(i) + 1 AS n FROM t GROUP BY 1),
+lags AS (SELECT l.series, s.series AS other, unnest(range(0, l.n - s.m + 1)) AS lag FROM size l JOIN wn s ON l.series <> s.series),
+slid AS (SELECT g.series, g.other, g.lag, sum(a.n * b.n) AS c, sqrt(sum(a.n * a.n)) AS norm FROM lags g JOIN w b ON b.series = g.other JOIN t a ON a.series = g.series AND a.i = b.i + g.lag GROUP BY ALL),
+best AS (SELECT slid.*, CASE WHEN slid.norm > 1e-6 THEN c / (slid.norm * wn.norm) ELSE 0 END AS score FROM slid JOIN wn ON wn.series = slid.other)
+SELECT series, other, round(least(1.0, score), 6) AS waveform_score, round(lag / 20.0, 6) AS estimated_offset_seconds FROM best QUALIFY row_number() OVER (PARTITION BY series, other ORDER BY round(score, 9) DESC, lag) = 1""")
 def ncc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.pair_similarity(_day_pairs(spark, sf_dir), "values", "v").withColumn("waveform_score", r6("waveform_score"))
+    """150 hours of one type's events, from the hundredth on, along all hours of another's."""
+    rows = signal.as_arrays(_hourly(spark, sf_dir))
+    other = rows.select(F.col("series").alias("other"), F.slice("values", 101, 150).alias("v"))
+    found = signal.pair_similarity(rows.join(other, F.col("series") != F.col("other")), "values", "v")
+    return found.select("series", "other", r6("waveform_score").alias("waveform_score"), r6("estimated_offset_seconds").alias("estimated_offset_seconds"))
 
 
 # ---- vectors and lanes
@@ -574,19 +591,34 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.silhouette(_views(spark, sf_dir), "vec_id", "label", "embedding", "session").withColumn("silhouette", r6("silhouette"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_VIEWS_SQL},
+s AS (SELECT session, count(*) OVER (PARTITION BY session) AS n, vec_id, vec_id AS c FROM e
+UNION ALL SELECT s.session, s.n - 1, s.vec_id, CASE WHEN s.c = m.b THEN m.a ELSE s.c END
+FROM s JOIN (SELECT * FROM (SELECT x.session, x.c AS a, y.c AS b, avg(d.d) AS mean FROM s x JOIN s y ON y.session = x.session AND x.c < y.c JOIN d ON d.session = x.session AND d.a = x.vec_id AND d.b = y.vec_id
+             GROUP BY x.session, x.c, y.c) QUALIFY row_number() OVER (PARTITION BY session ORDER BY mean, a, b) = 1) m ON m.session = s.session)
+SELECT session, n::INT AS lane_count, vec_id, dense_rank() OVER (PARTITION BY session, n ORDER BY c)::INT AS lane FROM s WHERE n <= {grouping.MAX_LANES}""")
 def linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.lanes(_views(spark, sf_dir), "session", "vec_id", "embedding", list(range(1, grouping.MAX_LANES + 1)))
 
 
-def _lane_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+WAVEFORM = 0.8
+
+
+def _lane_media(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Customers' orders as audios, their line items as videos, line numbers as lanes."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), F.format_string("a-%09d", "o_orderkey").alias("audio"), (F.col("o_totalprice") / 1000).alias("audio_s"), "o_orderkey")
     items = table(spark, sf_dir, "lineitem").join(orders.select("session", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         "session", F.col("l_linenumber").alias("lane"), F.format_string("v-%09d-%d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("video"), (F.col("l_extendedprice") / 200).alias("video_s"),
     )
-    pairs = orders.join(items, "session")
-    return pairs.select("session", "lane", "video", "audio", S.pair_score(S.duration_score(F.col("audio_s"), F.col("video_s"))[0], F.lit(0.8)).alias("pair_score"))
+    return orders.drop("o_orderkey"), items
+
+
+def _lane_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of alike lengths, and a row for each video with the best score of its others."""
+    orders, items = _lane_media(spark, sf_dir)
+    near = matching.near_pairs(orders, items, "session")
+    near = near.select("session", "lane", "video", "audio", S.pair_score(F.col("duration_score"), F.lit(WAVEFORM)).alias("pair_score"))
+    return near.unionByName(matching.far_scores(orders, items, WAVEFORM, "session").select("session", "lane", "video", "audio", "pair_score"))
 
 
 @query()
@@ -594,6 +626,35 @@ def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.assign(_lane_pairs(spark, sf_dir), "session").withColumn("pair_score", r6("pair_score"))
 
 
+@query("""WITH RECURSIVE a AS (SELECT o_custkey * 10000 + year(o_orderdate) AS session, o_orderkey AS audio, o_totalprice / 1000 AS audio_s FROM orders),
+v AS (SELECT o_custkey * 10000 + year(o_orderdate) AS session, l_linenumber AS lane, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate), l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS k, l_extendedprice / 200 AS video_s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+w AS (SELECT session, audio, audio_s, row_number() OVER (PARTITION BY session ORDER BY audio) - 1 AS bit FROM a),
+gaps AS (SELECT v.session, lane, k, bit, audio_s - video_s AS delta FROM v JOIN w ON w.session = v.session),
+costs AS (SELECT session, lane, k, 1 << bit::INT AS used, 1 - (0.65 * CASE WHEN abs(delta) > 240 THEN 0 WHEN delta BETWEEN -45 AND 75 THEN 1 - least(abs(delta) / 120, 0.35)
+          ELSE greatest(0.0, 0.65 - (CASE WHEN delta > 75 THEN delta - 75 ELSE abs(delta) - 45 END) / 120) END + 0.35 * 0.8) AS cost FROM gaps),
+choices AS (SELECT * FROM costs UNION ALL SELECT session, lane, k, 0, 0.6 FROM v),
+best AS (SELECT session, lane, 0::BIGINT AS k, 0 AS used, 0.0::DOUBLE AS cost FROM v GROUP BY session, lane
+UNION ALL SELECT b.session, b.lane, c.k, b.used | c.used, min(b.cost + c.cost) FROM best b JOIN choices c ON c.session = b.session AND c.lane = b.lane AND c.k = b.k + 1 AND b.used & c.used = 0 GROUP BY ALL),
+n AS (SELECT session, lane, max(k) AS videos FROM v GROUP BY ALL)
+SELECT b.session, b.lane, n.videos, round(min(cost) * 48e6)::BIGINT AS cost FROM best b JOIN n ON n.session = b.session AND n.lane = b.lane AND n.videos = b.k GROUP BY ALL""")
+def lane_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the best assignment of each lane costs in all, a customer's year being a session: the same for all best ones.
+
+    In parts of which each pair's cost is a whole number. The SQL goes through the sets of
+    audios that are used so far, video by video.
+    """
+    year = lambda c: F.col(c) * 10000
+    orders = table(spark, sf_dir, "orders").select((year("o_custkey") + F.year("o_orderdate")).alias("session"), F.col("o_orderkey").alias("audio"), (F.col("o_totalprice") / 1000).alias("audio_s"), F.col("o_orderkey").alias("l_orderkey"))
+    item = F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    items = table(spark, sf_dir, "lineitem").join(orders.select("session", "l_orderkey"), "l_orderkey").select("session", F.col("l_linenumber").alias("lane"), item.alias("item"), (F.col("l_extendedprice") / 200).alias("video_s"))
+    number = F.row_number().over(Window.partitionBy("session", "lane").orderBy("item"))
+    items = items.withColumn("video", number).drop("item")
+    near = matching.near_pairs(orders.drop("l_orderkey"), items, "session").withColumn("pair_score", S.pair_score(F.col("duration_score"), F.lit(WAVEFORM)))
+    columns = ["session", "lane", "video", "audio", "pair_score"]
+    rows = near.select(*columns).unionByName(matching.far_scores(orders.drop("l_orderkey"), items, WAVEFORM, "session").select(*columns))
+    return assign.lane_costs(rows, "session").select("session", "lane", "videos", F.round(F.col("cost") * 48e6).cast("long").alias("cost"))
+
+
 def _plan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sessions of embeddings as videos, with five suppliers' balances for each as audios."""
     views = _views(spark, sf_dir)

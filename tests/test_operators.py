@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from cadenza.functions import color, vectors
 from cadenza.functions import scalars as S
-from cadenza.operators import assign, clusters, coverage, layout, matching, order, rules, signal
+from cadenza.operators import assign, clusters, coverage, graph, layout, matching, order, rules, signal
 from cadenza.plans import grouping
 from cadenza.sources import media, sinks
 from cadenza.streaming import events as stream
@@ -192,9 +192,43 @@ def test_assignment_equals_permutations():
             assert len(set(col.tolist())) == n and math.isclose(cost[np.arange(n), col].sum(), best, abs_tol=1e-9)
             video, audio = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
             out = assign.assign_lane(video, audio, score.ravel())
-            assert all(ok == (a is not None) and (not ok or s >= 0.56) for _, a, s, ok in out)
-            used = [a for _, a, _, ok in out if ok]
-            assert len(used) == len(set(used))
+            assert all(ok == (a is not None) and (not ok or s >= 0.56) for _, a, s, ok, _ in out)
+            used = [a for _, a, _, ok, _ in out if ok]
+            assert len(used) == len(set(used)) and math.isclose(sum(x[4] for x in out), best, abs_tol=1e-9)
+
+
+def test_band_join_and_split_lanes(spark):
+    """What is assigned does not change by leaving out pairs of unlike lengths, nor by splitting lanes over tables; and few pairs are shipped."""
+    rng = random.Random(8)
+    audios = [(s, f"a{k}", rng.uniform(0, 9000)) for s in "xy" for k in range(60)]
+    videos = [(s, lane, f"{lane}-{k}", rng.uniform(-50, 9000)) for s in "xy" for lane in (1, 2) for k in range(40)] + [("x", 3, "3-0", 9_999.0), ("x", 3, "3-1", 200.0)]
+    a, v = spark.createDataFrame(audios, "session string, audio string, audio_s double"), spark.createDataFrame(videos, "session string, lane int, video string, video_s double")
+    score = S.pair_score(F.col("duration_score"), F.lit(0.5)).alias("pair_score")
+    keys = ["session", "lane", "video", "audio"]
+    every = a.join(v, "session").withColumn("duration_score", S.duration_score(F.col("audio_s"), F.col("video_s"))[0]).select(*keys, score)
+    near = matching.near_pairs(a, v, "session")
+    wanted = {(s, x, y) for s, x, p in audios for t, _, y, q in videos if s == t and abs(p - q) <= 240}
+    assert sorted((r.session, r.audio, r.video) for r in near.collect()) == sorted(wanted)
+    bucket = lambda x: math.floor(x / 240)
+    shipped = sum(s == t and abs(bucket(p) - bucket(q)) <= 1 for s, _, p in audios for t, _, _, q in videos)
+    assert shipped < 0.1 * every.count()
+    rows = near.select(*keys, score).unionByName(matching.far_scores(a, v, 0.5, "session").select(*keys, "pair_score"))
+    told = lambda df: sorted((r.session, r.lane, r.video, r.audio or "", round(r.pair_score, 9), r.assigned) for r in df.collect())
+    want = told(assign.assign(every, "session"))
+    assert len(want) == len(videos) and sum(r[-1] for r in want) > 60
+    assert told(assign.assign(rows, "session")) == want == told(assign.assign(rows, "session", large=True))
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000)]
+    low = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for x, y in edges:
+            low[x] = low[y] = min(low[x], low[y])
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == low
+    assert graph.components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
 def test_silhouette_and_spread(spark):
