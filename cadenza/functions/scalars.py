@@ -157,8 +157,18 @@ def edit_audio_action(needed: Column, exists: Column, valid: Column, dry_run: bo
     return F.when(~needed, "reuse-source").when(~exists, make("generate")).when(valid, "reuse-existing").otherwise(make("regenerate"))
 
 
-def library_record(name: Column, path: Column) -> Column:
-    return F.concat_ws(":", name, path, F.lit("*"), F.lit(""), F.lit(""), F.lit("DISK"))
+def library_record(name: Column, path: Column, kind: Column | None = None) -> Column:
+    return F.concat_ws(":", name, path, F.lit("*"), F.lit(""), F.lit(""), F.lit("DISK") if kind is None else kind)
+
+
+# Folders below a storage root.
+STORAGE_FOLDERS = {"cache": "CacheClip", "gallery": ".gallery", "project_backups": "Resolve Project Backups"}
+
+
+def storage_folders(root: Column) -> Column:
+    """The folders that a storage root holds, by what they are for."""
+    base = F.regexp_replace(root, "/+$", "")
+    return F.create_map(*(x for use, name in STORAGE_FOLDERS.items() for x in (F.lit(use), F.concat_ws("/", base, F.lit(name)))))
 
 
 def take_name(position: Column) -> Column:

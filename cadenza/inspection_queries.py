@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.operators import inspection, layout, order, rules
+from cadenza.functions import scalars as S
+from cadenza.operators import coverage, inspection, layout, order, rules
 from cadenza.plans import grouping
 from cadenza.queries import _EVIDENCE_SQL, _INGEST_SQL, _evidence, _ingest, query, table
 
@@ -346,3 +347,60 @@ def issue_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def moved_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("take"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("name"), "l_quantity")
     return inspection.moved_whole(rows, rows.where("l_quantity > 2"), "take")
+
+
+_RELOAD_SQL = """o AS (SELECT o_custkey AS session, o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS take_id, o_orderstatus AS value, l.hi, l.lo FROM orders
+  LEFT JOIN (SELECT l_orderkey, max(l_linestatus) AS hi, min(l_linestatus) AS lo FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey),
+side AS (SELECT session, key, value IS DISTINCT FROM hi AS was, value IS DISTINCT FROM lo AS still FROM o),
+changes AS (SELECT session, NULL AS take_id, 'resolve_setting_drift' AS code, key AS subject, 'warn' AS severity, CASE WHEN was AND still THEN 'same' WHEN was THEN 'gone' ELSE 'new' END AS change, 1 AS issues FROM side WHERE was OR still
+  UNION ALL SELECT c_custkey, NULL, 'resolve_project_missing', 'project', 'fail', CASE WHEN c_acctbal < 0 AND c_custkey % 2 = 0 THEN 'same' WHEN c_acctbal < 0 THEN 'gone' ELSE 'new' END, 1 FROM customer WHERE c_acctbal < 0 OR (c_custkey % 10 = 0))"""
+
+
+def _reloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as sessions and their orders as settings, inspected twice: by the greatest and by the least status of their items."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("value"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linestatus").alias("hi"), F.min("l_linestatus").alias("lo"))
+    rows = orders.join(items, "l_orderkey", "left").withColumn("key", F.col("l_orderkey").cast("string"))
+    expected = rows.select("session", "key", "value")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session"), "c_acctbal")
+    late = (F.col("c_acctbal") < 0, ((F.col("c_acctbal") < 0) & (F.col("session") % 2 == 0)) | ((F.col("c_acctbal") >= 0) & (F.col("session") % 10 == 0)))
+    none = spark.createDataFrame([], "session long, name string")
+    found = []
+    for side, gone in zip(("hi", "lo"), late, strict=True):
+        observed = rows.where(F.col(side).isNotNull()).select("session", "key", F.col(side).alias("value"))
+        drift = inspection.drift_issues((expected, observed), (none, none), none, none, none)
+        lost = customers.where(gone).select("session", F.lit(None).cast("string").alias("take_id"), F.lit("resolve_project_missing").alias("code"), F.lit("project").alias("subject"), F.lit("fail").alias("severity"))
+        found.append(drift.unionByName(lost))
+    return found[0], found[1]
+
+
+@query(f"WITH {_RELOAD_SQL} SELECT * FROM changes")
+def reload_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspection.reload_changes(*_reloads(spark, sf_dir)).withColumn("issues", F.col("issues").cast("int"))
+
+
+@query(f"""WITH {_RELOAD_SQL}, per AS (SELECT session, max(CASE severity WHEN 'fail' THEN 2 ELSE 1 END) FILTER (change <> 'gone') AS rank, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'gone') AS gone, count(*) FILTER (change = 'same') AS same FROM changes GROUP BY 1)
+SELECT c_custkey AS session, c_nationkey <> 7 AS reloaded, CASE WHEN c_nationkey = 7 OR rank = 2 THEN 'FAIL' WHEN rank = 1 THEN 'WARN' ELSE 'PASS' END AS status, coalesce(new, 0) AS new, coalesce(gone, 0) AS gone, coalesce(same, 0) AS same
+FROM customer LEFT JOIN per ON session = c_custkey""")
+def reload_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session"), (F.col("c_nationkey") != 7).alias("reloaded"))
+    return inspection.reload_status(sessions, inspection.reload_changes(*_reloads(spark, sf_dir)))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, floor(l_quantity * 30)::BIGINT - 60 AS frames, CASE WHEN l_returnflag <> 'N' THEN l_extendedprice / 1000 - 3 END AS seconds, CASE WHEN l_linestatus = 'F' THEN 25.0 WHEN l_returnflag = 'R' THEN 0.0 END AS rate FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN frames > 0 THEN least(frames - 1, greatest(0, CASE WHEN seconds IS NULL THEN frames // 2 ELSE round_even(seconds * coalesce(nullif(rate, 0), 29.97), 0)::BIGINT END)) END AS frame FROM c""")
+def still_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("frames", F.floor(F.col("l_quantity") * 30) - 60)
+    seconds = F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice") / 1000 - 3)
+    rate = F.when(F.col("l_linestatus") == "F", 25.0).when(F.col("l_returnflag") == "R", 0.0)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", inspection.still_frame(F.col("frames"), seconds=seconds, rate=rate).alias("frame"))
+
+
+@query("""WITH cur AS (SELECT n_name AS name, '/media/' || n_nationkey AS path, CASE WHEN n_nationkey % 2 = 0 THEN 'DISK' ELSE 'NET' END AS kind FROM nation), new AS (SELECT r_name AS name, '/media/' || r_regionkey AS path, 'DISK' AS kind FROM region)
+SELECT name || ':' || path || ':*:::' || kind AS record FROM (SELECT * FROM new UNION ALL SELECT * FROM cur WHERE kind <> 'DISK' OR (name NOT IN (SELECT name FROM new) AND path NOT IN (SELECT path FROM new)))""")
+def disk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = lambda c: F.concat(F.lit("/media/"), c)
+    cur = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), path("n_nationkey").alias("path"), F.when(F.col("n_nationkey") % 2 == 0, "DISK").otherwise("NET").alias("kind"))
+    new = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), path("r_regionkey").alias("path"), F.lit("DISK").alias("kind"))
+    rows = coverage.replace_records(cur, new, ["name", "path"], "kind")
+    return rows.select(S.library_record(F.col("name"), F.col("path"), F.col("kind")).alias("record"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.storage import written
+
 
 def missing_cells(cells: DataFrame, row: str, col: str) -> DataFrame:
     """(row, col) pairs of the grid of all rows and all columns that are not in cells.
@@ -74,12 +76,13 @@ def upsert(current: DataFrame, new: DataFrame, key: str = "key", value: str = "v
     return out.select(key, F.coalesce("_new", "_old").alias(value), (F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old"))).alias("changed"))
 
 
-def replace_records(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """new rows, and those of current that agree with none of them in any of keys."""
-    rest = current
+def replace_records(current: DataFrame, new: DataFrame, keys: list[str], kind: str | None = None, only: str = "DISK") -> DataFrame:
+    """new rows, and those of current that agree with none of them in any of keys; with kind, a column, records of other kinds than ``only`` always stay."""
+    rest = current if kind is None else current.where(F.col(kind) == only)
     for key in keys:  # one equi-join for each key; an OR of keys would compare all pairs
         rest = rest.join(new.select(key).distinct(), key, "left_anti")
-    return rest.unionByName(new)
+    others = [] if kind is None else [current.where(~F.col(kind).eqNullSafe(only))]
+    return reduce(DataFrame.unionByName, [rest, *others, new])
 
 
 def stale_names(rows: DataFrame, name: str, order: str, used: DataFrame | None = None) -> DataFrame:
@@ -103,17 +106,19 @@ def first_seen(rows: DataFrame, value: str, position: str) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, root: int | str, key: str = "id", parent: str = "parent") -> DataFrame:
-    """(key, depth) of a tree's nodes below root, level by level, until a level is empty.
+    """(key, depth) of a tree's nodes below root.
 
-    A node that has been met does not count again, so a cycle ends where it closes; the
-    root itself is none of its descendants.
+    Ways upward double in length each round, so a tree of n levels takes log2 n joins, each
+    of written tables. Of several ways to a node the shortest counts; nodes whose ways go
+    round in a circle are not below the root, and the root is none of its descendants.
     """
-    edges = nodes.where(~F.col(key).eqNullSafe(F.lit(root)))
-    level = edges.where(F.col(parent) == root).select(key, F.lit(1).alias("depth")).distinct()
-    met = level.limit(0)
-    while not level.isEmpty():
-        met = met.unionByName(level)
-        up = level.select(F.col(key).alias("_up"), F.col("depth").alias("_d"))
-        below = edges.join(up, F.col(parent) == F.col("_up")).select(key, (F.col("_d") + 1).alias("depth")).distinct()
-        level = below.join(met.select(key), key, "left_anti").select(key, "depth")
-    return met
+    edges = nodes.where(F.col(parent).isNotNull() & ~F.col(key).eqNullSafe(F.lit(root))).select(F.col(key).alias("node"), F.col(parent).alias("up"), F.lit(1).alias("depth")).distinct()
+    ways = written(edges)
+    n, reach = ways.select("node").distinct().count(), 1
+    at_root = F.col("up") == F.lit(root)
+    while reach < n and not ways.where(~at_root).isEmpty():  # a shortest way visits no node twice
+        on = ways.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        longer = ways.where(~at_root).join(on, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        ways = written(ways.where(at_root).unionByName(longer).distinct())
+        reach *= 2
+    return ways.where(at_root).groupBy(F.col("node").alias(key)).agg(F.min("depth").alias("depth"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import scalars as S
 from cadenza.operators import layout
 
 START_TIMECODE = "00:00:00;00"
@@ -181,9 +182,23 @@ def still_issues(clips: DataFrame, files: DataFrame, rendered: DataFrame) -> Dat
     return _issue(lost, "still_source_missing", clip, F.col("take_id")).unionByName(_issue(failed, "still_render_failed", clip, F.col("take_id")))
 
 
-def still_frame(frames: Column, share: float = 0.5) -> Column:
-    """The index of a clip's frame at a share of its length, inside the clip; null without frames."""
-    return F.when(frames > 0, F.least(F.greatest(F.floor(frames * share), F.lit(0)), frames - 1))
+FRAME_RATE = 29.97
+
+
+def still_frame(frames: Column, share: float = 0.5, seconds: Column | None = None, rate: Column | None = None) -> Column:
+    """The index of a clip's frame: at a time, if there is one, else at a share of its length; inside the clip, and null without frames.
+
+    A time takes the frame that it rounds to, halves to the even one; a rate that is
+    unknown or 0 counts as FRAME_RATE.
+    """
+    last = frames - 1
+    inside = lambda i: F.least(F.greatest(i, F.lit(0)), last)
+    index = inside(F.floor(frames * share))
+    if seconds is not None:
+        known = F.coalesce(F.nullif(rate, F.lit(0.0)), F.lit(FRAME_RATE)) if rate is not None else F.lit(FRAME_RATE)
+        index = F.when(seconds.isNotNull(), inside(F.rint(seconds * known).cast("long"))).otherwise(index)
+        return F.when((frames > 0) & (known > 0), index)
+    return F.when(frames > 0, index)
 
 
 def matched_files(clips: DataFrame, files: DataFrame) -> DataFrame:
@@ -216,3 +231,30 @@ def moved_whole(expected: DataFrame, moved: DataFrame, *keys: str) -> DataFrame:
 def issue_total(*stages: DataFrame) -> DataFrame:
     """(session, issues): issues of all stages together."""
     return reduce(DataFrame.unionByName, (s.select("session") for s in stages)).groupBy("session").agg(F.count(F.lit(1)).alias("issues"))
+
+
+def reload_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(session, take_id, code, subject, severity, change, issues): issues of two inspections, told apart by what they are.
+
+    change is new, gone or same; the severity is that of the later inspection, of what is
+    gone that of the earlier; issues counts those of one identity, which may be found more
+    than once, in the inspection that the severity comes from.
+    """
+    key = ["session", "take_id", "code", "subject"]
+    rows = before.select(*key, "severity", F.lit(0).alias("later")).unionByName(after.select(*key, "severity", F.lit(1).alias("later")))
+    rank = F.when(F.col("severity") == "fail", 2).when(F.col("severity") == "warn", 1).otherwise(0)
+    told = rows.groupBy(*key).agg(*(f(F.when(F.col("later") == k, x)).alias(f"{n}{k}") for k in (0, 1) for n, f, x in (("n", F.count, F.lit(1)), ("rank", F.max, rank))))
+    later = F.col("n1") > 0
+    severity = F.element_at(F.array(*(F.lit(x) for x in ("info", "warn", "fail"))), F.when(later, F.col("rank1")).otherwise(F.col("rank0")) + 1)
+    change = F.when(~later, "gone").when(F.col("n0") == 0, "new").otherwise("same")
+    return told.select(*key, severity.alias("severity"), change.alias("change"), F.when(later, F.col("n1")).otherwise(F.col("n0")).alias("issues"))
+
+
+def reload_status(sessions: DataFrame, changes: DataFrame) -> DataFrame:
+    """(session, reloaded, status, new, gone, same) of (session, reloaded): a session that did not load again fails, whatever was found before; else its later issues decide."""
+    rank = F.when(F.col("severity") == "fail", 2).when(F.col("severity") == "warn", 1).otherwise(0)
+    count = lambda c: F.coalesce(F.sum(F.when(F.col("change") == c, F.col("issues"))), F.lit(0)).alias(c)
+    per = changes.groupBy("session").agg(F.max(F.when(F.col("change") != "gone", rank)).alias("rank"), *(count(c) for c in ("new", "gone", "same")))
+    rows = sessions.join(per, "session", "left")
+    worst = F.when(~F.col("reloaded"), 2).otherwise(F.coalesce("rank", F.lit(0)))
+    return rows.select("session", "reloaded", S.status(worst).alias("status"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("new", "gone", "same")))

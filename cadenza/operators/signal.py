@@ -53,6 +53,29 @@ def signature(samples: DataFrame, window: int = WINDOW, trim: bool = True, trim_
     return zscore(envelope, "v")
 
 
+def envelope_array(samples: np.ndarray, window: int) -> np.ndarray:
+    """rms_envelope's values of one series held as an array."""
+    whole = len(samples) // window * window
+    rows = samples[:whole].reshape(-1, window) if whole else samples[None, :]
+    return np.sqrt(np.mean(np.square(rows, dtype=float), axis=1)) if len(samples) else np.zeros(0)
+
+
+def trimmed_array(samples: np.ndarray, window: int = TRIM_WINDOW) -> np.ndarray:
+    """The samples between trim_bounds."""
+    envelope = envelope_array(samples, window)
+    if not len(envelope):
+        return samples
+    loud = np.flatnonzero(envelope >= max(TRIM_FLOOR, float(np.quantile(envelope, TRIM_QUANTILE)) * TRIM_SHARE))
+    return samples[max(0, (loud[0] - 1) * window) : (loud[-1] + 2) * window] if len(loud) else samples
+
+
+def signature_array(samples: np.ndarray, trim: bool = True, window: int = WINDOW) -> np.ndarray:
+    """signature's values of one series held as an array."""
+    v = np.log1p(20 * envelope_array(trimmed_array(samples) if trim else samples, window))
+    std = float(v.std()) if len(v) else 0.0
+    return np.zeros(len(v)) if std < 1e-6 else (v - v.mean()) / std
+
+
 #: Products of lengths above which a sliding product goes by FFT, and the least block of it.
 DIRECT, BLOCK = 1 << 20, 1 << 14
 

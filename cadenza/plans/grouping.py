@@ -119,16 +119,21 @@ def planned_sources(takes: DataFrame, buckets: DataFrame) -> DataFrame:
 def plan_issues(audios: DataFrame, videos: DataFrame, takes: DataFrame, buckets: DataFrame) -> DataFrame:
     """(session, code, severity, subject) of a plan's assets, takes and buckets.
 
-    A session with media of one kind only has no other issue. Media that a take uses count
-    neither as excluded nor as unresolved.
+    A session with media of one kind only has no other issue, and where videos come with
+    descriptors, neither has one without any. Media that a take uses count neither as
+    excluded nor as unresolved.
     """
     named = lambda rows, code, severity, subject: rows.select("session", F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.alias("subject"))
     a, v = audios.select("session").distinct(), videos.select("session").distinct()
-    whole = a.join(v, "session", "left_semi")
+    whole, parts = a.join(v, "session", "left_semi"), ()
+    if "descriptor" in videos.columns:
+        seen = videos.where("descriptor is not null").select("session").distinct()
+        parts = (named(whole.join(seen, "session", "left_anti"), "lane_clustering_failed", "fail", F.lit("plan")),)
+        whole = whole.join(seen, "session", "left_semi")
     per = takes.groupBy("session", "take_id").agg(F.count(F.lit(1)).alias("videos"), F.max("confidence").alias("confidence"))
     used = takes.select("session", F.explode(F.array("audio", "video")).alias("source")).distinct()
     rest = buckets.join(used, ["session", "source"], "left_anti").join(whole, "session", "left_semi")
-    parts = (
+    parts += (
         named(v.join(a, "session", "left_anti"), "incoming_audio_missing", "fail", F.lit("plan")), named(a.join(v, "session", "left_anti"), "incoming_video_missing", "fail", F.lit("plan")),
         named(whole.join(takes.select("session"), "session", "left_anti"), "grouping_failed", "fail", F.lit("plan")),
         named(rest.where("bucket = 'unresolved'").select("session").distinct(), "unresolved_media_present", "warn", F.lit("plan")),

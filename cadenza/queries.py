@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions import color, vectors
+from cadenza.functions import color, vectors, views
 from cadenza.functions import scalars as S
 from cadenza.operators import assign, clusters, coverage, layout, matching, order, rules, signal
 from cadenza.plans import grouping
@@ -676,6 +676,15 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.plan(*_plan_inputs(spark, sf_dir))[0]
 
 
+@query()
+def view_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as grey frames of 8 x 8, one for each video; their descriptors make the lanes."""
+    level = lambda x: F.least(F.lit(127), F.greatest(F.lit(-128), F.floor(x * 400))).cast("tinyint")
+    frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("video"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", level).alias("grey"))
+    found = views.descriptors(frames).withColumn("session", F.floor(F.col("video") / VECTORS_PER_SESSION))
+    return clusters.lanes(found, "session", "video", "descriptor", list(range(1, grouping.MAX_LANES + 1)))
+
+
 # ---- pixels
 
 

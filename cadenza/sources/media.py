@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as S
+from cadenza.operators import signal
+from cadenza.operators.signal import SAMPLE_RATE
 from cadenza.schemas import PROBE
+from cadenza.sources import sound
 
 # What counts as audio and video, and the names that a master audio goes by.
 AUDIO_SUFFIXES = (".wav", ".aiff", ".aif", ".flac")
@@ -127,35 +132,29 @@ def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("path", F.from_json("json", schema).alias("document"))
 
 
-def pcm_frames(content: bytes) -> bytes:
-    """The 16-bit samples in a RIFF file's data chunk, or all bytes of one without a header; other formats, and nothing at all, are errors."""
-    if not content:
-        raise ValueError("no samples")
-    if content[:4] == b"FORM":
-        raise ValueError("AIFF needs a decoder")
-    if content[:4] != b"RIFF":
-        return content
-    if content[8:12] != b"WAVE":
-        raise ValueError("no WAVE file")
-    at, fmt = 12, None
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
-        body = content[at + 8 : at + 8 + size]
-        if name == b"fmt ":
-            fmt = (int.from_bytes(body[:2], "little"), int.from_bytes(body[2:4], "little"), int.from_bytes(body[14:16], "little"))
-        if name == b"data":
-            if fmt is None or fmt[0] not in (1, 0xFFFE) or fmt[1:] != (1, 16):
-                raise ValueError(f"not mono 16-bit PCM: {fmt}")
-            return body
-        at += 8 + size + size % 2
-    raise ValueError("no data chunk")
-
-
-def pcm_samples(files: DataFrame, rate_share: float = 32768.0) -> DataFrame:
-    """(series, idx, v) of mono little-endian 16-bit samples in (path, content), raw or in WAVE files, a row for each sample."""
+def pcm_samples(files: DataFrame, raw_rate: int = SAMPLE_RATE) -> DataFrame:
+    """(series, idx, v) of the sound in (path, content) at SAMPLE_RATE, a row for each sample: for short files; ``signatures`` needs no such rows."""
 
     @F.pandas_udf("array<float>")
     def decode(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: np.frombuffer((x := pcm_frames(b))[: len(x) // 2 * 2], "<i2").astype("float32") / rate_share)
+        return content.map(lambda b: sound.resampled(sound.opened(b, raw_rate), SAMPLE_RATE))
 
     return files.select(F.col("path").alias("series"), F.posexplode(decode("content")).alias("idx", "v"))
+
+
+def signatures(files: DataFrame, trim: bool = True, raw_rate: int = SAMPLE_RATE) -> DataFrame:
+    """(path, sample_rate, channels, seconds, signature) of the sound in (path, content); signature is the z-scored logarithmic envelope, of the trimmed sound or of all.
+
+    A file is decoded, resampled and reduced where it is read; no sample leaves the task. One
+    file's samples at SAMPLE_RATE must fit it, 160 MB an hour.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                own = sound.opened(batch.column(1)[i].as_py() or b"", raw_rate)
+                found = signal.signature_array(sound.resampled(own, SAMPLE_RATE), trim)
+                columns = [batch.column(0).slice(i, 1), pa.array([own.rate], pa.int32()), pa.array([own.channels], pa.int32()), pa.array([len(own) / own.rate]), pa.array([found.astype(np.float32)], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "sample_rate", "channels", "seconds", "signature"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, sample_rate int, channels int, seconds double, signature array<float>")

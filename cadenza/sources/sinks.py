@@ -51,8 +51,23 @@ def handoff(takes: DataFrame, cameras: DataFrame) -> DataFrame:
     return takes.select("take_id", F.coalesce("edit_audio", "master_audio").alias("edit_audio")).join(own, "take_id", "left")
 
 
-def append_log(spark: SparkSession, path: str, rows: DataFrame) -> None:
+def append_log(spark: SparkSession, path: str, rows: DataFrame) -> str | None:
+    """Add rows to a log of JSON lines; a log with a line that is none is begun afresh, and lies beside it under the name that is given back."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    moved = None
+    if system.exists(files):
+        told = F.from_json("value", f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, _damaged string", {"columnNameOfCorruptRecord": "_damaged"})
+        lines = spark.read.text(path).where("trim(value) <> ''")
+        if not lines.where(told["_damaged"].isNotNull()).isEmpty():
+            n = 1
+            while system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.damaged-{n}")):
+                n += 1
+            moved = f"{path}.damaged-{n}"
+            if not system.rename(files, spark._jvm.org.apache.hadoop.fs.Path(moved)):
+                raise OSError(f"{path} is damaged and cannot be moved to {moved}")
     rows.write.mode("append").json(path)
+    return moved
 
 
 def staged(moves: list[tuple[str, str]], then: Callable[[], None]) -> None:

@@ -117,13 +117,33 @@ def test_names_in_use_cycles_and_samples(spark):
     assert {(r.n, r.target) for r in coverage.stale_names(rows, "name", "n", used).collect()} == {(1, "f-stale-2"), (2, "f-stale-4"), (3, "f-stale-5"), (4, "g-stale")}
     tree = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 2), (5, 9)], "id int, parent int")
     assert {tuple(r) for r in coverage.descendants(tree, 1).collect()} == {(2, 1), (3, 2), (4, 2)}
-    body = struct.pack("<3h", 0, 16384, -32768)
-    fmt = struct.pack("<HHIIHH", 1, 1, 48000, 96000, 2, 16)
-    wave = b"RIFF" + struct.pack("<I", 0) + b"WAVE" + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", 6) + body + b"junk"
-    assert media.pcm_frames(wave) == body == media.pcm_frames(body)
-    for bad in (b"", b"FORMxxxxAIFF", wave.replace(b"data", b"dat_"), wave.replace(fmt, struct.pack("<HHIIHH", 1, 2, 48000, 96000, 4, 16))):
-        with pytest.raises(ValueError):
-            media.pcm_frames(bad)
+    chain = spark.createDataFrame([(k + 1, k) for k in range(500)] + [(9_000, 9_001), (9_001, 9_000), (400, 398)], "id int, parent int")
+    want = {(k, k if k < 400 else k - 1) for k in range(1, 501)}
+    assert {tuple(r) for r in coverage.descendants(chain, 0).collect()} == want
+
+
+def test_reload_changes(spark):
+    kind = "session string, take_id string, code string, subject string, severity string"
+    before = spark.createDataFrame([("s", None, "a", "x", "warn"), ("s", "t", "b", "y", "fail"), ("u", None, "c", "z", "fail")], kind)
+    after = spark.createDataFrame([("s", None, "a", "x", "fail"), ("s", None, "a", "x", "warn"), ("s", "t", "d", "y", "info"), ("v", None, "c", "z", "warn")], kind)
+    changes = inspection.reload_changes(before, after)
+    assert {tuple(r) for r in changes.collect()} == {("s", None, "a", "x", "fail", "same", 2), ("s", "t", "b", "y", "fail", "gone", 1), ("u", None, "c", "z", "fail", "gone", 1), ("s", "t", "d", "y", "info", "new", 1), ("v", None, "c", "z", "warn", "new", 1)}
+    sessions = spark.createDataFrame([("s", True), ("u", True), ("v", True), ("w", False)], "session string, reloaded boolean")
+    assert {tuple(r) for r in inspection.reload_status(sessions, changes).collect()} == {("s", True, "FAIL", 1, 1, 2), ("u", True, "PASS", 0, 1, 0), ("v", True, "WARN", 1, 0, 0), ("w", False, "FAIL", 0, 0, 0)}
+
+
+def test_damaged_log_is_begun_afresh(spark, tmp_path):
+    path, rows = str(tmp_path / "log"), spark.createDataFrame([(1, "x")], "n int, s string")
+    assert sinks.append_log(spark, path, rows) is None and sinks.append_log(spark, path, rows) is None
+    assert spark.read.json(path).count() == 2
+    for name in (tmp_path / "log").glob("part-*.json"):
+        data = name.read_bytes()
+        if data:
+            name.write_bytes(data[:-5])  # cut off
+            (tmp_path / "log" / f".{name.name}.crc").unlink(missing_ok=True)
+    moved = sinks.append_log(spark, path, rows)
+    assert moved == f"{path}.damaged-1" and spark.read.json(path).count() == 1
+    assert sum(1 for p in (tmp_path / "log.damaged-1").glob("part-*.json") if p.stat().st_size) == 2
 
 
 def test_rules_of_single_rows(spark):
