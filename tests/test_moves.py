@@ -50,7 +50,7 @@ def test_a_crash_between_any_two_steps(tmp_path):
             moves.apply_moves(str(root), MOVES, FILES, crash_at(n))
         except Crash:
             for again in range(n % 4):  # the recovery breaks off too
-                with pytest.raises(Crash) if again < 0 else _maybe():
+                with contextlib.suppress(Crash):
                     moves.recover(str(root), crash_at(again))
             moves.recover(str(root))
             assert state(root) in (old, DONE), n
