@@ -20,10 +20,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import IO, NamedTuple
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.store import keep, shared_folder
@@ -43,6 +44,8 @@ LEVEL = 1
 READ = 1 << 16
 #: Tasks that files are dealt to at most.
 TASKS = 20_000
+#: Places in which the records of one digest, or those that revisit one record, meet it.
+SALTS = 16
 ARCHIVE_DATE = "20240101000000"
 
 
@@ -164,8 +167,9 @@ def arc_record(url: str | None, block: bytes, version: int, date: str = ARCHIVE_
     return f"{_field(url)} 0.0.0.0 {date} {middle} {len(block)}\n".encode() + block + b"\n"
 
 
-def http_message(page_id: int | None, payload: bytes) -> bytes:
-    own = b"" if page_id is None else b"X-Page-Id: %d\r\n" % page_id
+def http_message(page_id: object, payload: bytes) -> bytes:
+    """A response with the page's id, as text, in a header of its own; what a header line can't hold is percent-encoded."""
+    own = b"" if page_id is None else f"X-Page-Id: {quote(str(page_id))}\r\n".encode()
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
 
 
@@ -250,6 +254,20 @@ def read_warc(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, data.read(int(headers["content-length"]))
 
 
+def _as_text(page_id: Column, kind: str) -> Column:
+    return F.hex(page_id) if kind == "binary" else page_id.cast("string")
+
+
+def _from_text(page_id: Column, kind: str) -> Column:
+    return F.unhex(page_id) if kind == "binary" else page_id.cast(kind)
+
+
+def _spread(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined with groups, which have one row for each key; the rows of a key meet it in SALTS places."""
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("file", "offset"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
@@ -267,7 +285,8 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
         files.close()
         yield _rows([(name,) for name in files.names], pa.schema([("file", pa.string())]))
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, "file string")
+    told = _as_text(F.col(id_col), pages.schema[id_col].dataType.simpleString()).alias("page_id")
+    return pages.select(told, url_col, html_col).mapInArrow(run, "file string")
 
 
 def _apart(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -276,8 +295,8 @@ def _apart(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 
 
 def scan_arc(files: DataFrame) -> DataFrame:
-    """(file, offset, page_id, bytes, digest) of the records of ARC files."""
-    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("bytes", pa.int64()), ("digest", pa.string())])
+    """(file, offset, page_id, bytes, digest) of the records of ARC files; ids as text."""
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.string()), ("bytes", pa.int64()), ("digest", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,23 +306,24 @@ def scan_arc(files: DataFrame) -> DataFrame:
                     for r in read_arc(stream):
                         headers, _, payload = split_http(r.block) if r.block.startswith(b"HTTP/") else ({}, b"", r.block)
                         page_id = headers.get("x-page-id")
-                        rows.append((file, r.offset, None if page_id is None else int(page_id), len(payload), _digest(payload)))
+                        rows.append((file, r.offset, None if page_id is None else unquote(page_id), len(payload), _digest(payload)))
                 yield _rows(rows, schema)
 
-    return _apart(files).mapInArrow(run, "file string, offset long, page_id long, bytes long, digest string")
+    return _apart(files).mapInArrow(run, "file string, offset long, page_id string, bytes long, digest string")
 
 
-def convert(files: DataFrame, folder: str) -> DataFrame:
-    """(file): the WARC files made of ARC files.
+def convert(files: DataFrame, folder: str, kind: str = "bigint") -> DataFrame:
+    """(file): the WARC files made of ARC files; page ids are of a kind.
 
     Of the records with one payload digest and at least REVISIT_BYTES the one with the
     largest page id stays a response (rows that repeat that id do too); the others become
     revisits of it.
     """
-    records = keep(scan_arc(files), folder)
+    records = scan_arc(files)
+    records = keep(records.withColumn("page_id", _from_text(F.col("page_id"), kind)), folder)
     large = records.where(F.col("bytes") >= REVISIT_BYTES)
     first = large.groupBy("digest").agg(F.max(F.struct("page_id", "file", "offset")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = large.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("file", "offset", F.col("first.file").alias("to_file"), F.col("first.offset").alias("to_offset"))
+    marked = _spread(large, first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("file", "offset", F.col("first.file").alias("to_file"), F.col("first.offset").alias("to_offset"))
     # every file has a row, whether it has revisits or none
     todo = files.select("file", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("string").alias("to_file"), F.lit(None).cast("long").alias("to_offset")).unionByName(marked)
 
@@ -343,8 +363,8 @@ def convert(files: DataFrame, folder: str) -> DataFrame:
 
 
 def scan_warc(files: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, record_id, refers) of the records of WARC files, without warcinfo."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers", pa.string())])
+    """(file, offset, page_id, payload_bytes, payload_digest, record_type, record_id, refers) of the records of WARC files, without warcinfo; ids as text."""
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,10 +381,10 @@ def scan_warc(files: DataFrame) -> DataFrame:
                         if kind != "revisit" and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"{file}: a payload does not fit its digest")
                         page_id = headers.get("x-page-id")
-                        rows.append((None if page_id is None else int(page_id), size, digest, kind, warc["warc-record-id"], warc.get("warc-refers-to")))
+                        rows.append((file, len(rows), None if page_id is None else unquote(page_id), size, digest, kind, warc["warc-record-id"], warc.get("warc-refers-to")))
                 yield _rows(rows, schema)
 
-    return _apart(files).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers string")
+    return _apart(files).mapInArrow(run, "file string, offset long, page_id string, payload_bytes long, payload_digest string, record_type string, record_id string, refers string")
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -372,13 +392,17 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     The pages go to ARC files, those through the converter, and the WARC files are read.
     A null html is an empty payload; a null url leaves its record without target, a null
-    page id without number, below all others. Rows that repeat a page are records each.
+    page id without one, below all others; ids may be of any type that text can spell, and
+    come back as that type. Rows that repeat a page are records each.
     Pages of any length are written and read whole, one record at a time. Other columns
     are ignored; an empty table makes no files and gives no rows.
     """
-    folder = shared_folder(pages.sparkSession)
+    folder, kind = shared_folder(pages.sparkSession), pages.schema[id_col].dataType.simpleString()
     arcs = keep(write_arc(pages, f"{folder}/arc", id_col, url_col, html_col), folder)
-    rows = keep(scan_warc(convert(arcs, f"{folder}/warc")), folder)
-    targets = rows.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
+    rows = scan_warc(convert(arcs, f"{folder}/warc", kind))
+    rows = keep(rows.withColumn("page_id", _from_text(F.col("page_id"), kind)), folder)
     wanted = rows.where("refers is not null").select("refers").distinct()
-    return rows.join(targets.join(wanted, "refers", "left_semi"), "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    targets = rows.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to")).join(wanted, "refers", "left_semi")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    whole = rows.where("refers is null").select(*columns, F.lit(None).cast(kind).alias("refers_to"))
+    return whole.unionByName(_spread(rows.where("refers is not null"), targets, "refers").select(*columns, "refers_to"))

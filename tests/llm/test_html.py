@@ -1,4 +1,6 @@
 import random
+import time
+from html.parser import HTMLParser
 
 from cadenza.llm import html
 
@@ -103,3 +105,91 @@ def test_rows(spark):
     out = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in out) == [("1", "x", 1), ("1", "x", 1), ("None", "", 0)]
     assert html.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_text_in_forms_asides_and_cells_stays():
+    a, b = f"{TEXT} a. " * 4, f"{TEXT} b. " * 4
+    a, b = a.strip(), b.strip()
+    assert html.extract(f"<body><form id=aspnetForm><div class=page><p>{a}</p><p>{b}</p></div></form></body>") == f"{a}\n\n{b}"
+    assert html.extract(f"<body><aside><p>Side.</p><div><article><p>{a}</p></article></div></body>") == a
+    for page in (
+        f"<table><tr><td><p>{a}</p></td><td><p>{b}</p></td></tr></table>", f"<table><tr><td><p>{a}</p></td><td><div><p>{b}</p></div></td></tr></table>",
+        f"<div><div><div><p>{a}</p></div></div><div><p>{b}</p></div></div>", f"<div><p>{a}</p></div><div><div><div><p>{b}</p></div></div></div>",
+    ):
+        assert html.extract(PAGE % page) == f"{a}\n\n{b}", page
+    links = "<ul><li><a href=1>Source one</a><li><a href=2>Source two</a><li><a href=3>Source three</a></ul>"
+    assert html.extract(PAGE % f"<article><p>{a}</p>{links}<blockquote>Said.<footer>By me</footer></blockquote></article>") == f"{a}\n\nSource one\n\nSource two\n\nSource three\n\nSaid.\n\nBy me"
+    others = f'<section class=discussion><div class=user-post><p>{TEXT}</p></div></section><div class=feedback><p>{TEXT}</p></div><div class="google-ads-slot"><p>{TEXT}</p></div>'
+    assert html.extract(f"<article><p>{a}</p></article>{others}") == a
+    assert html.extract(f"<article><p>{a}</p>{others}</article>") == a
+
+
+def test_unclosed_tags_take_no_longer():
+    began = time.perf_counter()
+    assert html.extract("<span>" * 20_000 + "<p>text</p>" + "</i>" * 20_000) == "text"
+    assert html.extract("<div><span><b>" * 60_000 + "word, " * 1000 + "</i></p></li>" * 30_000 + "<p>" * 20_000) == ("word, " * 1000).strip()
+    assert time.perf_counter() - began < 6
+
+
+def plain(page):
+    """Another scorer: the smallest element that holds most of the text which stands in paragraphs and not in links, by one count over a tree of dicts."""
+    skip = {"nav", "script", "style", "footer", "aside", "form"}
+    root = {"tag": "root", "attrs": {}, "children": []}
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.at = [root]
+
+        def handle_starttag(self, tag, attrs):
+            own = {"tag": tag, "attrs": dict(attrs), "children": []}
+            self.at[-1]["children"].append(own)
+            self.at.append(own)
+
+        def handle_endtag(self, tag):
+            self.at.pop()
+
+        def handle_data(self, data):
+            self.at[-1]["children"].append(data)
+
+    Tree().feed(page)
+    gone = lambda e: e["tag"] in skip or "role" in e["attrs"] or any(w in f"{e['attrs'].get('class', '')} {e['attrs'].get('id', '')}" for w in ("sidebar", "related", "comment", "cookie")) and "content" not in e["attrs"].get("class", "")
+
+    def size(e, linked=False):
+        if isinstance(e, str):
+            return 0 if linked else len(e.strip())
+        return 0 if gone(e) else sum(size(c, linked or e["tag"] == "a") for c in e["children"])
+
+    at = root
+    while True:
+        inner = [c for c in at["children"] if not isinstance(c, str) and size(c) > 0.9 * size(at) and c["tag"] not in ("p", "ul", "li", "h2", "blockquote")]
+        if not inner:
+            break
+        at = inner[0]
+    out = []
+
+    def walk(e):
+        if gone(e) and e is not at:
+            return
+        texts = [c for c in e["children"] if isinstance(c, str) and c.strip()]
+        if texts and size(e):
+            out.append(" ".join("".join(texts).split()))
+        for c in e["children"]:
+            if not isinstance(c, str) and size(c):
+                walk(c)
+
+    walk(at)
+    return "\n\n".join(out)
+
+
+def test_a_plainer_scorer_agrees():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() + ("," if rng.random() < 0.12 else "") for _ in range(n)).rstrip(",") + "."
+    for _ in range(200):
+        body = "".join(f"<p>{sentence(rng.randrange(25, 90))}</p>" if rng.random() < 0.8 else f"<blockquote>{sentence(30)}</blockquote>" for _ in range(rng.randrange(3, 9)))
+        wrap = rng.choice(["<article>%s</article>", "<main>%s</main>", "<div class='content'>%s</div>", "<div>%s</div>", "<div><div><div>%s</div></div></div>"])
+        noise = rng.choice(["<div class='sidebar'>%s</div>", "<aside>%s</aside>", "<div id=comments>%s</div>", "<form>%s</form>", "<div class='cookie-notice'>%s</div>", "<footer>%s</footer>"]) % f"<p>{sentence(20)}</p>"
+        menu = f"<div>{''.join(f'<a href=/{i}>{word()} {word()}</a> ' for i in range(8))}</div>"
+        page = f"<html><body>{menu}{wrap % body}{noise}</body></html>" if rng.random() < 0.5 else f"<html><body>{noise}{wrap % body}{menu}</body></html>"
+        assert html.extract(page) == plain(page), page

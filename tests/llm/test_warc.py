@@ -86,3 +86,26 @@ def test_warc_records_round_trip():
     (info, _), (head, got) = warc.read_warc(io.BytesIO(data))
     assert info["warc-type"] == "warcinfo" and head["warc-type"] == "response" and got == block and "warc-target-uri" not in head
     assert head["warc-block-digest"] == warc._digest(block)
+
+
+def test_ids_of_any_type(spark):
+    import datetime
+    from decimal import Decimal
+
+    big = "x" * 1500
+    told = {
+        "string": ["a", "b c", "é%20\r\nX-Page-Id: z", "10", "9"], "decimal(20,2)": [Decimal("1.50"), Decimal("2.25"), Decimal("10.00"), Decimal("9.10"), Decimal("-1.00")],
+        "date": [datetime.date(2024, 1, d) for d in (1, 2, 30, 4, 5)], "int": [1, 2, 3, 4, 5], "binary": [bytearray(b) for b in (b"\x00", b"\xff\r\n", b"a", b"b", b"")],
+    }
+    for kind, ids in told.items():
+        rows = spark.createDataFrame([(i, "u", big if k < 4 else "short") for k, i in enumerate(ids)], f"page_id {kind}, url string, html string")
+        out = warc.archive(rows)
+        assert out.schema["page_id"].dataType == out.schema["refers_to"].dataType == rows.schema["page_id"].dataType
+        first = max(ids[:4])
+        assert sorted(((str(r.page_id), r.record_type, str(r.refers_to)) for r in out.collect())) == sorted((str(i), "response" if k == 4 or i == first else "revisit", "None" if k == 4 or i == first else str(first)) for k, i in enumerate(ids)), kind
+
+
+def test_one_digest_in_half_of_all_rows(spark):
+    rows = [(i, "u", "error, not found. " * 80 if i % 2 else f"page {i} " * 200) for i in range(400)]
+    got = [tuple(r) for r in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()]
+    assert sorted(got, key=str) == brute(rows)
