@@ -95,7 +95,7 @@ def test_ids_of_any_type(spark):
     big = "x" * 1500
     told = {
         "string": ["a", "b c", "é%20\r\nX-Page-Id: z", "10", "9"], "decimal(20,2)": [Decimal("1.50"), Decimal("2.25"), Decimal("10.00"), Decimal("9.10"), Decimal("-1.00")],
-        "date": [datetime.date(2024, 1, d) for d in (1, 2, 30, 4, 5)], "int": [1, 2, 3, 4, 5], "binary": [bytearray(b) for b in (b"\x00", b"\xff\r\n", b"a", b"b", b"")],
+        "date": [datetime.date(2024, 1, d) for d in (1, 2, 30, 4, 5)], "int": [1, 2, 3, 4, 5], "binary": [b"\x00", b"\xff\r\n", b"a", b"b", b""],
     }
     for kind, ids in told.items():
         rows = spark.createDataFrame([(i, "u", big if k < 4 else "short") for k, i in enumerate(ids)], f"page_id {kind}, url string, html string")
