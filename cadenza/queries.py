@@ -655,23 +655,79 @@ def lane_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.lane_costs(rows, "session").select("session", "lane", "videos", F.round(F.col("cost") * 48e6).cast("long").alias("cost"))
 
 
+AUDIOS_PER_SESSION = 5
+
+
 def _plan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sessions of embeddings as videos, with five suppliers' balances for each as audios."""
+    """Sessions of embeddings as videos; five suppliers in turn for each session as audios, as long as their balances say.
+
+    How alike the sound of a pair is comes from the product of its keys, so that no two
+    assignments are equally good.
+    """
+    suppliers = table(spark, sf_dir, "supplier")
+    n = suppliers.count()
     views = _views(spark, sf_dir)
-    videos = views.select("session", F.format_string("v-%09d", "vec_id").alias("video"), F.col("embedding").alias("descriptor"), (F.lit(200.0) + F.col("vec_id") % 97).alias("video_s"))
-    audios = views.select("session").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("session", F.format_string("a-%d", "k").alias("audio"), (F.lit(200.0) + F.col("k") * 20).alias("audio_s"))
-    pairs = audios.join(videos, "session").select("session", "video", "audio", S.pair_score(S.duration_score(F.col("audio_s"), F.col("video_s"))[0], F.lit(0.5)).alias("pair_score"))
+    videos = views.select("session", "vec_id", F.format_string("v-%09d", "vec_id").alias("video"), F.col("embedding").alias("descriptor"), (F.lit(200.0) + F.col("vec_id") % 97).alias("video_s"))
+    slots = views.select("session").distinct().withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(AUDIOS_PER_SESSION - 1))))
+    slots = slots.select("session", ((F.col("session") * AUDIOS_PER_SESSION + F.col("turn")) % n).cast("long").alias("s_suppkey"))
+    audios = slots.join(suppliers, "s_suppkey").select("session", "s_suppkey", F.format_string("a-%09d", "s_suppkey").alias("audio"), (F.lit(200.0) + F.col("s_acctbal") / 50).alias("audio_s"))
+    near = matching.near_pairs(audios, videos, "session")
+    waveform = (F.col("vec_id") + 17) * (F.col("s_suppkey") + 31) * 7919 % 100_003 / 100_003.0
+    pairs = near.select("session", "video", "audio", S.pair_score(F.col("duration_score"), waveform).alias("pair_score"))
     return audios.select("session", "audio"), videos.select("session", "video", "descriptor"), pairs
 
 
-@query()
+_PLAN_CHOICE_SQL = f"""{_VIEWS_SQL},
+s AS (SELECT session, count(*) OVER (PARTITION BY session) AS n, vec_id, vec_id AS c FROM e
+UNION ALL SELECT s.session, s.n - 1, s.vec_id, CASE WHEN s.c = m.b THEN m.a ELSE s.c END
+FROM s JOIN (SELECT * FROM (SELECT x.session, x.c AS a, y.c AS b, avg(d.d) AS mean FROM s x JOIN s y ON y.session = x.session AND x.c < y.c JOIN d ON d.session = x.session AND d.a = x.vec_id AND d.b = y.vec_id
+             GROUP BY x.session, x.c, y.c) QUALIFY row_number() OVER (PARTITION BY session ORDER BY mean, a, b) = 1) m ON m.session = s.session),
+lanes AS (SELECT session, n AS k, vec_id, c AS lane, row_number() OVER (PARTITION BY session, n, c ORDER BY vec_id) AS i FROM s WHERE n <= {grouping.MAX_LANES}),
+au AS (SELECT session, s_suppkey AS au, row_number() OVER (PARTITION BY session ORDER BY s_suppkey) - 1 AS bit, 200 + s_acctbal / 50 AS audio_s
+  FROM (SELECT DISTINCT session, (session * {AUDIOS_PER_SESSION} + unnest(range(0, {AUDIOS_PER_SESSION}))) % (SELECT count(*) FROM supplier) AS key FROM (SELECT DISTINCT session FROM e)) JOIN supplier ON s_suppkey = key),
+gap AS (SELECT e.session, vec_id, au, bit, audio_s - (200.0 + vec_id % 97) AS delta, (vec_id + 17) * (au + 31) * 7919 % 100003 / 100003.0 AS wave FROM e JOIN au ON au.session = e.session),
+pr AS (SELECT session, vec_id, au, bit, greatest(0.0, least(1.0, 0.65 * CASE WHEN abs(delta) > 240 THEN 0 WHEN delta BETWEEN -45 AND 75 THEN 1 - least(abs(delta) / 120, 0.35)
+  ELSE greatest(0.0, 0.65 - (CASE WHEN delta > 75 THEN delta - 75 ELSE abs(delta) - 45 END) / 120) END + 0.35 * wave)) AS score FROM gap),
+choices AS (SELECT l.session, l.k, l.lane, l.i, 1 << bit::INT AS used, bit::INT AS bit, 1 - score AS cost FROM lanes l JOIN pr ON pr.session = l.session AND pr.vec_id = l.vec_id UNION ALL SELECT session, k, lane, i, 0, -1, 0.6 FROM lanes),
+best AS (SELECT DISTINCT session, k, lane, 0::BIGINT AS i, 0 AS used, 0.0::DOUBLE AS cost, []::INT[] AS path FROM lanes
+UNION ALL SELECT b.session, b.k, b.lane, c.i, b.used | c.used, min(b.cost + c.cost), arg_min(list_append(b.path, c.bit), b.cost + c.cost)
+  FROM best b JOIN choices c ON c.session = b.session AND c.k = b.k AND c.lane = b.lane AND c.i = b.i + 1 AND b.used & c.used = 0 GROUP BY b.session, b.k, b.lane, c.i, b.used | c.used),
+sizes AS (SELECT session, k, lane, count(*) AS size, min(vec_id) AS first FROM lanes GROUP BY ALL),
+solved AS (SELECT z.session, z.k, z.lane, arg_min(path, cost) AS path FROM sizes z JOIN best b ON b.session = z.session AND b.k = z.k AND b.lane = z.lane AND b.i = z.size GROUP BY ALL),
+tops AS (SELECT session, vec_id, max(score) AS top FROM pr GROUP BY ALL),
+got AS (SELECT l.session, l.k, l.lane, l.vec_id, CASE WHEN pr.score >= 0.56 THEN pr.au END AS au, coalesce(pr.score, top) AS score FROM lanes l JOIN solved v ON v.session = l.session AND v.k = l.k AND v.lane = l.lane
+  JOIN tops ON tops.session = l.session AND tops.vec_id = l.vec_id LEFT JOIN pr ON pr.session = l.session AND pr.vec_id = l.vec_id AND pr.bit = v.path[l.i]),
+takes AS (SELECT session, k, au, count(*) AS n, avg(score) AS conf, count(*) BETWEEN 1 AND 8 AND avg(score) >= 0.60 AS good FROM got WHERE au IS NOT NULL GROUP BY ALL),
+tk AS (SELECT session, k, count(*) FILTER (n BETWEEN 3 AND 4 AND conf >= 0.60) AS production, count(*) FILTER (NOT (n BETWEEN 3 AND 4 AND conf >= 0.60)) AS partial, count(*) FILTER (good) AS takes,
+  coalesce(sum(n + 1) FILTER (NOT good AND NOT (n <= 2 AND conf < 0.60)), 0) AS unresolved FROM takes GROUP BY ALL),
+gt AS (SELECT session, k, coalesce(avg(score) FILTER (au IS NOT NULL), 0) AS average, count(*) FILTER (au IS NULL) AS unassigned, count(*) FILTER (au IS NULL AND score >= 0.56) AS loose FROM got GROUP BY ALL),
+far AS (SELECT x.session, x.k, x.lane, max(d.d) AS spread FROM lanes x JOIN lanes y ON y.session = x.session AND y.k = x.k AND y.lane = x.lane JOIN d ON d.session = x.session AND d.a = x.vec_id AND d.b = y.vec_id GROUP BY ALL),
+ln AS (SELECT z.session, z.k, count(*) AS lanes, count(*) FILTER (size = 1) AS single, sum(greatest(0, size - (SELECT count(*) FROM au WHERE au.session = z.session))) AS oversize, sum(greatest(0.0, coalesce(spread, 0) - 0.28)) AS spread FROM sizes z LEFT JOIN far ON far.session = z.session AND far.k = z.k AND far.lane = z.lane GROUP BY ALL),
+near AS (SELECT x.session, x.k, x.vec_id, x.lane AS own, y.lane AS other, avg(d.d) AS d FROM lanes x JOIN lanes y ON y.session = x.session AND y.k = x.k JOIN d ON d.session = x.session AND d.a = x.vec_id AND d.b = y.vec_id GROUP BY ALL),
+ab AS (SELECT session, k, vec_id, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM near GROUP BY ALL),
+sil AS (SELECT session, k, avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) < 1e-6 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab GROUP BY ALL),
+ms AS (SELECT ln.session, ln.k, 3.0 * coalesce(production, 0) + average + 0.8 * coalesce(silhouette, 0) - 1.8 * coalesce(partial, 0) - 1.6 * (coalesce(unresolved, 0) + loose) - 0.4 * unassigned - 0.35 * single - 0.15 * oversize - 1.2 * spread - 0.06 * lanes AS objective,
+  coalesce(takes, 0) AS production, coalesce(unresolved, 0) + loose AS unresolved, coalesce(silhouette, 0) AS silhouette FROM ln JOIN gt ON gt.session = ln.session AND gt.k = ln.k LEFT JOIN tk ON tk.session = ln.session AND tk.k = ln.k LEFT JOIN sil ON sil.session = ln.session AND sil.k = ln.k),
+fold AS (SELECT session, k, k AS chosen, objective, production, unresolved FROM ms WHERE k = 1
+UNION ALL SELECT m.session, m.k, CASE WHEN better THEN m.k ELSE m.chosen END, CASE WHEN better THEN m.objective ELSE m.o END, CASE WHEN better THEN m.production ELSE m.p END, CASE WHEN better THEN m.unresolved ELSE m.u END
+  FROM (SELECT m.*, f.chosen, f.objective AS o, f.production AS p, f.unresolved AS u, m.objective > f.objective + 1e-6 OR (m.objective >= f.objective - 0.15 AND m.unresolved <= f.unresolved AND m.production >= f.production) AS better
+        FROM fold f JOIN ms m ON m.session = f.session AND m.k = f.k + 1) m),
+picked AS (SELECT session, arg_max(chosen, k) AS k FROM fold GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_PLAN_CHOICE_SQL}
+SELECT ms.session, ms.k::INT AS lane_count, round(objective, 6) AS objective, production, unresolved, round(silhouette, 6) AS silhouette, picked.k IS NOT NULL AS chosen FROM ms LEFT JOIN picked ON picked.session = ms.session AND picked.k = ms.k""")
 def model_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = grouping.candidates(*_plan_inputs(spark, sf_dir)).measures
     chosen = grouping.choose(found).withColumn("chosen", F.lit(True))
     return found.join(chosen, ["session", "lane_count"], "left").select("session", "lane_count", r6("objective").alias("objective"), "production", "unresolved", r6("silhouette").alias("silhouette"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PLAN_CHOICE_SQL},
+own AS (SELECT z.session, z.lane, 'angle-' || chr((96 + row_number() OVER (PARTITION BY z.session ORDER BY first))::INT) AS label FROM sizes z JOIN picked ON picked.session = z.session AND picked.k = z.k),
+t AS (SELECT takes.session, au, conf, printf('take-%02d', row_number() OVER (PARTITION BY takes.session ORDER BY au)) AS take_id FROM takes JOIN picked ON picked.session = takes.session AND picked.k = takes.k WHERE good)
+SELECT t.session, take_id, printf('a-%09d', t.au) AS audio, printf('v-%09d', vec_id) AS video, label, round(score, 4) AS pair_score, round(conf, 4) AS confidence, CASE WHEN conf < 0.72 THEN 'take confidence is low for a production take' END AS note
+FROM t JOIN picked ON picked.session = t.session JOIN got ON got.session = t.session AND got.k = picked.k AND got.au = t.au JOIN own ON own.session = t.session AND own.lane = got.lane""")
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.plan(*_plan_inputs(spark, sf_dir))[0]
 
