@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as S
 from cadenza.operators import assign, clusters, coverage, matching
+from cadenza.storage import written
 
 MAX_LANES = 8
 # Weights of the objective, and how much worse a larger count may be.
@@ -44,9 +45,9 @@ def candidates(audios: DataFrame, videos: DataFrame, pairs: DataFrame, max_lanes
     audio, pair_score): pair scores do not depend on the count, so they are computed once.
     """
     key = ["session", "lane_count"]
-    lanes = clusters.lanes(videos, "session", "video", "descriptor", list(range(1, max_lanes + 1))).persist()
+    lanes = written(clusters.lanes(videos, "session", "video", "descriptor", list(range(1, max_lanes + 1))))
     # measures, buckets and takes all read the assignments
-    assigned = assign.assign(pairs.join(lanes, ["session", "video"]), *key).persist()
+    assigned = written(assign.assign(pairs.join(lanes, ["session", "video"]), *key))
     buckets = _buckets(audios, assigned)
     takes = assigned.where("assigned").groupBy(*key, "audio").agg(F.count(F.lit(1)).alias("n"), F.avg("pair_score").alias("confidence"))
     low, high = OBJECTIVE_VIDEOS
@@ -106,7 +107,7 @@ def plan(audios: DataFrame, videos: DataFrame, pairs: DataFrame, max_lanes: int
     takes = kept.join(numbered, ["session", "audio"]).join(labels, ["session", "lane"]).select("session", "take_id", "audio", "video", "label", F.round("pair_score", 4).alias("pair_score"), F.round("confidence", 4).alias("confidence"), S.low_confidence_note(F.col("confidence")).alias("note"))
     buckets = found.buckets.join(chosen, key).drop("lane_count")
     # issues read both several times
-    takes, buckets = takes.persist(), buckets.persist()
+    takes, buckets = written(takes), written(buckets)
     return takes, buckets, plan_issues(audios, videos, takes, buckets)
 
 
