@@ -4,10 +4,11 @@ The model predicts a token from the two before it: each context word's vector is
 by the weights of its position, and the sum is multiplied with output vectors, to which
 biases are added. Every word used at least USES times has vectors of its own, so the
 vocabulary grows with the corpus, up to the HOT words that a broadcast holds. Outputs have
-two steps, so that normalisation stays bounded: over the most frequent words, groups of
-the further ones and classes of all other words; then over the words of the group, which
-stand side by side in the order of their counts. Words without vectors fall in classes by
-their ending, inside which they share out the class by their counts.
+three steps, so that normalisation stays bounded: over the most frequent words, bundles of
+the further ones and classes of all other words; over the groups of the bundle; then over
+the words of the group. Further words stand side by side in the order of their counts.
+Words without vectors fall in classes by their ending, inside which they share out the
+class by their counts.
 
 Vectors are learned in numpy by noise-contrastive estimation, with noise for each step.
 Texts are dealt to lessons of about LESSON tokens by a hash of id and text, and lessons to
@@ -22,6 +23,7 @@ Unigram counts cover all training texts. The most frequent HOT tokens are broadc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,46 +37,70 @@ from cadenza.llm.store import keep, shared_folder
 from cadenza.llm.words import U64, Words, chunks
 
 #: Words of the first step; classes of words without vectors; vector size.
-VOCABULARY, CLASSES, SIZE = 128, 63, 16
+VOCABULARY, CLASSES, SIZE = 64, 63, 16
 #: Uses from which a word has vectors; words of a group.
-USES, GROUP = 32, 256
+USES, GROUP = 32, 128
 END = 0
 #: Bound of the broadcast counts, and of the words with vectors.
 HOT = 200_000
 FOLDS, HELD_OUT = 7, 2
 #: Learning: tokens of a step, noise tokens that a step shares, rate and its least share, tokens after which it is halved.
-STEP, NOISE, RATE, LEAST, HALF = 4096, 128, 0.1, 0.1, 2_000_000
+STEP, NOISE, RATE, LEAST, HALF = 4096, 64, 0.1, 0.1, 2_000_000
 #: Expected tokens of a lesson, and rounds. Texts of one hash may make a lesson larger; from MOST tokens on it goes on as another.
 LESSON, MOST, ROUNDS = 2_000_000, 4_000_000, 3
 #: Tasks that learn in a round, if there are as many lessons.
 TASKS = 20_000
 #: Rows of the model that travel together; tokens scored at a time, and those of them whose scores fit a cache.
-BLOCK, SLICE, CACHED = 1024, 1 << 16, 128
+BLOCK, SLICE, CACHED = 1024, 1 << 18, 256
+#: Scores below this need no shift before they become exponentials.
+PLAIN = 80.0
 _END_HASH = 0x1E3D
 
 
 class Shape(NamedTuple):
-    """Rows of the model: end, words of the first step, classes, groups; from ``first`` on the words of the groups."""
+    """Rows of the model: end, words of the first step, classes, bundles; from ``middle`` on the groups, from ``first`` on their words."""
 
     vocabulary: int
     grouped: int
     group: int
 
     @property
-    def groups_at(self) -> int:
+    def bundles_at(self) -> int:
         return 1 + self.vocabulary + CLASSES
 
+    @property
+    def groups(self) -> int:
+        return -(-self.grouped // self.group)
+
+    @property
+    def fan(self) -> int:
+        """Groups of a bundle: about as many as there are bundles."""
+        return max(1, math.isqrt(max(0, self.groups - 1)) + 1)
+
+    @property
+    def middle(self) -> int:
+        return self.bundles_at - (-self.groups // self.fan)
+
     @property
     def first(self) -> int:
-        return self.groups_at - (-self.grouped // self.group)
+        return self.middle + self.groups
 
     @property
     def rows(self) -> int:
         return self.first + self.grouped
 
+    @property
+    def levels(self) -> tuple[tuple[int, int], ...]:
+        """The rows among which the outcomes of each step are."""
+        return (0, self.middle), (self.middle, self.first), (self.first, self.rows)
+
+    def groups_of(self, ids: np.ndarray) -> np.ndarray:
+        """The row of the group for each id from ``first`` on."""
+        return self.middle + (ids - self.first) // self.group
+
     def upper(self, ids: np.ndarray) -> np.ndarray:
         """The outcome of the first step for each id."""
-        return np.where(ids < self.first, ids, self.groups_at + (ids - self.first) // self.group)
+        return np.where(ids < self.first, ids, self.bundles_at + (ids - self.first) // (self.group * self.fan))
 
 
 class Coder(NamedTuple):
@@ -86,6 +112,7 @@ class Coder(NamedTuple):
     ids: np.ndarray
     hot: np.ndarray  # sorted hashes
     counts: np.ndarray
+    hot_ids: np.ndarray  # model ids of the hot tokens, -1 for those of classes
 
 
 def _texts(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,7 +174,9 @@ def _coder(counts: DataFrame, hot: pd.DataFrame) -> Coder:
     tokens = np.append(hot["token"].to_numpy().astype(np.int64), _END_HASH)
     n = np.append(hot["n"].to_numpy().astype(np.int64), end["n"] if end else 0)
     by = np.argsort(tokens)
-    return Coder(shape, words[order], ids[order].astype(np.int64), tokens[by], n[by])
+    known = np.full(len(tokens), -1, np.int64)
+    known[: len(ids)], known[-1] = ids, END
+    return Coder(shape, words[order], ids[order].astype(np.int64), tokens[by], n[by], known[by])
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray, missing: np.ndarray | int) -> np.ndarray:
@@ -158,7 +187,39 @@ def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray, missing: np.nda
 
 
 def _model_ids(coder: Coder, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return _lookup(coder.words, coder.ids, h.view(np.int64), np.where(cls < 0, END, 1 + coder.shape.vocabulary + cls))
+    return _lookup(coder.words, coder.ids, h.view(np.int64), _class_ids(coder, cls))
+
+
+def _class_ids(coder: Coder, cls: np.ndarray) -> np.ndarray:
+    return np.where(cls < 0, END, 1 + coder.shape.vocabulary + cls)
+
+
+def _ids_and_counts(coder: Coder, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Model ids, and counts of the tokens that are broadcast, -1 for others."""
+    at = _lookup(coder.hot, np.arange(len(coder.hot)), h.view(np.int64), -1)
+    known = np.where(at < 0, -1, coder.hot_ids[at])
+    return np.where(known < 0, _class_ids(coder, cls), known), np.where(at < 0, -1, coder.counts[at])
+
+
+def _pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each id ends): seven bits of an id a byte, the low ones first; all bytes but an id's last have the high bit."""
+    size = 1 + (ids >= 1 << 7) + (ids >= 1 << 14) + (ids >= 1 << 21)
+    ends = np.cumsum(size)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(4):
+        of = np.flatnonzero(size > k)
+        out[ends[of] - size[of] + k] = (ids[of] >> 7 * k) & 127 | (size[of] > k + 1) << 7
+    return out, ends
+
+
+def _unpack(packed: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(packed < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    size, out = ends - starts, (packed[starts] & 127).astype(np.int64)
+    for k in range(1, 4):
+        of = np.flatnonzero(size >= k)
+        out[of] |= (packed[starts[of] + k] & 127).astype(np.int64) << 7 * k
+    return out
 
 
 def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,151 +256,168 @@ class Model:
         sums = {k: flat[:v, at + 1 + i].copy() for i, k in enumerate(("R", "Q", "b"))} | {"C": flat[v:, -1].copy()}
         return cls(flat[:v, :SIZE].copy(), flat[:v, SIZE:at].copy(), flat[:v, at].copy(), flat[v:, :SIZE].copy(), sums)
 
-    def learn(self, one: np.ndarray, two: np.ndarray, steps: list[tuple], noise: np.ndarray, rate: float) -> None:
-        """Noise-contrastive estimation of (places, targets, shared noise tokens) steps; log(k * chance of noise) is taken off each score."""
+    def learn(self, own: np.ndarray, steps: list[tuple], log_noise: np.ndarray, rate: float) -> None:
+        """Noise-contrastive estimation of (places, targets, shared noise tokens) steps; log(k * chance of noise) is taken off each score.
+
+        own: the tokens from two before the first to the last, whose contexts they are.
+        """
+        one, two = (x[2:] for x in _contexts(own))
         x1, x2 = self.R[one], self.R[two]
         hat = x1 * self.C[0] + x2 * self.C[1]
         d_hat = np.zeros_like(hat)
-        at, d_b, d_q = [], [], []
-        for places, target, drawn in steps:
-            h, k = hat[places], len(drawn)
-            q, other = self.Q[target], self.Q[drawn]
-            good = np.einsum("ij,ij->i", h, q) + self.b[target] - np.log(k * noise[target])
-            bad = h @ other.T + self.b[drawn] - np.log(k * noise[drawn])
-            g = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - P(data)
-            e = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))  # -P(data) of noise
-            d_hat[places] += g[:, None] * q + e @ other
-            at += [target, drawn]
-            d_b += [g, e.sum(axis=0)]
-            d_q += [g[:, None] * h, e.T @ h]
-        at = np.concatenate(at)
-        self._add("b", at, np.concatenate(d_b)[:, None], rate)
-        self._add("Q", at, np.concatenate(d_q), rate)
-        self._add("C", np.repeat([0, 1], len(one)), np.concatenate((d_hat * x1, d_hat * x2)), rate)
-        self._add("R", np.concatenate((one, two)), np.concatenate((d_hat * self.C[0], d_hat * self.C[1])), rate)
-
-    def _add(self, name: str, at: np.ndarray, g: np.ndarray, rate: float) -> None:
+        rows, sums = [], []
+        sigmoid = lambda x: np.reciprocal(np.add(np.exp(np.negative(x, out=x), out=x), 1, out=x), out=x)
+        with np.errstate(over="ignore"):  # an infinite exponential is a chance of 0
+            for places, target, drawn in steps:
+                h, k_drawn, k = hat[places], len(drawn), np.float32(math.log(len(drawn)))
+                q, other = self.Q[target], self.Q[drawn]
+                g = 1 - sigmoid(np.einsum("ij,ij->i", h, q) + (self.b[target] - log_noise[target] - k))  # 1 - P(data)
+                bad = h @ other.T
+                bad += self.b[drawn] - log_noise[drawn] - k
+                e = sigmoid(bad)  # P(data) of noise
+                d_hat[places] += g[:, None] * q - e @ other
+                d = np.empty((len(g) + k_drawn, SIZE + 1), np.float32)
+                np.multiply(g[:, None], h, out=d[: len(g), :SIZE])
+                np.negative(e.T @ h, out=d[len(g) :, :SIZE])
+                d[:, SIZE] = np.concatenate((g, -e.sum(axis=0)))
+                for x, y in zip((rows, sums), _by_row(np.concatenate((target, drawn)), d), strict=True):
+                    x.append(y)
+        row, d = np.concatenate(rows), np.concatenate(sums)  # steps have rows of their own
+        self._move("b", row, d[:, SIZE:], rate)
+        self._move("Q", row, d[:, :SIZE], rate)
+        # what a token is owed as the last and as the last but one of contexts; before a text stand end tokens
+        owed, second, begins = np.zeros((len(own) + 1, SIZE), np.float32), d_hat * self.C[1], one == END
+        owed[-1] = second[begins].sum(axis=0)
+        second[begins] = 0
+        owed[1:-2] += d_hat * self.C[0]
+        owed[:-3] += second
+        self._move("C", np.arange(2), np.stack(((d_hat * x1).sum(axis=0), (d_hat * x2).sum(axis=0))), rate)
+        self._move("R", *_by_row(np.append(own, END), owed), rate)
+
+    def _move(self, name: str, row: np.ndarray, g: np.ndarray, rate: float) -> None:
         """Move rows along the sums of their gradients, each at a rate that falls with what it has moved."""
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        g, row = np.add.reduceat(g[order], heads, axis=0), at[heads]
         self.sums[name][row] += (g * g).mean(axis=1)
         to = getattr(self, name)
         to[row] += (rate * g / np.sqrt(self.sums[name][row])[:, None]).reshape(len(row), *to.shape[1:])
 
-    def _first_normaliser(self, shape: Shape, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The logarithm of the summed exponentials of all outcomes of the first step.
-
-        The score of an outcome is a part by each context token, so its exponential is a
-        product: exponentials are taken for the distinct tokens, and products summed.
-        """
-        q, parts = self.Q[: shape.first].T, []
-        for k, (token, bias) in enumerate(((one, 0), (two, self.b[: shape.first]))):
-            distinct, place = np.unique(token, return_inverse=True)
-            x = (self.R[distinct] * self.C[k]) @ q
-            x += bias
-            top = x.max(axis=1, keepdims=True)
-            x -= top
-            parts.append((np.exp(x, out=x), top[:, 0], place))
-        (x, x_top, i), (y, y_top, j) = parts
-        total = np.concatenate([np.einsum("ij,ij->i", x[i[at : at + CACHED]], y[j[at : at + CACHED]]) for at in range(0, len(i), CACHED)])
-        return np.log(total) + x_top[i] + y_top[j]
-
-    def _group_normaliser(self, hat: np.ndarray, a: int, b: int) -> np.ndarray:
+    def _normaliser(self, hat: np.ndarray, a: int, b: int, shifted: bool) -> np.ndarray:
         """The logarithm of the summed exponentials of the scores of rows a to b, for each context."""
-        out, q = np.empty(len(hat)), self.Q[a:b].T
+        out, q, bias = np.empty(len(hat), np.float32), self.Q[a:b].T, self.b[a:b]
         for at in range(0, len(hat), CACHED):
             scores = hat[at : at + CACHED] @ q
-            scores += self.b[a:b]
-            top = scores.max(axis=1, keepdims=True)
-            scores -= top
-            out[at : at + CACHED] = np.log(np.exp(scores, out=scores).sum(axis=1)) + top[:, 0]
+            scores += bias
+            if shifted:
+                top = scores.max(axis=1)
+                scores -= top[:, None]
+            total = np.log(np.exp(scores, out=scores).sum(axis=1))
+            out[at : at + CACHED] = total + top if shifted else total
         return out
 
     def log_probabilities(self, shape: Shape, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Logarithms of the chance of the first step's outcome and, for words of groups, of the word in its group."""
+        """Logarithms of the chance of the first step's outcome and, for words of groups, of the group in its bundle and the word in its group."""
         if len(target) > SLICE:
             cuts = range(0, len(target), SLICE)
             return np.concatenate([self.log_probabilities(shape, *(x[at : at + SLICE] for x in (one, two, target))) for at in cuts])
+        if not len(target):
+            return np.zeros(0)
         hat, upper = self.R[one] * self.C[0] + self.R[two] * self.C[1], shape.upper(target)
+        length = lambda x: math.sqrt(np.einsum("ij,ij->i", x, x).max())
+        shifted = length(hat) * length(self.Q) + float(np.abs(self.b).max()) > PLAIN
         score = lambda h, t: np.einsum("ij,ij->i", h, self.Q[t]) + self.b[t]
-        out = score(hat, upper) - self._first_normaliser(shape, one, two)
+        out = (score(hat, upper) - self._normaliser(hat, 0, shape.middle, shifted)).astype(np.float64)
         inner = np.flatnonzero(target >= shape.first)
         inner = inner[np.argsort(target[inner], kind="stable")]
-        group = upper[inner] - shape.groups_at
-        for part in np.split(inner, np.flatnonzero(np.diff(group)) + 1) if len(inner) else ():
-            a = shape.first + int(upper[part[0]] - shape.groups_at) * shape.group
-            out[part] += score(hat[part], target[part]) - self._group_normaliser(hat[part], a, min(a + shape.group, shape.rows))
+        if len(inner):
+            hat, word = hat[inner], target[inner]
+            group = shape.groups_of(word)
+            more = score(hat, group) + score(hat, word)
+            for key, begin, size, end in (((group - shape.middle) // shape.fan, shape.middle, shape.fan, shape.first), (group - shape.middle, shape.first, shape.group, shape.rows)):
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+                for x, y, k in zip(cuts[:-1].tolist(), cuts[1:].tolist(), key[cuts[:-1]].tolist(), strict=True):
+                    a = begin + k * size
+                    more[x:y] -= self._normaliser(hat[x:y], a, min(a + size, end), shifted)
+            out[inner] += more
         return out
 
 
+def _by_row(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of their gradients."""
+    least = at.min()
+    near = at - least
+    order = np.argsort(near.astype(np.uint16) if near.max() < 1 << 16 else near, kind="stable")  # short numbers are sorted by digits
+    at = at[order]
+    heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[heads], np.add.reduceat(g[order], heads, axis=0)
+
+
 def lessons(train: DataFrame, coder, n: int) -> DataFrame:
-    """(lesson, part, round, ids): the model ids of all texts, four bytes each, dealt to lessons by a hash of id and text; n tokens in all."""
+    """(lesson, part, round, n, ids): the packed model ids of all texts, n of them, dealt to lessons by a hash of id and text; n tokens in all."""
     count = max(1, -(-n // LESSON))
     rounds = min(ROUNDS, count)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, offs, h, cls in _texts(batch.column(1)):
-                ids = _model_ids(coder.value, h, cls).astype("<u4")
-                own = [ids[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:], strict=True)]
+                packed, ends = _pack(_model_ids(coder.value, h, cls))
+                cuts = ends[offs[1:] - 1]
+                own = [packed[x:y].tobytes() for x, y in zip(np.concatenate(([0], cuts[:-1])), cuts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], names=["place", "ids"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, part, held, size = None, 0, [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([part], pa.int64()), pa.array([now % rounds], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["lesson", "part", "round", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([part], pa.int64()), pa.array([now % rounds], pa.int64()), pa.array([size], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["lesson", "part", "round", "n", "ids"])
 
         for batch in batches:
             for lesson, ids in zip(batch.column("lesson").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if lesson != now or size >= 4 * MOST:
+                if lesson != now or size >= MOST:
                     if held:
                         yield out()
                     part = part + 1 if lesson == now else 0
                     now, held, size = lesson, [], 0
                 held.append(ids)
-                size += len(ids)
+                size += int(np.count_nonzero(np.frombuffer(ids, np.uint8) < 128))
         if held:
             yield out()
 
     placed = train.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("place"), "text").mapInArrow(encode, "place long, ids binary")
     dealt = placed.withColumn("lesson", F.pmod(F.col("place"), F.lit(count))).repartition("lesson").sortWithinPartitions("lesson", "place", "ids")
-    return keep(dealt.select("lesson", "ids").mapInArrow(joined, "lesson long, part long, round long, ids binary"))
+    return keep(dealt.select("lesson", "ids").mapInArrow(joined, "lesson long, part long, round long, n long, ids binary"))
 
 
 def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray, seen: int) -> np.ndarray:
     """Vectors after each of the lessons has learned from start, averaged by their tokens; seen tokens came before."""
-    count, size = rows.agg(F.count(F.lit(1)), F.sum(F.length("ids") / F.lit(4))).first()
+    count, size = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not size:
         return start
-    shared = rows.sparkSession.sparkContext.broadcast((start, noise.astype(np.float32)))
-    upper, inner = np.cumsum(noise[: shape.first]), np.cumsum(noise[shape.first :])
-    draws = rows.sparkSession.sparkContext.broadcast((upper / upper[-1], inner))
+    shared = rows.sparkSession.sparkContext.broadcast((start, np.log(noise).astype(np.float32)))
+    draws = rows.sparkSession.sparkContext.broadcast([np.cumsum(noise[a:b]) for a, b in shape.levels])
     width = start.shape[1]
 
     def learned(ids: np.ndarray) -> np.ndarray:
-        start, noise = shared.value
-        upper, inner = draws.value
+        start, log_noise = shared.value
         model, rng = Model.of(start), np.random.Generator(np.random.PCG64(11))
+
+        def drawn(level: int) -> np.ndarray:
+            (a, b), so_far = shape.levels[level], draws.value[level]
+            return a + np.minimum(np.searchsorted(so_far, rng.random(NOISE) * so_far[-1]), b - a - 1)
+
         for at in range(0, len(ids), STEP):
-            back = min(at, 2)
-            own = ids[at - back : at + STEP].astype(np.int64)
-            one, two, target = (x[back:] for x in (*_contexts(own), own))
-            drawn = np.minimum(np.searchsorted(upper, rng.random(NOISE)), shape.first - 1)
-            steps = [(slice(None), shape.upper(target), drawn)]
+            own = ids[at - 2 : at + STEP] if at else np.concatenate(([END, END], ids[:STEP]))
+            target = own[2:]
+            steps = [(slice(None), shape.upper(target), drawn(0))]
             if len(grouped := np.flatnonzero(target >= shape.first)):
-                drawn = np.minimum(np.searchsorted(inner, rng.random(NOISE) * inner[-1]), shape.grouped - 1)
-                steps.append((grouped, target[grouped], shape.first + drawn))
-            model.learn(one, two, steps, noise, RATE * max(LEAST, 1 / (1 + (seen + at) / HALF)))
+                words = target[grouped]
+                steps += [(grouped, shape.groups_of(words), drawn(1)), (grouped, words, drawn(2))]
+            model.learn(own, steps, log_noise, RATE * max(LEAST, 1 / (1 + (seen + at) / HALF)))
         return model.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved = None
         for batch in batches:
             for blob in batch.column(0):
-                ids = np.frombuffer(blob.as_buffer(), "<u4")
+                ids = _unpack(np.frombuffer(blob.as_buffer(), np.uint8))
                 own = learned(ids) - shared.value[0].astype(np.float64)
                 own *= len(ids)
                 if moved is None:
@@ -377,10 +455,11 @@ def train_model(train: DataFrame, coder, class_tokens: np.ndarray, n: int) -> np
     uses = np.ones(shape.rows)
     uses[coder.value.ids] += coder.value.counts[np.searchsorted(coder.value.hot, coder.value.words)]
     uses[END] += coder.value.counts[np.searchsorted(coder.value.hot, _END_HASH)]
-    uses[1 + shape.vocabulary : shape.groups_at] += class_tokens
-    grouped = np.arange(shape.first, shape.rows)
-    np.add.at(uses, shape.upper(grouped), uses[grouped])
-    noise = np.concatenate((uses[: shape.first] / uses[: shape.first].sum(), uses[grouped] / max(1.0, uses[grouped].sum())))
+    uses[1 + shape.vocabulary : shape.bundles_at] += class_tokens
+    words = np.arange(shape.first, shape.rows)
+    np.add.at(uses, shape.groups_of(words), uses[words])
+    np.add.at(uses, shape.upper(words), uses[words])
+    noise = np.concatenate([uses[a:b] / max(1.0, uses[a:b].sum()) for a, b in shape.levels])
     flat = Model.start(noise).flat()
     if n:
         dealt = lessons(train, coder, n)
@@ -424,10 +503,9 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         log_room, shape = np.log10(room), coder.value.shape
         for batch in batches:
             for a, b, offs, h, cls in _texts(batch.column(3)):
-                ids = _model_ids(coder.value, h, cls)
+                ids, c = _ids_and_counts(coder.value, h, cls)
                 one, two = _contexts(ids)
-                c = _lookup(coder.value.hot, coder.value.counts, h.view(np.int64), -1)
-                hot, other = c >= 0, (ids > shape.vocabulary) & (ids < shape.groups_at)
+                hot, other = c >= 0, (ids > shape.vocabulary) & (ids < shape.bundles_at)
                 log_c = np.log10(np.maximum(c, 0) + 1.0)
                 lm = model.log_probabilities(shape, one, two, ids) / np.log(10)
                 lm += np.where(other, log_c - log_room[np.maximum(cls, 0)], 0)

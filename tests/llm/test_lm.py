@@ -40,19 +40,28 @@ def test_base_score_equals_brute_force_and_model_is_better(spark, monkeypatch):
 
 
 def test_probabilities_sum_to_one():
-    """Over all that the first step has but groups, and all words of groups, the last of which is not full."""
+    """Over all that the first step has but bundles, and all words of groups; the last bundle and group are not full."""
     rng = np.random.default_rng(0)
     shape = lm.Shape(40, 300, 64)
-    assert (shape.groups_at, shape.first, shape.rows) == (104, 109, 409)
+    assert (shape.bundles_at, shape.fan, shape.middle, shape.first, shape.rows) == (104, 3, 106, 111, 411)
     model = lm.Model(*(rng.normal(0, 1, s).astype(np.float32) for s in ((shape.rows, lm.SIZE), (shape.rows, lm.SIZE), shape.rows, (2, lm.SIZE))))
-    every = np.concatenate((np.arange(shape.groups_at), np.arange(shape.first, shape.rows)))
-    for one, two in ((0, 0), (5, 400), (103, 1)):
-        p = np.exp(model.log_probabilities(shape, np.full(len(every), one), np.full(len(every), two), every))
-        assert abs(p.sum() - 1) < 1e-4
+    every = np.concatenate((np.arange(shape.bundles_at), np.arange(shape.first, shape.rows)))
+    for size in (1, 4):  # with scores so large that they are shifted, too
+        large = lm.Model(model.R * size, model.Q, model.b, model.C)
+        for one, two in ((0, 0), (5, 400), (103, 1)):
+            p = np.exp(large.log_probabilities(shape, np.full(len(every), one), np.full(len(every), two), every))
+            assert abs(p.sum() - 1) < 1e-4
     again = lm.Model.of(model.flat())
     assert all(np.array_equal(a, b) for a, b in ((again.R, model.R), (again.Q, model.Q), (again.b, model.b), (again.C, model.C)))
 
 
+def test_packed_ids_come_back():
+    ids = np.concatenate(([0, 127, 128, 16383, 16384, 2097151, 2097152, 5], np.random.default_rng(3).integers(0, 1 << 22, 500)))
+    packed, ends = lm._pack(ids)
+    assert lm._unpack(packed).tolist() == ids.tolist() and ends[:4].tolist() == [1, 2, 4, 6]
+    assert lm._unpack(packed[ends[1] : ends[4]]).tolist() == ids[2:5].tolist() and not len(lm._pack(ids[:0])[0])
+
+
 def test_vocabulary_grows_with_the_corpus(spark):
     def shape(n):
         counts = spark.createDataFrame([(i * 7 + 1, i % lm.CLASSES, max(1, 80000 // (i + 1))) for i in range(n)] + [(lm._END_HASH, -1, 5)], "token long, cls int, n long")
@@ -104,10 +113,12 @@ def test_scores_equal_the_learned_tables_however_rows_lie(spark, monkeypatch):
             hat = (model.R[one] * model.C[0] + model.R[two] * model.C[1]).astype(float)
             if x >= shape.first:
                 g = (x - shape.first) // 8
-                want += chance(hat, shape.groups_at + g, range(shape.first)) + chance(hat, x, [y for y in range(shape.first, shape.rows) if (y - shape.first) // 8 == g])
+                want += chance(hat, shape.bundles_at + g // shape.fan, range(shape.middle))
+                want += chance(hat, shape.middle + g, [shape.middle + y for y in range(shape.groups) if y // shape.fan == g // shape.fan])
+                want += chance(hat, x, [y for y in range(shape.first, shape.rows) if (y - shape.first) // 8 == g])
             else:
-                want += chance(hat, x, range(shape.first))
-            if shape.vocabulary < x < shape.groups_at:
+                want += chance(hat, x, range(shape.middle))
+            if shape.vocabulary < x < shape.bundles_at:
                 c = x - 1 - shape.vocabulary
                 want += math.log((count[fx.words(texts[i])[k]] + 1) / (class_tokens[c] + distinct[c] + 1))
             one, two = x, lm.END if x == lm.END else one
