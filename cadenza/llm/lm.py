@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.store import keep, shared_folder
-from cadenza.llm.words import U64, Words, chunks
+from cadenza.llm.words import CHUNK_BYTES, U64, Words, chunks
 
 #: Words of the first step; classes of words without vectors; vector size.
 VOCABULARY, CLASSES, SIZE = 64, 63, 16
@@ -51,7 +51,9 @@ LESSON, MOST, ROUNDS = 2_000_000, 4_000_000, 3
 #: Tasks that learn in a round, if there are as many lessons.
 TASKS = 20_000
 #: Rows of the model that travel together; tokens scored at a time, and those of them whose scores fit a cache.
-BLOCK, SLICE, CACHED = 1024, 1 << 18, 256
+BLOCK, SLICE, CACHED = 1024, 1 << 19, 256
+#: Bytes of text scored at a time.
+SCORED = 1 << 22
 #: Scores below this need no shift before they become exponentials.
 PLAIN = 80.0
 _END_HASH = 0x1E3D
@@ -115,9 +117,9 @@ class Coder(NamedTuple):
     hot_ids: np.ndarray  # model ids of the hot tokens, -1 for those of classes
 
 
-def _texts(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _texts(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, offsets, hashes, classes) of the tokens of chunks; each text's tokens end with END."""
-    for a, b, data, offs in chunks(text):
+    for a, b, data, offs in chunks(text, limit):
         w = Words(data, offs, lower=True)
         h = w.hashes() >> U64(1)
         ending = w.data[w.end - 1].astype(np.int64) * 31 + np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0)
@@ -234,6 +236,7 @@ class Model:
 
     def __init__(self, R: np.ndarray, Q: np.ndarray, b: np.ndarray, C: np.ndarray, sums: dict[str, np.ndarray] | None = None):
         self.R, self.Q, self.b, self.C = R, Q, b, C
+        self.outputs, self.longest = None, 0.0  # for scoring, when learning is over
         self.sums = sums or {k: np.full(len(x), 1e-8, np.float32) for k, x in (("R", R), ("Q", Q), ("b", b), ("C", C))}
 
     @classmethod
@@ -300,16 +303,15 @@ class Model:
         to = getattr(self, name)
         to[row] += (rate * g / np.sqrt(self.sums[name][row])[:, None]).reshape(len(row), *to.shape[1:])
 
-    def _normaliser(self, hat: np.ndarray, a: int, b: int, shifted: bool) -> np.ndarray:
-        """The logarithm of the summed exponentials of the scores of rows a to b, for each context."""
-        out, q, bias = np.empty(len(hat), np.float32), self.Q[a:b].T, self.b[a:b]
+    def _normaliser(self, hat: np.ndarray, output: np.ndarray, shifted: bool) -> np.ndarray:
+        """The logarithm of the summed exponentials of the scores of these outputs, for each context."""
+        out, ones, q = np.empty(len(hat), np.float32), np.ones(len(output), np.float32), output.T
         for at in range(0, len(hat), CACHED):
             scores = hat[at : at + CACHED] @ q
-            scores += bias
             if shifted:
                 top = scores.max(axis=1)
                 scores -= top[:, None]
-            total = np.log(np.exp(scores, out=scores).sum(axis=1))
+            total = np.log(np.exp(scores, out=scores) @ ones)
             out[at : at + CACHED] = total + top if shifted else total
         return out
 
@@ -320,11 +322,15 @@ class Model:
             return np.concatenate([self.log_probabilities(shape, *(x[at : at + SLICE] for x in (one, two, target))) for at in cuts])
         if not len(target):
             return np.zeros(0)
-        hat, upper = self.R[one] * self.C[0] + self.R[two] * self.C[1], shape.upper(target)
-        length = lambda x: math.sqrt(np.einsum("ij,ij->i", x, x).max())
-        shifted = length(hat) * length(self.Q) + float(np.abs(self.b).max()) > PLAIN
-        score = lambda h, t: np.einsum("ij,ij->i", h, self.Q[t]) + self.b[t]
-        out = (score(hat, upper) - self._normaliser(hat, 0, shape.middle, shifted)).astype(np.float64)
+        if self.outputs is None:
+            self.outputs = np.concatenate((self.Q, self.b[:, None]), axis=1)
+            self.longest = math.sqrt(np.einsum("ij,ij->i", self.outputs, self.outputs).max())
+        hat = np.ones((len(target), SIZE + 1), np.float32)  # the bias is an output's last number
+        np.multiply(self.R[one], self.C[0], out=hat[:, :SIZE])
+        hat[:, :SIZE] += self.R[two] * self.C[1]
+        shifted = math.sqrt(np.einsum("ij,ij->i", hat, hat).max()) * self.longest > PLAIN
+        score = lambda h, t: np.einsum("ij,ij->i", h, self.outputs[t])
+        out = (score(hat, shape.upper(target)) - self._normaliser(hat, self.outputs[: shape.middle], shifted)).astype(np.float64)
         inner = np.flatnonzero(target >= shape.first)
         inner = inner[np.argsort(target[inner], kind="stable")]
         if len(inner):
@@ -335,7 +341,7 @@ class Model:
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
                 for x, y, k in zip(cuts[:-1].tolist(), cuts[1:].tolist(), key[cuts[:-1]].tolist(), strict=True):
                     a = begin + k * size
-                    more[x:y] -= self._normaliser(hat[x:y], a, min(a + size, end), shifted)
+                    more[x:y] -= self._normaliser(hat[x:y], self.outputs[a : min(a + size, end)], shifted)
             out[inner] += more
         return out
 
@@ -393,7 +399,7 @@ def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray,
         return start
     shared = rows.sparkSession.sparkContext.broadcast((start, np.log(noise).astype(np.float32)))
     draws = rows.sparkSession.sparkContext.broadcast([np.cumsum(noise[a:b]) for a, b in shape.levels])
-    width = start.shape[1]
+    width, short = start.shape[1], 2 * SIZE + 1  # vectors and biases move by small numbers, which travel in half precision
 
     def learned(ids: np.ndarray) -> np.ndarray:
         start, log_noise = shared.value
@@ -414,12 +420,13 @@ def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray,
         return model.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moved = None
+        moved, seen = None, 0
         for batch in batches:
             for blob in batch.column(0):
                 ids = _unpack(np.frombuffer(blob.as_buffer(), np.uint8))
                 own = learned(ids) - shared.value[0].astype(np.float64)
                 own *= len(ids)
+                seen += len(ids)
                 if moved is None:
                     moved = own
                 else:
@@ -427,20 +434,23 @@ def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray,
         if moved is not None:
             at = np.flatnonzero(moved.any(axis=1)).astype("<i8")
             cuts = np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1) if len(at) else []
-            columns = [pa.array([int(c[0]) // BLOCK for c in cuts], pa.int64()), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array([(moved[c] / size).astype("<f4").tobytes() for c in cuts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "at", "x"])
+            moved /= seen
+            columns = [pa.array([int(c[0]) // BLOCK for c in cuts], pa.int64()), pa.array([seen] * len(cuts), pa.int64())]
+            columns += [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in (cuts, [moved[c, :short].astype("<f2") for c in cuts], [moved[c, short:].astype("<f4") for c in cuts])]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "n", "at", "x", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, at, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = sums.setdefault(block, np.zeros((BLOCK, width)))
-                own[np.frombuffer(at, "<i8") % BLOCK] += np.frombuffer(x, "<f4").reshape(-1, width)
+            for block, n, at, x, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, of = sums.setdefault(block, np.zeros((BLOCK, width))), np.frombuffer(at, "<i8") % BLOCK
+                own[of, :short] += np.frombuffer(x, "<f2").reshape(-1, short) * (n / size)
+                own[of, short:] += np.frombuffer(more, "<f4").reshape(-1, width - short) * (n / size)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype("<f4").tobytes() for x in sums.values()], pa.binary())], names=["block", "x"])
 
     # a task holds one model and the changes of another; what is added up is one model, however many lessons there are
     dealt = rows.select("ids").repartition(min(TASKS, count))
-    out = dealt.mapInArrow(run, "block long, at binary, x binary").repartition("block").mapInArrow(add, "block long, x binary").collect()
+    out = dealt.mapInArrow(run, "block long, n long, at binary, x binary, sums binary").repartition("block").mapInArrow(add, "block long, x binary").collect()
     shared.destroy()
     draws.destroy()
     total = np.zeros((-(-len(start) // BLOCK) * BLOCK, width), np.float32)
@@ -502,7 +512,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         model = Model.of(flat)
         log_room, shape = np.log10(room), coder.value.shape
         for batch in batches:
-            for a, b, offs, h, cls in _texts(batch.column(3)):
+            for a, b, offs, h, cls in _texts(batch.column(3), SCORED):
                 ids, c = _ids_and_counts(coder.value, h, cls)
                 one, two = _contexts(ids)
                 hot, other = c >= 0, (ids > shape.vocabulary) & (ids < shape.bundles_at)
