@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.store import keep, shared_folder
 
 #: (host, path, verdict); a rule fits its host and all subdomains, if the path starts with its path; the longest wins.
-RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 # Letters, digits and signs that have a class of their own; all else shares one.
 OWN = "abcdefghijklmnopqrstuvwxyz0123456789/.-"
 SYMBOLS = len(OWN) + 1

@@ -38,6 +38,12 @@ def test_rules_equal_brute_force(spark):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_verdicts_of_the_given_rules(spark):
+    given = {"http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://b.net/de/1": ("net/de/", "allow"), "http://c.example.net/de/8": ("example.net/de/8", "block"), "http://org/es/": ("org/es/", "block")}
+    rows = urls.url_filter(spark.createDataFrame(list(enumerate(given)), "page_id long, url string")).collect()
+    assert {list(given)[r.page_id]: (r.rule, r.verdict) for r in rows} == given
+
+
 def test_model_tells_held_out_urls_apart(spark):
     rng = random.Random(4)
     good = lambda: f"https://{rng.choice(['garden', 'library', 'museum'])}.example.com/en/7{rng.randrange(100)}"
