@@ -15,51 +15,64 @@ from cadenza.operators.graph import components
 from cadenza.schemas import ASSIGNMENT
 
 
+#: Rows that a task gathers before it solves the whole lanes among them, and cells of the costs that it solves side by side.
+ROWS, CELLS = 100_000, 2_000_000
+
+
 def best_columns(cost: np.ndarray) -> np.ndarray:
-    """The column of each row in a one-to-one assignment of least total cost; rows not more than columns.
+    """The column of each row in a one-to-one assignment of least total cost; rows not more than columns."""
+    return _best_columns(cost[None], np.array([len(cost)]))[0]
+
+
+def _best_columns(cost: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """best_columns of many grids side by side, (grid, row, column): only the first ``rows`` of each count, and columns without end are never taken.
 
     Rows enter one at a time along a shortest augmenting path over reduced costs.
     """
-    rows, cols = cost.shape
-    u, v = np.zeros(rows), np.zeros(cols)
-    row_of = np.full(cols, -1)
-    for row in range(rows):
-        shortest, came, done = np.full(cols, np.inf), np.full(cols, -1), np.zeros(cols, bool)
-        i, low, j_from = row, 0.0, -1
-        while True:
-            reach = low + cost[i] - u[i] - v
-            better = ~done & (reach < shortest - 1e-12)
-            shortest[better], came[better] = reach[better], j_from
-            open_cost = np.where(done, np.inf, shortest)
-            j = int(np.argmin(open_cost))
-            low = open_cost[j]
-            done[j] = True
-            if row_of[j] < 0:
-                break
-            i, j_from = row_of[j], j
-        seen = np.flatnonzero(done & (row_of >= 0))
-        u[row] += low
-        u[row_of[seen]] += low - shortest[seen]
-        v[done] += shortest[done] - low
-        while j >= 0:
-            before = came[j]
-            row_of[j] = row_of[before] if before >= 0 else row
-            j = before
-    out = np.full(rows, -1)
-    used = np.flatnonzero(row_of >= 0)
-    out[row_of[used]] = used
+    grids, most, cols = cost.shape
+    u, v = np.zeros((grids, most)), np.zeros((grids, cols))
+    row_of = np.full((grids, cols), -1)
+    for row in range(most):
+        own = np.flatnonzero(rows > row)
+        shortest, came, done = np.full((len(own), cols), np.inf), np.full((len(own), cols), -1), np.zeros((len(own), cols), bool)
+        i, low, j_from, j = np.full(len(own), row), np.zeros(len(own)), np.full(len(own), -1), np.zeros(len(own), int)
+        on = np.arange(len(own))  # whose path goes on
+        while len(on):
+            at = own[on]
+            reach = low[on, None] + cost[at, i[on]] - u[at, i[on]][:, None] - v[at]
+            better = ~done[on] & (reach < shortest[on] - 1e-12)
+            shortest[on], came[on] = np.where(better, reach, shortest[on]), np.where(better, j_from[on, None], came[on])
+            open_cost = np.where(done[on], np.inf, shortest[on])
+            to = open_cost.argmin(axis=1)
+            j[on], low[on], done[on, to] = to, open_cost[np.arange(len(on)), to], True
+            held = row_of[at, to]
+            more = held >= 0
+            on = on[more]
+            i[on], j_from[on] = held[more], to[more]
+        g, seen = np.nonzero(done & (row_of[own] >= 0))
+        u[own, row] += low
+        u[own[g], row_of[own[g], seen]] += low[g] - shortest[g, seen]
+        v[own] += np.where(done, shortest - low[:, None], 0)
+        on = np.arange(len(own))
+        while len(on):
+            before = came[on, j[on]]
+            row_of[own[on], j[on]] = np.where(before >= 0, row_of[own[on], before], row)
+            j[on] = before
+            on = on[before >= 0]
+    out = np.full((grids, most), -1)
+    g, used = np.nonzero(row_of >= 0)
+    out[g, row_of[g, used]] = used
     return out
 
 
-def _columns(grid: np.ndarray) -> np.ndarray:
-    """The column of each row, or one past the grid's for none."""
-    n = len(grid)
-    column = grid.argmax(axis=1)
-    if len(set(column.tolist())) < n or grid[np.arange(n), column].min() < NULL_SCORE:
-        free = np.full((n, n), 2.0)
-        np.fill_diagonal(free, 1 - NULL_SCORE)
-        column = best_columns(np.concatenate((1 - grid, free), axis=1))
-    return column
+def _nodes(lane: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's (lane, name) among the distinct ones in order, and a row of each."""
+    order = np.lexsort((name, lane))
+    turn = np.ones(len(order), bool)
+    turn[1:] = (lane[order][1:] != lane[order][:-1]) | (name[order][1:] != name[order][:-1])
+    node = np.empty(len(order), int)
+    node[order] = np.cumsum(turn) - 1
+    return node, order[turn]
 
 
 def _parts(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -75,31 +88,67 @@ def _parts(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def assign_lane(video: np.ndarray, audio: np.ndarray, score: np.ndarray) -> list[tuple]:
-    """(video, audio or None, pair_score, assigned, cost) of each video of one lane's pairs; ties go by video and audio.
+    """(video, audio or None, pair_score, assigned, cost) of each video of one lane's pairs; ties go by video and audio."""
+    at, with_, value, good, cost = assign_lanes(np.zeros(len(video), int), video, audio, score)
+    return [(video[a], audio[w] if w >= 0 else None, float(x), bool(g), float(c)) for a, w, x, g, c in zip(at, with_, value, good, cost, strict=True)]
+
+
+def assign_lanes(lane: np.ndarray, video: np.ndarray, audio: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row of the video, row of its audio or -1, pair_score, assigned, cost) of each video of each lane's pairs.
 
     A pair below the null choice is never taken, so videos and audios fall into parts that
-    only pairs at least as good join, and each part is solved by itself. A negative audio
-    stands for no pair, with the best score that a video's other pairs have.
+    only pairs at least as good join. Where no two videos of a part have the same best audio
+    each takes its own; other parts are solved, those of like sizes side by side. A negative
+    audio stands for no pair, with the best score that a video's other pairs have.
     """
-    videos, i = np.unique(video, return_inverse=True)
-    audios, j = np.unique(audio, return_inverse=True)
-    best = np.zeros(len(videos))
-    np.maximum.at(best, i, score)
-    taken, value = np.full(len(videos), -1), best.copy()
+    (v, at), (a, audio_at) = _nodes(lane, video), _nodes(lane, audio)
+    value = np.zeros(len(at))
+    np.maximum.at(value, v, score)
     strong = np.flatnonzero((score >= NULL_SCORE) & (audio >= 0))
-    part = _parts(len(videos) + len(audios), i[strong], j[strong] + len(videos))[i[strong]]
-    order = strong[np.argsort(part, kind="stable")]
-    for own in np.split(order, np.flatnonzero(np.diff(np.sort(part))) + 1) if len(order) else ():
-        rows, r = np.unique(i[own], return_inverse=True)
-        cols, c = np.unique(j[own], return_inverse=True)
-        grid = np.zeros((len(rows), len(cols)))
-        np.maximum.at(grid, (r, c), score[own])
-        column = _columns(grid)
-        real = np.flatnonzero(column < len(cols))
-        taken[rows[real]], value[rows[real]] = cols[column[real]], grid[real, column[real]]
+    v, a, score = v[strong], a[strong], score[strong]
+    part = _parts(len(at) + len(audio_at), v, a + len(at))[: len(at)]
+    order = np.lexsort((a, -score, v))
+    first = order[np.append(True, v[order][1:] != v[order][:-1])] if len(order) else order
+    taken = np.full(len(at), -1)
+    uses = np.bincount(a[first], minlength=len(audio_at))
+    shared = np.zeros(len(at), bool)
+    shared[part[v[first][uses[a[first]] > 1]]] = True
+    first = first[~shared[part[v[first]]]]
+    taken[v[first]], value[v[first]] = a[first], score[first]
+    own = np.flatnonzero(shared[part[v]])
+    if len(own):
+        _solve_parts(part[v[own]], v[own], a[own], score[own], taken, value)
     good = (taken >= 0) & (value >= MIN_LANE_SCORE)
     cost = 1 - np.where(taken >= 0, value, NULL_SCORE)
-    return [(videos[k], audios[taken[k]] if good[k] else None, float(value[k]), bool(good[k]), float(cost[k])) for k in range(len(videos))]
+    return at, np.where(good, audio_at[taken], -1), value, good, cost
+
+
+def _solve_parts(part: np.ndarray, v: np.ndarray, a: np.ndarray, score: np.ndarray, taken: np.ndarray, value: np.ndarray) -> None:
+    """Fill in the audio that each video of the parts takes, if any, and its score."""
+    _, p = np.unique(part, return_inverse=True)
+    (r, row_at), (c, col_at) = _nodes(p, v), _nodes(p, a)
+    rows, cols = np.bincount(p[row_at]), np.bincount(p[col_at])
+    row_from, col_from = np.cumsum(rows) - rows, np.cumsum(cols) - cols
+    kind = np.ceil(np.log2(rows)).astype(int) * 64 + np.ceil(np.log2(cols)).astype(int)
+    order = np.argsort(p, kind="stable")
+    begin, size = np.searchsorted(p[order], np.arange(len(rows))), np.bincount(p)
+    for k in np.unique(kind):
+        alike = np.flatnonzero(kind == k)
+        n, m = rows[alike].max(), cols[alike].max()
+        step = max(1, CELLS // int(n * (n + m)))
+        for some in (alike[x : x + step] for x in range(0, len(alike), step)):
+            edges = order[np.repeat(begin[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())]
+            g = np.repeat(np.arange(len(some)), size[some])
+            grid = np.zeros((len(some), n, m))
+            np.maximum.at(grid, (g, r[edges] - row_from[p[edges]], c[edges] - col_from[p[edges]]), score[edges])
+            cost = np.concatenate((1 - grid, np.full((len(some), n, n), 2.0)), axis=2)
+            cost[:, np.arange(n), m + np.arange(n)] = 1 - NULL_SCORE
+            here = np.concatenate((np.arange(m) < cols[some][:, None], np.arange(n) < rows[some][:, None]), axis=1)
+            cost = np.where(here[:, None, :], cost, np.inf)
+            column = _best_columns(cost, rows[some])
+            g, i = np.nonzero((column >= 0) & (column < m))
+            col, who = column[g, i], v[row_at[row_from[some[g]] + i]]
+            taken[who], value[who] = a[col_at[col_from[some[g]] + col]], grid[g, i, col]
 
 
 def _ranks(names: pa.Array) -> np.ndarray:
@@ -111,22 +160,22 @@ def _ranks(names: pa.Array) -> np.ndarray:
     return np.append(rank, -1)[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
 
 
-def _solved(rows: pa.Table, heads: np.ndarray, keys: list[str]) -> pa.RecordBatch:
-    """ASSIGNMENT rows of whole lanes that begin at heads."""
-    rows = rows.combine_chunks()
+def _turns(rows: pa.Table, groups: list[str]) -> np.ndarray:
+    """Where a row is of another group than the one before."""
+    turn = np.zeros(len(rows), bool)
+    turn[:1] = True
+    for c in groups:
+        code = rows.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        turn[1:] |= code[1:] != code[:-1]
+    return turn
+
+
+def _solved(rows: pa.Table, turn: np.ndarray, keys: list[str]) -> pa.RecordBatch:
+    """ASSIGNMENT rows of whole lanes that begin where turn says."""
     video, audio = (_ranks(rows.column(c).combine_chunks()) for c in ("video", "audio"))
-    score = rows.column("pair_score").to_numpy()
-    at, with_, value, good, cost = [], [], [], [], []
-    for a, b in zip(heads, [*heads[1:], len(score)], strict=True):
-        for v, x, s, g, c in assign_lane(video[a:b], audio[a:b], score[a:b]):
-            own = a + int(np.argmax(video[a:b] == v))
-            at.append(own)
-            with_.append(a + int(np.argmax(audio[a:b] == x)) if g else None)
-            value.append(s)
-            good.append(g)
-            cost.append(c)
-    lanes = rows.take(pa.array(at, pa.int64()))
-    audios = rows.column("audio").combine_chunks().take(pa.array(with_, pa.int64()))
+    at, with_, value, good, cost = assign_lanes(np.cumsum(turn), video, audio, rows.column("pair_score").to_numpy())
+    lanes = rows.select([*keys, "video"]).take(pa.array(at, pa.int64()))
+    audios = rows.column("audio").combine_chunks().take(pa.array(with_, pa.int64(), mask=with_ < 0))
     columns = [*(lanes.column(c).combine_chunks() for c in (*keys, "video")), audios, pa.array(value, pa.float64()), pa.array(good, pa.bool_()), pa.array(cost, pa.float64())]
     return pa.RecordBatch.from_arrays(columns, names=[*keys, "video", "audio", "pair_score", "assigned", "cost"])
 
@@ -145,7 +194,7 @@ def assign(pairs: DataFrame, *within: str, large: bool = False, costs: bool = Fa
 
     A row without an audio keeps a video that no pair is given of, with the best score of
     those left out. Lanes are solved in memory, side by side, part by part of what pairs
-    above the null choice join; names stay in Arrow, the solver sees numbers. With large,
+    above the null choice join, many lanes at once; names stay in Arrow, the solver sees numbers. With large,
     lanes are split into those parts over Spark tables first, so that a task holds the
     pairs of a part and not of a lane.
     """
@@ -159,22 +208,22 @@ def assign(pairs: DataFrame, *within: str, large: bool = False, costs: bool = Fa
     rows = _split(rows, keys) if large else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, n, least = [], 0, ROWS
         for batch in batches:
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if not len(rows):
+            held.append(batch)
+            n += len(batch)
+            if n < least:
                 continue
-            turn = np.zeros(len(rows), bool)
-            turn[0] = True
-            for c in groups:
-                code = rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                turn[1:] |= code[1:] != code[:-1]
-            heads = np.flatnonzero(turn)
-            held = rows.slice(heads[-1])  # it may go on
-            if len(heads) > 1:
-                yield _solved(rows.slice(0, heads[-1]), heads[:-1], keys)
-        if held is not None:
-            yield _solved(held, np.zeros(1, np.int64), keys)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            turn = _turns(rows, groups)
+            last = int(np.flatnonzero(turn)[-1])  # it may go on
+            if last:
+                yield _solved(rows.slice(0, last), turn[:last], keys)
+            held, n = rows.slice(last).to_batches(), n - last
+            least = max(ROWS, 2 * n)
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield _solved(rows, _turns(rows, groups), keys)
 
     return rows.repartition(*groups).sortWithinPartitions(*groups, "video").mapInArrow(run, schema).drop(*(() if costs else ("cost",)))
 

@@ -181,6 +181,19 @@ def test_linkage_equals_brute_force():
         assert len(set(got[20].tolist())) == n
 
 
+def test_lanes_solved_side_by_side_equal_lanes_alone():
+    rng = np.random.default_rng(5)
+    lanes = []
+    for k in range(400):
+        n, m = rng.integers(1, 9), rng.integers(1, 11)
+        size = rng.integers(1, n * m + 1)
+        lanes.append((rng.integers(0, n, size), rng.integers(-1, m, size), rng.random(size) if k % 2 else rng.integers(0, 11, size) / 10.0))
+    video, audio, score = (np.concatenate([x[i] for x in lanes]) for i in range(3))
+    at, with_, *rest = assign.assign_lanes(np.repeat(np.arange(len(lanes)), [len(x[0]) for x in lanes]), video, audio, score)
+    got = [(video[a], audio[w] if w >= 0 else None, *r) for a, w, *r in zip(at, with_, *rest, strict=True)]
+    assert got == [row for x in lanes for row in assign.assign_lane(*x)]
+
+
 def test_assignment_equals_permutations():
     rng = random.Random(7)
     for n, m in ((1, 1), (3, 3), (5, 2), (2, 5), (4, 4)):
