@@ -12,8 +12,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalized(a: Column) -> Column:
     """Unit length; all zeros where the length is below 1e-6."""
-    length = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(length < 1e-6, 0.0).otherwise(x.cast("double") / length))
+    # bound by a lambda, the length is not taken anew for each component
+    unit = lambda length: F.transform(a, lambda x: F.when(length < 1e-6, 0.0).otherwise(x.cast("double") / length))
+    return F.transform(F.array(F.sqrt(dot(a, a))), unit)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ video's descriptor is the mean of its frames' at unit length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ POSITIONS = (0.15, 0.35, 0.55, 0.75, 0.90)
 SIZE = 2 * GRID_WIDTH * GRID_HEIGHT + BINS
 
 
+@lru_cache
 def _shares(n: int, m: int) -> np.ndarray:
     """(m, n): how much of each of n cells lies in each of m equal stretches of them, as shares of the stretch."""
     low, high = np.arange(m)[:, None] * n / m, (np.arange(m)[:, None] + 1) * n / m
@@ -116,9 +118,9 @@ def frame_descriptor(grey: np.ndarray) -> np.ndarray:
 def descriptors(frames: DataFrame, key: str = "video") -> DataFrame:
     """(key, descriptor) of (key, position, width, height, grey), grey a frame's bytes by rows, as binary or array<tinyint>.
 
-    Frames are described where they are read; the mean of a video's is taken by Spark, 296
-    numbers a frame. A frame that is null or has another number of bytes does not count; a
-    video without any has a null descriptor.
+    Frames are described where they are read, once each; a video's then come together, and
+    a task adds up one video's after another. A frame that is null or has another number of
+    bytes does not count; a video without any has a null descriptor.
     """
     binary = frames.schema["grey"].dataType.typeName() == "binary"
 
@@ -132,9 +134,37 @@ def descriptors(frames: DataFrame, key: str = "video") -> DataFrame:
 
     kind = frames.schema[key].dataType.simpleString()
     rows = frames.select(key, "width", "height", "grey").mapInArrow(run, f"`{key}` {kind}, found array<double>")
-    videos = rows.groupBy(key).agg(F.count("found").alias("n"))
-    means = rows.select(key, F.posexplode("found").alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    whole = means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("x"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    unit = F.transform("x", lambda v: F.when(norm >= 1e-6, v / norm).otherwise(0.0).cast("float"))
-    return videos.join(whole, key, "left").select(key, F.when(F.col("n") > 0, unit).alias("descriptor"))
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(_means, f"`{key}` {kind}, descriptor array<float>").toDF(key, "descriptor")
+
+
+def _described(names: pa.Array, total: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Means of n frames at unit length, 0 where they are shorter than 1e-6, null without frames."""
+    mean = total / np.maximum(n, 1)[:, None]
+    norm = np.sqrt(np.cumsum(mean * mean, axis=1)[:, -1:])
+    unit = np.where(norm >= 1e-6, mean / np.where(norm >= 1e-6, norm, 1), 0).astype(np.float32)
+    ends = np.arange(len(n) + 1, dtype=np.int32) * SIZE
+    return pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel()), mask=pa.array(n == 0))], names=["name", "descriptor"])
+
+
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, descriptor) of (name, found) rows, equal names one after another."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        code = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        heads = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        has = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        found = np.zeros((len(batch), SIZE))
+        found[has] = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE)
+        names, total, n = batch.column(0).take(pa.array(heads)), np.add.reduceat(found, heads), np.add.reduceat(has.astype(int), heads)
+        if held is not None and held[0][0].equals(names[0]):
+            total[0] += held[1][0]
+            n[0] += held[2][0]
+        elif held is not None:
+            yield _described(*held)
+        if len(n) > 1:
+            yield _described(names[:-1], total[:-1], n[:-1])
+        held = names[-1:], total[-1:], n[-1:]  # it may go on
+    if held is not None:
+        yield _described(*held)

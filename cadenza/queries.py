@@ -732,11 +732,16 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.plan(*_plan_inputs(spark, sf_dir))[0]
 
 
+#: A frame takes milliseconds but 64 bytes, so frames are dealt to tasks by their number, not by their bytes.
+FRAMES_PER_TASK = 1000
+
+
 @query()
 def view_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as grey frames of 8 x 8, one for each video; their descriptors make the lanes."""
     level = lambda x: F.least(F.lit(127), F.greatest(F.lit(-128), F.floor(x * 400))).cast("tinyint")
-    frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("video"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", level).alias("grey"))
+    rows = table(spark, sf_dir, "embeddings")
+    frames = rows.repartition(rows.count() // FRAMES_PER_TASK + 1).select(F.col("vec_id").alias("video"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", level).alias("grey"))
     found = views.descriptors(frames).withColumn("session", F.floor(F.col("video") / VECTORS_PER_SESSION))
     return clusters.lanes(found, "session", "video", "descriptor", list(range(1, grouping.MAX_LANES + 1)))
 

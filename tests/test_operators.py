@@ -9,7 +9,7 @@ import random
 
 import numpy as np
 import pytest
-from cadenza.functions import color, vectors
+from cadenza.functions import color, vectors, views
 from cadenza.functions import scalars as S
 from cadenza.operators import assign, clusters, coverage, graph, layout, matching, order, rules, signal
 from cadenza.plans import grouping
@@ -181,6 +181,20 @@ def test_linkage_equals_brute_force():
         assert len(set(got[20].tolist())) == n
 
 
+def test_frames_of_a_video_are_described_once(spark):
+    """Videos of several frames, some of them without pixels; no row for each number of a frame."""
+    rng = np.random.default_rng(6)
+    frames = [(k % 40, bytearray(rng.integers(0, 256, 64, dtype=np.uint8).tobytes()) if k % 3 or k % 40 == 7 else None) for k in range(120)] + [(99, None)]
+    rows = spark.createDataFrame([(v, 8, 8, g) for v, g in frames], "video long, width int, height int, grey binary")
+    plan = views.descriptors(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Generate" not in plan
+    got = {r.video: r.descriptor for r in views.descriptors(rows).collect()}
+    for v in range(40):
+        own = [views.frame_descriptor(np.frombuffer(g, np.uint8).reshape(8, 8)) for w, g in frames if w == v and g]
+        assert got[v] is None if not own else np.allclose(got[v], np.mean(own, axis=0) / np.linalg.norm(np.mean(own, axis=0)), atol=1e-6)
+    assert got[99] is None
+
+
 def test_lanes_solved_side_by_side_equal_lanes_alone():
     rng = np.random.default_rng(5)
     lanes = []
