@@ -93,17 +93,20 @@ def assign_lane(video: np.ndarray, audio: np.ndarray, score: np.ndarray) -> list
     return [(video[a], audio[w] if w >= 0 else None, float(x), bool(g), float(c)) for a, w, x, g, c in zip(at, with_, value, good, cost, strict=True)]
 
 
-def assign_lanes(lane: np.ndarray, video: np.ndarray, audio: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+def assign_lanes(lane: np.ndarray, video: np.ndarray, audio: np.ndarray, score: np.ndarray, sets: int = 0) -> tuple[np.ndarray, ...]:
     """(row of the video, row of its audio or -1, pair_score, assigned, cost) of each video of each lane's pairs.
 
     A pair below the null choice is never taken, so videos and audios fall into parts that
     only pairs at least as good join. Where no two videos of a part have the same best audio
     each takes its own; other parts are solved, those of like sizes side by side. A negative
-    audio stands for no pair, with the best score that a video's other pairs have.
+    audio stands for no pair, with the best score that a video's other pairs have. Lanes of
+    up to ``sets`` audios are gone through video by video and set by set of audios used: of
+    choices that cost the same but for rounding, that of the least sum in this order wins.
     """
     (v, at), (a, audio_at) = _nodes(lane, video), _nodes(lane, audio)
-    value = np.zeros(len(at))
-    np.maximum.at(value, v, score)
+    best = np.zeros(len(at))
+    np.maximum.at(best, v, score)
+    value = best.copy()
     strong = np.flatnonzero((score >= NULL_SCORE) & (audio >= 0))
     v, a, score = v[strong], a[strong], score[strong]
     part = _parts(len(at) + len(audio_at), v, a + len(at))[: len(at)]
@@ -115,7 +118,17 @@ def assign_lanes(lane: np.ndarray, video: np.ndarray, audio: np.ndarray, score:
     shared[part[v[first][uses[a[first]] > 1]]] = True
     first = first[~shared[part[v[first]]]]
     taken[v[first]], value[v[first]] = a[first], score[first]
-    own = np.flatnonzero(shared[part[v]])
+    own = shared[part[v]]
+    if sets and own.any():
+        whole, named = _nodes(lane[at][v], a)
+        _, first_of, of = np.unique(lane[at][v][named], return_index=True, return_inverse=True)
+        bit = np.arange(len(named)) - first_of[of]
+        few = (np.bincount(of)[of] <= sets)[whole]
+        hard = np.isin(lane[at], lane[at][v[own & few]])
+        taken[hard], value[hard] = -1, best[hard]
+        _solve_sets(lane[at], np.flatnonzero(hard), v[hard[v]], a[hard[v]], bit[whole][hard[v]], score[hard[v]], taken, value)
+        own &= ~hard[v]
+    own = np.flatnonzero(own)
     if len(own):
         _solve_parts(part[v[own]], v[own], a[own], score[own], taken, value)
     good = (taken >= 0) & (value >= MIN_LANE_SCORE)
@@ -151,6 +164,56 @@ def _solve_parts(part: np.ndarray, v: np.ndarray, a: np.ndarray, score: np.ndarr
             taken[who], value[who] = a[col_at[col_from[some[g]] + col]], grid[g, i, col]
 
 
+def _solve_sets(lane: np.ndarray, videos: np.ndarray, v: np.ndarray, a: np.ndarray, bit: np.ndarray, score: np.ndarray, taken: np.ndarray, value: np.ndarray) -> None:
+    """Fill in what the videos of whole lanes take, by the least sum for each set of audios used so far; v, a, bit and score are their pairs.
+
+    Of equal sums the last audio wins, and any before none.
+    """
+    _, start, place = np.unique(lane[videos], return_index=True, return_inverse=True)
+    size, turn = np.bincount(place), np.arange(len(videos)) - start[place]
+    row = np.full(len(lane), -1)
+    row[videos] = np.arange(len(videos))
+    bits, at_row = int(bit.max()) + 1, row[v]
+    order = np.argsort(size, kind="stable")
+    step = np.maximum(1, CELLS // (size[order] << bits))
+    k = 0
+    while k < len(order):
+        n = int(size[order[min(len(order), k + int(step[k])) - 1]])
+        some = order[k : k + max(1, CELLS // (n << bits))]
+        n, k = int(size[some].max()), k + len(some)
+        seat = np.full(len(size), -1)
+        seat[some] = np.arange(len(some))
+        mine = np.flatnonzero(seat[place[at_row]] >= 0)
+        grid, audio = np.zeros((len(some), n, bits)), np.full((len(some), n, bits), -1)
+        index = seat[place[at_row[mine]]], turn[at_row[mine]], bit[mine]
+        np.maximum.at(grid, index, score[mine])
+        audio[index] = a[mine]
+        price = np.where(audio >= 0, 1 - grid, np.inf)
+        total = np.full((len(some), 1 << bits), np.inf)
+        total[:, 0] = 0
+        chosen = np.full((len(some), n, 1 << bits), -1, np.int8)
+        every = np.arange(1 << bits)
+        for i in range(n):
+            on = np.flatnonzero(size[some] > i)
+            before, after = total[on], np.full((len(on), 1 << bits), np.inf)
+            pick = np.full((len(on), 1 << bits), -1, np.int8)
+            for b in (*range(bits - 1, -1, -1), -1):
+                into = every[every >> b & 1 == 1] if b >= 0 else every
+                sums = before[:, into ^ (1 << b)] + price[on, i, b, None] if b >= 0 else before + (1 - NULL_SCORE)
+                less = sums < after[:, into]
+                after[:, into] = np.where(less, sums, after[:, into])
+                pick[:, into] = np.where(less, b, pick[:, into])
+            total[on], chosen[on, i] = after, pick
+        used = total.argmin(axis=1)
+        for i in range(n - 1, -1, -1):
+            on = np.flatnonzero(size[some] > i)
+            b = chosen[on, i, used[on]].astype(int)
+            on, b = on[b >= 0], b[b >= 0]
+            used[on] ^= 1 << b
+            who = videos[start[some[on]] + i]
+            taken[who], value[who] = audio[on, i, b], grid[on, i, b]
+
+
 def _ranks(names: pa.Array) -> np.ndarray:
     """The place of each name among the distinct ones in order."""
     coded = names.dictionary_encode()  # null has no code
@@ -170,10 +233,10 @@ def _turns(rows: pa.Table, groups: list[str]) -> np.ndarray:
     return turn
 
 
-def _solved(rows: pa.Table, turn: np.ndarray, keys: list[str]) -> pa.RecordBatch:
+def _solved(rows: pa.Table, turn: np.ndarray, keys: list[str], sets: int) -> pa.RecordBatch:
     """ASSIGNMENT rows of whole lanes that begin where turn says."""
     video, audio = (_ranks(rows.column(c).combine_chunks()) for c in ("video", "audio"))
-    at, with_, value, good, cost = assign_lanes(np.cumsum(turn), video, audio, rows.column("pair_score").to_numpy())
+    at, with_, value, good, cost = assign_lanes(np.cumsum(turn), video, audio, rows.column("pair_score").to_numpy(), sets)
     lanes = rows.select([*keys, "video"]).take(pa.array(at, pa.int64()))
     audios = rows.column("audio").combine_chunks().take(pa.array(with_, pa.int64(), mask=with_ < 0))
     columns = [*(lanes.column(c).combine_chunks() for c in (*keys, "video")), audios, pa.array(value, pa.float64()), pa.array(good, pa.bool_()), pa.array(cost, pa.float64())]
@@ -189,14 +252,15 @@ def _split(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("part", F.xxhash64(F.coalesce("component", "node"))).drop("node", "component")
 
 
-def assign(pairs: DataFrame, *within: str, large: bool = False, costs: bool = False) -> DataFrame:
+def assign(pairs: DataFrame, *within: str, large: bool = False, costs: bool = False, sets: int = 0) -> DataFrame:
     """ASSIGNMENT rows, with ``within`` before them, from pairs (*within, lane, video, audio, pair_score); with costs also what each choice costs.
 
     A row without an audio keeps a video that no pair is given of, with the best score of
     those left out. Lanes are solved in memory, side by side, part by part of what pairs
     above the null choice join, many lanes at once; names stay in Arrow, the solver sees numbers. With large,
     lanes are split into those parts over Spark tables first, so that a task holds the
-    pairs of a part and not of a lane.
+    pairs of a part and not of a lane. Lanes of up to ``sets`` audios are solved as
+    assign_lanes says, so that ties go as in SQL over sets of audios.
     """
     keys = [*within, "lane"]
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in (*within, "lane", "video", "audio")}
@@ -218,12 +282,12 @@ def assign(pairs: DataFrame, *within: str, large: bool = False, costs: bool = Fa
             turn = _turns(rows, groups)
             last = int(np.flatnonzero(turn)[-1])  # it may go on
             if last:
-                yield _solved(rows.slice(0, last), turn[:last], keys)
+                yield _solved(rows.slice(0, last), turn[:last], keys, sets)
             held, n = rows.slice(last).to_batches(), n - last
             least = max(ROWS, 2 * n)
         if n:
             rows = pa.Table.from_batches(held).combine_chunks()
-            yield _solved(rows, _turns(rows, groups), keys)
+            yield _solved(rows, _turns(rows, groups), keys, sets)
 
     return rows.repartition(*groups).sortWithinPartitions(*groups, "video").mapInArrow(run, schema).drop(*(() if costs else ("cost",)))
 

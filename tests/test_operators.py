@@ -208,6 +208,19 @@ def test_lanes_solved_side_by_side_equal_lanes_alone():
     assert got == [row for x in lanes for row in assign.assign_lane(*x)]
 
 
+def test_few_audios_are_assigned_by_the_least_sum_in_order():
+    """Choices that cost the same but for rounding: the least sum, video by video, as SQL adds them up."""
+    rng = np.random.default_rng(8)
+    lanes = [(np.repeat(np.arange(n), m), np.tile(np.arange(m), n), rng.integers(4, 11, n * m) / 10 + rng.integers(0, 2) / 30) for n, m in rng.integers(1, 5, (60, 2))]
+    video, audio, score = (np.concatenate([x[i] for x in lanes]) for i in range(3))
+    lane = np.repeat(np.arange(len(lanes)), [len(x[0]) for x in lanes])
+    at, _, _, _, cost = assign.assign_lanes(lane, video, audio, score, 4)
+    for k, (v, a, s) in enumerate(lanes):
+        price = 1 - s.reshape(v.max() + 1, -1)
+        sums = [sum(price[i, c] if c >= 0 else 1 - 0.4 for i, c in enumerate(p)) for p in itertools.product(range(-1, a.max() + 1), repeat=v.max() + 1) if len({c for c in p if c >= 0}) == sum(c >= 0 for c in p)]
+        assert sum(cost[lane[at] == k]) == min(sums)
+
+
 def test_assignment_equals_permutations():
     rng = random.Random(7)
     for n, m in ((1, 1), (3, 3), (5, 2), (2, 5), (4, 4)):
