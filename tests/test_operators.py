@@ -181,6 +181,14 @@ def test_linkage_equals_brute_force():
         assert len(set(got[20].tolist())) == n
 
 
+def test_drift_groups_both_sides_at_once(spark):
+    """A key is shipped once; null is a key like others, as in EXCEPT."""
+    a, b = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long"), spark.createDataFrame([(2,), (3,), (3,), (None,)], "k long")
+    got = coverage.drift(a, b, "k")
+    assert sorted((r.k, r.side) for r in got.collect()) == [(1, "missing"), (3, "extra")]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_frames_of_a_video_are_described_once(spark):
     """Videos of several frames, some of them without pixels; no row for each number of a frame."""
     rng = np.random.default_rng(6)
