@@ -9,6 +9,7 @@ from cadenza.functions import scalars as S
 from cadenza.operators import coverage, inspection, layout, order, rules
 from cadenza.plans import grouping
 from cadenza.queries import _EVIDENCE_SQL, _INGEST_SQL, _evidence, _ingest, query, table
+from cadenza.storage import written
 
 _LABEL = "concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(floor(l_extendedprice) AS bigint))"
 _TAKES_SQL = "takes AS (SELECT o_custkey AS session, o_orderkey::VARCHAR AS take_id, o_orderkey AS pos, o_orderstatus, o_orderpriority, o_totalprice FROM orders)"
@@ -64,7 +65,7 @@ UNION ALL SELECT session, take_id, 'color_prep_video_scratch_unlinked', label, '
 def timeline_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     takes, cameras = _takes(spark, sf_dir), _cameras(spark, sf_dir)
     angles = cameras.where("l_linenumber = 1").select("session", "label", F.lit(0).alias("pos")).distinct()
-    cameras = inspection.expected_tracks(cameras, angles)
+    cameras = written(inspection.expected_tracks(cameras, angles).drop("file", "l_returnflag"))  # read six times
     timelines = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("session"), (F.col("c_acctbal") > -500).alias("exists"), F.expr("CASE c_nationkey % 5 WHEN 0 THEN '01:00:00:00' WHEN 1 THEN NULL ELSE '00:00:00;00' END").alias("start_timecode")
     )

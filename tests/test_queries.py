@@ -40,3 +40,14 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", ["q_timeline_verify", "q_preflight", "q_still_issues", "q_project_inspect"])
+def test_cameras_are_joined_once(spark, name):
+    """What all branches of a query read is written first, so none of them joins line items to orders anew."""
+    assert "l_orderkey" not in QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_streams_come_with_their_rows(spark):
+    plan = QUERIES["q_stream_rules"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_discount" in plan and "Join Inner, (((take_id" not in plan and plan.count("Join") <= 8
