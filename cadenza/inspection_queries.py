@@ -25,8 +25,8 @@ def _takes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").withColumn("label", F.expr(_LABEL))
-    takes = _takes(spark, sf_dir).select("session", "take_id", F.col("pos").alias("at"))
-    return items.join(takes, F.col("l_orderkey") == F.col("at")).select("session", "take_id", "at", "label", F.col("label").alias("file"), "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_returnflag")
+    takes = _takes(spark, sf_dir).select("session", "take_id", F.col("pos").alias("at"), "o_orderstatus", "o_totalprice")
+    return items.join(takes, F.col("l_orderkey") == F.col("at")).select("session", "take_id", "at", "label", F.col("label").alias("file"), "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_returnflag", "o_orderstatus", "o_totalprice")
 
 
 @query(f"""WITH {_CAMERAS_SQL},
@@ -65,7 +65,7 @@ UNION ALL SELECT session, take_id, 'color_prep_video_scratch_unlinked', label, '
 def timeline_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     takes, cameras = _takes(spark, sf_dir), _cameras(spark, sf_dir)
     angles = cameras.where("l_linenumber = 1").select("session", "label", F.lit(0).alias("pos")).distinct()
-    cameras = written(inspection.expected_tracks(cameras, angles).drop("file", "l_returnflag"))  # read six times
+    cameras = written(inspection.expected_tracks(cameras, angles).drop("file", "l_returnflag", "o_orderstatus", "o_totalprice"))  # read six times
     timelines = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("session"), (F.col("c_acctbal") > -500).alias("exists"), F.expr("CASE c_nationkey % 5 WHEN 0 THEN '01:00:00:00' WHEN 1 THEN NULL ELSE '00:00:00;00' END").alias("start_timecode")
     )
@@ -278,10 +278,11 @@ buckets AS (SELECT session, 'in/v-' || take_id || '-' || label || '.Mp4' AS sour
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    takes, cameras = _takes(spark, sf_dir), _cameras(spark, sf_dir)
+    takes = _takes(spark, sf_dir)
+    cameras = written(_cameras(spark, sf_dir).select("session", "take_id", "label", "l_linenumber", "l_quantity", "l_returnflag", "o_totalprice"))  # all tables of a plan come from it
     audio, video = F.concat(F.lit("in/a-"), "take_id", F.lit(".WAV")), F.concat(F.lit("in/v-"), "take_id", F.lit("-"), "label", F.lit(".Mp4"))
     rows = cameras.withColumn("video", video).withColumn("audio", audio)
-    planned = rows.where("l_returnflag = 'A'").join(takes.select("session", "take_id", "o_totalprice"), ["session", "take_id"]).select(
+    planned = rows.where("l_returnflag = 'A'").select(
         "session", F.concat(F.lit("take-"), "take_id").alias("take_id"), "audio", "video", F.concat(F.lit("angle-"), "l_linenumber").alias("label"), F.round(F.col("o_totalprice") / 200000, 4).alias("confidence")
     )
     buckets = rows.where("l_returnflag IN ('R', 'A') AND l_quantity <> 7").select("session", F.col("video").alias("source"), F.when(F.col("l_quantity") > 25, "excluded").otherwise("unresolved").alias("bucket"))
