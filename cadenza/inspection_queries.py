@@ -234,11 +234,7 @@ UNION ALL SELECT DISTINCT l_orderkey::VARCHAR, 'audio_missing', 'fail', l_orderk
 
 @query(f"WITH {_STREAM_SQL} SELECT take_id, code, severity, subject FROM found")
 def stream_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    videos, audios, cameras = _ingest(spark, sf_dir)
-    marks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("take_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("file"), (F.col("l_quantity") < 45).alias("has_stream"), (F.col("l_extendedprice") / 200).alias("duration_seconds"))
-    videos = videos.join(marks.distinct(), ["take_id", "file", "duration_seconds"])
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("take_id"), (F.col("o_orderpriority") != "3-MEDIUM").alias("has_stream"))
-    return rules.inspect_takes(videos, audios.join(keys, "take_id"), cameras)
+    return rules.inspect_takes(*_ingest(spark, sf_dir, streams=True))
 
 
 @query("""SELECT o_orderkey::VARCHAR AS take_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'take_file_missing' WHEN '2-HIGH' THEN 'take_load_failed' ELSE 'take_project_name_mismatch' END AS code, 'fail' AS severity, o_orderkey::VARCHAR AS subject

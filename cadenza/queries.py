@@ -342,19 +342,20 @@ def bucket_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- rules
 
 
-def _ingest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Line items as videos and orders as audios, with probe values made of their columns."""
+def _ingest(spark: SparkSession, sf_dir: str, streams: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Line items as videos and orders as audios, with probe values made of their columns; with streams also whether they have one."""
+    has = lambda holds: [holds.alias("has_stream")] if streams else []
     items = table(spark, sf_dir, "lineitem")
     file = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")
     rate = 29.97 + F.col("l_discount") * 0.9
     videos = items.select(
         F.col("l_orderkey").cast("string").alias("take_id"), file.alias("file"), (F.col("l_extendedprice") / 200).alias("duration_seconds"), rate.alias("frame_rate"),
         F.when(F.col("l_tax") > 0.07, rate + 1).otherwise(rate).alias("nominal_frame_rate"), (F.col("l_quantity") > 2).alias("scratch_audio_present"),
-        *(F.when(F.col(c) == v, "bt2020").otherwise("bt709").alias(a) for a, c, v in (("color_space", "l_returnflag", "R"), ("color_transfer", "l_linestatus", "F"), ("color_primaries", "l_returnflag", "A"))),
+        *(F.when(F.col(c) == v, "bt2020").otherwise("bt709").alias(a) for a, c, v in (("color_space", "l_returnflag", "R"), ("color_transfer", "l_linestatus", "F"), ("color_primaries", "l_returnflag", "A"))), *has(F.col("l_quantity") < 45),
     )
     audios = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("take_id"), F.lit("audio.wav").alias("file"), (F.col("o_totalprice") / 1000).alias("duration_seconds"),
-        F.when(F.col("o_orderstatus") == "P", 0).otherwise(48000).alias("sample_rate"), F.substring("o_orderpriority", 1, 1).cast("int").alias("channels"),
+        F.when(F.col("o_orderstatus") == "P", 0).otherwise(48000).alias("sample_rate"), F.substring("o_orderpriority", 1, 1).cast("int").alias("channels"), *has(F.col("o_orderpriority") != "3-MEDIUM"),
     )
     return videos, audios, items.select(F.col("l_orderkey").cast("string").alias("take_id"), file.alias("file"))
 
