@@ -129,13 +129,14 @@ UNION ALL SELECT session, take_id, 'take_bin_missing', take_id, 'fail' FROM take
 UNION ALL SELECT session, take_id, 'take_clip_missing', names, 'fail' FROM gone JOIN takes USING (session, take_id) JOIN live USING (session) WHERE o_orderstatus <> 'P'
 UNION ALL SELECT session, take_id, 'take_extra_clip', names, 'warn' FROM extra JOIN live USING (session)""")
 def project_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    takes, cameras = _takes(spark, sf_dir), _cameras(spark, sf_dir)
+    takes = _takes(spark, sf_dir)
+    cameras = written(_cameras(spark, sf_dir).select("session", "take_id", "label", "l_linenumber", "l_quantity", "l_tax", "o_orderstatus"))
     settings, bins, customers = _snapshots(spark, sf_dir)
     projects = customers.select("session", (F.col("c_nationkey") != 3).alias("exists"), (F.col("c_nationkey") % 2 == 0).alias("snapshot"))
     there = takes.where("o_orderstatus <> 'P'")
     master = lambda rows: rows.select("session", "take_id", F.lit("audio-master").alias("name"))
     want = master(takes).unionByName(cameras.select("session", "take_id", F.col("label").alias("name")))
-    shot = cameras.join(there.select("session", "take_id"), ["session", "take_id"], "left_semi")
+    shot = cameras.where("o_orderstatus <> 'P'")
     seen = master(there.where("o_totalprice > 30000")).unionByName(shot.where("l_quantity > 3").select("session", "take_id", F.col("label").alias("name")))
     seen = seen.unionByName(shot.where("l_tax > 0.075").select("session", "take_id", F.concat(F.lit("x"), "l_linenumber").alias("name")))
     return inspection.project_issues(projects, settings, bins, there.select("session", "take_id"), (want, seen))

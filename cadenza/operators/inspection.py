@@ -151,14 +151,21 @@ def project_issues(projects: DataFrame, settings: tuple[DataFrame, DataFrame], b
     missing, stale = _bins(*within(*bins))
     want, have = within(*clips)
     key = ["session", "take_id"]
-    gone = want.join(have, [*key, "name"], "left_anti").groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("names"))
-    extra = have.join(want, [*key, "name"], "left_anti").groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("names"))
-    lost = want.select(*key).distinct().join(take_bins, key, "left_anti")
+    # wanted and seen names are grouped together, then by take: one row of each take tells all three issues
+    names = want.select(*key, "name", F.lit(True).alias("_asked")).unionByName(have.select(*key, "name", F.lit(False).alias("_asked"))).groupBy(*key, "name").agg(F.bool_or("_asked").alias("_a"), F.bool_and("_asked").alias("_only"))
+    listed = lambda holds: F.array_sort(F.collect_set(F.when(holds, F.col("name"))))
+    per = names.groupBy(*key).agg(F.bool_or("_a").alias("_wanted"), listed(F.col("_only")).alias("_gone"), listed(~F.col("_a")).alias("_extra"))
+    per = per.join(take_bins.select(*key).distinct().withColumn("_bin", F.lit(True)), key, "left").where("_wanted")
+    told = lambda code, holds, subject: F.when(holds, F.struct(F.lit(code).alias("code"), subject.alias("subject")))
+    bin_lost = F.col("_bin").isNull()
+    takes = per.select(*key, F.explode(F.array_compact(F.array(
+        told("take_bin_missing", bin_lost, F.col("take_id").cast("string")), told("take_clip_missing", ~bin_lost & (F.size("_gone") > 0), F.array_join("_gone", ", ")),
+        told("take_extra_clip", F.size("_extra") > 0, F.array_join("_extra", ", ")),
+    ))).alias("_x"))
     parts = (
         _issue(projects.where(~F.col("exists")), "resolve_project_missing", F.lit("project")), _issue(projects.where(~F.col("snapshot")), "project_snapshot_missing", F.lit("snapshot")),
         _settings(*within(*settings), False), _issue(missing, "resolve_bin_missing", F.col("name")), _issue(stale, "stale_top_level_bin", F.col("name")),
-        _issue(lost, "take_bin_missing", F.col("take_id"), F.col("take_id")), _issue(gone.join(take_bins, key, "left_semi"), "take_clip_missing", F.col("names"), F.col("take_id")),
-        _issue(extra.join(want.select(*key).distinct(), key, "left_semi"), "take_extra_clip", F.col("names"), F.col("take_id")),
+        _issue(takes, F.col("_x.code"), F.col("_x.subject"), F.col("take_id")),
     )
     return reduce(DataFrame.unionByName, parts)
 
