@@ -10,7 +10,9 @@ the words of the group. Further words stand side by side in the order of their c
 Words without vectors fall in classes by their ending, inside which they share out the
 class by their counts.
 
-Vectors are learned in numpy by noise-contrastive estimation, with noise for each step.
+Vectors are learned in numpy by noise-contrastive estimation, with noise for each step;
+there the odds of a noise token are taken to within one per cent. Scores are normalised
+exactly.
 Texts are dealt to lessons of about LESSON tokens by a hash of id and text, and lessons to
 rounds; in a round each lesson starts from the same vectors and learns from all its texts
 in the order of their hashes, and the changes are averaged with their token counts as
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.store import keep, shared_folder
-from cadenza.llm.words import CHUNK_BYTES, U64, Words, chunks
+from cadenza.llm.words import U64, Words, chunks
 
 #: Words of the first step; classes of words without vectors; vector size.
 VOCABULARY, CLASSES, SIZE = 64, 63, 16
@@ -50,10 +52,16 @@ STEP, NOISE, RATE, LEAST, HALF = 4096, 64, 0.1, 0.1, 2_000_000
 LESSON, MOST, ROUNDS = 2_000_000, 4_000_000, 3
 #: Tasks that learn in a round, if there are as many lessons.
 TASKS = 20_000
+#: Tokens of a step that meet its noise at a time, whose scores fit a cache.
+NEAR = 512
 #: Rows of the model that travel together; tokens scored at a time, and those of them whose scores fit a cache.
 BLOCK, SLICE, CACHED = 1024, 1 << 19, 256
-#: Bytes of text scored at a time.
-SCORED = 1 << 22
+#: Words of groups, the most frequent ones, whose share as context in each outcome of the first step is worked out once.
+FREQUENT = 8192
+#: Bytes of text counted, encoded and scored at a time, and those parsed at a time, which fit a cache.
+SCORED, PARSED = 1 << 22, 1 << 18
+#: Bits of a token hash that lead to its place among sorted ones.
+LEADING = 20
 #: Scores below this need no shift before they become exponentials.
 PLAIN = 80.0
 _END_HASH = 0x1E3D
@@ -113,18 +121,27 @@ class Coder(NamedTuple):
     words: np.ndarray  # sorted hashes of the vocabulary
     ids: np.ndarray
     hot: np.ndarray  # sorted hashes
+    leads: np.ndarray  # the first of them for each value of the leading bits
     counts: np.ndarray
     hot_ids: np.ndarray  # model ids of the hot tokens, -1 for those of classes
 
 
-def _texts(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, offsets, hashes, classes) of the tokens of chunks; each text's tokens end with END."""
-    for a, b, data, offs in chunks(text, limit):
+def _parsed(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    for a, b, data, offs in chunks(text, PARSED):
         w = Words(data, offs, lower=True)
         h = w.hashes() >> U64(1)
         ending = w.data[w.end - 1].astype(np.int64) * 31 + np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0)
         ends = w.first[1:]
-        yield a, b, np.concatenate(([0], ends + np.arange(1, len(ends) + 1))), np.insert(h, ends, U64(_END_HASH)), np.insert(ending % CLASSES, ends, -1)
+        yield a, b, ends + np.arange(1, len(ends) + 1), np.insert(h, ends, U64(_END_HASH)), np.insert((ending % CLASSES).astype(np.int8), ends, -1)
+
+
+def _texts(text: pa.Array, limit: int = SCORED) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, offsets, hashes, classes) of the tokens of chunks; each text's tokens end with END."""
+    for a, b, _, _ in chunks(text, limit):
+        parts = list(_parsed(text.slice(a, b - a)))
+        sizes = np.cumsum([0, *(len(h) for *_, h, _ in parts)])
+        offs = np.concatenate(([0], *(ends + at for (_, _, ends, _, _), at in zip(parts, sizes, strict=False))))
+        yield a, b, offs, *(np.concatenate([part[k] for part in parts]) for k in (3, 4))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -138,12 +155,26 @@ def count_tokens(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, _, h, cls in _texts(batch.column(0)):
-                token, at, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls[at].astype(np.int32)), pa.array(n.astype(np.int64))], names=["token", "cls", "n"])
+                token, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls[_places(h, token)].astype(np.int32)), pa.array(n.astype(np.int64))], names=["token", "cls", "n"])
 
     return train.select("text").mapInArrow(run, "token long, cls int, n long").groupBy("token", "cls").agg(F.sum("n").alias("n"))
 
 
+def _places(h: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """A place in h of each of its distinct tokens: by their leading bits, and by sorting for those that share them."""
+    lead = U64(63 - LEADING)
+    last = np.zeros(1 << LEADING, np.int32)
+    last[h >> lead] = np.arange(len(h), dtype=np.int32)
+    at = last[token >> lead]
+    other = np.flatnonzero(h[at] != token)
+    if len(other):
+        left = np.flatnonzero(np.isin(last[h >> lead], at[other]))
+        order = left[np.argsort(h[left], kind="stable")]
+        at[other] = order[np.searchsorted(h[order], token[other])]
+    return at
+
+
 def _hot(counts: DataFrame) -> pd.DataFrame:
     """The HOT most used tokens; of tokens used alike those of the least hashes.
 
@@ -178,29 +209,36 @@ def _coder(counts: DataFrame, hot: pd.DataFrame) -> Coder:
     by = np.argsort(tokens)
     known = np.full(len(tokens), -1, np.int64)
     known[: len(ids)], known[-1] = ids, END
-    return Coder(shape, words[order], ids[order].astype(np.int64), tokens[by], n[by], known[by])
+    leads = np.searchsorted(tokens[by], np.arange(1 << LEADING, dtype=np.int64) << (63 - LEADING)).astype(np.int32)
+    return Coder(shape, words[order], ids[order].astype(np.int64), tokens[by], leads, n[by], known[by])
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray, missing: np.ndarray | int) -> np.ndarray:
-    if not len(keys):
-        return np.broadcast_to(missing, h.shape).copy()
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, values[at], missing)
+def _hot_places(coder: Coder, h: np.ndarray) -> np.ndarray:
+    """The place of each token among the hot ones, or -1; from where its leading bits begin it is a step or two."""
+    h, last = h.view(np.int64), len(coder.hot) - 1
+    at = np.minimum(coder.leads.take(h >> (63 - LEADING)), last)
+    found = coder.hot.take(at)
+    less = np.flatnonzero((found < h) & (at < last))
+    while len(less):
+        at[less] += 1
+        found[less] = coder.hot.take(at[less])
+        less = less[(found[less] < h[less]) & (at[less] < last)]
+    return np.where(found == h, at, -1)
 
 
 def _model_ids(coder: Coder, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return _lookup(coder.words, coder.ids, h.view(np.int64), _class_ids(coder, cls))
+    return _ids_and_counts(coder, h, cls)[0]
 
 
 def _class_ids(coder: Coder, cls: np.ndarray) -> np.ndarray:
-    return np.where(cls < 0, END, 1 + coder.shape.vocabulary + cls)
+    return np.where(cls < 0, END, 1 + coder.shape.vocabulary + cls.astype(np.int64))
 
 
 def _ids_and_counts(coder: Coder, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Model ids, and counts of the tokens that are broadcast, -1 for others."""
-    at = _lookup(coder.hot, np.arange(len(coder.hot)), h.view(np.int64), -1)
-    known = np.where(at < 0, -1, coder.hot_ids[at])
-    return np.where(known < 0, _class_ids(coder, cls), known), np.where(at < 0, -1, coder.counts[at])
+    at = _hot_places(coder, h)
+    known = np.where(at < 0, -1, coder.hot_ids.take(at))
+    return np.where(known < 0, _class_ids(coder, cls), known), np.where(at < 0, -1, coder.counts.take(at))
 
 
 def _pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +274,8 @@ class Model:
 
     def __init__(self, R: np.ndarray, Q: np.ndarray, b: np.ndarray, C: np.ndarray, sums: dict[str, np.ndarray] | None = None):
         self.R, self.Q, self.b, self.C = R, Q, b, C
-        self.outputs, self.longest = None, 0.0  # for scoring, when learning is over
+        self.outputs = self.last = self.before = self.shares = None  # for scoring, when learning is over
+        self.longest = 0.0
         self.sums = sums or {k: np.full(len(x), 1e-8, np.float32) for k, x in (("R", R), ("Q", Q), ("b", b), ("C", C))}
 
     @classmethod
@@ -260,48 +299,57 @@ class Model:
         return cls(flat[:v, :SIZE].copy(), flat[:v, SIZE:at].copy(), flat[:v, at].copy(), flat[v:, :SIZE].copy(), sums)
 
     def learn(self, own: np.ndarray, steps: list[tuple], log_noise: np.ndarray, rate: float) -> None:
-        """Noise-contrastive estimation of (places, targets, shared noise tokens) steps; log(k * chance of noise) is taken off each score.
+        """Noise-contrastive estimation of (places, targets, shared noise tokens) steps, without places of all; log(k * chance of noise) is taken off each score.
 
         own: the tokens from two before the first to the last, whose contexts they are.
         """
-        one, two = (x[2:] for x in _contexts(own))
-        x1, x2 = self.R[one], self.R[two]
-        hat = x1 * self.C[0] + x2 * self.C[1]
-        d_hat = np.zeros_like(hat)
-        rows, sums = [], []
-        sigmoid = lambda x: np.reciprocal(np.add(np.exp(np.negative(x, out=x), out=x), 1, out=x), out=x)
-        with np.errstate(over="ignore"):  # an infinite exponential is a chance of 0
-            for places, target, drawn in steps:
-                h, k_drawn, k = hat[places], len(drawn), np.float32(math.log(len(drawn)))
-                q, other = self.Q[target], self.Q[drawn]
-                g = 1 - sigmoid(np.einsum("ij,ij->i", h, q) + (self.b[target] - log_noise[target] - k))  # 1 - P(data)
-                bad = h @ other.T
-                bad += self.b[drawn] - log_noise[drawn] - k
-                e = sigmoid(bad)  # P(data) of noise
-                d_hat[places] += g[:, None] * q - e @ other
-                d = np.empty((len(g) + k_drawn, SIZE + 1), np.float32)
-                np.multiply(g[:, None], h, out=d[: len(g), :SIZE])
-                np.negative(e.T @ h, out=d[len(g) :, :SIZE])
-                d[:, SIZE] = np.concatenate((g, -e.sum(axis=0)))
-                for x, y in zip((rows, sums), _by_row(np.concatenate((target, drawn)), d), strict=True):
-                    x.append(y)
+        begins = own[1:-1] == END
+        x = self.R.take(own, axis=0)
+        x1, x2 = x[1:-1], x[:-2].copy()
+        x2[begins] = self.R[END]
+        hat = np.ones((len(x1), SIZE + 1), np.float32)  # the bias is an output's last number
+        np.add(x1 * self.C[0], x2 * self.C[1], out=hat[:, :SIZE])
+        d_hat = np.zeros_like(x2)
+        rows, sums, at, h, owed = [], [], None, hat, d_hat
+        for places, target, drawn in steps:
+            if places is not at:  # steps of the same places come one after the other
+                if at is not None:
+                    d_hat[at] += owed
+                at, h = places, hat.take(places, axis=0)
+                owed = np.zeros((len(h), SIZE), np.float32)
+            n, k = len(target), np.float32(math.log(len(drawn)))
+            q, other = self.Q.take(target, axis=0), np.empty((len(drawn), SIZE + 1), np.float32)
+            other[:, :SIZE], other[:, SIZE] = self.Q.take(drawn, axis=0), self.b.take(drawn) - log_noise.take(drawn) - k
+            with np.errstate(over="ignore"):  # an infinite exponential is a chance of 0
+                good = (h[:, :SIZE] * q) @ np.ones(SIZE, np.float32) + (self.b.take(target) - log_noise.take(target) - k)
+                g = 1 / (np.exp(good) + 1)  # 1 - P(data)
+            q *= g[:, None]
+            owed += q
+            d = np.empty((n + len(drawn), SIZE + 1), np.float32)
+            np.multiply(g[:, None], h, out=d[:n])
+            d[n:] = 0
+            _against(h, other, owed, d[n:])
+            for part, y in zip((rows, sums), _by_row(np.concatenate((target, drawn)), d), strict=True):
+                part.append(y)
+        if at is not None:
+            d_hat[at] += owed
         row, d = np.concatenate(rows), np.concatenate(sums)  # steps have rows of their own
         self._move("b", row, d[:, SIZE:], rate)
         self._move("Q", row, d[:, :SIZE], rate)
         # what a token is owed as the last and as the last but one of contexts; before a text stand end tokens
-        owed, second, begins = np.zeros((len(own) + 1, SIZE), np.float32), d_hat * self.C[1], one == END
+        owed, second = np.zeros((len(own) + 1, SIZE), np.float32), d_hat * self.C[1]
         owed[-1] = second[begins].sum(axis=0)
         second[begins] = 0
         owed[1:-2] += d_hat * self.C[0]
         owed[:-3] += second
-        self._move("C", np.arange(2), np.stack(((d_hat * x1).sum(axis=0), (d_hat * x2).sum(axis=0))), rate)
+        self._move("C", np.arange(2), np.stack((np.einsum("ij,ij->j", d_hat, x1), np.einsum("ij,ij->j", d_hat, x2))), rate)
         self._move("R", *_by_row(np.append(own, END), owed), rate)
 
     def _move(self, name: str, row: np.ndarray, g: np.ndarray, rate: float) -> None:
         """Move rows along the sums of their gradients, each at a rate that falls with what it has moved."""
-        self.sums[name][row] += (g * g).mean(axis=1)
-        to = getattr(self, name)
-        to[row] += (rate * g / np.sqrt(self.sums[name][row])[:, None]).reshape(len(row), *to.shape[1:])
+        to, moved = getattr(self, name), self.sums[name].take(row) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.sums[name][row] = moved
+        to[row] += (g * (rate / np.sqrt(moved))[:, None]).reshape(len(row), *to.shape[1:])
 
     def _normaliser(self, hat: np.ndarray, output: np.ndarray, shifted: bool) -> np.ndarray:
         """The logarithm of the summed exponentials of the scores of these outputs, for each context."""
@@ -318,26 +366,30 @@ class Model:
     def log_probabilities(self, shape: Shape, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Logarithms of the chance of the first step's outcome and, for words of groups, of the group in its bundle and the word in its group."""
         if len(target) > SLICE:
-            cuts = range(0, len(target), SLICE)
-            return np.concatenate([self.log_probabilities(shape, *(x[at : at + SLICE] for x in (one, two, target))) for at in cuts])
+            cuts = np.linspace(0, len(target), 1 - (-len(target) // SLICE)).astype(int).tolist()
+            return np.concatenate([self.log_probabilities(shape, *(x[a:b] for x in (one, two, target))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         if not len(target):
             return np.zeros(0)
         if self.outputs is None:
-            self.outputs = np.concatenate((self.Q, self.b[:, None]), axis=1)
-            self.longest = math.sqrt(np.einsum("ij,ij->i", self.outputs, self.outputs).max())
-        hat = np.ones((len(target), SIZE + 1), np.float32)  # the bias is an output's last number
-        np.multiply(self.R[one], self.C[0], out=hat[:, :SIZE])
-        hat[:, :SIZE] += self.R[two] * self.C[1]
+            self._prepare(shape)
+        hat = self.last.take(one, axis=0)
+        hat += self.before.take(two, axis=0)
         shifted = math.sqrt(np.einsum("ij,ij->i", hat, hat).max()) * self.longest > PLAIN
-        score = lambda h, t: np.einsum("ij,ij->i", h, self.outputs[t])
-        out = (score(hat, shape.upper(target)) - self._normaliser(hat, self.outputs[: shape.middle], shifted)).astype(np.float64)
+        score = lambda h, t: (h * self.outputs.take(t, axis=0)) @ np.ones(SIZE + 1, np.float32)
+        out = score(hat, shape.upper(target)).astype(np.float64)
+        often = (one < len(self.shares[0])) & (two < len(self.shares[0]))
+        few = np.flatnonzero(~often)
+        out[few] -= self._normaliser(hat.take(few, axis=0), self.outputs[: shape.middle], shifted)
+        often = np.flatnonzero(often)
+        out[often] -= self._shared_normaliser(one[often], two[often])
         inner = np.flatnonzero(target >= shape.first)
-        inner = inner[np.argsort(target[inner], kind="stable")]
+        group = (target[inner] - shape.first) // shape.group
+        order = np.argsort(group.astype(np.uint16) if shape.groups < 1 << 16 else group, kind="stable")  # short numbers are sorted by digits
+        inner, group = inner[order], group[order]
         if len(inner):
-            hat, word = hat[inner], target[inner]
-            group = shape.groups_of(word)
-            more = score(hat, group) + score(hat, word)
-            for key, begin, size, end in (((group - shape.middle) // shape.fan, shape.middle, shape.fan, shape.first), (group - shape.middle, shape.first, shape.group, shape.rows)):
+            hat, word = hat.take(inner, axis=0), target[inner]
+            more = score(hat, shape.middle + group) + score(hat, word)
+            for key, begin, size, end in ((group // shape.fan, shape.middle, shape.fan, shape.first), (group, shape.first, shape.group, shape.rows)):
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
                 for x, y, k in zip(cuts[:-1].tolist(), cuts[1:].tolist(), key[cuts[:-1]].tolist(), strict=True):
                     a = begin + k * size
@@ -345,6 +397,31 @@ class Model:
             out[inner] += more
         return out
 
+    def _prepare(self, shape: Shape) -> None:
+        """What scoring needs of all contexts: their vectors by position, and the frequent ones' shares in the outcomes of the first step.
+
+        The exponential of a score is the product of those of its two positions, unless these could leave the range of single precision.
+        """
+        self.outputs = np.concatenate((self.Q, self.b[:, None]), axis=1)
+        self.longest = math.sqrt(np.einsum("ij,ij->i", self.outputs, self.outputs).max())
+        one, none = np.ones((len(self.R), 1), np.float32), np.zeros((len(self.R), 1), np.float32)
+        self.last = np.concatenate((self.R * self.C[0], one), axis=1)  # the bias is an output's last number
+        self.before = np.concatenate((self.R * self.C[1], none), axis=1)
+        scores = [x[: shape.first + FREQUENT] @ self.outputs[: shape.middle].T for x in (self.last, self.before)]
+        if sum(max(x.max(), -x.min()) for x in scores) > PLAIN:
+            scores = [x[:0] for x in scores]
+        self.shares = [np.exp(x, out=x) for x in scores]
+
+    def _shared_normaliser(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """_normaliser of the first step for pairs of frequent contexts."""
+        last, before = self.shares
+        out, ones = np.empty(len(one), np.float32), np.ones(last.shape[1], np.float32)
+        for at in range(0, len(one), CACHED):
+            share = last.take(one[at : at + CACHED], axis=0)
+            share *= before.take(two[at : at + CACHED], axis=0)
+            out[at : at + CACHED] = share @ ones
+        return np.log(out)
+
 
 def _by_row(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows, and the sums of their gradients."""
@@ -353,7 +430,32 @@ def _by_row(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(near.astype(np.uint16) if near.max() < 1 << 16 else near, kind="stable")  # short numbers are sorted by digits
     at = at[order]
     heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[heads], np.add.reduceat(g[order], heads, axis=0)
+    return at[heads], np.add.reduceat(g.take(order, axis=0), heads, axis=0)
+
+
+def _against(h: np.ndarray, other: np.ndarray, owed: np.ndarray, moved: np.ndarray) -> None:
+    """Take from owed and moved what noise tokens pull at contexts h and at their own outputs, with odds to within one per cent.
+
+    A number read as a float's exponent and mantissa is nearly an exponential. The odds are
+    the quotient of two of opposite halves, whose errors nearly cancel out; large scores are
+    cut off where the chance is 0 or 1 in single precision.
+    """
+    half, one, most = np.float32(0.5 * math.log2(math.e) * 2**23), np.int32(127 << 23), np.float32(60 * 2**23)
+    outputs, scale = np.ascontiguousarray(other[:, :SIZE]), np.ascontiguousarray((other * half).T)
+    scores, bits, less = (np.empty((min(NEAR, len(h)), len(other)), kind) for kind in (np.float32, np.int32, np.int32))
+    for at in range(0, len(h), NEAR):
+        own = h[at : at + NEAR]
+        x, up, down = (y[: len(own)] for y in (scores, bits, less))
+        np.matmul(own, scale, out=x)
+        np.clip(x, -most, most, out=x)
+        np.copyto(up, x, casting="unsafe")
+        np.subtract(one, up, out=down)
+        up += one
+        up, down = up.view(np.float32), down.view(np.float32)
+        down += up
+        np.divide(up, down, out=x)  # P(data) of noise
+        owed[at : at + NEAR] -= x @ outputs
+        moved -= x.T @ own
 
 
 def lessons(train: DataFrame, coder, n: int) -> DataFrame:
@@ -412,7 +514,7 @@ def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray,
         for at in range(0, len(ids), STEP):
             own = ids[at - 2 : at + STEP] if at else np.concatenate(([END, END], ids[:STEP]))
             target = own[2:]
-            steps = [(slice(None), shape.upper(target), drawn(0))]
+            steps = [(None, shape.upper(target), drawn(0))]
             if len(grouped := np.flatnonzero(target >= shape.first)):
                 words = target[grouped]
                 steps += [(grouped, shape.groups_of(words), drawn(1)), (grouped, words, drawn(2))]
@@ -424,7 +526,8 @@ def _round(rows: DataFrame, shape: Shape, noise: np.ndarray, start: np.ndarray,
         for batch in batches:
             for blob in batch.column(0):
                 ids = _unpack(np.frombuffer(blob.as_buffer(), np.uint8))
-                own = learned(ids) - shared.value[0].astype(np.float64)
+                own = learned(ids).astype(np.float64)
+                own -= shared.value[0]
                 own *= len(ids)
                 seen += len(ids)
                 if moved is None:
@@ -512,7 +615,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         model = Model.of(flat)
         log_room, shape = np.log10(room), coder.value.shape
         for batch in batches:
-            for a, b, offs, h, cls in _texts(batch.column(3), SCORED):
+            for a, b, offs, h, cls in _texts(batch.column(3)):
                 ids, c = _ids_and_counts(coder.value, h, cls)
                 one, two = _contexts(ids)
                 hot, other = c >= 0, (ids > shape.vocabulary) & (ids < shape.bundles_at)

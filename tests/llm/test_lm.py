@@ -138,3 +138,45 @@ def test_empty_and_all_held_out(spark):
     (row,) = lm.lm_scores(docs).collect()
     assert row.train_tokens == 0 and row.n_known == 0 and row.base_score == 0.0 and row.score < 0
     assert lm.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_frequent_contexts_are_normalised_once(monkeypatch):
+    """Sums of exponentials over the first step are made token by token for rare contexts only, and come out alike."""
+    monkeypatch.setattr(lm, "FREQUENT", 100)
+    rng = np.random.default_rng(5)
+    shape = lm.Shape(40, 300, 64)
+    model = lm.Model(*(rng.normal(0, 0.5, s).astype(np.float32) for s in ((shape.rows, lm.SIZE), (shape.rows, lm.SIZE), shape.rows, (2, lm.SIZE))))
+    one, two = (rng.choice(np.append(np.arange(104), np.arange(111, n)), 4000) for n in (211, 220))
+    summed, plain = [], lm.Model._normaliser
+    monkeypatch.setattr(lm.Model, "_normaliser", lambda self, hat, output, shifted: (len(output) == shape.middle and summed.append(len(hat))) or plain(self, hat, output, shifted))
+    got = model.log_probabilities(shape, one, two, np.full(4000, 7))
+    hat = (model.R[one] * model.C[0] + model.R[two] * model.C[1]).astype(float)
+    scores = hat @ model.Q[: shape.middle].T.astype(float) + model.b[: shape.middle]
+    assert np.allclose(got, scores[:, 7] - np.log(np.exp(scores).sum(axis=1)), atol=1e-4)
+    assert sum(summed) == (two >= 211).sum() > 50
+
+
+def test_tokens_are_found_by_their_leading_bits(monkeypatch):
+    """However many share them; each as sorting finds it."""
+    rng = np.random.default_rng(6)
+    for bits in (3, 20):
+        monkeypatch.setattr(lm, "LEADING", bits)
+        words = np.unique(np.concatenate((rng.integers(0, 1 << 63, 500), rng.integers(0, 1 << 12, 200), [(1 << 63) - 1])))
+        leads = np.searchsorted(words, np.arange(1 << bits, dtype=np.int64) << (63 - bits))
+        coder = lm.Coder(None, None, None, words, leads, None, None)
+        h = np.concatenate((rng.choice(words, 3000), words + 1, [0])).astype(np.uint64) & np.uint64((1 << 63) - 1)
+        want = [int(np.searchsorted(words, x)) if x in set(words.tolist()) else -1 for x in h.tolist()]
+        assert lm._hot_places(coder, h).tolist() == want
+        token = np.unique(h)
+        assert (h[lm._places(h, token)] == token).all()
+
+
+def test_noise_pulls_as_the_logistic_function_says():
+    rng = np.random.default_rng(7)
+    h, other = rng.normal(0, 1, (1300, lm.SIZE + 1)).astype(np.float32), rng.normal(0, 1, (64, lm.SIZE + 1)).astype(np.float32)
+    owed, moved = np.zeros((1300, lm.SIZE), np.float32), np.zeros((64, lm.SIZE + 1), np.float32)
+    lm._against(h, other, owed, moved)
+    e = 1 / (1 + np.exp(-(h.astype(float) @ other.T)))
+    assert np.allclose(owed, -e @ other[:, : lm.SIZE], atol=0.1) and np.allclose(moved, -e.T @ h, atol=1.0)
+    lm._against(h * 1000, other, owed, moved)
+    assert np.isfinite(owed).all() and np.isfinite(moved).all()
