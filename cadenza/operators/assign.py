@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions import scalars as S
 from cadenza.functions.scalars import MIN_LANE_SCORE, NULL_SCORE
 from cadenza.operators.graph import components
 from cadenza.schemas import ASSIGNMENT
 
 
-#: Rows that a task gathers before it solves the whole lanes among them, and cells of the costs that it solves side by side.
-ROWS, CELLS = 100_000, 2_000_000
+#: Rows that a task gathers before it solves the whole lanes among them, cells of the costs that it solves side by side, and pairs that it makes of clips at a time.
+ROWS, CELLS, PAIRS = 100_000, 2_000_000, 1_000_000
 
 
 def best_columns(cost: np.ndarray) -> np.ndarray:
@@ -243,6 +244,30 @@ def _solved(rows: pa.Table, turn: np.ndarray, keys: list[str], sets: int) -> pa.
     return pa.RecordBatch.from_arrays(columns, names=[*keys, "video", "audio", "pair_score", "assigned", "cost"])
 
 
+def _whole(groups: list[str], solve: Callable[[pa.Table, np.ndarray], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What solve makes of sorted rows, ROWS or more of whole groups at a time, and of where they turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, least = [], 0, ROWS
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n < least:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            turn = _turns(rows, groups)
+            last = int(np.flatnonzero(turn)[-1])  # it may go on
+            if last:
+                yield from solve(rows.slice(0, last), turn[:last])
+            held, n = rows.slice(last).to_batches(), n - last
+            least = max(ROWS, 2 * n)
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield from solve(rows, _turns(rows, groups))
+
+    return run
+
+
 def _split(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """pairs with part: what hangs together by pairs that beat the null choice; other rows have their video's, or one of their own."""
     node = lambda c: F.struct(*keys, F.lit(c).alias("side"), F.col(c).cast("string").alias("name"))
@@ -271,28 +296,81 @@ def assign(pairs: DataFrame, *within: str, large: bool = False, costs: bool = Fa
     groups = [*keys, "part"] if large else keys
     rows = _split(rows, keys) if large else rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, least = [], 0, ROWS
-        for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n < least:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            turn = _turns(rows, groups)
-            last = int(np.flatnonzero(turn)[-1])  # it may go on
-            if last:
-                yield _solved(rows.slice(0, last), turn[:last], keys, sets)
-            held, n = rows.slice(last).to_batches(), n - last
-            least = max(ROWS, 2 * n)
-        if n:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            yield _solved(rows, _turns(rows, groups), keys, sets)
-
+    run = _whole(groups, lambda rows, turn: [_solved(rows, turn, keys, sets)])
     return rows.repartition(*groups).sortWithinPartitions(*groups, "video").mapInArrow(run, schema).drop(*(() if costs else ("cost",)))
 
 
-def lane_costs(pairs: DataFrame, *within: str) -> DataFrame:
-    """(*within, lane, videos, cost): what the assignment of each lane costs in all, 1 - NULL_SCORE for a video left to the null choice."""
-    rows = assign(pairs, *within, costs=True)
+def near_scores(audio_s: np.ndarray, video_s: np.ndarray, waveform: float) -> np.ndarray:
+    """scalars.pair_score of scalars.duration_score, by the same operations."""
+    delta = audio_s - video_s
+    gap = np.abs(delta)
+    overflow = np.where(delta > S.LATE_SECONDS, delta - S.LATE_SECONDS, gap - S.EARLY_SECONDS)
+    near = np.where((delta >= -S.EARLY_SECONDS) & (delta <= S.LATE_SECONDS), 1 - np.minimum(gap / 120, 0.35), np.maximum(0.0, 0.65 - overflow / 120))
+    return np.maximum(0.0, np.minimum(1.0, 0.65 * np.where(gap > S.MAX_GAP_SECONDS, 0.0, near) + 0.35 * waveform))
+
+
+def _lanes_of(rows: pa.Table, keys: list[str], waveform: float) -> Iterator[pa.RecordBatch]:
+    """ASSIGNMENT rows of whole sessions, their audios before their videos; lanes are solved PAIRS pairs at a time, or one by one."""
+    session = np.cumsum(_turns(rows, keys[:-1])) - 1
+    sounds = rows.column("side").to_numpy() == 0
+    seconds = rows.column("seconds").to_numpy(zero_copy_only=False)
+    bucket = np.floor(seconds / S.MAX_GAP_SECONDS)
+    bucket[~np.isfinite(bucket)] = 0  # of no length: near nothing
+    _, bucket = np.unique(np.concatenate((bucket, bucket - 1, bucket + 1)), return_inverse=True)
+    here, below, above = bucket.reshape(3, -1) + session * (int(bucket.max(initial=0)) + 1)
+    audios, videos = np.flatnonzero(sounds), np.flatnonzero(~sounds)
+    first = np.searchsorted(session[audios], np.arange(session[-1] + 2))
+    least, most = np.full(session[-1] + 1, np.inf), np.full(session[-1] + 1, -np.inf)
+    np.fmin.at(least, session[audios], seconds[audios])
+    np.fmax.at(most, session[audios], seconds[audios])
+    videos = videos[(np.diff(first) > 0)[session[videos]]]  # a session without audios has no pairs
+    if not len(videos):
+        return
+    far = (seconds[videos] - least[session[videos]] > S.MAX_GAP_SECONDS) | (most[session[videos]] - seconds[videos] > S.MAX_GAP_SECONDS)
+    far = np.where(far, max(0.0, min(1.0, 0.65 * 0.0 + 0.35 * waveform)), 0.0)
+    audios = audios[np.argsort(here[audios], kind="stable")]
+    begin = np.searchsorted(here[audios], below[videos], "left")
+    n = np.searchsorted(here[audios], above[videos], "right") - begin
+    lane = np.cumsum(_turns(rows, keys))[videos]
+    starts = np.flatnonzero(np.append(True, lane[1:] != lane[:-1]))
+    part = np.cumsum(np.add.reduceat(n, starts)) // PAIRS
+    cuts = [*starts[np.append(True, part[1:] != part[:-1])].tolist(), len(videos)]
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        own, size = videos[x:y], n[x:y]
+        v = np.repeat(np.arange(x, y), size)
+        a = audios[np.repeat(begin[x:y] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        met = np.abs(seconds[a] - seconds[videos[v]]) <= S.MAX_GAP_SECONDS
+        v, a = v[met], a[met]
+        score = near_scores(seconds[a], seconds[videos[v]], waveform)
+        everyone, row = np.concatenate((np.arange(x, y), v)), np.concatenate((np.full(y - x, -1), a))
+        sound, code = np.unique(a, return_inverse=True)
+        video, audio = _ranks(rows.column("video").take(pa.array(own)).combine_chunks()), _ranks(rows.column("audio").take(pa.array(sound)).combine_chunks())
+        with_ = np.concatenate((np.full(y - x, -1), audio[code]))
+        at, taken, value, good, cost = assign_lanes(lane[everyone], video[everyone - x], with_, np.concatenate((far[x:y], score)))
+        told = rows.select([*keys, "video"]).take(pa.array(videos[everyone[at]]))
+        audio = rows.column("audio").combine_chunks().take(pa.array(row[taken], pa.int64(), mask=taken < 0))
+        columns = [*(told.column(c).combine_chunks() for c in (*keys, "video")), audio, pa.array(value, pa.float64()), pa.array(good, pa.bool_()), pa.array(cost, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "video", "audio", "pair_score", "assigned", "cost"])
+
+
+def assign_near(audio: DataFrame, video: DataFrame, waveform: float, *within: str, costs: bool = False) -> DataFrame:
+    """assign of the pairs of near_pairs and far_scores, all of one waveform score; inputs (*within, audio, audio_s) and (*within, lane, video, video_s).
+
+    Audios and videos are dealt by session and meet in tasks, by buckets of their lengths,
+    so that clips are shipped and not pairs. A task holds a session's clips, and of its
+    pairs those of one lane, or PAIRS of several.
+    """
+    keys = [*within, "lane"]
+    kinds = {c: d.schema[c].dataType.simpleString() for d, cs in ((video, [*keys, "video"]), (audio, ["audio"])) for c in cs}
+    blank = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    rows = audio.select(*within, blank("lane"), F.lit(0).alias("side"), blank("video"), "audio", F.col("audio_s").cast("double").alias("seconds")).unionByName(
+        video.select(*keys, F.lit(1).alias("side"), "video", blank("audio"), F.col("video_s").cast("double").alias("seconds"))
+    )
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "video", "audio")) + ", pair_score double, assigned boolean, cost double"
+    run = _whole(list(within), lambda rows, _: _lanes_of(rows, keys, waveform))
+    return rows.repartition(*within).sortWithinPartitions(*within, "side", "lane").mapInArrow(run, schema).drop(*(() if costs else ("cost",)))
+
+
+def lane_costs(rows: DataFrame, *within: str) -> DataFrame:
+    """(*within, lane, videos, cost): what the assignment of each lane costs in all, 1 - NULL_SCORE for a video left to the null choice; rows are assigned ones with costs."""
     return rows.groupBy(*within, "lane").agg(F.count(F.lit(1)).alias("videos"), F.sum("cost").alias("cost"))

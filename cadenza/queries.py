@@ -614,17 +614,10 @@ def _lane_media(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return orders.drop("o_orderkey"), items
 
 
-def _lane_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of alike lengths, and a row for each video with the best score of its others."""
-    orders, items = _lane_media(spark, sf_dir)
-    near = matching.near_pairs(orders, items, "session")
-    near = near.select("session", "lane", "video", "audio", S.pair_score(F.col("duration_score"), F.lit(WAVEFORM)).alias("pair_score"))
-    return near.unionByName(matching.far_scores(orders, items, WAVEFORM, "session").select("session", "lane", "video", "audio", "pair_score"))
-
-
 @query()
 def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign.assign(_lane_pairs(spark, sf_dir), "session").withColumn("pair_score", r6("pair_score"))
+    orders, items = _lane_media(spark, sf_dir)
+    return assign.assign_near(orders, items, WAVEFORM, "session").withColumn("pair_score", r6("pair_score"))
 
 
 @query("""WITH RECURSIVE a AS (SELECT o_custkey * 10000 + year(o_orderdate) AS session, o_orderkey AS audio, o_totalprice / 1000 AS audio_s FROM orders),
@@ -650,9 +643,7 @@ def lane_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").join(orders.select("session", "l_orderkey"), "l_orderkey").select("session", F.col("l_linenumber").alias("lane"), item.alias("item"), (F.col("l_extendedprice") / 200).alias("video_s"))
     number = F.row_number().over(Window.partitionBy("session", "lane").orderBy("item"))
     items = items.withColumn("video", number).drop("item")
-    near = matching.near_pairs(orders.drop("l_orderkey"), items, "session").withColumn("pair_score", S.pair_score(F.col("duration_score"), F.lit(WAVEFORM)))
-    columns = ["session", "lane", "video", "audio", "pair_score"]
-    rows = near.select(*columns).unionByName(matching.far_scores(orders.drop("l_orderkey"), items, WAVEFORM, "session").select(*columns))
+    rows = assign.assign_near(orders.drop("l_orderkey"), items, WAVEFORM, "session", costs=True)
     return assign.lane_costs(rows, "session").select("session", "lane", "videos", F.round(F.col("cost") * 48e6).cast("long").alias("cost"))
 
 

@@ -267,6 +267,29 @@ def test_band_join_and_split_lanes(spark):
     assert told(assign.assign(rows, "session")) == want == told(assign.assign(rows, "session", large=True))
 
 
+def test_pairs_made_in_tasks_equal_shipped_ones(spark, monkeypatch):
+    """Clips of like lengths meet in the task that assigns them, and no pair is shipped; a clip of no length and a session without audios give what pairs give."""
+    rng = random.Random(18)
+    audios = [(s, f"a{k % 55}", rng.uniform(0, 5000)) for s in "xy" for k in range(60)] + [("x", "none", None), ("w", "w1", 100.0)]
+    videos = [(s, lane, f"{lane}-{k % 38}", rng.uniform(-50, 5000)) for s in "xyz" for lane in (1, 2) for k in range(40)] + [("x", 3, "3-0", 9_999.0), ("x", 3, "3-1", 200.0), ("x", None, "n", 150.0), ("y", 4, "null", None)]
+    a, v = spark.createDataFrame(audios, "session string, audio string, audio_s double"), spark.createDataFrame(videos, "session string, lane int, video string, video_s double")
+    keys = ["session", "lane", "video", "audio"]
+    score = S.pair_score(F.col("duration_score"), F.lit(0.8)).alias("pair_score")
+    pairs = matching.near_pairs(a, v, "session").select(*keys, score).unionByName(matching.far_scores(a, v, 0.8, "session").select(*keys, "pair_score"))
+    told = lambda df: sorted((r.session, r.lane or 0, r.video, r.audio or "", r.pair_score, r.assigned) for r in df.select(*keys, "pair_score", "assigned").collect())
+    want = told(assign.assign(pairs, "session"))
+    assert sum(r[-1] for r in want) > 60
+    for rows, most in ((100_000, 1_000_000), (20, 50)):
+        monkeypatch.setattr(assign, "ROWS", rows)
+        monkeypatch.setattr(assign, "PAIRS", most)
+        made = assign.assign_near(a, v, 0.8, "session")
+        assert told(made) == want
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    deltas = [-300.0, -240.0, -100.0, -45.0, -44.9, 0.0, 41.9, 42.0, 75.0, 75.1, 130.0, 160.0, 240.0, 241.0]
+    told = spark.createDataFrame([(x, 1000.0) for x in deltas], "d double, v double").select(S.pair_score(S.duration_score(F.col("d") + F.col("v"), F.col("v"))[0], F.lit(0.8)).alias("s")).collect()
+    assert assign.near_scores(np.array(deltas) + 1000.0, np.full(len(deltas), 1000.0), 0.8).tolist() == [r.s for r in told]
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000)]
