@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+#: Rows that a task gathers where a table is spread.
+TASK_ROWS = 500_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,3 +29,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_root(spark)}/tables-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, *keys: str, count: int | None = None) -> DataFrame:
+    """rows dealt by keys into tasks of about TASK_ROWS rows, where the session's shuffle partitions would hold more.
+
+    They are counted before, if no count is given, so they should be a table.
+    """
+    n = -(-(rows.count() if count is None else count) // TASK_ROWS)
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
