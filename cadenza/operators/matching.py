@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as S
 from cadenza.operators.coverage import keep_best
+from cadenza.storage import spread, written
 
 
 def duration_pairs(audio: DataFrame, video: DataFrame, lane: str = "lane") -> DataFrame:
     """All pairs within a lane: (lane, audio, video, duration_score, gap); inputs (lane, audio, audio_s) and (lane, video, video_s)."""
     score, gap = S.duration_score(F.col("audio_s"), F.col("video_s"))
-    return audio.join(video, lane).select(lane, "audio", "video", score.alias("duration_score"), gap.alias("gap"))
+    return audio.join(spread(video, lane), lane).select(lane, "audio", "video", score.alias("duration_score"), gap.alias("gap"))
 
 
 def near_pairs(audio: DataFrame, video: DataFrame, *lane: str) -> DataFrame:
@@ -51,8 +52,13 @@ def take_confidence(assignments: DataFrame) -> DataFrame:
 def classify(audios: DataFrame, assignments: DataFrame) -> DataFrame:
     """BUCKET rows from (audio) and ASSIGNMENT rows; production takes and their videos have none.
 
-    A confidence stands only where an audio has videos: the count is asked first.
+    A confidence stands only where an audio has videos: the count is asked first. What comes
+    of the assignments is read four times, so they are written once, and dealt into tasks
+    of bounded size.
     """
+    rows = written(assignments)
+    n = rows.count()
+    assignments = spread(rows, "audio", count=n)
     takes = audios.join(take_confidence(assignments), "audio", "left").withColumn("videos", F.coalesce("videos", F.lit(0)))
     takes = takes.withColumn("production", S.is_production_take(F.col("videos"), F.col("confidence")))
     bucket = F.when((F.col("videos") <= 2) & (F.col("confidence") < S.MIN_TAKE_SCORE), "excluded").otherwise("unresolved")
@@ -62,8 +68,10 @@ def classify(audios: DataFrame, assignments: DataFrame) -> DataFrame:
     sounds = partial.select(F.col("audio").alias("source"), F.lit("audio").alias("media_type"), "bucket", "reason", F.round("confidence", 4).alias("confidence"))
     used = assignments.where("assigned")
     members = used.join(partial.select("audio", "bucket", "reason"), "audio").select(F.col("video").alias("source"), F.lit("video").alias("media_type"), "bucket", "reason", F.round("pair_score", 4).alias("confidence"))
-    loose = assignments.where("not assigned").join(used.select("video").distinct(), "video", "left_anti").select(
+    by_video = spread(rows, "video", count=n)
+    loose = by_video.where("not assigned").join(by_video.where("assigned").select("video"), "video", "left_anti").select(
         F.col("video").alias("source"), F.lit("video").alias("media_type"), F.when(F.col("pair_score") < S.MIN_LANE_SCORE, "excluded").otherwise("unresolved").alias("bucket"),
         F.lit("no audio fits this video").alias("reason"), F.round("pair_score", 4).alias("confidence"),
     )
-    return keep_best(orphans.unionByName(sounds).unionByName(members).unionByName(loose), ("bucket", "media_type", "source"), "confidence", ("reason",))
+    found = orphans.unionByName(sounds).unionByName(members).unionByName(loose)
+    return keep_best(spread(found, "bucket", "media_type", "source", count=n), ("bucket", "media_type", "source"), "confidence", ("reason",))

@@ -6,9 +6,11 @@ import itertools
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from cadenza import storage
 from cadenza.functions import color, vectors, views
 from cadenza.functions import scalars as S
 from cadenza.operators import assign, clusters, coverage, graph, layout, matching, order, rules, signal
@@ -290,6 +292,32 @@ def test_pairs_made_in_tasks_equal_shipped_ones(spark, monkeypatch):
     assert assign.near_scores(np.array(deltas) + 1000.0, np.full(len(deltas), 1000.0), 0.8).tolist() == [r.s for r in told]
 
 
+def test_large_tables_are_dealt_into_bounded_tasks(spark, monkeypatch):
+    """Tables of more rows than the session's partitions should hold go to more tasks, with the same rows."""
+    rng = random.Random(19)
+    rows = [(f"v{k // 2}", f"a{rng.randrange(300)}", rng.choice((0.3, 0.5, 0.57, 0.7, 0.9)), rng.random() < 0.6) for k in range(2000)]
+    assignments = spark.createDataFrame(rows, "video string, audio string, pair_score double, assigned boolean")
+    audios = spark.createDataFrame([(f"a{k}",) for k in range(320)], "audio string")
+    takes = spark.createDataFrame([(f"t{k % 990}", "other" if k % 7 else "s", f"/takes/t{k % 990}", "p", True) for k in range(1000)], "take_id string, session string, source_dir string, project string, loaded boolean")
+    cameras = spark.createDataFrame([(f"t{rng.randrange(990)}", rng.choice("AANNR") if rng.random() < 0.98 else None) for _ in range(2000)], "take_id string, label string")
+    expected = spark.createDataFrame([("s", "p")], "session string, project string")
+
+    def results(angles):
+        of = spark.createDataFrame([(x,) for x in angles], "angle string")
+        return matching.classify(audios, assignments), rules.inspect_session(takes, cameras, of, expected)
+
+    told = lambda df: sorted(map(str, df.collect()))
+    small = [told(df) for angles in ("AAN", "") for df in results(angles)]
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    large = [df for angles in ("AAN", "") for df in results(angles)]
+    assert [told(df) for df in large] == small
+    assert large[0].rdd.getNumPartitions() >= 20 and large[1].rdd.getNumPartitions() >= 30
+    count = Counter((take, label) for take, label in map(tuple, cameras.collect()))
+    issues = Counter((r.take_id, r.code, r.subject) for r in large[1].collect() if "camera" in r.code)
+    want = Counter((t, "take_duplicate_camera_labels", x) for (t, x), n in count.items() if n > 1) + Counter((t, "take_camera_label_unknown", x) for t, x in count if x not in ("A", "N"))
+    assert issues == want and not any("unknown" in row for row in small[3])
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000)]
