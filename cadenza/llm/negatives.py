@@ -27,8 +27,8 @@ SHARD_ROWS, MOST_SHARDS, MOST_SHARD_ROWS = 4096, 1024, 1 << 20
 WIDENING = (1, 8)
 #: Scores that are held at a time.
 CELLS = 1 << 22
-#: Integer components stay within this, so that inner products of 1,024 of them fit 63 bits.
-LARGEST = 1 << 26
+#: Vectors of whole numbers stay shorter than the root of this, so that their inner products fit 63 bits.
+LONGEST = 2.0**62
 NONE = np.iinfo(np.int64).min
 
 
@@ -52,7 +52,11 @@ def usable(embeddings: DataFrame, id_col: str, vector_col: str, label_col: str)
     """(vec_id, label, vector of integers, norm2) of the rows that take part, relabelled."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = embeddings.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
-    whole = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(256 * x))).cast("int"))
+    floors = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(256 * x).cast("double"))
+    length = F.aggregate(floors, F.lit(0.0), lambda s, x: s + x * x)
+    # a component of a vector too long for 63 bits counts as no more than all of them could be at once
+    most = F.when(length < LONGEST, 2.0**31 - 1).otherwise(F.least(F.lit(2.0**31 - 1), F.floor(F.sqrt(LONGEST / F.greatest(F.size(vector_col), F.lit(1)))).cast("double")))
+    whole = F.transform(floors, lambda x: F.greatest(-most, F.least(most, x)).cast("int"))
     label = F.col(label_col).cast("long")
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col) % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), whole.alias("vector"))
     norm2 = F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x)
@@ -254,8 +258,9 @@ def hard_negatives(
     Anchors are the rows whose id ``every`` divides, positives the best other rows of an
     anchor's label. A negative of another label scores from ``least`` to ``most`` per cent
     of the positive; a negative or zero positive score leaves no room, or that for zeros.
-    Rows without an id, a label or a vector of numbers take no part; components beyond
-    2^26/256 count as that, shorter vectors end in zeros, and equal scores go by id.
+    Rows without an id, a label or a vector of numbers take no part; components of vectors
+    whose squares sum to 2^62 or more count as the root of 2^62 over their number at most,
+    shorter vectors end in zeros, and equal scores go by id.
     Repeated rows are rows of their own. No rows, or no rows of another label, give none.
     """
     folder = shared_folder(embeddings.sparkSession)
@@ -267,8 +272,8 @@ def hard_negatives(
     anchors = keep(rows.where(F.col("vec_id") % every == 0), folder)
     whole = anchors.withColumn("low", F.array(F.lit(int(NONE) + 1))).withColumn("high", F.array(F.lit(int(-NONE - 1))))
     near = search(stored, means, bounds, longest, whole, positives, True, folder)
-    # windows in the order of the positives; whole numbers, rounded inwards
-    windows = near.select("row", "rank", "score", "hit_id", F.expr(f"({least} * score + 99) div 100").alias("l"), F.expr(f"{most} * score div 100").alias("h")).where("score >= 0")
+    # windows in the order of the positives; whole numbers, rounded inwards, hundreds apart so that no product leaves 63 bits
+    windows = near.select("row", "rank", "score", "hit_id", F.expr(f"{least} * (score div 100) + ({least} * (score % 100) + 99) div 100").alias("l"), F.expr(f"{most} * (score div 100) + {most} * (score % 100) div 100").alias("h")).where("score >= 0")
     asked = windows.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rank", "l", "h", "hit_id", "score"))).alias("x"))
     asked = keep(asked.select("row", F.col("x.l").alias("low"), F.col("x.h").alias("high"), F.col("x.hit_id").alias("positive_id"), F.col("x.score").alias("positive_score")), folder)
     found = search(stored, means, bounds, longest, anchors.join(asked, "row"), negatives, False, folder)
