@@ -245,12 +245,21 @@ def _with_text(need: DataFrame, texts: DataFrame) -> DataFrame:
             texts.withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("place", place).join(F.broadcast(maps), "bucket")
             .where(byte.bitwiseAND(F.pow(F.lit(2), F.col("place") % 8).cast("int")) > 0)
         )
-    return need.join(texts.groupBy("key").agg(F.first("text").alias("text")), "key")
+    return _dealt(need).join(texts.groupBy("key").agg(F.first("text").alias("text")), "key")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled, never broadcast.
+
+    Spark sizes a table by its compressed files and doesn't see an explode, so what it takes
+    for small may be many times what a driver holds.
+    """
+    return df.hint("merge")
 
 
 def _spread(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows joined with groups on key; the rows of a group meet it in SALTS places."""
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = _dealt(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
 
 
@@ -260,14 +269,14 @@ def _memberships(heads: DataFrame) -> DataFrame:
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     least = F.when(F.col("n") <= WHOLE, F.ceil(0.75 * F.col("s"))).otherwise(F.floor(SHARE * F.col("s")))
     rarest = (
-        entries.join(shared, "value")
+        entries.join(_dealt(shared), "value")
         .groupBy("node", "n", "s")
         .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("all"))
         .select("node", "n", F.explode(F.slice("all", F.lit(1), F.greatest(F.lit(0), F.size("all") - least + 1).cast("int"))).alias("x"))
         .select("node", "n", F.col("x.value").alias("value"))
     )
     hubs = rarest.groupBy("value").agg(F.min(F.struct("node", "n")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    return rarest.join(hubs, "value").select(F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "node", "n").distinct()
+    return rarest.join(_dealt(hubs), "value").select(F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "node", "n").distinct()
 
 
 def _hub_links(members: DataFrame, heads: DataFrame, texts: DataFrame, percent: int, folder: str) -> DataFrame:
@@ -276,7 +285,7 @@ def _hub_links(members: DataFrame, heads: DataFrame, texts: DataFrame, percent:
     large = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).where("parts > 1")
     rays = _spread(near, large, "hub", "left").select("hub", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).alias("part"), "node")
     rays = keep(rays, folder)
-    need = rays.unionByName(rays.select("hub", "part", F.col("hub").alias("node")).distinct()).join(heads.select("node", "key", "sketch"), "node")
+    need = _dealt(rays.unionByName(rays.select("hub", "part", F.col("hub").alias("node")).distinct())).join(heads.select("node", "key", "sketch"), "node")
     hub_first = ["hub", "part", F.col("node") != F.col("hub")]
     alike = need.repartition("hub", "part").sortWithinPartitions(*hub_first).select("hub", "part", "node", "key", "sketch")
     alike = keep(alike.mapInArrow(_overlapping(percent), "hub long, part long, node long, key binary"), folder)
@@ -302,7 +311,7 @@ def _prefixes(sets: DataFrame, percent: int, folder: str) -> DataFrame:
     """
     entries = sets.select("node", "comp", "n", F.explode("tokens").alias("token"))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = entries.join(shared, "token").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    ranked = entries.join(_dealt(shared), "token").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
     use = F.greatest(F.lit(0), F.size("all") - F.ceil(percent * F.col("n") / 100) + 1).cast("int")
     first = ranked.select("node", "comp", "n", F.size("all").alias("m"), F.posexplode(F.slice("all", F.lit(1), use)).alias("j", "x"))
     room = F.floor((F.col("m") - F.col("j")) * (100 + percent) / percent) - F.col("n")
@@ -326,7 +335,7 @@ def _block_pairs(lists: DataFrame, percent: int, folder: str) -> DataFrame:
     blocks = placed.groupBy("hub", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     x, y = blocks.alias("x"), blocks.alias("y")
     # pairs of blocks of one hub, not of rows: steps at most one apart, not both in the hub's own component
-    pairs = x.join(y, F.col("x.hub") == F.col("y.hub")).where(
+    pairs = x.join(_dealt(y), F.col("x.hub") == F.col("y.hub")).where(
         (F.col("x.block") <= F.col("y.block"))
         & (F.abs(F.col("x.block.step") - F.col("y.block.step")) <= 1)
         & ~(F.col("x.block.core") & F.col("y.block.core"))
@@ -334,7 +343,7 @@ def _block_pairs(lists: DataFrame, percent: int, folder: str) -> DataFrame:
     )
     pairs = pairs.select(F.col("x.hub").alias("hub"), F.col("x.block").alias("b1"), F.col("y.block").alias("b2"), F.xxhash64("x.block", "y.block").alias("part"))
     sides = pairs.select("hub", "part", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
-    return keep(sides.join(placed, ["hub", "block"]).select("hub", "part", "node", "comp"), folder)
+    return keep(_dealt(sides).join(placed, ["hub", "block"]).select("hub", "part", "node", "comp"), folder)
 
 
 def links(documents: DataFrame, id_col: str, text_col: str, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -350,12 +359,12 @@ def links(documents: DataFrame, id_col: str, text_col: str, percent: int = 75) -
     found = _hub_links(members, heads, texts, percent, folder)
 
     comps = keep(components(found), folder)
-    placed = members.select("hub", "node").join(comps, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("comp"))
+    placed = members.select("hub", "node").join(_dealt(comps), "node", "left").select("hub", "node", F.coalesce("component", "node").alias("comp"))
     rest = _spread(placed, _open(placed, "hub"), "hub").select("node", "comp").distinct()
-    rest = keep(rest.join(heads.select("node", "key"), "node"), folder)
+    rest = keep(_dealt(rest).join(heads.select("node", "key"), "node"), folder)
     sets = keep(_with_text(rest, texts).select("node", "comp", "text").mapInArrow(_full_sets, "node long, comp long, n long, tokens array<long>"), folder)
     need = _block_pairs(_prefixes(sets, percent, folder), percent, folder)
-    need = need.join(sets.select("node", "tokens"), "node")
+    need = _dealt(need).join(sets.select("node", "tokens"), "node")
     more = need.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(_blocks(percent), "a long, b long").distinct()
     return signatures, heads, keep(found.unionByName(more), folder)
 
@@ -363,11 +372,11 @@ def links(documents: DataFrame, id_col: str, text_col: str, percent: int = 75) -
 def _placed(documents: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """(id, key, n, component_id, first) per row: first says whether the row has the key that stands for its component."""
     signatures, heads, found = links(documents, id_col, text_col, percent)
-    of = heads.select("h1", "h2", "node", "id", "key").join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = heads.select("h1", "h2", "node", "id", "key").join(_dealt(components(found)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = of.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1")
     of = _spread(of, groups.select("component", "x"), "component", "left")
     of = of.select("h1", "h2", F.when(F.col("x").isNull(), F.col("id")).otherwise(F.col("x.id")).alias("component_id"), F.coalesce("x.key", "key").alias("first"))
-    rows = signatures.select("id", "key", "n", "h1", "h2").join(of, ["h1", "h2"], "left")
+    rows = signatures.select("id", "key", "n", "h1", "h2").join(_dealt(of), ["h1", "h2"], "left")
     lone = F.col("n") == 0
     return rows.select("id", "key", "n", F.when(lone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (lone | (F.col("key") == F.col("first"))).alias("first"))
 
@@ -398,4 +407,4 @@ def distinct_documents(documents: DataFrame, id_col: str = "doc_id", text_col: s
     rows = documents.select(F.struct("*").alias("row")).withColumn("key", _key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
     told = [f"row.`{f.name}`" for f in documents.schema if f.dataType.typeName() != "map"]
     order = Window.partitionBy("key").orderBy(F.xxhash64(*told))  # the join has brought a key's rows together
-    return rows.join(kept, "key").withColumn("i", F.row_number().over(order)).where("i = 1").select("row.*")
+    return rows.join(_dealt(kept), "key").withColumn("i", F.row_number().over(order)).where("i = 1").select("row.*")

@@ -62,6 +62,16 @@ def test_a_passage_of_many_costs_no_pairs(spark, monkeypatch, share):
         assert max(df.count() for df in made if "part" in df.columns or "tokens" in df.columns) <= 2.5 * n
 
 
+def test_groups_in_many_places_are_not_broadcast(spark):
+    """Spark sizes groups without the places that they are repeated in, so few bytes may be many in a driver."""
+    rows = spark.range(100).selectExpr("id AS node", "id % 7 AS hub")
+    groups = spark.range(5).selectExpr("id AS hub", "id * 2 AS parts")
+    for how, n in (("inner", 72), ("left", 100)):
+        met = near_dup._spread(rows, groups, "hub", how)
+        assert met.count() == n and {(r.hub, r.parts) for r in met.collect() if r.parts is not None} == {(i, 2 * i) for i in range(5)}
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ids_of_any_type(spark):
     rng = random.Random(8)
     a, b = fx.prose(rng, 60), fx.prose(rng, 60)
