@@ -24,11 +24,15 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table below the shared folder: its plan begins anew there, and a lost executor takes nothing with it."""
+    """df as a table below the shared folder: its plan begins anew there, and a lost executor takes nothing with it.
+
+    What joins it is shuffled: Spark sizes a table by its compressed files, of which names
+    that repeat take a small part of what their rows take of a driver that broadcasts them.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def spread(rows: DataFrame, *keys: str, count: int | None = None) -> DataFrame:

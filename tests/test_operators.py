@@ -318,6 +318,15 @@ def test_large_tables_are_dealt_into_bounded_tasks(spark, monkeypatch):
     assert issues == want and not any("unknown" in row for row in small[3])
 
 
+def test_written_tables_are_not_broadcast(spark):
+    """Names that repeat take few bytes of a file, but not of a driver; what is asked to be broadcast still is."""
+    lanes = storage.written(spark.range(1000).selectExpr("id % 10 AS session", "format_string('v-%09d', id % 5) AS video", "id AS lane"))
+    own = lanes.groupBy("session", "lane").count()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(lanes.join(lanes.select("session", "video"), ["session", "video"])) + plan(spark.range(5).withColumnRenamed("id", "session").join(own, "session", "left"))
+    assert "BroadcastHashJoin" in plan(spark.range(5).withColumnRenamed("id", "session").join(F.broadcast(own), "session"))
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000)]
