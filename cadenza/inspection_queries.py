@@ -63,9 +63,13 @@ UNION ALL SELECT session, take_id, 'color_prep_scratch_audio_item_missing', labe
 UNION ALL SELECT session, take_id, 'color_prep_scratch_audio_start_mismatch', label, 'fail' FROM placed WHERE sv AND sc AND vs IS DISTINCT FROM cs
 UNION ALL SELECT session, take_id, 'color_prep_video_scratch_unlinked', label, 'fail' FROM placed WHERE sv AND sc AND NOT tied""")
 def timeline_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    takes, cameras = _takes(spark, sf_dir), _cameras(spark, sf_dir)
-    angles = cameras.where("l_linenumber = 1").select("session", "label", F.lit(0).alias("pos")).distinct()
-    cameras = written(inspection.expected_tracks(cameras, angles).drop("file", "l_returnflag", "o_orderstatus", "o_totalprice"))  # read six times
+    takes = _takes(spark, sf_dir)
+    flags = {"shown": "l_quantity > 3", "heard": "l_quantity > 5", "other": "l_discount > 0.095", "late": "l_discount > 0.085", "unknown": "l_tax > 0.075", "linked": "l_linestatus = 'O'"}
+    cameras = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.expr(_LABEL).alias("label"), F.expr("CASE WHEN l_linenumber = 1 THEN 0 END").alias("pos"), *(F.expr(x).alias(c) for c, x in flags.items())
+    ).join(takes.select("session", F.col("pos").alias("at")), F.col("l_orderkey") == F.col("at")).withColumn("file", F.col("label"))
+    # the take's key in front: its rows have met by it
+    cameras = written(inspection.expected_tracks(cameras, keys=("at", "session")).select("session", "at", "label", "track", *flags))  # read six times
     timelines = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("session"), (F.col("c_acctbal") > -500).alias("exists"), F.expr("CASE c_nationkey % 5 WHEN 0 THEN '01:00:00:00' WHEN 1 THEN NULL ELSE '00:00:00;00' END").alias("start_timecode")
     )
@@ -74,19 +78,19 @@ def timeline_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = named.where("NOT (session % 4 = 0 AND kind = 'video' AND index = n) AND NOT (session % 8 = 3 AND kind = 'audio' AND index = 1)").select(
         "session", "kind", "index", F.expr("CASE WHEN session % 4 = 1 AND kind = 'audio' AND index = 1 THEN 'A1' WHEN session % 4 = 2 AND index = 2 THEN '' ELSE name END").alias("name")
     )
-    late = (F.col("l_discount") > 0.085).cast("int")
+    late = F.col("late").cast("int")
     item = lambda rows, kind, track, name, start: rows.select("session", F.lit(kind).alias("kind"), track.cast("int").alias("track"), name.alias("name"), start.cast("long").alias("start"))
-    video = item(cameras.where("l_quantity > 3"), "video", F.col("track"), F.when(F.col("l_discount") > 0.095, "other").otherwise(F.col("label")), F.when(~(F.col("l_tax") > 0.075), F.col("at") * 10))
-    scratch = item(cameras.where("l_quantity > 5"), "audio", F.col("track") + 1, F.col("label"), F.col("at") * 10 + late)
+    video = item(cameras.where("shown"), "video", F.col("track"), F.when(F.col("other"), "other").otherwise(F.col("label")), F.when(~F.col("unknown"), F.col("at") * 10))
+    scratch = item(cameras.where("heard"), "audio", F.col("track") + 1, F.col("label"), F.col("at") * 10 + late)
     master = item(takes.where("o_orderstatus <> 'P'"), "audio", F.lit(1), F.lit("audio-master"), F.col("pos") * 10 + (F.col("o_orderpriority") == "5-LOW").cast("int"))
     noise = item(takes.where("o_orderpriority = '1-URGENT'"), "audio", F.lit(1), F.lit("noise"), F.col("pos"))
-    links = cameras.where("l_linestatus = 'O'").select(
+    links = cameras.where("linked").select(
         "session", F.col("label").alias("name"), (F.col("at") * 10).alias("start"), F.lit("video").alias("kind"), "track", F.col("label").alias("to_name"), (F.col("at") * 10 + late).alias("to_start"),
         F.lit("audio").alias("to_kind"), (F.col("track") + 1).alias("to_track"),
     )
     markers = takes.where("o_totalprice > 50000").select("session", (F.col("pos") * 10.0).alias("frame"), F.concat(F.lit("take:"), "take_id").alias("custom_data"))
     items = video.unionByName(scratch).unionByName(master).unionByName(noise)
-    return inspection.timeline_issues(timelines, takes.select("session", "take_id", "pos"), cameras.select("session", "take_id", "label", "track"), tracks, items, links, markers)
+    return inspection.timeline_issues(timelines, takes.select("session", "take_id", "pos"), cameras.select("session", F.col("at").alias("take_id"), "label", "track", F.col("at").alias("pos")), tracks, items, links, markers)
 
 
 _SNAPSHOT_SQL = """

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as S
 from cadenza.operators import layout
+from cadenza.storage import spread
 
 START_TIMECODE = "00:00:00;00"
 MASTER_CLIP = "audio-master"
@@ -40,49 +41,63 @@ def _found(rows: DataFrame, checks: list[tuple[str, Column]], subject: Column, t
     return _issue(rows.withColumn("_code", F.explode(codes)), F.col("_code"), subject, take)
 
 
-def expected_tracks(cameras: DataFrame, angles: DataFrame) -> DataFrame:
-    """cameras (session, take_id, label, file) with track: packed from 1 in the order of the session's angles (session, label, pos), then label and file."""
-    order = Window.partitionBy("session", "take_id").orderBy(F.col("pos").asc_nulls_last(), "label", "file")
-    return cameras.join(angles, ["session", "label"], "left").withColumn("track", F.row_number().over(order)).drop("pos")
+def expected_tracks(cameras: DataFrame, angles: DataFrame | None = None, keys: tuple[str, ...] = ("session", "take_id")) -> DataFrame:
+    """cameras (session, take_id, label, file) with track: packed from 1 in the order of the session's angles (session, label, pos), then label and file.
 
+    Without angles cameras bring pos themselves. ``keys`` name a take.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.col("pos").asc_nulls_last(), "label", "file")
+    rows = cameras if angles is None else cameras.join(angles, ["session", "label"], "left")
+    return rows.withColumn("track", F.row_number().over(order)).drop("pos")
+
+
+def _together(*parts: DataFrame) -> DataFrame:
+    """The rows of all parts with kind, the number of their part, and null for columns that a part lacks; those without a session join nothing."""
+    kinds = (df.where("session is not null").withColumn("_kind", F.lit(k)) for k, df in enumerate(parts))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
 
-def _placed(items: DataFrame, *keys: str) -> DataFrame:
-    """items with i, their place by start, an unknown one counting as -1."""
-    order = Window.partitionBy(*keys).orderBy(F.coalesce("start", F.lit(-1)), "name")
-    return items.withColumn("i", F.row_number().over(order))
+
+def _kind(k: int, c: str | Column | bool = True) -> Column:
+    return F.when(F.col("_kind") == k, F.col(c) if isinstance(c, str) else c)
 
 
 def timeline_issues(timelines: DataFrame, takes: DataFrame, cameras: DataFrame, tracks: DataFrame, items: DataFrame, links: DataFrame, markers: DataFrame, prefix: str = "take:") -> DataFrame:
     """What differs between sessions' takes and their timelines.
 
     timelines (session, exists, start_timecode; a null timecode is not known), takes
-    (session, take_id, pos), cameras (session, take_id, label, track), tracks (session,
-    kind, index, name), items (session, kind, track, name, start), links (session, name,
-    start, kind, track, to_name, to_start, to_kind, to_track), markers (session, frame,
-    custom_data). Items are used up in order: a take's camera has the next item of its
-    track, whatever it is, so one that is missing shifts all that follow. Where a timeline
-    does not exist that is its only issue.
+    (session, take_id, pos), cameras (session, take_id, label, track, and pos of their take
+    if they have it), tracks (session, kind, index, name), items (session, kind, track, name,
+    start), links (session, name, start, kind, track, to_name, to_start, to_kind, to_track),
+    markers (session, frame, custom_data). Items are used up in order: a take's camera has
+    the next item of its track, whatever it is, so one that is missing shifts all that
+    follow. Where a timeline does not exist that is its only issue.
+
+    All that belongs to a session is dealt by session once and meets there by windows, so a
+    row is shipped once however many tables it is compared with. cameras are counted before,
+    so they should be a table.
     """
-    there = timelines.where("exists").select("session")
+    there = timelines.where("exists").select("session").distinct()
     gone = _issue(timelines.where(~F.col("exists")), "color_prep_timeline_missing", F.lit("timeline"))
     late = _issue(timelines.where(F.col("exists") & (F.col("start_timecode") != START_TIMECODE)), "color_prep_start_timecode_mismatch", F.col("start_timecode"))
-    takes, cameras, tracks, items = (t.join(there, "session", "left_semi") for t in (takes, cameras, tracks, items))
+    n = cameras.count()
 
-    want = there.join(cameras.groupBy("session").agg(F.max("track").alias("videos")), "session", "left").select("session", F.coalesce("videos", F.lit(0)).alias("videos"))
-    have = tracks.groupBy("session").agg(F.count_if(F.col("kind") == "video").alias("v"), F.count_if(F.col("kind") == "audio").alias("a"))
-    counts = want.join(have, "session", "left").fillna(0, ["v", "a"])
+    counts = _together(there, cameras.select("session", F.col("track").cast("long").alias("track")), tracks.select("session", "kind")).groupBy("session").agg(
+        F.max(_kind(0)).alias("there"), F.coalesce(F.max("track"), F.lit(0)).alias("videos"), F.count_if(F.col("kind") == "video").alias("v"), F.count_if(F.col("kind") == "audio").alias("a")
+    ).where("there")
     few = _found(counts, [("color_prep_video_tracks_missing", F.col("v") < F.col("videos")), ("color_prep_audio_track_missing", F.col("a") < F.col("videos") + 1)], F.col("videos"))
-    named = layout.track_names(want.where("videos > 0").withColumn("videos", F.col("videos").cast("int")), "videos").unionByName(
-        want.where("videos = 0").select("session", F.lit("audio").alias("kind"), F.lit(1).alias("index"), F.lit("master-audio").alias("name"))
-    )
-    other = named.alias("e").join(tracks.alias("o"), ["session", "kind", "index"]).where((F.col("o.name") != "") & (F.col("o.name") != F.col("e.name")))
+    other = tracks.where((F.col("name") != "") & (F.col("name") != layout.track_name(F.col("kind"), F.col("index")))).join(counts.select("session", "videos"), "session")
+    other = other.where(F.col("index") <= F.col("videos") + F.when(F.col("kind") == "audio", 1).otherwise(0))
     misnamed = _issue(other, "color_prep_track_name_mismatch", F.concat_ws("/", "kind", "index"))
 
-    frames = markers.select("session", F.expr(f"substring(custom_data, {len(prefix) + 1})").alias("take_id"), F.col("custom_data").startswith(prefix).alias("own"), "frame").where("own")
-    frames = frames.groupBy("session", "take_id").agg(F.max(F.round("frame")).cast("long").alias("marker"))
-    masters = _placed(items.where((F.col("kind") == "audio") & (F.col("track") == 1) & (F.col("name") == MASTER_CLIP)), "session").select("session", "i", F.lit(True).alias("audio"), F.col("start").alias("audio_start"))
-    numbered = takes.withColumn("i", F.row_number().over(Window.partitionBy("session").orderBy("pos")))
-    rows = numbered.withColumn("take_id", F.col("take_id").cast("string")).join(frames, ["session", "take_id"], "left").join(masters, ["session", "i"], "left")
+    own = F.col("custom_data").startswith(prefix)
+    frames = markers.where(own).select("session", F.expr(f"substring(custom_data, {len(prefix) + 1})").alias("take_id"), F.round("frame").cast("long").alias("frame"))
+    masters = items.where((F.col("kind") == "audio") & (F.col("track") == 1) & (F.col("name") == MASTER_CLIP)).select("session", "start")
+    rows = spread(_together(there, takes.select("session", F.col("take_id").cast("string").alias("take_id"), "pos"), frames, masters), "session", count=n)
+    rows = rows.withColumn("there", F.max(_kind(0)).over(Window.partitionBy("session"))).where("there AND _kind > 0")
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("session", "_kind").orderBy("pos", F.coalesce("start", F.lit(-1)))))
+    place = Window.partitionBy("session", "i")
+    rows = rows.withColumn("audio", F.max(_kind(3)).over(place)).withColumn("audio_start", F.max(_kind(3, "start")).over(place)).where("_kind < 3")
+    rows = rows.withColumn("marker", F.max("frame").over(Window.partitionBy("session", "take_id"))).where("_kind = 1")
     own = _found(
         rows,
         [
@@ -92,23 +107,36 @@ def timeline_issues(timelines: DataFrame, takes: DataFrame, cameras: DataFrame,
         F.col("take_id"), F.col("take_id"),
     )
 
-    place = Window.partitionBy("session", "track").orderBy("pos")
-    shots = cameras.join(takes.select("session", "take_id", "pos"), ["session", "take_id"]).withColumn("i", F.row_number().over(place))
-    side = lambda kind, x: _placed(items.where(F.col("kind") == kind), "session", "track").select("session", (F.col("track") - int(kind == "audio")).alias("track"), "i", F.col("name").alias(f"{x}_name"), F.col("start").alias(f"{x}_start"))
-    rows = shots.join(side("video", "v"), ["session", "track", "i"], "left").join(side("audio", "s").where("track > 0"), ["session", "track", "i"], "left")
-    tied = links.where((F.col("kind") == "video") & (F.col("to_kind") == "audio")).select(
-        "session", "track", F.col("to_track").alias("s_track"), F.col("name").alias("v_name"), F.col("start").alias("v_start"), F.col("to_name").alias("s_name"), F.col("to_start").alias("s_start"), F.lit(True).alias("tied")
-    ).distinct()
-    rows = rows.withColumn("s_track", F.col("track") + 1).join(tied, ["session", "track", "s_track", "v_name", "v_start", "s_name", "s_start"], "left")
-    seen = lambda x: F.coalesce(F.col(f"{x}_name") == F.col("label"), F.lit(False))
+    shots = cameras if "pos" in cameras.columns else cameras.join(takes.select("session", "take_id", "pos"), ["session", "take_id"])
+    track = lambda k: (F.col("track") - k).cast("long").alias("track")
+    side = lambda kind: items.where(F.col("kind") == kind).select("session", track(int(kind == "audio")), "name", "start")
+    tied = links.where((F.col("kind") == "video") & (F.col("to_kind") == "audio") & (F.col("to_track") == F.col("track") + 1) & F.col("name").isNotNull() & F.col("to_name").isNotNull())
+    rows = spread(
+        _together(
+            there, shots.select("session", track(0), F.col("label").alias("name"), F.col("take_id").cast("string").alias("take_id"), "pos"), side("video"), side("audio").where("track > 0"),
+            tied.select("session", track(0), "name", "start", F.when(F.col("to_name") != F.col("name"), F.col("to_name")).alias("to_name"), "to_start"),  # most are named alike
+        ),
+        "session", count=4 * n,
+    )
+    rows = rows.withColumn("there", F.max(_kind(0)).over(Window.partitionBy("session"))).where("there AND _kind > 0")
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("session", "track", "_kind").orderBy("pos", F.coalesce("start", F.lit(-1)), "name")))
+    place = Window.partitionBy("session", "track", "i")
+    for k, x in ((2, "v"), (3, "s")):
+        rows = rows.withColumn(x, F.max(_kind(k, F.struct("name", "start"))).over(place))
+    seen = lambda x: F.coalesce(F.col(f"{x}.name") == F.col("name"), F.lit(False))
     both = seen("v") & seen("s")
+    # a shot asks for what it has, a link tells what it ties; unknown starts tie nothing
+    asked = lambda x, name, start: F.when(F.col("_kind") == 1, F.when(both, F.col(x))).otherwise(F.struct(name.alias("name"), F.col(start).alias("start"))).alias(f"_{x}")
+    rows = rows.where("_kind IN (1, 4)").select("session", "track", "_kind", "take_id", "name", "v", "s", asked("v", F.col("name"), "start"), asked("s", F.coalesce("to_name", "name"), "to_start"))
+    known = F.col("_v.start").isNotNull() & F.col("_s.start").isNotNull()
+    rows = rows.withColumn("tied", F.when(known, F.max(_kind(4)).over(Window.partitionBy("session", "track", "_v", "_s")))).where("_kind = 1")
     placed = _found(
         rows,
         [
             ("color_prep_angle_item_missing", ~seen("v")), ("color_prep_scratch_audio_item_missing", ~seen("s")),
-            ("color_prep_scratch_audio_start_mismatch", both & ~F.col("v_start").eqNullSafe(F.col("s_start"))), ("color_prep_video_scratch_unlinked", both & F.col("tied").isNull()),
+            ("color_prep_scratch_audio_start_mismatch", both & ~F.col("v.start").eqNullSafe(F.col("s.start"))), ("color_prep_video_scratch_unlinked", both & F.col("tied").isNull()),
         ],
-        F.col("label"), F.col("take_id"),
+        F.col("name"), F.col("take_id"),
     )
     return reduce(DataFrame.unionByName, (gone, late, few, misnamed, own, placed))
 

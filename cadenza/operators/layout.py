@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.signal import running
@@ -38,6 +38,11 @@ def placed_clips(laid: DataFrame, clips: DataFrame, angles: DataFrame, session:
     return rows.select(session, take, "label", "file", track.alias("track"), (F.col("marker") + F.col("offset")).alias("start"))
 
 
+def track_name(kind: Column, index: Column) -> Column:
+    """What track_names calls a track."""
+    return F.when(kind == "video", F.format_string("compact-v%d", index)).when(index == 1, "master-audio").otherwise(F.format_string("scratch-compact-v%d", index - 1))
+
+
 def track_names(counts: DataFrame, n: str = "tracks") -> DataFrame:
     """One row for each track, with its kind, index and name: n video tracks, then the master's and n scratch tracks of audio."""
     tracks = F.concat(

@@ -51,3 +51,9 @@ def test_cameras_are_joined_once(spark, name):
 def test_streams_come_with_their_rows(spark):
     plan = QUERIES["q_stream_rules"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_discount" in plan and "Join Inner, (((take_id" not in plan and plan.count("Join") <= 8
+
+
+def test_timeline_tables_are_dealt_by_session_once(spark):
+    """What belongs to a session meets by windows after one shuffle: items, links and takes are not joined one after the other."""
+    plan = QUERIES["q_timeline_verify"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 8 and "Join LeftSemi" not in plan
