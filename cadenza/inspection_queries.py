@@ -9,7 +9,7 @@ from cadenza.functions import scalars as S
 from cadenza.operators import coverage, inspection, layout, order, rules
 from cadenza.plans import grouping
 from cadenza.queries import _EVIDENCE_SQL, _INGEST_SQL, _evidence, _ingest, query, table
-from cadenza.storage import written
+from cadenza.storage import spread, written
 
 _LABEL = "concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(floor(l_extendedprice) AS bigint))"
 _TAKES_SQL = "takes AS (SELECT o_custkey AS session, o_orderkey::VARCHAR AS take_id, o_orderkey AS pos, o_orderstatus, o_orderpriority, o_totalprice FROM orders)"
@@ -65,7 +65,7 @@ UNION ALL SELECT session, take_id, 'color_prep_video_scratch_unlinked', label, '
 def timeline_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     takes = _takes(spark, sf_dir)
     flags = {"shown": "l_quantity > 3", "heard": "l_quantity > 5", "other": "l_discount > 0.095", "late": "l_discount > 0.085", "unknown": "l_tax > 0.075", "linked": "l_linestatus = 'O'"}
-    cameras = table(spark, sf_dir, "lineitem").select(
+    cameras = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         "l_orderkey", F.expr(_LABEL).alias("label"), F.expr("CASE WHEN l_linenumber = 1 THEN 0 END").alias("pos"), *(F.expr(x).alias(c) for c, x in flags.items())
     ).join(takes.select("session", F.col("pos").alias("at")), F.col("l_orderkey") == F.col("at")).withColumn("file", F.col("label"))
     # the take's key in front: its rows have met by it
